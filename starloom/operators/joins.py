@@ -139,5 +139,5 @@ def first_covering(events: DataFrame, intervals: DataFrame, key: str, at: str,
     cond = ((events[key] == iv["_ik"]) & (iv["_is"] <= events[at])
             & (iv["_ie"].isNull() | (events[at] <= iv["_ie"])))
     j = events.select(event_id, key, at).join(iv, cond, "left")
-    best = j.groupBy(event_id).agg(F.min_by("_val", "_seq").alias(value))
+    best = j.groupBy(event_id).agg(F.min_by("_val", F.struct("_seq", "_val")).alias(value))
     return events.join(best, event_id, "left")

@@ -37,6 +37,35 @@ FROM orders LEFT JOIN (SELECT l_orderkey, min(l_suppkey)+1 project_id FROM linei
        CAST(10*(1+min(l_orderkey)%6) AS INT) allocation_pct, CAST(min(l_shipdate) AS DATE) start_date
 FROM lineitem JOIN orders ON l_orderkey=o_orderkey GROUP BY 1,2""",
     "fx_snapshot_dirty": """SELECT e.* FROM fx_employee e UNION ALL SELECT e.* FROM fx_employee e WHERE employee_id%500=1""",
+    # staging snapshot with planted dirt (padded names and departments, upper-case emails, duplicates)
+    "fx_stg_employee": """SELECT c_custkey+1 employee_id,
+       CASE WHEN c_custkey%100=7 THEN concat('  ', c_name, ' ') ELSE c_name END first_name,
+       c_mktsegment last_name,
+       CASE WHEN c_custkey%50=0 THEN upper(concat(c_name, '@corp.example'))
+            ELSE lower(concat(c_name, '@corp.example')) END email,
+       CASE WHEN c_custkey%2=0 THEN 'Female' ELSE 'Male' END gender,
+       CAST(18+c_custkey%43 AS INT) age,
+       CASE WHEN c_acctbal<0 THEN 'Yes' ELSE 'No' END attrition,
+       CASE WHEN c_custkey%7=0 THEN 'Travel_Frequently' WHEN c_custkey%7<3 THEN 'Non-Travel' ELSE 'Travel_Rarely' END business_travel,
+       concat(CASE WHEN c_custkey%40=3 THEN ' ' ELSE '' END, n_name) department,
+       CAST(1+c_custkey%29 AS INT) distance_from_home, CAST(1+c_custkey%5 AS INT) education,
+       CASE c_custkey%3 WHEN 0 THEN 'Life Sciences' WHEN 1 THEN 'Medical' ELSE 'Marketing' END education_field,
+       CAST(1+c_custkey%5 AS INT) job_level, c_mktsegment job_role,
+       CASE c_custkey%3 WHEN 0 THEN 'Single' WHEN 1 THEN 'Married' ELSE 'Divorced' END marital_status,
+       CAST(3000+c_custkey%1000 AS INT) monthly_income, CAST(c_custkey%10 AS INT) num_companies_worked,
+       CASE WHEN c_custkey%3=1 THEN 'Yes' ELSE 'No' END over_time, CAST(c_custkey%4 AS INT) stock_option_level,
+       CAST(c_custkey%40 AS INT) total_working_years, CAST(c_custkey%20 AS INT) years_at_company,
+       h.hire_date
+FROM customer JOIN nation ON n_nationkey=c_nationkey
+LEFT JOIN (SELECT employee_id, min(effective_start) hire_date FROM fx_history GROUP BY 1) h
+       ON h.employee_id=c_custkey+1""",
+    "fx_stg_employee_dirty": """SELECT * FROM fx_stg_employee
+UNION ALL
+SELECT employee_id, first_name, last_name, upper(email) email, gender, age, attrition, business_travel, department,
+       distance_from_home, education, education_field, job_level, job_role, marital_status, monthly_income,
+       num_companies_worked, over_time, stock_option_level, total_working_years, years_at_company,
+       CAST(hire_date - INTERVAL 365 DAY AS DATE) hire_date
+FROM fx_stg_employee WHERE employee_id%500=1""",
     # expected warehouse, business keys only
     "o_dim_employee": """SELECT t.employee_id, t.effective_start start_date,
        coalesce(CAST(t.next_start - INTERVAL 1 DAY AS DATE), DATE '9999-12-31') end_date,

@@ -122,6 +122,51 @@ class Fixture:
         return e.unionByName(e.filter(F.col("employee_id") % 500 == 1))
 
 
+    # -- staging snapshot with planted dirt ----------------------------------
+    def stg_employee(self) -> DataFrame:
+        c = self._t("customer")
+        n = self._t("nation").select("n_nationkey", "n_name")
+        k = F.col("c_custkey")
+        h = self.history().groupBy("employee_id").agg(F.min("effective_start").alias("hire_date"))
+        j = c.join(n, c.c_nationkey == n.n_nationkey, "inner")
+        j = j.join(h, (k + 1) == h.employee_id, "left")
+        mail = F.concat(F.col("c_name"), F.lit("@corp.example"))
+        return j.select(
+            (k + 1).alias("employee_id"),
+            F.when(k % 100 == 7, F.concat(F.lit("  "), F.col("c_name"), F.lit(" "))).otherwise(F.col("c_name"))
+             .alias("first_name"),
+            F.col("c_mktsegment").alias("last_name"),
+            F.when(k % 50 == 0, F.upper(mail)).otherwise(F.lower(mail)).alias("email"),
+            F.when(k % 2 == 0, "Female").otherwise("Male").alias("gender"),
+            (F.lit(18) + k % 43).cast("int").alias("age"),
+            F.when(F.col("c_acctbal") < 0, "Yes").otherwise("No").alias("attrition"),
+            F.when(k % 7 == 0, "Travel_Frequently").when(k % 7 < 3, "Non-Travel").otherwise("Travel_Rarely")
+             .alias("business_travel"),
+            F.concat(F.when(k % 40 == 3, " ").otherwise(""), F.col("n_name")).alias("department"),
+            (F.lit(1) + k % 29).cast("int").alias("distance_from_home"),
+            (F.lit(1) + k % 5).cast("int").alias("education"),
+            F.when(k % 3 == 0, "Life Sciences").when(k % 3 == 1, "Medical").otherwise("Marketing")
+             .alias("education_field"),
+            (F.lit(1) + k % 5).cast("int").alias("job_level"),
+            F.col("c_mktsegment").alias("job_role"),
+            F.when(k % 3 == 0, "Single").when(k % 3 == 1, "Married").otherwise("Divorced").alias("marital_status"),
+            (F.lit(3000) + k % 1000).cast("int").alias("monthly_income"),
+            (k % 10).cast("int").alias("num_companies_worked"),
+            F.when(k % 3 == 1, "Yes").otherwise("No").alias("over_time"),
+            (k % 4).cast("int").alias("stock_option_level"),
+            (k % 40).cast("int").alias("total_working_years"),
+            (k % 20).cast("int").alias("years_at_company"),
+            F.col("hire_date"),
+        )
+
+    def stg_employee_dirty(self) -> DataFrame:
+        s = self.stg_employee()
+        dup = s.filter(F.col("employee_id") % 500 == 1) \
+            .withColumn("email", F.upper("email")) \
+            .withColumn("hire_date", F.date_sub("hire_date", 365))
+        return s.unionByName(dup)
+
+
 # The calendar range that covers every fixture review date.
 FIXTURE_START = "1994-01-01"
 FIXTURE_END = "2002-12-31"
