@@ -66,6 +66,34 @@ SELECT employee_id, first_name, last_name, upper(email) email, gender, age, attr
        num_companies_worked, over_time, stock_option_level, total_working_years, years_at_company,
        CAST(hire_date - INTERVAL 365 DAY AS DATE) hire_date
 FROM fx_stg_employee WHERE employee_id%500=1""",
+    # entry-form batches with planted invalid values
+    "fx_entry_employee": """SELECT employee_id,
+       CASE WHEN employee_id%97=5 THEN '   ' ELSE first_name END first_name,
+       CASE WHEN employee_id%101=6 THEN repeat('x', 61) ELSE last_name END last_name,
+       CASE WHEN employee_id%89=4 THEN replace(email, '.example', '')
+            WHEN employee_id%103=8 THEN concat(' ', upper(email), ' ') ELSE email END email,
+       gender, CAST(CASE WHEN employee_id%83=2 THEN 17 ELSE age END AS INT) age, marital_status,
+       education education_level, education_field, hire_date, department, job_role,
+       CAST(CASE WHEN employee_id%73=3 THEN 6 ELSE job_level END AS INT) job_level,
+       CAST(CASE WHEN employee_id%79=1 THEN 0 ELSE monthly_income END AS INT) monthly_income
+FROM fx_stg_employee""",
+    "fx_entry_project": """SELECT CAST(s_suppkey+1 AS BIGINT) project_id,
+       CASE WHEN s_suppkey%17=3 THEN '  ' ELSE s_name END project_name, CAST(s_nationkey+1 AS INT) department_id,
+       CASE WHEN s_suppkey%19=4 THEN 'Paused' WHEN s_suppkey%10<3 THEN 'Completed' WHEN s_suppkey%10<9 THEN 'Active'
+            ELSE 'On Hold' END status,
+       CASE WHEN s_suppkey%23=5 THEN 'Urgent' WHEN s_suppkey%3=0 THEN 'Low' WHEN s_suppkey%3=1 THEN 'Medium'
+            ELSE 'High' END priority,
+       CAST(CASE WHEN s_suppkey%13=7 THEN -500 ELSE (s_suppkey%100)*1000 END AS DECIMAL(12,2)) budget,
+       CAST(DATE '1995-01-01' + CAST(s_suppkey%365 AS INT) AS DATE) start_date,
+       CASE WHEN s_suppkey%11=5 THEN CAST(DATE '1995-01-01' + CAST(s_suppkey%365 AS INT) - 10 AS DATE)
+            WHEN s_suppkey%2=0 THEN CAST(DATE '1995-01-01' + CAST(s_suppkey%365 AS INT) + 200 AS DATE) END end_date
+FROM supplier""",
+    "fx_entry_review": """SELECT o_orderkey review_id, o_custkey+1 employee_id, CAST(o_orderdate AS DATE) review_date,
+       CAST(substr(o_orderpriority,1,1) AS INT) performance_rating, CAST(1+o_orderkey%4 AS INT) job_satisfaction,
+       CAST(CASE WHEN o_orderkey%61=0 THEN 0 ELSE 1+(o_orderkey+o_custkey)%4 END AS INT) environment_satisfaction,
+       CAST(1+o_custkey%4 AS INT) work_life_balance,
+       CAST(CASE WHEN o_orderkey%101=0 THEN 55 ELSE 11+o_orderkey%15 END AS INT) percent_salary_hike
+FROM orders""",
     # expected warehouse, business keys only
     "o_dim_employee": """SELECT t.employee_id, t.effective_start start_date,
        coalesce(CAST(t.next_start - INTERVAL 1 DAY AS DATE), DATE '9999-12-31') end_date,

@@ -167,6 +167,52 @@ class Fixture:
         return s.unionByName(dup)
 
 
+    # -- entry-form batches with planted invalid values -----------------------
+    def entry_employee(self) -> DataFrame:
+        s = self.stg_employee()
+        k = F.col("employee_id")
+        return s.select(
+            "employee_id",
+            F.when(k % 97 == 5, F.lit("   ")).otherwise(F.col("first_name")).alias("first_name"),
+            F.when(k % 101 == 6, F.repeat(F.lit("x"), 61)).otherwise(F.col("last_name")).alias("last_name"),
+            F.when(k % 89 == 4, F.replace(F.col("email"), F.lit(".example"), F.lit("")))
+             .when(k % 103 == 8, F.concat(F.lit(" "), F.upper("email"), F.lit(" ")))
+             .otherwise(F.col("email")).alias("email"),
+            "gender", F.when(k % 83 == 2, F.lit(17)).otherwise(F.col("age")).cast("int").alias("age"),
+            "marital_status", F.col("education").alias("education_level"), "education_field", "hire_date",
+            "department", "job_role",
+            F.when(k % 73 == 3, F.lit(6)).otherwise(F.col("job_level")).cast("int").alias("job_level"),
+            F.when(k % 79 == 1, F.lit(0)).otherwise(F.col("monthly_income")).cast("int").alias("monthly_income"))
+
+    def entry_project(self) -> DataFrame:
+        s = self._t("supplier")
+        k = F.col("s_suppkey")
+        start = F.date_add(F.lit("1995-01-01").cast("date"), (k % 365).cast("int"))
+        return s.select(
+            (k + 1).cast("bigint").alias("project_id"),
+            F.when(k % 17 == 3, F.lit("  ")).otherwise(F.col("s_name")).alias("project_name"),
+            (F.col("s_nationkey") + 1).cast("int").alias("department_id"),
+            F.when(k % 19 == 4, "Paused").when(k % 10 < 3, "Completed").when(k % 10 < 9, "Active")
+             .otherwise("On Hold").alias("status"),
+            F.when(k % 23 == 5, "Urgent").when(k % 3 == 0, "Low").when(k % 3 == 1, "Medium")
+             .otherwise("High").alias("priority"),
+            F.when(k % 13 == 7, F.lit(-500)).otherwise((k % 100) * 1000).cast("decimal(12,2)").alias("budget"),
+            start.alias("start_date"),
+            F.when(k % 11 == 5, F.date_sub(start, 10)).when(k % 2 == 0, F.date_add(start, 200)).alias("end_date"))
+
+    def entry_review(self) -> DataFrame:
+        o = self._t("orders")
+        ok, ck = F.col("o_orderkey"), F.col("o_custkey")
+        return o.select(
+            ok.alias("review_id"), (ck + 1).alias("employee_id"), _as_date(F.col("o_orderdate")).alias("review_date"),
+            F.substring("o_orderpriority", 1, 1).cast("int").alias("performance_rating"),
+            (F.lit(1) + ok % 4).cast("int").alias("job_satisfaction"),
+            F.when(ok % 61 == 0, F.lit(0)).otherwise(F.lit(1) + (ok + ck) % 4).cast("int")
+             .alias("environment_satisfaction"),
+            (F.lit(1) + ck % 4).cast("int").alias("work_life_balance"),
+            F.when(ok % 101 == 0, F.lit(55)).otherwise(F.lit(11) + ok % 15).cast("int").alias("percent_salary_hike"))
+
+
 # The calendar range that covers every fixture review date.
 FIXTURE_START = "1994-01-01"
 FIXTURE_END = "2002-12-31"
