@@ -94,6 +94,19 @@ FROM supplier""",
        CAST(1+o_custkey%4 AS INT) work_life_balance,
        CAST(CASE WHEN o_orderkey%101=0 THEN 55 ELSE 11+o_orderkey%15 END AS INT) percent_salary_hike
 FROM orders""",
+    # staging tables (the snapshot is fx_stg_employee_dirty)
+    "fx_stg_history": """SELECT h.employee_id,
+       concat(CASE WHEN h.employee_id%40=4 THEN ' ' ELSE '' END, d.department_name) department, h.job_role,
+       h.job_level, h.monthly_income, h.effective_start, CAST(NULL AS DATE) effective_end, h.change_reason
+FROM fx_history h JOIN fx_department d ON d.department_id=h.department_id""",
+    "fx_stg_project": """SELECT p.project_id, p.project_name, d.department_name department, p.status, p.priority,
+       CAST((p.project_id%100)*1000 AS DECIMAL(12,2)) budget,
+       CAST(DATE '1995-01-01' + CAST(p.project_id%365 AS INT) AS DATE) start_date, CAST(NULL AS DATE) end_date
+FROM fx_project p JOIN fx_department d ON d.department_id=p.department_id""",
+    "fx_stg_assignment": """SELECT employee_id, project_id,
+       CASE WHEN seq%3=0 THEN 'Contributor' WHEN seq%3=1 THEN 'Lead' ELSE 'Reviewer' END role_on_project,
+       allocation_pct, start_date, CASE WHEN seq%4=0 THEN CAST(start_date + 90 AS DATE) END end_date, seq
+FROM fx_assignment""",
     # expected warehouse, business keys only
     "o_dim_employee": """SELECT t.employee_id, t.effective_start start_date,
        coalesce(CAST(t.next_start - INTERVAL 1 DAY AS DATE), DATE '9999-12-31') end_date,

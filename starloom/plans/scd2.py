@@ -25,6 +25,9 @@ TYPE1 = ["end_date", "is_current", "full_name", "age", "marital_status", "attrit
 INSERT_ONLY = ["gender", "education_level", "education_field", "hire_date", "department_name",
                "job_role", "job_level", "monthly_income", "change_reason"]
 
+# Employee attributes carried into the dimension.
+EMPLOYEE_ATTRS = ["full_name", "gender", "age", "marital_status", "education_level", "education_field",
+                  "hire_date", "attrition", "over_time"]
 # employee column -> dimension column
 _RENAMES = {"attrition": "attrition_flag", "over_time": "over_time_flag"}
 
@@ -47,9 +50,7 @@ def timeline(history: DataFrame, employees: DataFrame, departments: DataFrame,
         t = t.join(jr, "job_role_id", "inner")
     d = bounded_broadcast(departments.select("department_id", "department_name"))
     t = t.join(d, "department_id", "inner")
-    emp_cols = [c for c in employees.columns if c not in ("department_id", "job_role_id", "job_level",
-                                                          "monthly_income", "job_role", "email",
-                                                          "home_nation")]
+    emp_cols = ["employee_id"] + [c for c in EMPLOYEE_ATTRS if c in employees.columns]
     e = employees.select(*[F.col(c).alias(_RENAMES.get(c, c)) for c in emp_cols])
     t = t.join(e, "employee_id", "inner")
     keep = ["employee_id", "start_date", "end_date", "is_current"]

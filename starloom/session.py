@@ -57,3 +57,10 @@ def utc(spark: SparkSession) -> SparkSession:
     """Dates in the test tables are midnight timestamps; read them in UTC."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark
+
+
+def materialize(df):
+    """Compute ``df`` once and cut its lineage with a reliable checkpoint in
+    the session's shared checkpoint folder (survives executor loss)."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

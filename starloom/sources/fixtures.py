@@ -213,6 +213,43 @@ class Fixture:
             F.when(ok % 101 == 0, F.lit(55)).otherwise(F.lit(11) + ok % 15).cast("int").alias("percent_salary_hike"))
 
 
+    # -- staging tables --------------------------------------------------------
+    def stg_history(self) -> DataFrame:
+        h = self.history()
+        d = self.department()
+        j = h.join(d, "department_id", "inner")
+        return j.select(
+            "employee_id",
+            F.concat(F.when(F.col("employee_id") % 40 == 4, " ").otherwise(""), F.col("department_name"))
+             .alias("department"),
+            "job_role", "job_level", "monthly_income", "effective_start",
+            F.lit(None).cast("date").alias("effective_end"), "change_reason")
+
+    def stg_project(self) -> DataFrame:
+        p = self.project()
+        d = self.department()
+        k = F.col("project_id")
+        return p.join(d, "department_id", "inner").select(
+            "project_id", "project_name", F.col("department_name").alias("department"), "status", "priority",
+            ((k % 100) * 1000).cast("decimal(12,2)").alias("budget"),
+            F.date_add(F.lit("1995-01-01").cast("date"), (k % 365).cast("int")).alias("start_date"),
+            F.lit(None).cast("date").alias("end_date"))
+
+    def stg_assignment(self) -> DataFrame:
+        a = self.assignment()
+        q = F.col("seq")
+        return a.select(
+            "employee_id", "project_id",
+            F.when(q % 3 == 0, "Contributor").when(q % 3 == 1, "Lead").otherwise("Reviewer").alias("role_on_project"),
+            "allocation_pct", "start_date",
+            F.when(q % 4 == 0, F.date_add("start_date", 90)).alias("end_date"), "seq")
+
+    def staging(self):
+        from ..plans.core_load import Staging
+        return Staging(snapshot=self.stg_employee_dirty(), history=self.stg_history(), projects=self.stg_project(),
+                       assignments=self.stg_assignment(), reviews=self.review())
+
+
 # The calendar range that covers every fixture review date.
 FIXTURE_START = "1994-01-01"
 FIXTURE_END = "2002-12-31"
