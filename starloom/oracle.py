@@ -139,10 +139,14 @@ UNION ALL SELECT 0, 'No project', NULL, 'n/a', NULL""",
 
 
 def with_fx(body: str) -> str:
-    """Prepend the fixture CTEs; a body starting with ',' adds its own CTEs."""
+    """Prepend the fixture CTEs; a body starting with ',' adds its own CTEs
+    (a body starting with 'RECURSIVE ,' makes the list recursive)."""
     ctes = ",\n".join(f"{k} AS (\n{v}\n)" for k, v in FX.items())
     b = body.lstrip()
-    return f"WITH {ctes}{b}" if b.startswith(",") else f"WITH {ctes}\n{b}"
+    head = "WITH"
+    if b.startswith("RECURSIVE"):
+        head, b = "WITH RECURSIVE", b[len("RECURSIVE"):].lstrip()
+    return f"{head} {ctes}{b}" if b.startswith(",") else f"{head} {ctes}\n{b}"
 
 
 # -- integer-exact rounding recipes (n = row count, s = integer sum) ----------
