@@ -20,7 +20,7 @@ def _scratch(spark) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/{uuid.uuid4().hex}"
 
 
-@query("stream_dedup_reviews", "SELECT DISTINCT user_id, event_type, CAST(ts AS DATE) day FROM events")
+@query("stream_dedup_reviews", "SELECT DISTINCT user_id, event_type, CAST(ts AS DATE) AS \"day\" FROM events")
 def stream_dedup_reviews(spark, sf):
     """Events stream (one row per user, type and day kept) with a 1-day
     lateness bound."""
