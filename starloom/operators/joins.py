@@ -16,19 +16,25 @@ MAX_BROADCAST_ROWS = 1_000_000
 
 
 def bounded_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS,
-                      known_rows: int | None = None) -> DataFrame:
-    """Broadcast hint only when the frame provably has at most ``max_rows`` rows.
-
-    ``known_rows`` is a bound known by construction (e.g. days in a calendar);
-    otherwise the bound is checked with a ``limit(max_rows + 1).count()``,
-    which stops reading after ``max_rows + 1`` rows.  Beyond the bound the
-    frame is returned unchanged and the join falls back to a shuffle join.
+                      known_rows: int | None = None, check: bool = False) -> DataFrame:
+    """Broadcast only with a size bound.
+
+    * ``known_rows``: a bound known by construction (days in a calendar) --
+      hinted when it is within ``max_rows``.
+    * ``check=True``: the bound is proven with ``limit(max_rows + 1).count()``
+      (stops reading after ``max_rows + 1`` rows) and hinted if it holds.
+    * otherwise no hint: Spark's own size check decides -- the planner
+      broadcasts a side whose estimated size is under
+      ``spark.sql.autoBroadcastJoinThreshold`` and AQE re-checks the real
+      size after each shuffle -- and beyond it the join stays a sort-merge
+      join.  This costs no extra job.
     """
     if known_rows is not None:
-        n = known_rows
-    else:
+        return F.broadcast(df) if known_rows <= max_rows else df
+    if check:
         n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+        return F.broadcast(df) if n <= max_rows else df
+    return df
 
 
 def _on(keys) -> list[str]:

@@ -8,21 +8,22 @@ from .model import Core, Warehouse
 
 
 def run_full(spark: SparkSession, core: Core, start=dims.DEFAULT_START, end=dims.DEFAULT_END,
-             dw: Warehouse | None = None, materialize_dims: bool = True) -> Warehouse:
-    """Frames of the next warehouse state (publish them with the store).
+             dw: Warehouse | None = None, keep=None) -> Warehouse:
+    """Frames of the next warehouse state.
 
-    With ``materialize_dims`` every dimension is computed once and
-    checkpointed to the shared checkpoint folder before the fact load reads
-    it (the dimensions are joined several times and published anyway); the
-    fact stays lazy so the caller can write it straight to its table."""
+    Every dimension is handed to ``keep(name, df) -> df`` as soon as it is
+    built; the default writes it once to the shared checkpoint folder, a
+    publisher passes a function that stages it as the next table version.
+    Later steps read the kept table, never its lineage.  The fact stays lazy
+    so the caller writes it straight to its table."""
     from ..session import materialize
-    keep = materialize if materialize_dims else (lambda d: d)
-    dd = keep(dims.dim_date(spark, start, end, dw.dim_date if dw else None))
+    keep = keep or (lambda name, d: materialize(d))
+    dd = keep("dim_date", dims.dim_date(spark, start, end, dw.dim_date if dw else None))
     cal = dims.calendar_rows(start, end) if dw is None else None
-    dep = keep(dims.dim_department(core.departments, dw.dim_department if dw else None))
-    prj = keep(dims.dim_project(core.projects, core.departments, dw.dim_project if dw else None))
-    emp = keep(scd2.scd2_refresh(core.history, core.employees, core.departments,
-                                 dw.dim_employee if dw else None, core.job_roles))
+    dep = keep("dim_department", dims.dim_department(core.departments, dw.dim_department if dw else None))
+    prj = keep("dim_project", dims.dim_project(core.projects, core.departments, dw.dim_project if dw else None))
+    emp = keep("dim_employee", scd2.scd2_refresh(core.history, core.employees, core.departments,
+                                                 dw.dim_employee if dw else None, core.job_roles))
     add = factmod.load_fact(core.reviews, emp, dep, dd, prj, dw.fact if dw else None, cal)
     fct = add if dw is None else dw.fact.unionByName(add)
     return Warehouse(dd, dep, prj, emp, fct)

@@ -60,7 +60,13 @@ def utc(spark: SparkSession) -> SparkSession:
 
 
 def materialize(df):
-    """Compute ``df`` once and cut its lineage with a reliable checkpoint in
-    the session's shared checkpoint folder (survives executor loss)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Compute ``df`` once and cut its lineage: it is written as a parquet
+    table in the session's shared checkpoint folder and read back (one job;
+    survives executor loss, and later scans get column pruning and
+    predicate pushdown)."""
+    import uuid
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
