@@ -174,9 +174,11 @@ def list_projects(core: Core, open_only: bool = True) -> DataFrame:
 
 
 def employee_profile(core: Core, employee_id: int) -> DataFrame:
+    """Current row of one employee with department and role names."""
+    from ..functions.text import full_name
     e = core.employees.filter(F.col("employee_id") == F.lit(employee_id))
     d = core.departments.select("department_id", "department_name")
-    out = e.join(d, "department_id", "inner")
-    if core.job_roles is not None and "job_role_id" in e.columns:
-        out = out.join(core.job_roles.select("job_role_id", "job_title"), "job_role_id", "inner")
-    return out
+    r = core.job_roles.select("job_role_id", "job_title")
+    out = e.join(d, "department_id", "inner").join(r, "job_role_id", "inner")
+    return out.select("employee_id", full_name("first_name", "last_name").alias("full_name"), "email", "hire_date",
+                      "department_id", "department_name", "job_role_id", "job_title", "job_level", "monthly_income")

@@ -139,23 +139,38 @@ class LoadRejected(Exception):
     pass
 
 
-def core_gate(core: Core) -> DataFrame:
-    """Key constraints of the core as one report (unique keys and the FKs
-    that the inner lookups do not already guarantee)."""
-    reps = [check_unique(core.departments, "departments", ["department_name"])[0],
-            check_unique(core.job_roles, "job_roles", ["job_title"])[0],
-            check_unique(core.employees, "employees", ["employee_id"])[0],
-            check_unique(core.employees, "employees", ["email"])[0],
-            check_unique(core.history, "employee_job_history", ["employee_id", "effective_start"])[0],
-            check_unique(core.projects, "projects", ["project_id"])[0],
-            check_unique(core.projects, "projects", ["project_name"])[0],
-            check_unique(core.assignments, "project_assignments", ["employee_id", "project_id"])[0],
-            check_unique(core.reviews, "performance_reviews", ["review_id"])[0],
-            check_unique(core.reviews, "performance_reviews", ["employee_id", "review_date"])[0],
-            check_fk(core.reviews, core.projects, "performance_reviews", ["project_id"])[0]]
+def core_gate(added: Core, previous: Core | None = None) -> DataFrame:
+    """Key constraints the load does not already guarantee, as one report.
+
+    Only the rows this load adds are checked: duplicates among them, and
+    collisions of their keys with the previous core (a semi join on one key
+    column).  Existing rows were checked when they were loaded, so the gate
+    never re-aggregates a whole table.  Keys unique by construction (cleaned
+    names + DISTINCT, latest row per employee, one review per employee-day,
+    and every key the loads anti-join on) are not re-checked."""
+    a = added
+    reps = [check_unique(a.employees, "employees", ["email"])[0],
+            check_unique(a.history, "employee_job_history", ["employee_id", "effective_start"])[0],
+            check_unique(a.projects, "projects", ["project_id"])[0],
+            check_unique(a.projects, "projects", ["project_name"])[0],
+            check_unique(a.assignments, "project_assignments", ["employee_id", "project_id"])[0],
+            check_unique(a.reviews, "performance_reviews", ["review_id"])[0]]
+    projects = a.projects if previous is None else previous.projects.unionByName(a.projects)
+    reps.append(check_fk(a.reviews, projects, "performance_reviews", ["project_id"])[0])
+    if previous is not None:
+        reps += [_collisions(a.employees, previous.employees, "employees", ["email"]),
+                 _collisions(a.projects, previous.projects, "projects", ["project_name"]),
+                 _collisions(a.reviews, previous.reviews, "performance_reviews", ["review_id"])]
     return stack_reports(reps)
 
 
+def _collisions(new: DataFrame, old: DataFrame, table: str, keys) -> DataFrame:
+    hit = new.join(old.select(*keys).distinct(), list(keys), "left_semi")
+    return hit.agg(F.count(F.lit(1)).alias("n")).select(
+        F.lit("unique").alias("constraint"), F.lit(table).alias("table_name"), F.lit(",".join(keys)).alias("columns"),
+        F.col("n").cast("bigint").alias("n_violations"))
+
+
 def run_core_load(stg: Staging, core: Core | None = None, gate: bool = True,
                   materialize_tables: bool = True) -> Core:
     """All seven loads; returns the next core (existing rows + new rows).
@@ -181,12 +196,22 @@ def run_core_load(stg: Staging, core: Core | None = None, gate: bool = True,
         projects=prj,
         assignments=asg_new if core is None else core.assignments.unionByName(asg_new),
         reviews=rev_new if core is None else core.reviews.unionByName(rev_new))
+    added = Core(departments=dep, job_roles=rol, employees=emp_new, history=his_new, projects=prj_new,
+                 assignments=asg_new, reviews=rev_new)
     if materialize_tables:
-        nxt = nxt.with_(employees=materialize(nxt.employees), history=materialize(nxt.history),
-                        projects=materialize(nxt.projects), assignments=materialize(nxt.assignments),
-                        reviews=materialize(nxt.reviews))
+        added = added.with_(employees=materialize(emp_new), history=materialize(his_new),
+                            projects=materialize(prj_new), assignments=materialize(asg_new),
+                            reviews=materialize(rev_new))
+        nxt = Core(departments=dep, job_roles=rol,
+                   employees=added.employees if core is None else core.employees.unionByName(added.employees),
+                   history=added.history if core is None else core.history.unionByName(added.history),
+                   projects=added.projects if core is None else core.projects.unionByName(added.projects),
+                   assignments=added.assignments if core is None
+                   else core.assignments.unionByName(added.assignments),
+                   reviews=added.reviews if core is None else core.reviews.unionByName(added.reviews))
     if gate:
-        bad = core_gate(nxt).filter(F.col("n_violations") > 0).collect()  # small report
+        report = core_gate(added, core)
+        bad = report.filter(F.col("n_violations") > 0).collect()  # small report
         if bad:
             raise LoadRejected("; ".join(f"{r['constraint']} {r['table_name']}({r['columns']}): {r['n_violations']}"
                                          for r in bad))

@@ -483,3 +483,26 @@ def key_surrogate(spark, sf):
     """AUTO_INCREMENT-style keys for the job roles (distributed numbering)."""
     roles = fx(spark, sf)._t("customer").select(F.col("c_mktsegment").alias("job_role")).distinct()
     return S.assign_keys(roles, None, ["job_role"], "job_role_id")
+
+
+@query("join_map_lookup", """
+SELECT h.employee_id, h.effective_start, d.department_name FROM fx_history h
+JOIN fx_department d ON d.department_id = h.department_id""")
+def join_map_lookup(spark, sf):
+    """Code -> label lookup built from a frame (department id -> name)."""
+    f = fx(spark, sf)
+    return J.lookup(f.history(), f.department(), "department_id", "department_id", ["department_name"]) \
+        .select("employee_id", "effective_start", "department_name")
+
+
+@query("join_cross_numbers", """
+SELECT CAST(n AS BIGINT) n, CAST(lo + CAST(n AS INT) AS DATE) day
+FROM (SELECT min(review_date) lo, max(review_date) hi FROM fx_review) b,
+     range(0, (SELECT date_diff('day', min(review_date), max(review_date)) + 1 FROM fx_review)) t(n)""")
+def join_cross_numbers(spark, sf):
+    """Numbers 0..days-1 (spark.range, not a cross join of digit tables) turned
+    into every day between the first and last review."""
+    r = fx(spark, sf).review()
+    b = r.agg(F.min("review_date").alias("lo"), F.max("review_date").alias("hi")).first()  # one bounds row
+    n = (b["hi"] - b["lo"]).days + 1
+    return J.numbers(spark, n).select("n", F.date_add(F.lit(b["lo"]), F.col("n").cast("int")).alias("day"))

@@ -5,9 +5,9 @@
 * :func:`start_fact_stream` appends reviews to the fact table.  Window and
   anti-join logic is not allowed on a stream directly, so every micro-batch
   runs the batch fact load in ``foreachBatch`` against the fact written so
-  far.  Each batch writes only its own folder ``batch_id=<n>`` (overwrite),
-  and reads the fact *below* its own id, so a retried batch reproduces the
-  same rows: re-delivery adds nothing.  Reviews that cannot be resolved yet
+  far.  Each batch writes only its own folder ``batch=<feed>-<n>`` (overwrite),
+  and anti-joins against every other folder, so a retried batch reproduces
+  the same rows and re-delivery adds nothing.  Reviews that cannot be resolved yet
   (no employee version on their date) are kept in ``pending`` and retried by
   every later batch.
 * :func:`start_scd2_stream` applies a job-history change feed to the Type 2
@@ -71,24 +71,46 @@ def _write_batch(df: DataFrame, path: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
 
+def _tagged(schema: T.StructType) -> T.StructType:
+    fields = [f for f in schema.fields if f.name != "batch"]
+    return T.StructType(fields + [T.StructField("batch", T.StringType())])
+
+
 def start_fact_stream(spark: SparkSession, reviews: DataFrame, dims: dict, out_dir: str,
                       checkpoint: str, trigger_available_now: bool = True) -> StreamingQuery:
     """``reviews`` is a streaming DataFrame; ``dims`` holds dim_employee,
-    dim_department, dim_date, dim_project (batch frames)."""
+    dim_department, dim_date, dim_project (batch frames).
+
+    Output folders are ``batch=<feed>-<n>`` where ``feed`` is derived from
+    the checkpoint path: a retried batch overwrites exactly its own folder,
+    and every batch anti-joins against all *other* folders -- so a retry
+    reproduces its rows and a re-delivery under a new checkpoint adds none."""
+    import hashlib
+
+    from ..sources.staging import _exists
     fact_path, pending_path = f"{out_dir}/fact", f"{out_dir}/pending"
+    feed = hashlib.sha1(checkpoint.encode()).hexdigest()[:12]
     d = (dims["dim_employee"], dims["dim_department"], dims["dim_date"], dims["dim_project"])
 
+    def tag(n: int) -> str:
+        return f"{feed}-{n:012d}"
+
     def run(batch: DataFrame, batch_id: int) -> None:
         fact_schema = factmod.load_fact(batch.limit(0), *d).schema
-        done = _batches_below(spark, fact_path, batch_id, fact_schema)
-        pend = _latest_batch(spark, pending_path, batch_id, batch.schema)
-        cand = batch if pend is None else batch.unionByName(pend)
+        if _exists(spark, fact_path):
+            done = spark.read.schema(_tagged(fact_schema)).parquet(fact_path) \
+                .filter(F.col("batch") != tag(batch_id)).drop("batch")
+        else:
+            done = spark.createDataFrame([], fact_schema)
+        cand = batch
+        if batch_id > 0 and _exists(spark, f"{pending_path}/batch={tag(batch_id - 1)}"):
+            cand = batch.unionByName(spark.read.schema(batch.schema).parquet(f"{pending_path}/batch={tag(batch_id - 1)}"))
         new = factmod.load_fact(cand, *d, fact=done)
-        _write_batch(new, fact_path, batch_id)
+        new.write.mode("overwrite").parquet(f"{fact_path}/batch={tag(batch_id)}")
         # still unresolved -> pending (minus what this batch loaded)
-        loaded = spark.read.parquet(f"{fact_path}/batch_id={batch_id}").select("review_id")
+        loaded = spark.read.parquet(f"{fact_path}/batch={tag(batch_id)}").select("review_id")
         waiting = factmod.new_reviews(cand, done).join(loaded, "review_id", "left_anti")
-        _write_batch(waiting.select(*batch.columns), pending_path, batch_id)
+        waiting.select(*batch.columns).write.mode("overwrite").parquet(f"{pending_path}/batch={tag(batch_id)}")
 
     w = reviews.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if trigger_available_now else w
@@ -96,7 +118,7 @@ def start_fact_stream(spark: SparkSession, reviews: DataFrame, dims: dict, out_d
 
 
 def read_fact(spark: SparkSession, out_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{out_dir}/fact").drop("batch_id")
+    return spark.read.parquet(f"{out_dir}/fact").drop("batch")
 
 
 def start_scd2_stream(spark: SparkSession, history: DataFrame, employees: DataFrame, departments: DataFrame,
