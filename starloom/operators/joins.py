@@ -44,9 +44,9 @@ def _on(keys) -> list[str]:
 def lookup(df: DataFrame, lkp: DataFrame, left_on: str | Column, right_on: str,
            take: Sequence[str], max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """Resolve a text/business key to lookup columns; unmatched rows drop out."""
-    small = bounded_broadcast(lkp.select(right_on, *take), max_rows)
+    small = bounded_broadcast(lkp.select(F.col(right_on).alias("_lk_key"), *take), max_rows)
     lc = F.col(left_on) if isinstance(left_on, str) else left_on
-    return df.join(small, lc == small[right_on], "inner").drop(small[right_on])
+    return df.join(small, lc == F.col("_lk_key"), "inner").drop("_lk_key")
 
 
 def star(fact: DataFrame, dims: Sequence[tuple[DataFrame, str]]) -> DataFrame:

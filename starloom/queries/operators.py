@@ -496,7 +496,7 @@ def join_map_lookup(spark, sf):
 
 
 @query("join_cross_numbers", """
-SELECT CAST(n AS BIGINT) n, CAST(lo + CAST(n AS INT) AS DATE) day
+SELECT CAST(n AS BIGINT) n, CAST(lo + CAST(n AS INT) AS DATE) calendar_day
 FROM (SELECT min(review_date) lo, max(review_date) hi FROM fx_review) b,
      range(0, (SELECT date_diff('day', min(review_date), max(review_date)) + 1 FROM fx_review)) t(n)""")
 def join_cross_numbers(spark, sf):
@@ -505,4 +505,4 @@ def join_cross_numbers(spark, sf):
     r = fx(spark, sf).review()
     b = r.agg(F.min("review_date").alias("lo"), F.max("review_date").alias("hi")).first()  # one bounds row
     n = (b["hi"] - b["lo"]).days + 1
-    return J.numbers(spark, n).select("n", F.date_add(F.lit(b["lo"]), F.col("n").cast("int")).alias("day"))
+    return J.numbers(spark, n).select("n", F.date_add(F.lit(b["lo"]), F.col("n").cast("int")).alias("calendar_day"))
