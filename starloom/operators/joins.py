@@ -137,13 +137,27 @@ def overwrite(target: DataFrame, source: DataFrame, keys, cols: Sequence[str],
 def first_covering(events: DataFrame, intervals: DataFrame, key: str, at: str,
                    event_id: str, seq: str, value: str, start: str = "start_date",
                    end: str = "end_date") -> DataFrame:
-    """For each event, ``value`` of the first interval (by ``seq``) of the same
-    key that covers the event date (open end allowed); NULL when none."""
-    iv = intervals.select(F.col(key).alias("_ik"), F.col(start).alias("_is"),
-                          (F.col(end) if end in intervals.columns else F.lit(None).cast("date")).alias("_ie"),
-                          F.col(seq).alias("_seq"), F.col(value).alias("_val"))
-    cond = ((events[key] == iv["_ik"]) & (iv["_is"] <= events[at])
-            & (iv["_ie"].isNull() | (events[at] <= iv["_ie"])))
-    j = events.select(event_id, key, at).join(iv, cond, "left")
-    best = j.groupBy(event_id).agg(F.min_by("_val", F.struct("_seq", "_val")).alias(value))
-    return events.join(best, event_id, "left")
+    """For each event, ``value`` of the first interval (by ``seq``, then by
+    ``value``) of the same key that covers the event date (open end
+    allowed); NULL when none.
+
+    Pair-free sweep line: interval starts and events of one key are sorted
+    together by (date, starts first) and streamed through a min-heap of
+    started intervals; an interval whose end has passed is discarded when it
+    reaches the top (dates only grow).  Work is O((events + intervals) log
+    intervals) per key and memory holds only started intervals -- never the
+    events x intervals pairs of a range join."""
+    from ..plans.changes import sweep_first_covering
+    ek = events.select(F.col(event_id).alias("eid"), F.col(key).alias("k"), F.col(at).alias("d"))
+    iv = intervals.select(
+        F.col(key).alias("k"), F.col(start).alias("d"),
+        (F.col(end) if end in intervals.columns else F.lit(None).cast("date")).alias("iend"),
+        F.col(seq).cast("long").alias("iseq"), F.col(value).cast("long").alias("ival"))
+    ev = ek.select("k", "d", F.lit(1).alias("kind"), "eid", F.lit(None).cast("date").alias("iend"),
+                   F.lit(None).cast("long").alias("iseq"), F.lit(None).cast("long").alias("ival"))
+    st = iv.select("k", "d", F.lit(0).alias("kind"), F.lit(None).cast(ek.schema["eid"].dataType).alias("eid"),
+                   "iend", "iseq", "ival")
+    best = sweep_first_covering(st.unionByName(ev), ek.schema["eid"].dataType)
+    out = events.join(best.withColumnRenamed("eid", event_id), event_id, "left")
+    return out.withColumnRenamed("_first_value", value) if value not in events.columns else \
+        out.drop(value).withColumnRenamed("_first_value", value)

@@ -294,3 +294,40 @@ def apply_assignments(core: Core, changes: DataFrame, cap: int = 100) -> tuple[C
     new = acc.select(*[(F.col(c) if c in acc.columns else F.lit(None)).cast(core.assignments.schema[c].dataType)
                        .alias(c) for c in cols])
     return core.with_(assignments=core.assignments.unionByName(new)), acc, rej
+
+
+def sweep_first_covering(stream: DataFrame, eid_type) -> DataFrame:
+    """Sweep-line fold used by ``operators.joins.first_covering``.
+
+    ``stream`` rows: (k, d, kind, eid, iend, iseq, ival) with kind 0 =
+    interval start and kind 1 = event; per key, sorted by (d, kind) so an
+    interval starting on the event day covers it.  Emits (eid,
+    _first_value) for every event."""
+    import heapq
+
+    n = int(stream.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = stream.repartition(n, "k").sortWithinPartitions("k", "d", "kind", "iseq", "ival")
+    schema = T.StructType([T.StructField("eid", eid_type), T.StructField("_first_value", T.LongType())])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last_key, heap = object(), []
+        for pdf in batches:
+            out_e, out_v = [], []
+            for k, d, kind, eid, iend, iseq, ival in zip(pdf["k"], pdf["d"], pdf["kind"], pdf["eid"],
+                                                         pdf["iend"], pdf["iseq"], pdf["ival"]):
+                if k != last_key:
+                    last_key, heap = k, []
+                if kind == 0:
+                    if _none(d) is not None:  # an interval without a start covers nothing
+                        heapq.heappush(heap, (int(iseq), int(ival), _none(iend)))
+                    continue
+                if _none(d) is None:
+                    out_e.append(eid)
+                    out_v.append(None)
+                    continue
+                while heap and heap[0][2] is not None and heap[0][2] < d:
+                    heapq.heappop(heap)
+                out_e.append(eid)
+                out_v.append(heap[0][1] if heap else None)
+            yield pd.DataFrame({"eid": out_e, "_first_value": pd.array(out_v, dtype="Int64")})
+    return ordered.mapInPandas(run, schema)
