@@ -81,13 +81,29 @@ def lookup_or(df: DataFrame, lkp: DataFrame, on: str, key_col: str, default=-1,
 
 
 def asof(events: DataFrame, versions: DataFrame, key: str, at: str,
-         start: str = "start_date", end: str = "end_date") -> DataFrame:
+         start: str = "start_date", end: str = "end_date", bucket_by_year: bool = True) -> DataFrame:
     """Each event with the version valid on its date (inner: events outside
-    every version drop out).  Equi key plus range residual: a sort-merge (or
-    broadcast) join on ``key``; AQE splits a hot key's event partition."""
-    v = versions.withColumnRenamed(key, "_v_key")
-    j = events.join(v, (events[key] == v["_v_key"]) & events[at].between(v[start], v[end]), "inner")
-    return j.drop("_v_key")
+    every version drop out).
+
+    Bucketed interval join: every version is repeated for each calendar year
+    it overlaps (capped to the events' year range, read as two scalar
+    subqueries) and the join key is (key, year) plus the date residual.  An
+    event is compared only with the versions overlapping its own year --
+    not with every version of its key -- and a hot key is spread over its
+    years (AQE can still split a hot (key, year) partition)."""
+    if not bucket_by_year:
+        v = versions.withColumnRenamed(key, "_v_key")
+        j = events.join(v, (events[key] == v["_v_key"]) & events[at].between(v[start], v[end]), "inner")
+        return j.drop("_v_key")
+    yrs = events.agg(F.min(F.year(at)).alias("lo"), F.max(F.year(at)).alias("hi"))
+    lo, hi = yrs.select("lo").scalar(), yrs.select("hi").scalar()
+    y0 = F.greatest(F.year(start), lo)
+    y1 = F.least(F.year(end), hi)
+    years = F.when(y0 <= y1, F.sequence(y0, y1)).otherwise(F.array().cast("array<int>"))
+    v = versions.withColumnRenamed(key, "_v_key").withColumn("_v_year", F.explode(years))
+    e = events.withColumn("_e_year", F.year(at))
+    cond = (e[key] == v["_v_key"]) & (e["_e_year"] == v["_v_year"]) & e[at].between(v[start], v[end])
+    return e.join(v, cond, "inner").drop("_v_key", "_v_year", "_e_year")
 
 
 def asof_window(events: DataFrame, versions: DataFrame, key: str, at: str,
