@@ -1,8 +1,6 @@
 """Scaling queries."""
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ..plans import scale as SC
 from ..registry import query
 from ..sources.fixtures import Fixture
@@ -51,5 +49,3 @@ def bootstrap_scale_up(spark, sf):
     out = SC.scale_up(base, "employee_id", 3)
     return out.select("employee_id", "source_employee_id", *COLS)
 
-
-_ = F

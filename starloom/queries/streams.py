@@ -7,7 +7,6 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..plans import scd2
 from ..registry import query
 from ..session import ensure_checkpoint_dir, materialize
 from ..sources.fixtures import Fixture, fixture_core, fixture_warehouse
@@ -68,5 +67,3 @@ def stream_scd2_apply(spark, sf):
     q.awaitTermination()
     return feeds.read_latest_dim(spark, f"{base}/out").select(*EMP_COLS)
 
-
-_ = scd2

@@ -5,7 +5,6 @@ import os
 from typing import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from .. import schemas
 
@@ -75,5 +74,3 @@ def run_sql(spark: SparkSession, sql: str, args: dict | None = None, **frames: D
 def empty_like(spark: SparkSession, schema) -> DataFrame:
     return spark.createDataFrame([], schema)
 
-
-_ = F
