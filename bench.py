@@ -41,7 +41,8 @@ def timed(fn):
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    spark = local_session(cpus, shuffle_partitions=int(cpus) * 2, app="starloom-bench")
+    n = int(cpus) if cpus.isdigit() else (os.cpu_count() or 8)
+    spark = local_session(cpus if cpus.isdigit() else "*", shuffle_partitions=n * 2, app="starloom-bench")
     scratch = tempfile.mkdtemp(prefix="starloom-bench-")
     store = Store(spark, f"{scratch}/dw")
     q: dict[str, float] = {}

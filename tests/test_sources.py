@@ -76,3 +76,16 @@ def test_insert_ignore_and_params(spark):
     assert [(r.k, r.v) for r in out] == [(2, "y")]
     r = ST.run_sql(spark, "SELECT count(*) n FROM {t} WHERE k >= :lo", {"lo": 2}, t=b).first()
     assert r.n == 2
+
+
+def test_init_warehouse_recreates_empty_tables_with_seed(spark):
+    from pyspark.sql import types as T
+    from starloom.plans.dims import UNKNOWN_PROJECT
+    s = Store(spark, os.path.join(_tmp(), "dw"))
+    s.publish({"dim_project": spark.range(3).selectExpr("id AS project_key", "id AS project_id")})
+    schema = T.StructType([T.StructField("project_key", T.LongType()), T.StructField("project_id", T.LongType())])
+    seed = spark.createDataFrame([(UNKNOWN_PROJECT["project_key"], UNKNOWN_PROJECT["project_id"])], schema)
+    s.init_warehouse({"dim_project": schema, "fact": schema}, {"dim_project": seed})
+    fresh = Store(spark, s.base)
+    assert [tuple(r) for r in fresh.read("dim_project").collect()] == [(-1, 0)]
+    assert fresh.read("fact").count() == 0
