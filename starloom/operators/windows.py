@@ -59,15 +59,19 @@ def global_positions(df: DataFrame, order: Sequence[str], descending=False,
     The frame is range-partitioned on the order columns and sorted inside each
     partition; ``monotonically_increasing_id`` then carries (partition, row)
     and the per-partition counts -- one row per partition -- give each
-    partition its offset.  Give a total order (add a unique tie-break column)
-    when positions must be stable across task retries.
+    partition its offset.  The tagged rows are written once (shared
+    checkpoint folder), so the counts and the rows agree even when the input
+    is recomputed in another order.  Give a total order (add a unique
+    tie-break column) when positions must be reproducible run to run.
     """
+    from ..session import materialize
     oc = _sort_cols(order, descending)
     n = int(partitions or df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(n, *oc).sortWithinPartitions(*oc)
-    tagged = (ranged.withColumn("_mid", F.monotonically_increasing_id())
-              .withColumn("_pid", F.shiftright("_mid", 33))
-              .withColumn("_local", F.col("_mid") - F.shiftleft(F.col("_pid"), 33) + 1))
+    # written once so the counts and the rows come from the same partitioning
+    tagged = materialize(ranged.withColumn("_mid", F.monotonically_increasing_id())
+                         .withColumn("_pid", F.shiftright("_mid", 33))
+                         .withColumn("_local", F.col("_mid") - F.shiftleft(F.col("_pid"), 33) + 1))
     counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
     # one row per partition: bounded by the partition count
     offsets = counts.select(
@@ -91,3 +95,35 @@ def with_row_number(df: DataFrame, order: Sequence[str], descending=False,
                     alias: str = "row_number", partitions: int | None = None) -> DataFrame:
     """Global ROW_NUMBER() (order should be total)."""
     return global_positions(df, order, descending, alias, partitions)
+
+
+def keyed_lead(df: DataFrame, key: str, order: str, col: str, alias: str,
+               partitions: int | None = None) -> DataFrame:
+    """``lead(col) OVER (PARTITION BY key ORDER BY order)`` that splits hot keys.
+
+    A plain window sends every row of one key to one task.  Here the frame
+    is range-partitioned on (key, order) -- a key with many rows spans
+    several partitions -- and sorted; the next row is taken inside each
+    partition, and the last row of a partition takes the first row of the
+    next non-empty partition (a table of one row per partition, broadcast)
+    when it has the same key.  The tagged rows are written once (shared
+    checkpoint folder) so both steps read identical partitions.  (key,
+    order) should be unique for a stable result, as for any lead.
+    """
+    from ..session import materialize
+    n = int(partitions or df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(n, key, order).sortWithinPartitions(key, order)
+    # positions are taken once and written: both branches below must see the
+    # same partitioning, whatever the input's row order on a recomputation
+    t = materialize(ranged.withColumn("_mid", F.monotonically_increasing_id())
+                    .withColumn("_pid", F.shiftright("_mid", 33)))
+    w = Window.partitionBy("_pid").orderBy("_mid")
+    t = t.withColumn("_nk", F.lead(key).over(w)).withColumn("_nv", F.lead(col).over(w))
+    firsts = t.groupBy("_pid").agg(F.min_by(F.struct(F.col(key).alias("k"), F.col(col).alias("v")), "_mid")
+                                   .alias("_f"))
+    # one row per partition: bounded by the partition count
+    nxt = firsts.select("_pid", F.lead("_f").over(Window.orderBy("_pid")).alias("_nf"))
+    t = t.join(F.broadcast(nxt), "_pid", "left")
+    value = (F.when(F.col("_nk").isNotNull(), F.when(F.col("_nk") == F.col(key), F.col("_nv")))
+             .otherwise(F.when(F.col("_nf.k") == F.col(key), F.col("_nf.v"))))
+    return t.withColumn(alias, value).drop("_mid", "_pid", "_nk", "_nv", "_nf")

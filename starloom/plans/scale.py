@@ -1,14 +1,16 @@
 """Dataset scaling and interval helpers (deterministic, oracle-checkable)."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def close_intervals(df: DataFrame, key: str, start: str, end: str = "effective_end") -> DataFrame:
-    """``end`` = next start of the same key - 1 day; NULL for the last one."""
-    w = Window.partitionBy(key).orderBy(start)
-    return df.withColumn(end, F.date_sub(F.lead(start).over(w), 1))
+    """``end`` = next start of the same key - 1 day; NULL for the last one
+    (skew-splitting lead, see operators.windows.keyed_lead)."""
+    from ..operators.windows import keyed_lead
+    return keyed_lead(df, key, start, start, "_next_start") \
+        .withColumn(end, F.date_sub("_next_start", 1)).drop("_next_start")
 
 
 def hash_int(*parts, salt: str) -> "F.Column":

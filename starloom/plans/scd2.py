@@ -11,13 +11,14 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import open_end
 from ..operators.filters import maybe_keys
 from ..operators.joins import bounded_broadcast
 from ..operators.setops import hash_key
+from ..operators.windows import keyed_lead
 
 # Columns refreshed on every version (Type 1) and the columns
 # that are only written when a version is first inserted.
@@ -38,8 +39,7 @@ def timeline(history: DataFrame, employees: DataFrame, departments: DataFrame,
     a list or a DataFrame of employee_id).  The stored effective_end is
     ignored, so gaps and overlaps in the source are closed."""
     h = maybe_keys(history, "employee_id", keys)
-    w = Window.partitionBy("employee_id").orderBy("effective_start")
-    t = h.withColumn("_next", F.lead("effective_start").over(w))
+    t = keyed_lead(h, "employee_id", "effective_start", "effective_start", "_next")
     t = t.select(
         "*",
         F.col("effective_start").alias("start_date"),
