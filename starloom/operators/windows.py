@@ -66,8 +66,9 @@ def global_positions(df: DataFrame, order: Sequence[str], descending=False,
     """
     from ..session import materialize
     oc = _sort_cols(order, descending)
-    n = int(partitions or df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *oc).sortWithinPartitions(*oc)
+    # no explicit count: AQE may coalesce the range partitions of a small input
+    ranged = (df.repartitionByRange(partitions, *oc) if partitions else df.repartitionByRange(*oc)) \
+        .sortWithinPartitions(*oc)
     # written once so the counts and the rows come from the same partitioning
     tagged = materialize(ranged.withColumn("_mid", F.monotonically_increasing_id())
                          .withColumn("_pid", F.shiftright("_mid", 33))
@@ -111,8 +112,8 @@ def keyed_lead(df: DataFrame, key: str, order: str, col: str, alias: str,
     order) should be unique for a stable result, as for any lead.
     """
     from ..session import materialize
-    n = int(partitions or df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, key, order).sortWithinPartitions(key, order)
+    ranged = (df.repartitionByRange(partitions, key, order) if partitions
+              else df.repartitionByRange(key, order)).sortWithinPartitions(key, order)
     # positions are taken once and written: both branches below must see the
     # same partitioning, whatever the input's row order on a recomputation
     t = materialize(ranged.withColumn("_mid", F.monotonically_increasing_id())

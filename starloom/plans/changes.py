@@ -149,8 +149,8 @@ def _fold(df: DataFrame, key: str, schema: T.StructType, step, init_state, tiebr
     """Stream rows ordered by (key, seq, *tiebreak) through ``step(state, row)
     -> (state, out_row)``; state resets at every new key via ``init_state``.
     Column names must not start with '_' (they become tuple fields)."""
-    n = int(partitions or df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = df.repartition(n, key).sortWithinPartitions(key, "seq", *tiebreak)
+    parted = df.repartition(partitions, key) if partitions else df.repartition(key)
+    ordered = parted.sortWithinPartitions(key, "seq", *tiebreak)
     names = schema.fieldNames()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -305,8 +305,7 @@ def sweep_first_covering(stream: DataFrame, eid_type) -> DataFrame:
     _first_value) for every event."""
     import heapq
 
-    n = int(stream.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = stream.repartition(n, "k").sortWithinPartitions("k", "d", "kind", "iseq", "ival")
+    ordered = stream.repartition("k").sortWithinPartitions("k", "d", "kind", "iseq", "ival")
     schema = T.StructType([T.StructField("eid", eid_type), T.StructField("_first_value", T.LongType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
