@@ -27,15 +27,16 @@ def latest_per(df: DataFrame, key: str, order_col: str) -> DataFrame:
 
 
 def with_next(df: DataFrame, key: str, order: str, col: str, alias: str = "next_start") -> DataFrame:
-    w = Window.partitionBy(key).orderBy(order)
-    return df.withColumn(alias, F.lead(col).over(w))
+    """``lead(col)`` per key (skew-splitting, see :func:`keyed_lead`)."""
+    return keyed_lead(df, key, order, col, alias)
 
 
 def with_delta(df: DataFrame, key: str, order: str, col: str, dp: int,
                alias: str = "delta") -> DataFrame:
-    """value - previous value of the same key (on unrounded inputs), rounded."""
-    w = Window.partitionBy(key).orderBy(order)
-    return df.withColumn(alias, F.round(F.col(col) - F.lag(col).over(w), dp))
+    """value - previous value of the same key (on unrounded inputs), rounded;
+    the previous value is a skew-splitting ``lag``."""
+    prev = keyed_lead(df, key, order, col, "_prev", descending=True)
+    return prev.withColumn(alias, F.round(F.col(col) - F.col("_prev"), dp)).drop("_prev")
 
 
 def top_ranks(df: DataFrame, key: str, order: Sequence[str | Column], n: int,
@@ -99,7 +100,7 @@ def with_row_number(df: DataFrame, order: Sequence[str], descending=False,
 
 
 def keyed_lead(df: DataFrame, key: str, order: str, col: str, alias: str,
-               partitions: int | None = None) -> DataFrame:
+               partitions: int | None = None, descending: bool = False) -> DataFrame:
     """``lead(col) OVER (PARTITION BY key ORDER BY order)`` that splits hot keys.
 
     A plain window sends every row of one key to one task.  Here the frame
@@ -110,10 +111,12 @@ def keyed_lead(df: DataFrame, key: str, order: str, col: str, alias: str,
     when it has the same key.  The tagged rows are written once (shared
     checkpoint folder) so both steps read identical partitions.  (key,
     order) should be unique for a stable result, as for any lead.
+    ``descending=True`` gives ``lag`` (the next row in descending order).
     """
     from ..session import materialize
-    ranged = (df.repartitionByRange(partitions, key, order) if partitions
-              else df.repartitionByRange(key, order)).sortWithinPartitions(key, order)
+    oc = [F.col(key), F.col(order).desc() if descending else F.col(order).asc()]
+    ranged = (df.repartitionByRange(partitions, *oc) if partitions
+              else df.repartitionByRange(*oc)).sortWithinPartitions(*oc)
     # positions are taken once and written: both branches below must see the
     # same partitioning, whatever the input's row order on a recomputation
     t = materialize(ranged.withColumn("_mid", F.monotonically_increasing_id())
