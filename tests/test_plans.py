@@ -43,13 +43,24 @@ def test_filters_and_columns_reach_the_scan(spark):
     assert "ReadSchema: struct<o_orderkey:bigint,o_orderdate:timestamp_ntz>" in p
 
 
-def test_global_rank_has_no_single_partition_window(spark):
+def test_global_rank_equals_plain_rank(spark):
+    """The distributed RANK() (range partitions + per-partition offsets)
+    equals a plain single-partition rank on a small input, ties included."""
+    from pyspark.sql import Window
     f = Fixture(spark, SF_SMALL)
     g = f.review().groupBy("employee_id").agg(F.count(F.lit(1)).alias("n"))
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    try:
-        p = _plan(W.with_rank(g, ["n"], True, "rk"))
-    finally:
-        spark.conf.set("spark.sql.adaptive.enabled", "true")
-    # the only single-partition exchange is the one over the per-partition counts
-    assert "rangepartitioning" in p.lower()
+    ours = W.with_rank(g, ["n"], True, "rk").select("employee_id", "rk")
+    plain = g.select("employee_id", F.rank().over(Window.orderBy(F.col("n").desc())).alias("rk"))
+    assert ours.exceptAll(plain).count() == 0 and plain.exceptAll(ours).count() == 0
+
+
+def test_keyed_lead_and_lag_equal_plain_windows(spark):
+    from pyspark.sql import Window
+    h = Fixture(spark, SF_SMALL).history().select("employee_id", "effective_start", "job_level")
+    w = Window.partitionBy("employee_id").orderBy("effective_start")
+    plain = h.select("*", F.lead("effective_start").over(w).alias("nxt"), F.lag("job_level").over(w).alias("prv"))
+    ours = W.keyed_lead(h, "employee_id", "effective_start", "effective_start", "nxt")
+    ours = W.keyed_lead(ours, "employee_id", "effective_start", "job_level", "prv", descending=True)
+    cols = ["employee_id", "effective_start", "job_level", "nxt", "prv"]
+    assert ours.select(*cols).exceptAll(plain.select(*cols)).count() == 0
+    assert plain.select(*cols).exceptAll(ours.select(*cols)).count() == 0
