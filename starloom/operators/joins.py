@@ -81,7 +81,8 @@ def lookup_or(df: DataFrame, lkp: DataFrame, on: str, key_col: str, default=-1,
 
 
 def asof(events: DataFrame, versions: DataFrame, key: str, at: str,
-         start: str = "start_date", end: str = "end_date", bucket_by_year: bool = True) -> DataFrame:
+         start: str = "start_date", end: str = "end_date", bucket_by_year: bool = True,
+         bounds_from: DataFrame | None = None) -> DataFrame:
     """Each event with the version valid on its date (inner: events outside
     every version drop out).
 
@@ -95,7 +96,10 @@ def asof(events: DataFrame, versions: DataFrame, key: str, at: str,
         v = versions.withColumnRenamed(key, "_v_key")
         j = events.join(v, (events[key] == v["_v_key"]) & events[at].between(v[start], v[end]), "inner")
         return j.drop("_v_key")
-    yrs = events.agg(F.min(F.year(at)).alias("lo"), F.max(F.year(at)).alias("hi"))
+    # ``bounds_from``: a cheaper frame covering the events' dates (the raw
+    # input before de-duplication), so the events' own plan is not run twice
+    src = bounds_from if bounds_from is not None else events
+    yrs = src.agg(F.min(F.year(at)).alias("lo"), F.max(F.year(at)).alias("hi"))
     lo, hi = yrs.select("lo").scalar(), yrs.select("hi").scalar()
     y0 = F.greatest(F.year(start), lo)
     y1 = F.least(F.year(end), hi)

@@ -32,11 +32,13 @@ def new_reviews(reviews: DataFrame, fact: DataFrame | None) -> DataFrame:
 
 
 def resolve(reviews: DataFrame, dim_employee: DataFrame, dim_department: DataFrame,
-            dim_date: DataFrame, dim_project: DataFrame, calendar_rows: int | None = None) -> DataFrame:
-    """Star lookups for already de-duplicated reviews (no anti joins)."""
+            dim_date: DataFrame, dim_project: DataFrame, calendar_rows: int | None = None,
+            raw: DataFrame | None = None) -> DataFrame:
+    """Star lookups for already de-duplicated reviews (no anti joins);
+    ``raw`` is the undeduplicated input, used only for the date range."""
     ver = dim_employee.select("employee_key", "employee_id", "start_date", "end_date",
                               F.col("department_name").alias("_dept_name"))
-    r = asof(reviews, ver, "employee_id", "review_date")
+    r = asof(reviews, ver, "employee_id", "review_date", bounds_from=raw)
     dd = bounded_broadcast(dim_department.select("department_key", F.col("department_name").alias("_dept_name")))
     r = r.join(dd, "_dept_name", "inner")
     dt = bounded_broadcast(dim_date.select("date_key", "year_number"), known_rows=calendar_rows)
@@ -55,7 +57,8 @@ def load_fact(reviews: DataFrame, dim_employee: DataFrame, dim_department: DataF
               calendar_rows: int | None = None) -> DataFrame:
     """Rows to append to the fact (the caller appends / publishes them)."""
     nr = new_reviews(reviews, fact)
-    return resolve(nr, dim_employee, dim_department, dim_date, dim_project, calendar_rows)
+    return resolve(nr, dim_employee, dim_department, dim_date, dim_project, calendar_rows,
+                   raw=reviews.select("review_date"))
 
 
 def unresolved(reviews: DataFrame, dim_employee: DataFrame, dim_department: DataFrame,
@@ -63,7 +66,7 @@ def unresolved(reviews: DataFrame, dim_employee: DataFrame, dim_department: Data
     """New reviews the inner lookups skip, with the first reason that applies."""
     nr = new_reviews(reviews, fact).select("review_id", "employee_id", "review_date", "date_key")
     ver = dim_employee.select("employee_id", "start_date", "end_date", "department_name")
-    hit = asof(nr, ver, "employee_id", "review_date")
+    hit = asof(nr, ver, "employee_id", "review_date", bounds_from=reviews.select("review_date"))
     no_version = nr.join(hit.select("review_id"), "review_id", "left_anti") \
         .select("review_id", F.lit("no employee version on the review date").alias("reason"))
     dd = dim_department.select("department_name")
