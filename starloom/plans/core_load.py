@@ -175,12 +175,13 @@ def run_core_load(stg: Staging, core: Core | None = None, gate: bool = True,
                   materialize_tables: bool = True) -> Core:
     """All seven loads; returns the next core (existing rows + new rows).
 
-    The two lookups are checkpointed first (small; every later step joins
-    them).  With ``materialize_tables`` each new core table is checkpointed
-    too, so the gate and the caller read it instead of re-running the load.
+    The two lookups are written first (small; every later load joins them).
+    With ``materialize_tables`` each new core table is written once too, so
+    the gate and the caller read it instead of re-running the load.
     With ``gate`` the key report is evaluated (one small action) and any
     violation raises before anything is published."""
     from ..session import materialize
+    # small lookups joined by every later load: written once, then scanned
     dep = materialize(load_departments(stg, core.departments if core else None))
     rol = materialize(load_job_roles(stg, core.job_roles if core else None))
     emp_new = load_employees(stg, dep, rol, core.employees if core else None)

@@ -32,4 +32,4 @@ def query(name: str, sql: str | None = None):
 
 
 def load_all() -> None:
-    from .queries import warehouse, operators, quality, pipeline, changes, scaling, streams  # noqa: F401
+    from .queries import warehouse, operators, quality, loading, changes, scaling, streams  # noqa: F401
