@@ -1,8 +1,10 @@
 """Joins.
 
-Broadcast is used only through :func:`bounded_broadcast`, which proves the
-row bound first; everything else is left to Catalyst and AQE (which plan a
-sort-merge join and split skewed partitions at run time).
+An explicit broadcast hint is only given through :func:`bounded_broadcast`
+when a row bound is known or proven; otherwise Spark's size-checked
+automatic broadcast and AQE decide (sort-merge beyond the threshold, skewed
+partitions split at run time).  Range joins are bucketed (:func:`asof`) or
+swept (:func:`first_covering`) so no key emits all its pairs.
 """
 from __future__ import annotations
 
