@@ -89,3 +89,14 @@ def test_init_warehouse_recreates_empty_tables_with_seed(spark):
     fresh = Store(spark, s.base)
     assert [tuple(r) for r in fresh.read("dim_project").collect()] == [(-1, 0)]
     assert fresh.read("fact").count() == 0
+
+
+def test_append_writes_only_new_rows_and_compacts(spark):
+    s = Store(spark, os.path.join(_tmp(), "dw"))
+    s.publish({"fact": spark.range(10).selectExpr("id", "CAST(id % 3 AS INT) AS review_year")})
+    s.append_table("fact", spark.range(10, 12).selectExpr("id", "CAST(id % 3 AS INT) AS review_year"))
+    assert len(s.tables()["fact"]) == 2
+    fresh = Store(spark, s.base)
+    assert fresh.read("fact").count() == 12 and fresh.read("fact").filter("review_year = 1").count() == 4
+    s.compact("fact")
+    assert len(Store(spark, s.base).tables()["fact"]) == 1 and Store(spark, s.base).read("fact").count() == 12
