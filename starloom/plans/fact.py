@@ -27,7 +27,13 @@ def new_reviews(reviews: DataFrame, fact: DataFrame | None) -> DataFrame:
     r = reviews.withColumn("date_key", date_key("review_date"))
     if fact is not None:
         r = r.join(fact.select("review_id"), "review_id", "left_anti")
-        r = r.join(fact.select("employee_id", "date_key"), ["employee_id", "date_key"], "left_anti")
+        # the employee-day guard can only hit fact rows of the batch's own
+        # years: restrict the fact by its partition column first (dynamic
+        # partition pruning on the year-partitioned fact table)
+        days = fact.select("employee_id", "date_key", "review_year")
+        years = r.select(F.year("review_date").cast("int").alias("review_year")).distinct()
+        days = days.join(years, "review_year", "left_semi").drop("review_year")
+        r = r.join(days, ["employee_id", "date_key"], "left_anti")
     return first_per(r, ["employee_id", "review_date"], ["review_id"])
 
 
