@@ -64,3 +64,15 @@ def test_keyed_lead_and_lag_equal_plain_windows(spark):
     cols = ["employee_id", "effective_start", "job_level", "nxt", "prv"]
     assert ours.select(*cols).exceptAll(plain.select(*cols)).count() == 0
     assert plain.select(*cols).exceptAll(ours.select(*cols)).count() == 0
+
+
+def test_department_top_k_is_reduced_before_the_shuffle(spark):
+    """A department with a huge headcount is cut to its top ranks on the map
+    side (partial WindowGroupLimit) before the per-department window."""
+    dw = fixture_warehouse(spark, SF_SMALL)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        p = _plan(A.top_performers(dw, 1998, 5))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert p.count("WindowGroupLimit") >= 2
