@@ -54,3 +54,30 @@ def test_department_moves_see_earlier_accepted_moves(spark):
     assert st[3] == ("rejected", "move must be after the current role started")
     assert st[4] == ("accepted", None)
     assert st[5] == ("rejected", "no active job record")
+
+
+def test_fold_state_carries_across_arrow_batches_for_a_hot_key(spark):
+    """One employee with many requests, split into many tiny Arrow batches:
+    the greedy cap must match a plain sequential reference."""
+    import random
+    rnd = random.Random(7)
+    reqs = [(i, 1, 10 + rnd.randrange(3), rnd.choice([10, 20, 30, 50])) for i in range(1, 61)]
+    reqs += [(100 + i, 2, 10 + (i % 3), 40) for i in range(5)]
+    core = _core(spark, [(1, 10, 20, None)])
+    batch = spark.createDataFrame(reqs, "seq long, employee_id long, project_id long, allocation_pct int")
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        got = {r["seq"]: r["status"] for r in CH.assignment_status(core, batch).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    expect = {}
+    state = {1: (20, {10}), 2: (0, set())}  # (used, pairs) per employee; pair (1, 10) exists
+    for seq, e, p, a in sorted(reqs):
+        used, pairs = state[e]
+        if used + a <= 100 and p not in pairs:
+            state[e] = (used + a, pairs | {p})
+            expect[seq] = "accepted"
+        else:
+            expect[seq] = "rejected"
+    assert got == expect
