@@ -6,7 +6,7 @@ import tempfile
 import uuid
 import zipfile
 
-import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,7 +77,7 @@ def batches(it, max_bytes: int, col: str = "text"):
         if not n:
             continue
         arr = b.column(b.schema.get_field_index(col))
-        size = pa.compute.fill_null(pa.compute.binary_length(arr), 0).to_pylist()
+        size = pc.fill_null(pc.binary_length(arr), 0).to_pylist()
         lo, run = 0, 0
         for i, s in enumerate(size):
             if i > lo and run + s > max_bytes:

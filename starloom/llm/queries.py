@@ -77,3 +77,25 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .html_text import extract_pages
 
     return extract_pages(read_table(spark, sf_dir, "pages"))
+
+
+@_query
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, tokenised and packed into sequences of 4096 tokens."""
+    import public_tokenizers
+
+    from .packing import Capacity, best_fit, token_pieces
+
+    cap = Capacity()
+    pieces = token_pieces(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), max_tokens=cap.tokens)
+    return best_fit(pieces, cap)
+
+
+@_query
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents."""
+    import public_tokenizers
+
+    from .token_counts import count_tokens
+
+    return count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
