@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import utc
-from .common import read_table
+from .common import fold_of, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -99,3 +99,32 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import count_tokens
 
     return count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def _labelled(spark: SparkSession, sf_dir: str, docs: DataFrame, label: str) -> DataFrame:
+    """doc_id, text and one label of the documents that have it.  The labels
+    are one narrow row per labelled document; Spark picks the join."""
+    labels = read_table(spark, sf_dir, "labels").select("doc_id", label).filter(F.col(label).isNotNull())
+    return docs.select("doc_id", "text").join(labels, "doc_id")
+
+
+@_query
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents, learned from the labelled rows outside fold 2 of 4."""
+    from . import toxicity
+
+    docs = read_table(spark, sf_dir, "documents")
+    held = fold_of(F.col("doc_id"), 4) == 2
+    model = toxicity.fit(_labelled(spark, sf_dir, docs, "toxic").filter(~held))
+    return toxicity.score(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
+@_query
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of all documents, learned outside fold 0 of 5."""
+    from . import language_id
+
+    docs = read_table(spark, sf_dir, "documents")
+    held = fold_of(F.col("doc_id"), 5) == 0
+    net = language_id.fit(docs.filter(~held))
+    return language_id.predict(docs, net).select("doc_id", held.alias("held_out"), "lang_pred", "score")
