@@ -128,3 +128,22 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = fold_of(F.col("doc_id"), 5) == 0
     net = language_id.fit(docs.filter(~held))
     return language_id.predict(docs, net).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
+@_query
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents, learned from the labelled rows outside fold 0 of 5."""
+    from . import quality_cnn
+
+    docs = read_table(spark, sf_dir, "documents")
+    held = fold_of(F.col("doc_id"), 5) == 0
+    net = quality_cnn.fit(_labelled(spark, sf_dir, docs, "quality").filter(~held))
+    return quality_cnn.score(docs, net).select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
+@_query
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class of near copies of every document."""
+    from .near_dup import near_duplicates
+
+    return near_duplicates(read_table(spark, sf_dir, "documents"))

@@ -1,8 +1,10 @@
 """Toxic passages by maximum-scoring segment search.
 
 Each token scores its log-odds between toxic and clean labelled documents
-under an informative Dirichlet prior; tokens whose odds are not significant
-score a small negative drift.  One linear pass over a text finds all maximal
+under an informative Dirichlet prior.  The units counted are words and word
+stems (a stem stands for all words that begin with it, so that inflected and
+compounded forms share their evidence); a token takes the score of its most
+significant unit, and a token without one a small negative drift.  One linear pass over a text finds all maximal
 scoring segments, and extreme-value theory turns their scores, given the
 text's length, into the chance of seeing them in clean text.  A one-variable
 logistic fit turns that into the document's probability.
@@ -11,6 +13,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,18 +32,21 @@ STEP_BYTES = 4 << 20
 class Settings:
     """Bounds and constants of the fit.  ``per_label`` bounds the labelled
     rows of each label that are learned from."""
-    per_label: int = 6000
-    prior_mass: float = 10.0
-    min_groups: int = 3
-    min_z: float = 2.5
+    per_label: int = 4000
+    #: Mass of the Dirichlet prior, as a share of all tokens learned from.
+    prior_share: float = 0.01
+    #: Significance, odds and number of copy groups that a unit needs.
+    min_z: float = 2.0
+    min_odds: float = 2.5
+    min_groups: int = 4
     drift: float = 0.05
-    max_words: int = 50_000
-    threshold: float = 0.3
+    #: Units kept, the most significant first (a parameter of the fit, not of the search).
+    max_units: int = 50_000
 
 
 @dataclass(frozen=True)
 class Model:
-    odds: dict[str, float]
+    odds: dict[str, float]  # unit -> score; stems end with "*"
     drift: float
     decay: float       # lambda of the extreme-value law
     scale: float       # K of the extreme-value law
@@ -63,20 +69,44 @@ class Model:
         return 1 / (1 + math.exp(-x)) if x > -700 else 0.0
 
 
-def segments(tokens: list[str], odds: dict[str, float], drift: float) -> list[tuple[float, int, int]]:
+#: Lengths of the stems that are units.
+STEMS = range(4, 9)
+
+
+def units(word: str) -> list[str]:
+    return [word, *(word[:k] + "*" for k in STEMS if k < len(word))]
+
+
+class Scores(dict):
+    """Score of every word met so far; the best unit decides (the first in
+    ``rank`` order), and a word without a unit has None.  Bounded."""
+
+    def __init__(self, odds: dict[str, float]):
+        super().__init__()
+        self.odds = odds
+        self.rank = {u: i for i, u in enumerate(odds)}
+
+    def __missing__(self, word: str):
+        if len(self) > 500_000:
+            self.clear()
+        found = [u for u in units(word) if u in self.rank]
+        self[word] = got = self.odds[min(found, key=self.rank.__getitem__)] if found else None
+        return got
+
+
+def segments(tokens: list[str], scores: Scores, drift: float) -> list[tuple[float, int, int]]:
     """All maximal scoring segments as (score, first, last + 1), in order.
 
     Only tokens with a score of their own are visited; the gap between two
     costs ``drift`` a token, so one step of the scan is a gap and a token.
     Candidates are kept with the running total before and after them; a new
     one swallows those from the last candidate that started lower."""
-    get = odds.get
     total, at = 0.0, 0
     left: list[float] = []    # running total before each candidate
     right: list[float] = []   # and after it
     spans: list[tuple[int, int]] = []
     for i, w in enumerate(tokens):
-        s = get(w)
+        s = scores[w]
         if s is None:
             continue
         total -= drift * (i - at)
@@ -113,8 +143,8 @@ def _group(tokens: list[str]) -> int:
 def fit(labelled: DataFrame, cfg: Settings = Settings(), *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Learn from rows of text and label (0, 1; null labels are left out).
 
-    Word counts are Spark aggregates over documents' groups of copies; only
-    significant words (at most ``max_words``) and one statistic per sampled
+    Unit counts are Spark aggregates over documents' groups of copies; only
+    significant units (at most ``max_units``) and one statistic per sampled
     row reach the driver.  With no toxic or no clean row, every text gets the
     base rate (0 with no rows at all)."""
     ship(labelled.sparkSession)
@@ -124,54 +154,68 @@ def fit(labelled: DataFrame, cfg: Settings = Settings(), *, id_col: str = "doc_i
 
     def words(it):
         for b in batches(it, STEP_BYTES):
-            out_g, out_w, out_y = [], [], []
             for t, y in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 tokens = tokenise(t)
                 if tokens:
-                    found = {*tokens, ""}  # "" counts the groups
-                    out_g += [_group(tokens)] * len(found)
-                    out_w += found
-                    out_y += [y] * len(found)
-            yield pa.RecordBatch.from_arrays([pa.array(out_g, pa.int64()), pa.array(out_w, pa.string()), pa.array(out_y, pa.int32())], names=["g", "w", "y"])
-
-    seen = rows.mapInArrow(words, "g long, w string, y int").groupBy("w", "y", "g").count()
-    per_word = seen.groupBy("w").agg(F.sum(F.col("y")).alias("y1"), F.sum(1 - F.col("y")).alias("y0"))
-    total = per_word.filter("w = ''").collect()
+                    found = Counter(u for w in tokens for u in units(w))
+                    found[""] = len(tokens)
+                    n = len(found)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(n, _group(tokens), np.int64)), pa.array(list(found), pa.string()),
+                         pa.array(np.full(n, y, np.int32)), pa.array(found.values(), pa.int64())], names=["g", "u", "y", "n"])
+
+    per_group = rows.mapInArrow(words, "g long, u string, y int, n long").groupBy("u", "y", "g").agg(F.max("n").alias("n"))
+    per_unit = per_group.groupBy("u").agg(F.sum(F.col("n") * F.col("y")).alias("y1"), F.sum(F.col("n") * (1 - F.col("y"))).alias("y0"),
+                                          F.greatest(F.sum("y"), F.sum(1 - F.col("y"))).alias("groups"))
+    per_unit = written(per_unit.filter((F.col("groups") >= cfg.min_groups) | (F.col("u") == "")), "tox-u")
+    total = per_unit.filter("u = ''").collect()
     n1, n0 = (float(total[0]["y1"]), float(total[0]["y0"])) if total else (0.0, 0.0)
     if not n1 or not n0:
-        base = 0.0 if not n1 else 1.0
-        return Model({}, cfg.drift, 1.0, 1.0, 0.0, 40.0 if base else -40.0)
-    a, n = cfg.prior_mass, n1 + n0
-    prior = F.lit(a) * (F.col("y1") + F.col("y0")) / F.lit(n)
-    p1, p0 = F.col("y1") + F.col("prior"), F.col("y0") + F.col("prior")
+        return Model({}, cfg.drift, 1.0, 1.0, 0.0, 40.0 if n1 else -40.0)
+    share, a = F.lit(cfg.prior_share), cfg.prior_share * (n1 + n0)
+    p1, p0 = F.col("y1") + share * (F.col("y1") + F.col("y0")), F.col("y0") + share * (F.col("y1") + F.col("y0"))
     odds = F.log(p1 / (F.lit(n1 + a) - p1)) - F.log(p0 / (F.lit(n0 + a) - p0))
-    sig = (per_word.filter((F.col("w") != "") & (F.greatest("y1", "y0") >= cfg.min_groups)).withColumn("prior", prior)
-           .filter((F.lit(n1 + a) > p1) & (F.lit(n0 + a) > p0))
-           .withColumn("odds", odds).withColumn("z", F.col("odds") / F.sqrt(1 / p1 + 1 / p0))
-           .filter(F.abs("z") >= cfg.min_z).orderBy(F.desc(F.abs("z")), "w").limit(cfg.max_words).collect())
-    table = {r["w"]: float(r["odds"]) for r in sig}
-
-    # background chance of each significant word in clean text, then the extreme-value law
-    clean = {r["w"]: (r["y0"] + a * (r["y1"] + r["y0"]) / n) / (n0 + a) for r in sig}
-    words_in = F.size(F.split(F.trim("text"), r"\s+"))
-    mean_len = max(1.0, float(rows.filter("y = 0").agg(F.avg(words_in)).first()[0] or 1.0))
-    p = np.array([c / mean_len for c in clean.values()])
-    s = np.array([table[w] for w in clean])
+    sig = (per_unit.filter("u <> ''").filter((F.lit(n1 + a) > p1) & (F.lit(n0 + a) > p0))
+           .withColumn("odds", odds).withColumn("z", F.abs(F.col("odds")) / F.sqrt(1 / p1 + 1 / p0))
+           .filter((F.col("z") >= cfg.min_z) & (F.abs("odds") >= cfg.min_odds))
+           .orderBy(F.desc("z"), "u").limit(cfg.max_units).collect())
+    table = {r["u"]: float(r["odds"]) for r in sig}
+
+    # how often each score comes up in clean text gives the extreme-value law
+    clean = {r["s"]: r["n"] for r in _clean_scores(rows, table).groupBy("s").agg(F.sum("n").alias("n")).collect()}
+    s = np.array(sorted(set(table.values())))
+    p = np.array([(clean.get(v, 0) + 0.5) / (n0 + 1) for v in s])
     decay = _decay(s, p, cfg.drift)
     model = Model(table, cfg.drift, decay, _scale(s, p, decay), 0.0, 0.0)
     got = np.array([(r["y"], r["x"]) for r in _statistics(rows, model).collect()], float).reshape(-1, 2)
-    slope, intercept = _logistic(np.log1p(got[:, 1]), got[:, 0], n1, n0)
+    shares = labelled.filter(F.col(label_col).isin(0, 1)).groupBy(F.col(label_col).cast("int")).count().collect()
+    rate = {r[0]: float(r[1]) for r in shares}
+    slope, intercept = _logistic(np.log1p(got[:, 1]), got[:, 0], rate.get(1, 0.0), rate.get(0, 0.0))
     return Model(table, cfg.drift, decay, model.scale, slope, intercept)
 
 
+def _clean_scores(rows: DataFrame, table: dict[str, float]) -> DataFrame:
+    """Scores of the scored tokens of clean rows, with their number."""
+    def run(it):
+        scores, seen = Scores(table), Counter()
+        for b in it:
+            for t, y in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                if not y:
+                    seen.update(v for w in tokenise(t) if (v := scores[w]) is not None)
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.float64()), pa.array(seen.values(), pa.int64())], names=["s", "n"])
+
+    return rows.mapInArrow(run, "s double, n long")
+
+
 def _statistics(rows: DataFrame, model: Model) -> DataFrame:
     """Label and evidence of each row."""
     def run(it):
+        scores = Scores(model.odds)
         for b in batches(it, STEP_BYTES):
             x = []
             for t in b.column(1).to_pylist():
                 tokens = tokenise(t)
-                x.append(max(0.0, model.evidence(segments(tokens, model.odds, model.drift), len(tokens))))
+                x.append(max(0.0, model.evidence(segments(tokens, scores, model.drift), len(tokens))))
             yield pa.RecordBatch.from_arrays([b.column(2), pa.array(x, pa.float64())], names=["y", "x"])
 
     return rows.mapInArrow(run, "y int, x double")
@@ -231,11 +275,12 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
     passage = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64()), ("score", pa.float64())]))
 
     def run(it):
+        scores = Scores(model.odds)
         for b in batches(it, STEP_BYTES, "__text"):
             p, found = [], []
             for t in b.column(b.num_columns - 1).to_pylist():
                 tokens = tokenise(t or "")
-                seg = segments(tokens, model.odds, model.drift)
+                seg = segments(tokens, scores, model.drift)
                 p.append(model.probability(model.evidence(seg, len(tokens))))
                 if with_passages:
                     least = math.log(model.scale * max(len(tokens), 1)) / model.decay
