@@ -14,6 +14,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import batches, one_sample, ship
 
@@ -219,7 +220,7 @@ def predict(docs: DataFrame, net: Network, *, id_col: str = "doc_id", text_col:
     steps of bounded memory; ties go to the language that sorts first; an
     empty table gives an empty result; other columns stay unread."""
     ship(docs.sparkSession)
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in (id_col, *keep))
+    kept = [docs.schema[c] for c in (id_col, *keep)]
     classes, weights = net.classes, net.w
 
     def run(it):
@@ -236,4 +237,4 @@ def predict(docs: DataFrame, net: Network, *, id_col: str = "doc_id", text_col:
                                              names=[id_col, *keep, "lang_pred", "score"])
 
     rows = docs.select(id_col, *keep, F.col(text_col).cast("string").alias("__text"))
-    return rows.mapInArrow(run, f"{kinds}, lang_pred string, score double")
+    return rows.mapInArrow(run, T.StructType([*kept, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))

@@ -21,6 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import batches, one_sample, ship, written
 
@@ -271,7 +272,7 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
     alike; an empty table gives an empty result; other columns stay unread.
     """
     ship(docs.sparkSession)
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in (id_col, *keep))
+    kept = [docs.schema[c] for c in (id_col, *keep)]
     passage = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64()), ("score", pa.float64())]))
 
     def run(it):
@@ -293,5 +294,7 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
     rows = docs.select(id_col, *keep, F.col(text_col).cast("string").alias("__text"))
-    out = f"{kinds}, score double, predicted int" + ", passages array<struct<first: long, last: long, score: double>>" * with_passages
-    return rows.mapInArrow(run, out)
+    out = [*kept, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]
+    if with_passages:
+        out.append(T.StructField("passages", T.ArrayType(T.StructType().add("first", "long").add("last", "long").add("score", "double"))))
+    return rows.mapInArrow(run, T.StructType(out))
