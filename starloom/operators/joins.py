@@ -163,23 +163,33 @@ def first_covering(events: DataFrame, intervals: DataFrame, key: str, at: str,
     ``value``) of the same key that covers the event date (open end
     allowed); NULL when none.
 
-    Pair-free sweep line: interval starts and events of one key are sorted
-    together by (date, starts first) and streamed through a min-heap of
-    started intervals; an interval whose end has passed is discarded when it
-    reaches the top (dates only grow).  Work is O((events + intervals) log
-    intervals) per key and memory holds only started intervals -- never the
-    events x intervals pairs of a range join."""
-    from ..plans.changes import sweep_first_covering
-    ek = events.select(F.col(event_id).alias("eid"), F.col(key).alias("k"), F.col(at).alias("d"))
-    iv = intervals.select(
-        F.col(key).alias("k"), F.col(start).alias("d"),
-        (F.col(end) if end in intervals.columns else F.lit(None).cast("date")).alias("iend"),
-        F.col(seq).cast("long").alias("iseq"), F.col(value).cast("long").alias("ival"))
-    ev = ek.select("k", "d", F.lit(1).alias("kind"), "eid", F.lit(None).cast("date").alias("iend"),
-                   F.lit(None).cast("long").alias("iseq"), F.lit(None).cast("long").alias("ival"))
-    st = iv.select("k", "d", F.lit(0).alias("kind"), F.lit(None).cast(ek.schema["eid"].dataType).alias("eid"),
-                   "iend", "iseq", "ival")
-    best = sweep_first_covering(st.unionByName(ev), ek.schema["eid"].dataType)
-    out = events.join(best.withColumnRenamed("eid", event_id), event_id, "left")
-    return out.withColumnRenamed("_first_value", value) if value not in events.columns else \
-        out.drop(value).withColumnRenamed("_first_value", value)
+    Calendar months are buckets.  An interval that covers a whole month
+    enters that month's minimum (intervals without an end as a running
+    minimum over the key's months); only intervals that begin or end inside a
+    month meet that month's events, by an equi-join with a date residual.  The
+    answer is the least of the three, so work follows events and intervals,
+    never their pairs, and a hot key is spread over its months.  Intervals
+    without a start cover nothing."""
+    month = lambda c: F.year(c) * 12 + F.month(c)
+    iv = intervals.filter(F.col(start).isNotNull()).select(
+        F.col(key).alias("_k"), F.col(start).alias("_s"),
+        (F.col(end) if end in intervals.columns else F.lit(None).cast("date")).alias("_e"),
+        F.struct(F.col(seq).alias("s"), F.col(value).alias("v")).alias("_v"))
+    ev = events.select(F.col(event_id).alias("_id"), F.col(key).alias("_k"), F.col(at).alias("_d"), month(at).alias("_m"))
+    closed, open_ = iv.filter("_e is not null"), iv.filter("_e is null")
+
+    inner = F.when(month("_e") - month("_s") > 1, F.sequence(month("_s") + 1, month("_e") - 1))
+    whole = closed.select("_k", F.explode(inner).alias("_m"), "_v").groupBy("_k", "_m").agg(F.min("_v").alias("_whole"))
+    since = open_.select("_k", (month("_s") + 1).alias("_m"), "_v").groupBy("_k", "_m").agg(F.min("_v").alias("_v"))
+    asked = ev.select("_k", "_m").distinct().withColumn("_v", F.lit(None).cast(since.schema["_v"].dataType))
+    run = Window.partitionBy("_k").orderBy("_m").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    open_min = since.unionByName(asked).withColumn("_open", F.min("_v").over(run)) \
+        .groupBy("_k", "_m").agg(F.min("_open").alias("_open"))
+    ends = closed.filter(month("_e") != month("_s")).select("_k", month("_e").alias("_m"), "_s", "_e", "_v")
+    part = iv.select("_k", month("_s").alias("_m"), "_s", "_e", "_v").unionByName(ends)
+    hit = (ev.join(part, ["_k", "_m"]).filter((F.col("_d") >= F.col("_s")) & (F.col("_e").isNull() | (F.col("_d") <= F.col("_e"))))
+           .groupBy("_id").agg(F.min("_v").alias("_part")))
+    best = (ev.join(whole, ["_k", "_m"], "left").join(open_min, ["_k", "_m"], "left").join(hit, "_id", "left")
+            .select("_id", F.least("_whole", "_open", "_part")["v"].alias("_first_value")))
+    kept = events if value not in events.columns else events.drop(value)
+    return kept.join(best, kept[event_id] == best["_id"], "left").drop("_id").withColumnRenamed("_first_value", value)

@@ -28,10 +28,39 @@ def stack_reports(reports: Iterable[DataFrame]) -> DataFrame:
 
 def check_not_null(df: DataFrame, table: str, cols: Sequence[str]) -> DataFrame:
     """NULL count per column in one scan."""
-    agg = df.agg(*[F.sum(F.col(c).isNull().cast("bigint")).alias(c) for c in cols])
-    long = agg.unpivot([], list(cols), "columns", "n")
-    return long.select(F.lit("not_null").alias("constraint"), F.lit(table).alias("table_name"), "columns",
-                       F.coalesce(F.col("n"), F.lit(0)).cast("bigint").alias("n_violations"))
+    return check_columns(df, table, cols, ())
+
+
+def check_columns(df: DataFrame, table: str, not_null: Sequence[str], checks: Sequence[tuple[str, str]]) -> DataFrame:
+    """NULL counts and broken CHECK conditions (name, SQL condition; NULL
+    passes, as in SQL) of one table in one scan."""
+    count = lambda cond: F.coalesce(F.sum(cond.cast("bigint")), F.lit(0))
+    aggs = [count(F.col(c).isNull()).alias(f"not_null:{c}") for c in not_null]
+    aggs += [count(F.coalesce(~F.expr(sql), F.lit(False))).alias(f"check:{name}") for name, sql in checks]
+    long = df.agg(*aggs).unpivot([], [a for a in (f"not_null:{c}" for c in not_null)] + [f"check:{n}" for n, _ in checks], "_what", "n")
+    return long.select(F.substring_index("_what", ":", 1).alias("constraint"), F.lit(table).alias("table_name"),
+                       F.substring_index("_what", ":", -1).alias("columns"), F.col("n").cast("bigint").alias("n_violations"))
+
+
+def constraint_report(frames: dict[str, DataFrame], rules: dict, parents: dict[str, DataFrame] | None = None, *,
+                      skip_keys=(), skip_fks=()) -> DataFrame:
+    """One report of all declared constraints (``schemas.Rules``) of
+    ``frames``.  Columns a frame does not have are left out.  ``parents``
+    gives the tables that foreign keys point to, where they are not
+    ``frames`` themselves.  ``skip_keys`` and ``skip_fks`` name (table,
+    columns) that a load guarantees by construction."""
+    parents = {**frames, **(parents or {})}
+    out = []
+    for table, df in frames.items():
+        r, have = rules[table], set(df.columns)
+        cols = [c for c in r.not_null if c in have]
+        checks = [(n, sql) for n, c, sql in r.checks if c in have]
+        if cols or checks:
+            out.append(check_columns(df, table, cols, checks))
+        out += [check_unique(df, table, k)[0] for k in r.keys if set(k) <= have and (table, k) not in skip_keys]
+        out += [check_fk(df, parents[p], table, [c], [pc])[0] for c, p, pc in r.foreign
+                if c in have and p in parents and (table, c) not in skip_fks]
+    return stack_reports(out)
 
 
 def check_unique(df: DataFrame, table: str, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
@@ -75,15 +104,19 @@ PROJECT_PRIORITIES = ("Low", "Medium", "High")
 ASSIGNMENT_ROLES = ("Contributor", "Lead", "Reviewer")
 
 
-def _text_reasons(c: Column, label: str, max_len: int) -> list[Column]:
-    v = strip_all(F.coalesce(c, F.lit("")))
-    return [F.when(F.length(v) == 0, F.lit(f"{label} can't be empty")),
-            F.when(F.length(v) > max_len, F.lit(f"{label} is too long"))]
+def _fails(ok: Column) -> Column:
+    """A rule fails when it is false or, on NULL, undecided."""
+    return ~F.coalesce(ok, F.lit(False))
 
 
-def _range_reason(c: Column, label: str, lo: int, hi: int) -> Column:
-    v = c.cast("int")  # int() truncation before the comparison
-    return F.when(~v.between(lo, hi), F.lit(f"{label} must be between {lo} and {hi}"))
+def _text_reasons(name: str, max_len: int) -> list[Column]:
+    v = strip_all(F.coalesce(F.col(name), F.lit("")))
+    return [F.when(F.length(v) == 0, F.lit(f"{name}:empty")), F.when(F.length(v) > max_len, F.lit(f"{name}:long"))]
+
+
+def _range_reason(name: str, lo: int, hi: int) -> Column:
+    """Whole part between ``lo`` and ``hi``; NULL fails."""
+    return F.when(_fails(F.col(name).cast("int").between(lo, hi)), F.lit(f"{name}:range"))
 
 
 def _split(df: DataFrame, reasons: list[Column]) -> tuple[DataFrame, DataFrame]:
@@ -96,15 +129,10 @@ def _split(df: DataFrame, reasons: list[Column]) -> tuple[DataFrame, DataFrame]:
 def employee_reasons(df: DataFrame) -> list[Column]:
     email = F.lower(strip_all(F.coalesce(F.col("email"), F.lit(""))))
     domain = F.regexp_extract(email, "[^@]*$", 0)
-    return (_text_reasons(F.col("first_name"), "first_name", 60)
-            + _text_reasons(F.col("last_name"), "last_name", 60)
-            + _text_reasons(F.col("email"), "email", 120)
-            + [F.when((F.length(email) > 0) & (~email.contains("@") | ~domain.contains(".")),
-                      F.lit("email doesn't look right")),
-               _range_reason(F.col("age"), "age", 18, 70),
-               _range_reason(F.col("job_level"), "job_level", 1, 5),
-               _range_reason(F.col("education_level"), "education_level", 1, 5),
-               F.when(F.col("monthly_income").cast("int") <= 0, F.lit("monthly_income must be more than zero"))])
+    return (_text_reasons("first_name", 60) + _text_reasons("last_name", 60) + _text_reasons("email", 120)
+            + [F.when((F.length(email) > 0) & (~email.contains("@") | ~domain.contains(".")), F.lit("email:form")),
+               _range_reason("age", 18, 70), _range_reason("job_level", 1, 5), _range_reason("education_level", 1, 5),
+               F.when(_fails(F.col("monthly_income").cast("int") > 0), F.lit("monthly_income:range"))])
 
 
 def validate_employee(df: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -117,14 +145,12 @@ def validate_employee(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def project_reasons(df: DataFrame) -> list[Column]:
-    return (_text_reasons(F.col("project_name"), "project_name", 100)
-            + [F.when(~F.col("status").isin(*PROJECT_STATUSES) | F.col("status").isNull(),
-                      F.lit("status not allowed")),
-               F.when(~F.col("priority").isin(*PROJECT_PRIORITIES) | F.col("priority").isNull(),
-                      F.lit("priority not allowed")),
-               F.when(F.col("end_date").isNotNull() & (F.col("end_date") < F.col("start_date")),
-                      F.lit("end date before start date")),
-               F.when(F.col("budget") < 0, F.lit("budget can't be negative"))])
+    return (_text_reasons("project_name", 100)
+            + [F.when(_fails(F.col("status").isin(*PROJECT_STATUSES)), F.lit("status:domain")),
+               F.when(_fails(F.col("priority").isin(*PROJECT_PRIORITIES)), F.lit("priority:domain")),
+               F.when(F.col("start_date").isNull(), F.lit("start_date:missing")),
+               F.when(F.col("end_date") < F.col("start_date"), F.lit("end_date:order")),
+               F.when(_fails(F.col("budget") >= 0), F.lit("budget:range"))])
 
 
 def validate_project(df: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -133,11 +159,8 @@ def validate_project(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def review_reasons(df: DataFrame) -> list[Column]:
-    return [_range_reason(F.col("performance_rating"), "performance_rating", 1, 4),
-            _range_reason(F.col("job_satisfaction"), "job_satisfaction", 1, 4),
-            _range_reason(F.col("environment_satisfaction"), "environment_satisfaction", 1, 4),
-            _range_reason(F.col("work_life_balance"), "work_life_balance", 1, 4),
-            _range_reason(F.col("percent_salary_hike"), "percent_salary_hike", 0, 50)]
+    scores = [_range_reason(c, 1, 4) for c in ("performance_rating", "job_satisfaction", "environment_satisfaction", "work_life_balance")]
+    return scores + [_range_reason("percent_salary_hike", 0, 50)]
 
 
 def validate_review(df: DataFrame) -> tuple[DataFrame, DataFrame]:

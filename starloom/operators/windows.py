@@ -6,6 +6,7 @@ task keeps only its own top rows per key) and a final one after it.
 """
 from __future__ import annotations
 
+from functools import reduce
 from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -84,50 +85,58 @@ def global_positions(df: DataFrame, order: Sequence[str], descending=False,
 
 
 def with_rank(df: DataFrame, order: Sequence[str], descending=False,
-              alias: str = "rank", partitions: int | None = None) -> DataFrame:
-    """SQL RANK() over the whole frame: the position of the first row of each
-    tie group.  Equal order values share one range partition, so the tie
-    window needs no further shuffle."""
-    pos = global_positions(df, order, descending, "_pos", partitions)
-    ranked = pos.withColumn(alias, F.min("_pos").over(Window.partitionBy(*order)).cast("int"))
-    return ranked.select(alias, *df.columns)
-
-
-def with_row_number(df: DataFrame, order: Sequence[str], descending=False,
-                    alias: str = "row_number", partitions: int | None = None) -> DataFrame:
-    """Global ROW_NUMBER() (order should be total)."""
-    return global_positions(df, order, descending, alias, partitions)
-
-
-def keyed_lead(df: DataFrame, key: str, order: str, col: str, alias: str,
-               partitions: int | None = None, descending: bool = False) -> DataFrame:
-    """``lead(col) OVER (PARTITION BY key ORDER BY order)`` that splits hot keys.
-
-    A plain window sends every row of one key to one task.  Here the frame
-    is range-partitioned on (key, order) -- a key with many rows spans
-    several partitions -- and sorted; the next row is taken inside each
-    partition, and the last row of a partition takes the first row of the
-    next non-empty partition (a table of one row per partition, broadcast)
-    when it has the same key.  The tagged rows are written once (shared
-    checkpoint folder) so both steps read identical partitions.  (key,
-    order) should be unique for a stable result, as for any lead.
-    ``descending=True`` gives ``lag`` (the next row in descending order).
-    """
+              alias: str = "rank", few_values: bool = False) -> DataFrame:
+    """SQL RANK() over the whole frame, as bigint: 1 + the rows before the
+    value.  Rows are counted per distinct value (partial aggregates), the
+    counts are summed up along the order and joined back, so no tie group
+    ever meets in one task.  ``few_values`` says that the order columns have
+    a small domain whatever the size of the frame (rounded scores), so that
+    the running total may be a plain window over the distinct values."""
+    counts = df.groupBy(*order).agg(F.count(F.lit(1)).alias("_n"))
+    oc = _sort_cols(order, descending)
+    if few_values:
+        w = Window.orderBy(*oc).rowsBetween(Window.unboundedPreceding, -1)
+        before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0)))
+    else:
+        before = running_total(counts, oc, "_n", "_before")
+    b = before.select(*[F.col(c).alias(f"_o_{c}") for c in order], "_before")
+    same = reduce(lambda x, y: x & y, [df[c].eqNullSafe(b[f"_o_{c}"]) for c in order])
+    return df.join(b, same).select((F.col("_before") + 1).cast("bigint").alias(alias), *[df[c] for c in df.columns])
+
+
+def running_total(df: DataFrame, order: Sequence[Column], col: str, alias: str) -> DataFrame:
+    """Sum of ``col`` over all rows before each row: range-partitioned, summed
+    inside each partition, plus the partitions' own totals (one row each)."""
     from ..session import materialize
-    oc = [F.col(key), F.col(order).desc() if descending else F.col(order).asc()]
-    ranged = (df.repartitionByRange(partitions, *oc) if partitions
-              else df.repartitionByRange(*oc)).sortWithinPartitions(*oc)
-    # positions are taken once and written: both branches below must see the
-    # same partitioning, whatever the input's row order on a recomputation
-    t = materialize(ranged.withColumn("_mid", F.monotonically_increasing_id())
-                    .withColumn("_pid", F.shiftright("_mid", 33)))
-    w = Window.partitionBy("_pid").orderBy("_mid")
-    t = t.withColumn("_nk", F.lead(key).over(w)).withColumn("_nv", F.lead(col).over(w))
-    firsts = t.groupBy("_pid").agg(F.min_by(F.struct(F.col(key).alias("k"), F.col(col).alias("v")), "_mid")
-                                   .alias("_f"))
-    # one row per partition: bounded by the partition count
-    nxt = firsts.select("_pid", F.lead("_f").over(Window.orderBy("_pid")).alias("_nf"))
-    t = t.join(F.broadcast(nxt), "_pid", "left")
-    value = (F.when(F.col("_nk").isNotNull(), F.when(F.col("_nk") == F.col(key), F.col("_nv")))
-             .otherwise(F.when(F.col("_nf.k") == F.col(key), F.col("_nf.v"))))
-    return t.withColumn(alias, value).drop("_mid", "_pid", "_nk", "_nv", "_nf")
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    t = materialize(ranged.withColumn("_mid", F.monotonically_increasing_id()).withColumn("_pid", F.shiftright("_mid", 33)))
+    inside = Window.partitionBy("_pid").orderBy("_mid").rowsBetween(Window.unboundedPreceding, -1)
+    along = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = t.groupBy("_pid").agg(F.sum(col).alias("_t")).select("_pid", F.coalesce(F.sum("_t").over(along), F.lit(0)).alias("_off"))
+    total = F.coalesce(F.sum(col).over(inside), F.lit(0)) + F.col("_off")
+    return t.join(F.broadcast(offsets), "_pid").withColumn(alias, total).drop("_mid", "_pid", "_off")
+
+
+def keyed_lead(df: DataFrame, key: str, order: str, col: str, alias: str, descending: bool = False) -> DataFrame:
+    """``lead(col) OVER (PARTITION BY key ORDER BY order)`` (``lag`` if
+    ``descending``); (key, order) should be unique, as for any lead.
+
+    On a date order a hot key is split: the lead is taken inside each (key,
+    year), and a year's last row takes the first value of the key's next year
+    from a table of one row per (key, year).  No sampling, no write, and one
+    shuffle of the rows.  Other orders (years, positions of small aggregated
+    frames) take the plain window."""
+    o = F.col(order).desc() if descending else F.col(order).asc()
+    if df.schema[order].dataType.typeName() not in ("date", "timestamp", "timestamp_ntz"):
+        return df.withColumn(alias, F.lead(col).over(Window.partitionBy(key).orderBy(o)))
+    year = F.coalesce(F.year(order), F.lit(-1))
+    inside = Window.partitionBy(key, "_y").orderBy(o)
+    t = (df.withColumn("_y", year).withColumn("_more", F.lead(F.lit(True)).over(inside))
+         .withColumn("_in", F.lead(col).over(inside)))
+    end = (F.max if descending else F.min)(F.struct(F.col(order).alias("o"), F.col(col).alias("v")))
+    heads = df.groupBy(F.col(key).alias("_k"), year.alias("_hy")).agg(end.alias("_h"))
+    along = Window.partitionBy("_k").orderBy(F.col("_hy").desc() if descending else F.col("_hy"))
+    heads = heads.withColumn("_next", F.lead("_h").over(along)).select("_k", "_hy", F.col("_next.v").alias("_out"))
+    j = t.join(heads, t[key].eqNullSafe(heads["_k"]) & (t["_y"] == heads["_hy"]), "left")
+    value = F.when(F.col("_more"), F.col("_in")).otherwise(F.col("_out"))
+    return j.withColumn(alias, value).drop("_y", "_more", "_in", "_k", "_hy", "_out")

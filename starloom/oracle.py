@@ -55,7 +55,7 @@ FROM lineitem JOIN orders ON l_orderkey=o_orderkey GROUP BY 1,2""",
        CAST(3000+c_custkey%1000 AS INT) monthly_income, CAST(c_custkey%10 AS INT) num_companies_worked,
        CASE WHEN c_custkey%3=1 THEN 'Yes' ELSE 'No' END over_time, CAST(c_custkey%4 AS INT) stock_option_level,
        CAST(c_custkey%40 AS INT) total_working_years, CAST(c_custkey%20 AS INT) years_at_company,
-       h.hire_date
+       coalesce(h.hire_date, DATE '1995-01-01') hire_date
 FROM customer JOIN nation ON n_nationkey=c_nationkey
 LEFT JOIN (SELECT employee_id, min(effective_start) hire_date FROM fx_history GROUP BY 1) h
        ON h.employee_id=c_custkey+1""",
@@ -72,10 +72,10 @@ FROM fx_stg_employee WHERE employee_id%500=1""",
        CASE WHEN employee_id%101=6 THEN repeat('x', 61) ELSE last_name END last_name,
        CASE WHEN employee_id%89=4 THEN replace(email, '.example', '')
             WHEN employee_id%103=8 THEN concat(' ', upper(email), ' ') ELSE email END email,
-       gender, CAST(CASE WHEN employee_id%83=2 THEN 17 ELSE age END AS INT) age, marital_status,
+       gender, CAST(CASE WHEN employee_id%83=2 THEN 17 WHEN employee_id%59=9 THEN NULL ELSE age END AS INT) age, marital_status,
        education education_level, education_field, hire_date, department, job_role,
        CAST(CASE WHEN employee_id%73=3 THEN 6 ELSE job_level END AS INT) job_level,
-       CAST(CASE WHEN employee_id%79=1 THEN 0 ELSE monthly_income END AS INT) monthly_income
+       CAST(CASE WHEN employee_id%79=1 THEN 0 WHEN employee_id%67=4 THEN NULL ELSE monthly_income END AS INT) monthly_income
 FROM fx_stg_employee""",
     "fx_entry_project": """SELECT CAST(s_suppkey+1 AS BIGINT) project_id,
        CASE WHEN s_suppkey%17=3 THEN '  ' ELSE s_name END project_name, CAST(s_nationkey+1 AS INT) department_id,
@@ -83,13 +83,14 @@ FROM fx_stg_employee""",
             ELSE 'On Hold' END status,
        CASE WHEN s_suppkey%23=5 THEN 'Urgent' WHEN s_suppkey%3=0 THEN 'Low' WHEN s_suppkey%3=1 THEN 'Medium'
             ELSE 'High' END priority,
-       CAST(CASE WHEN s_suppkey%13=7 THEN -500 ELSE (s_suppkey%100)*1000 END AS DECIMAL(12,2)) budget,
-       CAST(DATE '1995-01-01' + CAST(s_suppkey%365 AS INT) AS DATE) start_date,
+       CAST(CASE WHEN s_suppkey%13=7 THEN -500 WHEN s_suppkey%29=6 THEN NULL ELSE (s_suppkey%100)*1000 END AS DECIMAL(12,2)) budget,
+       CASE WHEN s_suppkey%31=2 THEN NULL ELSE CAST(DATE '1995-01-01' + CAST(s_suppkey%365 AS INT) AS DATE) END start_date,
        CASE WHEN s_suppkey%11=5 THEN CAST(DATE '1995-01-01' + CAST(s_suppkey%365 AS INT) - 10 AS DATE)
             WHEN s_suppkey%2=0 THEN CAST(DATE '1995-01-01' + CAST(s_suppkey%365 AS INT) + 200 AS DATE) END end_date
 FROM supplier""",
     "fx_entry_review": """SELECT o_orderkey review_id, o_custkey+1 employee_id, CAST(o_orderdate AS DATE) review_date,
-       CAST(substr(o_orderpriority,1,1) AS INT) performance_rating, CAST(1+o_orderkey%4 AS INT) job_satisfaction,
+       CASE WHEN o_orderkey%53<>1 THEN CAST(substr(o_orderpriority,1,1) AS INT) END performance_rating,
+       CASE WHEN o_orderkey%71<>3 THEN CAST(1+o_orderkey%4 AS INT) END job_satisfaction,
        CAST(CASE WHEN o_orderkey%61=0 THEN 0 ELSE 1+(o_orderkey+o_custkey)%4 END AS INT) environment_satisfaction,
        CAST(1+o_custkey%4 AS INT) work_life_balance,
        CAST(CASE WHEN o_orderkey%101=0 THEN 55 ELSE 11+o_orderkey%15 END AS INT) percent_salary_hike

@@ -12,11 +12,6 @@ from ..operators.windows import first_per, top_ranks, with_rank
 from .model import Core, Warehouse
 
 
-def _fact_dates(dw: Warehouse) -> DataFrame:
-    dt = bounded_broadcast(dw.dim_date.select("date_key", "year_number"))
-    return dw.fact.join(dt, "date_key", "inner")
-
-
 def _fact_depts(f: DataFrame, dw: Warehouse) -> DataFrame:
     dep = bounded_broadcast(dw.dim_department.select("department_key", "department_name"))
     return f.join(dep, "department_key", "inner")
@@ -35,17 +30,18 @@ def kpis(dw: Warehouse) -> DataFrame:
 
 
 def review_years(dw: Warehouse) -> DataFrame:
-    return _fact_dates(dw).select(F.col("year_number").alias("review_year")).distinct().orderBy("review_year")
+    """Years with facts: a distinct over the fact's partition column."""
+    return dw.fact.select("review_year").distinct().orderBy("review_year")
 
 
 def yearly_trend(dw: Warehouse) -> DataFrame:
     """Year x department: average score and rating (2 dp), reviews, and the
     year-over-year change of the unrounded average score."""
-    f = _fact_depts(_fact_dates(dw), dw)
-    y = f.groupBy(F.col("year_number").alias("review_year"), "department_name").agg(
+    y = dw.fact.groupBy("review_year", "department_key").agg(
         F.avg("review_score").alias("_avg_score"),
         F.avg(F.col("performance_rating").cast("decimal(10,0)")).alias("_avg_rating"),
         F.count(F.lit(1)).alias("reviews"))
+    y = _fact_depts(y, dw)
     w = Window.partitionBy("department_name").orderBy("review_year")
     return y.select(
         "review_year", "department_name",
@@ -56,25 +52,23 @@ def yearly_trend(dw: Warehouse) -> DataFrame:
     ).orderBy("department_name", "review_year")
 
 
-def _latest_year(dw: Warehouse):
-    return dw.dim_date.join(dw.fact.select("date_key"), "date_key", "left_semi") \
-        .agg(F.max("year_number")).scalar()
-
-
 def top_performers(dw: Warehouse, year: int | None = None, n: int = 5,
                    by_rating: bool = True) -> DataFrame:
     """Per department, employees by dense rank of rounded average score
-    (then rounded average rating); ties share a rank."""
-    f = _fact_depts(_fact_dates(dw), dw)
-    yr = F.lit(year) if year is not None else _latest_year(dw)
-    f = f.filter(F.col("year_number") == yr)
-    e = dw.dim_employee.select("employee_key", "full_name")
-    f = f.join(e, "employee_key", "inner")
-    per = f.groupBy("employee_id", "full_name", "department_name").agg(
+    (then rounded average rating); ties share a rank.
+
+    The year is a partition of the fact: a given year reads that partition
+    alone.  Employees are ranked by id; only the ranked ones meet the employee
+    dimension for their name."""
+    yr = F.lit(year) if year is not None else dw.fact.agg(F.max("review_year")).scalar()
+    f = dw.fact.filter(F.col("review_year") == yr)
+    per = f.groupBy("employee_id", "department_key").agg(
         avg_exact_col("review_score", 2).alias("avg_score"),
-        avg_int_col("performance_rating", 2).alias("avg_rating"))
+        avg_int_col("performance_rating", 2).alias("avg_rating"),
+        F.max("employee_key").alias("employee_key"))
     order = [F.col("avg_score").desc()] + ([F.col("avg_rating").desc()] if by_rating else [])
-    ranked = top_ranks(per, "department_name", order, n, "dept_rank")
+    ranked = _fact_depts(top_ranks(per, "department_key", order, n, "dept_rank"), dw)
+    ranked = ranked.join(dw.dim_employee.select("employee_key", "full_name"), "employee_key", "inner")
     cols = ["department_name", F.col("dept_rank").cast("int").alias("dept_rank"), "employee_id", "full_name",
             "avg_score"] + (["avg_rating"] if by_rating else [])
     return ranked.select(*cols).orderBy("department_name", "dept_rank", "employee_id")
@@ -94,13 +88,13 @@ def attrition_by_group(dw: Warehouse) -> DataFrame:
 def attrition_risk_list(dw: Warehouse, n: int = 20) -> DataFrame:
     """Current, not-left employees scored from overtime and their latest
     review; highest risk first (inner: people without a review are out)."""
-    e = dw.dim_employee.select("employee_key", "employee_id")
-    f = dw.fact.select("employee_key", "date_key", "job_satisfaction", "work_life_balance",
-                       "performance_rating", "review_score").join(e, "employee_key", "inner")
-    latest = first_per(f, ["employee_id"], [F.col("date_key").desc()])
     c = dw.dim_employee.filter((F.col("is_current") == 1) & (F.col("attrition_flag") == 0))
+    # the fact carries employee_id: no join to the dimension for it
+    f = dw.fact.select("employee_id", "date_key", "job_satisfaction", "work_life_balance", "performance_rating", "review_score") \
+        .join(c.select("employee_id"), "employee_id", "left_semi")
+    latest = first_per(f, ["employee_id"], [F.col("date_key").desc()])
     j = c.select("employee_id", "full_name", "department_name", "job_role", "over_time_flag") \
-        .join(latest.drop("employee_key", "date_key"), "employee_id", "inner")
+        .join(latest.drop("date_key"), "employee_id", "inner")
     risk = (F.col("over_time_flag") * 2 + (F.col("job_satisfaction") <= 2).cast("int") * 2
             + (F.col("work_life_balance") <= 2).cast("int") + (F.col("performance_rating") <= 2).cast("int"))
     out = j.select("employee_id", "full_name", "department_name", "job_role",
@@ -112,28 +106,31 @@ def attrition_risk_list(dw: Warehouse, n: int = 20) -> DataFrame:
 
 
 def _project_stats(dw: Warehouse, min_reviews: int, with_people: bool) -> DataFrame:
-    p = bounded_broadcast(dw.dim_project.filter(F.col("project_key") != -1)
-                          .select("project_key", "project_name", "department_name", "status", "priority"))
-    f = dw.fact.filter(F.col("project_key") != -1).join(p, "project_key", "inner")
-    keys = ["project_name", "department_name", "status"] + (["priority"] if with_people else [])
+    """Statistics per project key; names are joined to the grouped rows."""
     aggs = [F.count(F.lit(1)).alias("reviews")]
     if with_people:
         # the fact carries employee_id as a degenerate column: no join needed
         aggs.append(F.count_distinct("employee_id").cast("bigint").alias("people"))
     aggs += [avg_exact_col("review_score", 2).alias("avg_score"),
              pct_where_col(F.col("performance_rating") <= 2, 1).alias("low_rating_pct")]
-    return f.groupBy(*keys).agg(*aggs).filter(F.col("reviews") >= min_reviews)
+    per = dw.fact.filter(F.col("project_key") != -1).groupBy("project_key").agg(*aggs).filter(F.col("reviews") >= min_reviews)
+    p = dw.dim_project.select("project_key", "project_name", "department_name", "status", *(["priority"] if with_people else []))
+    keep = [c for c in per.columns if c != "project_key"]
+    return per.join(p, "project_key", "inner").select(*[c for c in p.columns if c != "project_key"], *keep)
+
+
+def _ranked(s: DataFrame) -> DataFrame:
+    # scores of 0 to 100 with two decimals: few values at any number of projects
+    r = with_rank(s, ["avg_score"], False, "bottleneck_rank", few_values=True)
+    return r.withColumn("bottleneck_rank", F.col("bottleneck_rank").cast("int"))
 
 
 def project_bottlenecks(dw: Warehouse, min_reviews: int = 20) -> DataFrame:
-    s = _project_stats(dw, min_reviews, True)
-    return with_rank(s, ["avg_score"], False, "bottleneck_rank").orderBy("bottleneck_rank", "project_name")
+    return _ranked(_project_stats(dw, min_reviews, True)).orderBy("bottleneck_rank", "project_name")
 
 
 def project_bottlenecks_top10(dw: Warehouse, min_reviews: int = 20, n: int = 10) -> DataFrame:
-    s = _project_stats(dw, min_reviews, False)
-    r = with_rank(s, ["avg_score"], False, "bottleneck_rank")
-    return r.orderBy("bottleneck_rank", "project_name").limit(n)
+    return _ranked(_project_stats(dw, min_reviews, False)).orderBy("bottleneck_rank", "project_name").limit(n)
 
 
 def bottlenecks_head(dw: Warehouse, n: int = 15) -> DataFrame:

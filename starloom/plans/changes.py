@@ -5,9 +5,10 @@ explicit ``seq`` (arrival order) and returns ``(core', accepted, rejected)``;
 a change sees the effect of every earlier accepted change, and the first
 failing rule (in the order the entry forms check them) is the reject reason.
 
-Order-free rules ("email must be new", "employee must exist") are joins and
-aggregates.  Truly sequential rules (department moves, the 100 % allocation
-cap) run as a streaming fold: the batch is hash-partitioned by employee,
+Order-free rules ("email must be new", "employee must exist", ranges, NULLs)
+are joins, aggregates and column conditions, and decide every change they
+can.  Only changes of an employee with two or more undecided ones (department
+moves, the 100 % allocation cap) run as a streaming fold: the batch is hash-partitioned by employee,
 sorted by (employee, seq) inside each partition and folded by
 ``mapInPandas``, which carries one employee's small state across Arrow
 batches -- a key's changes are streamed, never collected into one group.
@@ -26,7 +27,9 @@ from pyspark.sql import types as T
 from ..functions.numeric import review_score
 from ..functions.text import strip_all
 from ..operators.quality import employee_reasons, project_reasons, review_reasons
-from ..operators.windows import global_positions
+from ..operators.windows import global_positions, keyed_lead
+from ..schemas import DEFAULTS
+from ..session import materialize
 from .model import Core
 
 STATUS = "status"
@@ -37,10 +40,6 @@ REASON = "reason"
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-def _first_reason(reasons: list) -> F.Column:
-    return F.coalesce(*reasons)
-
-
 def _split(tagged: DataFrame) -> tuple[DataFrame, DataFrame]:
     return tagged.filter(F.col(STATUS) == "accepted"), tagged.filter(F.col(STATUS) == "rejected")
 
@@ -52,95 +51,120 @@ def _first_valid_per_key(df: DataFrame, key: F.Column, valid: F.Column) -> DataF
     return d.join(firsts, "_key", "left")
 
 
+def _with_defaults(changes: DataFrame, table: str) -> DataFrame:
+    """Column defaults for columns that the batch lacks or leaves NULL."""
+    for c, v in DEFAULTS[table].items():
+        changes = changes.withColumn(c, F.coalesce(F.col(c), F.lit(v)) if c in changes.columns else F.lit(v))
+    return changes
+
+
+def _missing(changes: DataFrame, cols) -> list:
+    return [F.when(F.col(c).isNull(), F.lit(f"{c}:missing")) for c in cols if c in changes.columns]
+
+
+def _known(changes: DataFrame, col: str, parent: DataFrame | None, key: str | None = None) -> DataFrame:
+    """Adds ``_no_<col>``: the value is not in the parent table (NULL is not)."""
+    if parent is None:
+        return changes.withColumn(f"_no_{col}", F.col(col).isNull())
+    ids = parent.select(F.col(key or col).alias(f"_p_{col}")).distinct()
+    j = changes.join(ids, changes[col] == ids[f"_p_{col}"], "left")
+    return j.withColumn(f"_no_{col}", F.col(f"_p_{col}").isNull()).drop(f"_p_{col}")
+
+
+def _tag(c: DataFrame, reason, columns) -> DataFrame:
+    return c.withColumn(REASON, reason).withColumn(STATUS, F.when(F.col(REASON).isNull(), "accepted").otherwise("rejected")) \
+        .select(*columns, REASON, STATUS)
+
+
+def _as_table(rows: DataFrame, table: DataFrame, **values) -> DataFrame:
+    """``rows`` in the columns and types of ``table``; what they lack is NULL."""
+    return rows.select(*[(values[c] if c in values else F.col(c) if c in rows.columns else F.lit(None))
+                         .cast(table.schema[c].dataType).alias(c) for c in table.columns])
+
+
+def _numbered(acc: DataFrame, table: DataFrame, key: str, new: str) -> DataFrame:
+    """Next ids of the table, in arrival order."""
+    base = table.agg(F.coalesce(F.max(key), F.lit(0)).cast("long")).scalar()
+    return global_positions(acc, ["seq"], False, "_pos").withColumn(new, base + F.col("_pos")).drop("_pos")
+
+
 # --------------------------------------------------------------- onboarding
 def apply_onboarding(core: Core, changes: DataFrame) -> tuple[Core, DataFrame, DataFrame]:
-    """New employees: entity rules first, then the e-mail must be new (in the
-    table or earlier in the batch).  Accepted rows get the next employee ids
-    (in seq order) and their first history row (Initial Hire)."""
-    c = changes.withColumn("_vreason", _first_reason(employee_reasons(changes)))
-    email = F.lower(strip_all(F.col("email")))
-    c = _first_valid_per_key(c, email, F.col("_vreason").isNull())
-    known = core.employees.select(F.lower(F.col("email")).alias("_key")).distinct() \
-        .withColumn("_exists", F.lit(True))
+    """New employees: entity rules, required columns, known department and
+    role, then the e-mail must be new (in the table or earlier in the batch).
+    Texts are stripped and column defaults filled in.  Accepted rows get the
+    next employee ids (in seq order) and their first history row (Initial
+    Hire)."""
+    c = _with_defaults(changes, "employees")
+    required = _missing(c, ["gender", "marital_status", "education_field", "hire_date"])
+    c = _known(_known(c, "department_id", core.departments), "job_role_id", core.job_roles)
+    c = c.withColumn("_vreason", F.coalesce(
+        *employee_reasons(c), *required, F.when(F.col("_no_department_id"), F.lit("department_id:unknown")),
+        F.when(F.col("_no_job_role_id"), F.lit("job_role_id:unknown"))))
+    c = _first_valid_per_key(c, F.lower(strip_all(F.col("email"))), F.col("_vreason").isNull())
+    known = core.employees.select(F.lower(F.col("email")).alias("_key")).distinct().withColumn("_exists", F.lit(True))
     c = c.join(known, "_key", "left")
-    reason = (F.when(F.col("_vreason").isNotNull(), F.col("_vreason"))
-              .when(F.col("_exists") | (F.col("seq") != F.col("_first_seq")), F.lit("email already exists")))
-    tagged = c.withColumn(REASON, reason) \
-        .withColumn(STATUS, F.when(F.col(REASON).isNull(), "accepted").otherwise("rejected")) \
-        .drop("_key", "_first_seq", "_exists", "_vreason")
-    acc, rej = _split(tagged)
-    base = core.employees.agg(F.coalesce(F.max("employee_id"), F.lit(0)).cast("long")).scalar()
-    acc = global_positions(acc, ["seq"], False, "_pos").withColumn("new_employee_id", base + F.col("_pos")) \
-        .drop("_pos")
-    emp_cols = [c for c in core.employees.columns]
-    new_emp = acc.select(*[
-        (F.col("new_employee_id") if c == "employee_id" else
-         F.lower(strip_all("email")) if c == "email" else
-         (F.col(c) if c in acc.columns else F.lit(None))).cast(core.employees.schema[c].dataType).alias(c)
-        for c in emp_cols])
-    hist_cols = core.history.columns
-    first = acc.select(F.col("new_employee_id").alias("employee_id"), "department_id", "job_role_id", "job_level",
-                       "monthly_income", F.col("hire_date").alias("effective_start"),
-                       F.lit(None).cast("date").alias("effective_end"), F.lit("Initial Hire").alias("change_reason"))
-    first = first.select(*[(F.col(c) if c in first.columns else F.lit(None)).cast(core.history.schema[c].dataType)
-                           .alias(c) for c in hist_cols])
+    reason = F.coalesce(F.col("_vreason"), F.when(F.col("_exists") | (F.col("seq") != F.col("_first_seq")), F.lit("email already exists")))
+    columns = [*changes.columns, *[d for d in DEFAULTS["employees"] if d not in changes.columns]]
+    acc, rej = _split(_tag(c, reason, columns))
+    acc = _numbered(acc, core.employees, "employee_id", "new_employee_id")
+    for name in ("first_name", "last_name"):
+        acc = acc.withColumn(name, strip_all(name))
+    acc = acc.withColumn("email", F.lower(strip_all("email")))
+    new_emp = _as_table(acc, core.employees, employee_id=F.col("new_employee_id"))
+    first = _as_table(acc, core.history, employee_id=F.col("new_employee_id"), effective_start=F.col("hire_date"),
+                      effective_end=F.lit(None), change_reason=F.lit("Initial Hire"))
     nxt = core.with_(employees=core.employees.unionByName(new_emp), history=core.history.unionByName(first))
     return nxt, acc, rej
 
 
 # --------------------------------------------------------------- projects
 def apply_projects(core: Core, changes: DataFrame) -> tuple[Core, DataFrame, DataFrame]:
-    """New projects: entity rules, then the (stripped) name must be new."""
-    c = changes.withColumn("_vreason", _first_reason(project_reasons(changes)))
-    name = strip_all(F.col("project_name"))
-    c = _first_valid_per_key(c, name, F.col("_vreason").isNull())
+    """New projects: defaults, entity rules, known department, then the
+    (stripped) name must be new."""
+    c = _known(_with_defaults(changes, "projects"), "department_id", core.departments)
+    c = c.withColumn("_vreason", F.coalesce(*project_reasons(c), F.when(F.col("_no_department_id"), F.lit("department_id:unknown"))))
+    c = _first_valid_per_key(c, strip_all(F.col("project_name")), F.col("_vreason").isNull())
     known = core.projects.select(F.col("project_name").alias("_key")).distinct().withColumn("_exists", F.lit(True))
     c = c.join(known, "_key", "left")
-    reason = (F.when(F.col("_vreason").isNotNull(), F.col("_vreason"))
-              .when(F.col("_exists") | (F.col("seq") != F.col("_first_seq")), F.lit("project name already exists")))
-    tagged = c.withColumn(REASON, reason) \
-        .withColumn(STATUS, F.when(F.col(REASON).isNull(), "accepted").otherwise("rejected")) \
-        .drop("_key", "_first_seq", "_exists", "_vreason")
-    acc, rej = _split(tagged)
-    base = core.projects.agg(F.coalesce(F.max("project_id"), F.lit(0)).cast("long")).scalar()
-    acc = global_positions(acc, ["seq"], False, "_pos").withColumn("new_project_id", base + F.col("_pos")).drop("_pos")
-    cols = core.projects.columns
-    new = acc.withColumn("project_name", strip_all("project_name")).select(*[
-        (F.col("new_project_id") if c == "project_id" else F.col(c) if c in acc.columns else F.lit(None))
-        .cast(core.projects.schema[c].dataType).alias(c) for c in cols])
+    reason = F.coalesce(F.col("_vreason"), F.when(F.col("_exists") | (F.col("seq") != F.col("_first_seq")), F.lit("project name already exists")))
+    # the batch's own status column gives way to the change's status
+    c = c.withColumn("project_status", F.col("status"))
+    columns = [x for x in dict.fromkeys([*changes.columns, *DEFAULTS["projects"], "project_status"]) if x != "status"]
+    acc, rej = _split(_tag(c, reason, columns))
+    acc = _numbered(acc, core.projects, "project_id", "new_project_id").withColumn("project_name", strip_all("project_name"))
+    new = _as_table(acc, core.projects, project_id=F.col("new_project_id"), status=F.col("project_status"))
     return core.with_(projects=core.projects.unionByName(new)), acc, rej
 
 
 # --------------------------------------------------------------- reviews
 def apply_reviews(core: Core, changes: DataFrame) -> tuple[Core, DataFrame, DataFrame]:
-    """Reviews: entity rules, employee must exist, not before the hire date,
-    one per employee-day (table or earlier accepted in the batch); the score
-    is computed."""
-    c = changes.withColumn("_vreason", _first_reason(review_reasons(changes)))
+    """Reviews: entity rules, employee and project (if given) must exist, not
+    before the hire date, one per employee-day (table or earlier accepted in
+    the batch).  The score is computed and the next review ids are given out
+    in seq order; an id in the batch is not used."""
+    c = _with_defaults(changes, "performance_reviews")
+    c = c if "project_id" in c.columns else c.withColumn("project_id", F.lit(None).cast("long"))
+    c = c if core.projects is None else _known(c, "project_id", core.projects)
+    no_project = F.col("project_id").isNotNull() & (F.col("_no_project_id") if core.projects is not None else F.lit(False))
     emp = core.employees.select("employee_id", F.col("hire_date").alias("_hire"), F.lit(True).alias("_emp"))
     c = c.join(emp, "employee_id", "left")
     day_taken = core.reviews.select("employee_id", "review_date").distinct().withColumn("_taken", F.lit(True))
     c = c.join(day_taken, ["employee_id", "review_date"], "left")
-    pre = (F.when(F.col("_vreason").isNotNull(), F.col("_vreason"))
-           .when(F.col("_emp").isNull(), F.lit("no such employee"))
-           .when(F.col("review_date") < F.col("_hire"), F.lit("review dated before hire date"))
-           .when(F.col("_taken").isNotNull(), F.lit("already has a review on that date")))
-    c = c.withColumn("_pre", pre)
-    firsts = c.filter(F.col("_pre").isNull()).groupBy("employee_id", "review_date") \
-        .agg(F.min("seq").alias("_first_seq"))
+    again = F.lit("already has a review on that date")
+    c = c.withColumn("_pre", F.coalesce(
+        *review_reasons(c), F.when(F.col("_emp").isNull(), F.lit("no such employee")),
+        F.when(F.col("review_date").isNull(), F.lit("review_date:missing")), F.when(no_project, F.lit("no such project")),
+        F.when(F.col("review_date") < F.col("_hire"), F.lit("review dated before hire date")), F.when(F.col("_taken"), again)))
+    firsts = c.filter(F.col("_pre").isNull()).groupBy("employee_id", "review_date").agg(F.min("seq").alias("_first_seq"))
     c = c.join(firsts, ["employee_id", "review_date"], "left")
-    reason = F.coalesce(F.col("_pre"), F.when(F.col("seq") != F.col("_first_seq"),
-                                               F.lit("already has a review on that date")))
-    tagged = c.withColumn(REASON, reason) \
-        .withColumn(STATUS, F.when(F.col(REASON).isNull(), "accepted").otherwise("rejected")) \
-        .withColumn("review_score", F.when(F.col(REASON).isNull(), review_score(
-            "performance_rating", "job_satisfaction", "environment_satisfaction", "work_life_balance"))) \
-        .drop("_vreason", "_hire", "_emp", "_taken", "_pre", "_first_seq")
+    reason = F.coalesce(F.col("_pre"), F.when(F.col("seq") != F.col("_first_seq"), again))
+    columns = [x for x in dict.fromkeys([*changes.columns, "project_id", "percent_salary_hike"]) if x not in ("review_id", "review_score")]
+    tagged = _tag(c, reason, columns).withColumn("review_score", F.when(F.col(STATUS) == "accepted", review_score(
+        "performance_rating", "job_satisfaction", "environment_satisfaction", "work_life_balance")))
     acc, rej = _split(tagged)
-    cols = core.reviews.columns
-    new = acc.select(*[(F.col(c) if c in acc.columns else F.lit(None)).cast(core.reviews.schema[c].dataType).alias(c)
-                       for c in cols])
-    return core.with_(reviews=core.reviews.unionByName(new)), acc, rej
+    acc = _numbered(acc, core.reviews, "review_id", "review_id")
+    return core.with_(reviews=core.reviews.unionByName(_as_table(acc, core.reviews))), acc, rej
 
 
 # --------------------------------------------------------------- sequential folds
@@ -167,79 +191,98 @@ def _fold(df: DataFrame, key: str, schema: T.StructType, step, init_state, tiebr
     return ordered.mapInPandas(run, schema)
 
 
-def _none(v):
-    return None if v is None or (isinstance(v, float) and pd.isna(v)) or v is pd.NaT else v
-
-
-DEPT_OUT = T.StructType([T.StructField("seq", T.LongType()), T.StructField("employee_id", T.LongType()),
-                         T.StructField(STATUS, T.StringType()), T.StructField(REASON, T.StringType()),
-                         T.StructField("closed_start", T.DateType()), T.StructField("effective_date", T.DateType()),
-                         T.StructField("new_department_id", T.IntegerType())])
-
-
 def open_rows(history: DataFrame) -> DataFrame:
     """The open (current) history row per employee: effective_end IS NULL."""
     return history.filter(F.col("effective_end").isNull())
 
 
-def department_change_status(history: DataFrame, changes: DataFrame) -> DataFrame:
-    """Per change: accepted/rejected with the reason, by a streaming fold over
-    (employee, seq).  State = the open row's (department, start)."""
-    cur = open_rows(history).select("employee_id", F.col("department_id").alias("cur_dept"),
-                                    F.col("effective_start").alias("cur_start"))
-    c = changes.select("seq", "employee_id", "new_department_id", "effective_date").join(cur, "employee_id", "left")
-
-    def init(row):
-        return (_none(row.cur_dept), _none(row.cur_start))
+def _decide(c: DataFrame, key: str, pre, fold, alone=None) -> DataFrame:
+    """``c`` with status and reason: ``pre`` (a built-in rule) rejects what
+    needs no history of the batch; a key's only change left is decided by the
+    built-in rule ``alone`` (accepted without one); only keys with two or more
+    go through ``fold``, which sees no NULL in any column it reads."""
+    rid = materialize(c.withColumn("_rid", F.monotonically_increasing_id()).withColumn(REASON, pre))
+    left = rid.filter(F.col(REASON).isNull())
+    several = left.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(key)
+    folded = fold(left.join(several, key, "left_semi").withColumnRenamed("_rid", "rid"))
+    st = folded.select(F.col("rid").alias("_rid"), F.col(REASON).alias("_r"))
+    st = st.withColumn("_folded", F.lit(True))
+    last = F.when(F.col("_folded").isNull(), alone) if alone is not None else F.lit(None).cast("string")
+    out = rid.join(st, "_rid", "left").withColumn(REASON, F.coalesce(F.col(REASON), F.col("_r"), last))
+    return out.withColumn(STATUS, F.when(F.col(REASON).isNull(), "accepted").otherwise("rejected")).drop("_r", "_folded")
+
+
+FOLD_OUT = T.StructType([T.StructField("rid", T.LongType()), T.StructField(REASON, T.StringType())])
+
+
+def _department_status(core: Core, changes: DataFrame) -> DataFrame:
+    cur = open_rows(core.history).select("employee_id", F.col("department_id").alias("cur_dept"), F.col("effective_start").alias("cur_start"))
+    c = changes.join(cur, "employee_id", "left")
+    c = _known(c, "new_department_id", core.departments, "department_id")
+    roles = core.job_roles if "new_job_role_id" in changes.columns else None
+    if roles is not None:
+        c = _known(c, "new_job_role_id", roles, "job_role_id")
+    pre = F.coalesce(
+        F.when(F.col("cur_dept").isNull(), F.lit("no active job record")),
+        F.when(F.col("_no_new_department_id"), F.lit("no such department")),
+        F.when(F.col("_no_new_job_role_id"), F.lit("no such role")) if roles is not None else F.lit(None).cast("string"),
+        F.when(F.col("effective_date").isNull(), F.lit("effective_date:missing")))
 
     def step(state, row):
         dept, start = state
-        eff = row.effective_date
-        if dept is None:
-            return state, (row.seq, row.employee_id, "rejected", "no active job record", None, eff,
-                           row.new_department_id)
         if row.new_department_id == dept:
-            return state, (row.seq, row.employee_id, "rejected", "already in that department", None, eff,
-                           row.new_department_id)
-        if eff <= start:
-            return state, (row.seq, row.employee_id, "rejected", "move must be after the current role started",
-                           None, eff, row.new_department_id)
-        return (row.new_department_id, eff), (row.seq, row.employee_id, "accepted", None, start, eff,
-                                              row.new_department_id)
-    return _fold(c, "employee_id", DEPT_OUT, step, init)
+            return state, (row.rid, "already in that department")
+        if row.effective_date <= start:
+            return state, (row.rid, "move must be after the current role started")
+        return (row.new_department_id, row.effective_date), (row.rid, None)
+
+    def fold(left):
+        use = left.select("rid", "seq", "employee_id", "new_department_id", "effective_date", "cur_dept", "cur_start")
+        return _fold(use, "employee_id", FOLD_OUT, step, lambda row: (row.cur_dept, row.cur_start), tiebreak=("rid",))
+
+    alone = F.when(F.col("new_department_id") == F.col("cur_dept"), F.lit("already in that department")) \
+        .when(F.col("effective_date") <= F.col("cur_start"), F.lit("move must be after the current role started"))
+    return _decide(c, "employee_id", pre, fold, alone)
+
+
+def department_change_status(history: DataFrame, changes: DataFrame, core: Core | None = None) -> DataFrame:
+    """Per change: accepted or rejected with the reason."""
+    base = core or Core(departments=None, employees=None, history=history, projects=None, reviews=None)
+    return _department_status(base, changes).select(*changes.columns, STATUS, REASON)
 
 
 def apply_department_change(core: Core, changes: DataFrame) -> tuple[Core, DataFrame, DataFrame]:
     """Moves: close the open row the day before, open a new one carrying level
-    and income, update the employee's current department and role."""
-    st = department_change_status(core.history, changes)
-    full = changes.join(st.select("seq", STATUS, REASON, "closed_start"), "seq", "inner")
+    and income, update the employee's current department and role.  Every
+    change comes back as accepted or rejected."""
+    full = materialize(_department_status(core, changes))
     acc, rej = _split(full)
-    # rows closed by an accepted move: (employee, start) -> end = move date - 1
-    closes = acc.select("employee_id", F.col("closed_start").alias("effective_start"),
-                        F.date_sub("effective_date", 1).alias("_close"))
     level = open_rows(core.history).select("employee_id", "job_level", "monthly_income")
-    opened = acc.join(level, "employee_id", "left").select(
-        "employee_id", F.col("new_department_id").alias("department_id"),
-        F.col("new_job_role_id").alias("job_role_id"), "job_level", "monthly_income",
-        F.col("effective_date").alias("effective_start"), F.lit(None).cast("date").alias("effective_end"),
+    # an accepted move starts after the one before it: rows close the day before the next move of the employee
+    moves = keyed_lead(acc.select("employee_id", "effective_date", "new_department_id", *[c for c in ("new_job_role_id", "change_reason") if c in acc.columns]),
+                       "employee_id", "effective_date", "effective_date", "_next")
+    moves = _as_optional(moves, "new_job_role_id", "int")
+    moves = _as_optional(moves, "change_reason", "string")
+    opened = moves.join(level, "employee_id", "left").select(
+        "employee_id", F.col("new_department_id").alias("department_id"), F.col("new_job_role_id").alias("job_role_id"), "job_level",
+        "monthly_income", F.col("effective_date").alias("effective_start"), F.date_sub("_next", 1).alias("effective_end"),
         F.coalesce(F.col("change_reason"), F.lit("Department Transfer")).alias("change_reason"))
-    hist = core.history.unionByName(opened.select(*core.history.columns))
-    hist = hist.join(closes, ["employee_id", "effective_start"], "left") \
-        .withColumn("effective_end", F.coalesce("_close", "effective_end")).drop("_close")
-    last = acc.groupBy("employee_id").agg(F.max_by(F.struct("new_department_id", "new_job_role_id"), "seq").alias("_l"))
+    first = acc.groupBy("employee_id").agg(F.min("effective_date").alias("_first"))
+    hist = core.history.join(first, "employee_id", "left") \
+        .withColumn("effective_end", F.when(F.col("effective_end").isNull(), F.date_sub("_first", 1)).otherwise(F.col("effective_end")))
+    hist = hist.select(*core.history.columns).unionByName(_as_table(opened, core.history))
+    moved = _as_optional(acc, "new_job_role_id", "int")
+    last = moved.groupBy("employee_id").agg(F.max_by(F.struct("new_department_id", "new_job_role_id"), "effective_date").alias("_l"))
     emp = core.employees.join(last, "employee_id", "left")
-    if "department_id" in core.employees.columns:
-        emp = emp.withColumn("department_id", F.coalesce(F.col("_l.new_department_id"), F.col("department_id")))
-    if "job_role_id" in core.employees.columns:
-        emp = emp.withColumn("job_role_id", F.coalesce(F.col("_l.new_job_role_id"), F.col("job_role_id")))
-    emp = emp.drop("_l")
-    return core.with_(history=hist.select(*core.history.columns), employees=emp), acc, rej
+    for col in ("department_id", "job_role_id"):
+        if col in core.employees.columns:
+            emp = emp.withColumn(col, F.coalesce(F.col(f"_l.new_{col}"), F.col(col)))
+    pick = [*changes.columns, STATUS, REASON]
+    return core.with_(history=hist, employees=emp.select(*core.employees.columns)), acc.select(*pick), rej.select(*pick)
 
 
-ASSIGN_OUT = T.StructType([T.StructField("seq", T.LongType()), T.StructField("employee_id", T.LongType()),
-                           T.StructField("project_id", T.LongType()), T.StructField(STATUS, T.StringType()),
-                           T.StructField(REASON, T.StringType()), T.StructField("used_after", T.LongType())])
+def _as_optional(df: DataFrame, col: str, kind: str) -> DataFrame:
+    return df if col in df.columns else df.withColumn(col, F.lit(None).cast(kind))
 
 
 def current_allocation(core: Core) -> DataFrame:
@@ -250,83 +293,47 @@ def current_allocation(core: Core) -> DataFrame:
         .select("employee_id", F.coalesce("_t", F.lit(0)).cast("long").alias("total"))
 
 
-def assignment_status(core: Core, changes: DataFrame, cap: int = 100) -> DataFrame:
-    """Greedy allocation check by a streaming fold: a change is accepted when
-    employee and project exist, used + allocation <= cap and the pair is new
-    (in the table, even if ended, or accepted earlier in the batch); rejected
-    changes consume nothing.  Per-employee state: used % and the projects
-    accepted in this batch (at most cap / min allocation of them)."""
+def _assignment_status(core: Core, changes: DataFrame, cap: int) -> DataFrame:
     used = current_allocation(core).withColumnRenamed("total", "used0")
-    emp = core.employees.select("employee_id", F.lit(True).alias("has_emp"))
-    prj = core.projects.select("project_id", F.lit(True).alias("has_prj"))
-    pairs = core.assignments.select("employee_id", "project_id").distinct().withColumn("has_pair", F.lit(True))
-    c = (changes.select("seq", "employee_id", "project_id", "allocation_pct")
-         .join(emp, "employee_id", "left").join(prj, "project_id", "left")
-         .join(pairs, ["employee_id", "project_id"], "left").join(used, "employee_id", "left"))
-
-    def init(row):
-        u = _none(row.used0)
-        return (0 if u is None else int(u), set())
+    pairs = core.assignments.select("employee_id", "project_id").distinct().withColumn("_pair", F.lit(True))
+    c = _known(_known(changes, "employee_id", core.employees), "project_id", core.projects)
+    c = c.join(pairs, ["employee_id", "project_id"], "left").join(used, "employee_id", "left")
+    pre = F.coalesce(
+        F.when(F.col("_no_employee_id"), F.lit("no such employee")), F.when(F.col("_no_project_id"), F.lit("no such project")),
+        F.when(~F.coalesce(F.col("allocation_pct").between(1, 100), F.lit(False)), F.lit("allocation_pct:range")),
+        F.when(F.col("_pair"), F.lit("already assigned to that project")),
+        # allocations only grow within a batch
+        F.when(F.col("used0") + F.col("allocation_pct") > cap, F.lit("allocation over 100%")))
 
     def step(state, row):
-        u, taken = state
-        base = (row.seq, row.employee_id, row.project_id)
-        if _none(row.has_emp) is None:
-            return state, base + ("rejected", "no such employee", u)
-        if _none(row.has_prj) is None:
-            return state, base + ("rejected", "no such project", u)
-        if u + int(row.allocation_pct) > cap:
-            return state, base + ("rejected", "allocation over 100%", u)
-        if _none(row.has_pair) is not None or row.project_id in taken:
-            return state, base + ("rejected", "already assigned to that project", u)
-        taken = taken | {row.project_id}
-        u2 = u + int(row.allocation_pct)
-        return (u2, taken), base + ("accepted", None, u2)
-    return _fold(c, "employee_id", ASSIGN_OUT, step, init, tiebreak=("project_id",))
+        used_now, taken = state
+        if used_now + int(row.allocation_pct) > cap:
+            return state, (row.rid, "allocation over 100%")
+        if row.project_id in taken:
+            return state, (row.rid, "already assigned to that project")
+        return (used_now + int(row.allocation_pct), taken | {row.project_id}), (row.rid, None)
 
+    def fold(left):
+        use = left.select("rid", "seq", "employee_id", "project_id", "allocation_pct", "used0")
+        return _fold(use, "employee_id", FOLD_OUT, step, lambda row: (int(row.used0), frozenset()), tiebreak=("project_id", "rid"))
 
-def apply_assignments(core: Core, changes: DataFrame, cap: int = 100) -> tuple[Core, DataFrame, DataFrame]:
-    st = assignment_status(core, changes, cap)
-    full = changes.join(st.select("seq", "employee_id", "project_id", STATUS, REASON),
-                        ["seq", "employee_id", "project_id"], "inner")
-    acc, rej = _split(full)
-    cols = core.assignments.columns
-    new = acc.select(*[(F.col(c) if c in acc.columns else F.lit(None)).cast(core.assignments.schema[c].dataType)
-                       .alias(c) for c in cols])
-    return core.with_(assignments=core.assignments.unionByName(new)), acc, rej
-
+    return _decide(c, "employee_id", pre, fold)
 
-def sweep_first_covering(stream: DataFrame, eid_type) -> DataFrame:
-    """Sweep-line fold used by ``operators.joins.first_covering``.
 
-    ``stream`` rows: (k, d, kind, eid, iend, iseq, ival) with kind 0 =
-    interval start and kind 1 = event; per key, sorted by (d, kind) so an
-    interval starting on the event day covers it.  Emits (eid,
-    _first_value) for every event."""
-    import heapq
+def assignment_status(core: Core, changes: DataFrame, cap: int = 100) -> DataFrame:
+    """Greedy allocation check in arrival order: a change is accepted when
+    employee and project exist, the allocation is 1 to 100, the pair is new
+    (in the table, even if ended, or accepted earlier in the batch) and used +
+    allocation stays within ``cap``; rejected changes consume nothing.  The
+    fold's state per employee is the used share and the projects accepted in
+    this batch (at most ``cap`` of them)."""
+    return _assignment_status(core, changes, cap).select(*changes.columns, STATUS, REASON)
 
-    ordered = stream.repartition("k").sortWithinPartitions("k", "d", "kind", "iseq", "ival")
-    schema = T.StructType([T.StructField("eid", eid_type), T.StructField("_first_value", T.LongType())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last_key, heap = object(), []
-        for pdf in batches:
-            out_e, out_v = [], []
-            for k, d, kind, eid, iend, iseq, ival in zip(pdf["k"], pdf["d"], pdf["kind"], pdf["eid"],
-                                                         pdf["iend"], pdf["iseq"], pdf["ival"]):
-                if k != last_key:
-                    last_key, heap = k, []
-                if kind == 0:
-                    if _none(d) is not None:  # an interval without a start covers nothing
-                        heapq.heappush(heap, (int(iseq), int(ival), _none(iend)))
-                    continue
-                if _none(d) is None:
-                    out_e.append(eid)
-                    out_v.append(None)
-                    continue
-                while heap and heap[0][2] is not None and heap[0][2] < d:
-                    heapq.heappop(heap)
-                out_e.append(eid)
-                out_v.append(heap[0][1] if heap else None)
-            yield pd.DataFrame({"eid": out_e, "_first_value": pd.array(out_v, dtype="Int64")})
-    return ordered.mapInPandas(run, schema)
+def apply_assignments(core: Core, changes: DataFrame, cap: int = 100) -> tuple[Core, DataFrame, DataFrame]:
+    """New assignments under :func:`assignment_status`; accepted and rejected
+    changes together are the batch."""
+    c = _with_defaults(changes, "project_assignments")
+    full = materialize(_assignment_status(core, c, cap))
+    acc, rej = _split(full.select(*c.columns, STATUS, REASON))
+    return core.with_(assignments=core.assignments.unionByName(_as_table(acc, core.assignments))), acc, rej

@@ -10,15 +10,17 @@ then returns the new core, so a failing batch changes nothing.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_email, clean_text, yes_no
 from ..operators.joins import bounded_broadcast, drop_orphans, not_in
-from ..operators.quality import check_fk, check_unique, stack_reports
+from ..operators.quality import check_unique, constraint_report, stack_reports
 from ..operators.setops import assign_keys, union_distinct
 from ..operators.windows import first_per
+from ..schemas import CORE_RULES
 from .model import Core
 
 
@@ -139,24 +141,30 @@ class LoadRejected(Exception):
     pass
 
 
+# Keys and references that the loads guarantee by construction: distinct names, one review per employee-day,
+# inner joins and orphan drops.  The gate does not check them again.
+BY_CONSTRUCTION_KEYS = {("departments", ("department_name",)), ("job_roles", ("job_title",)),
+                        ("performance_reviews", ("employee_id", "review_date"))}
+BY_CONSTRUCTION_FKS = {(t, c) for t, r in CORE_RULES.items() for c, _, _ in r.foreign} - {("performance_reviews", "project_id")}
+
+
+def core_frames(c: Core) -> dict[str, DataFrame]:
+    """The core's tables under the names of ``schemas.CORE_RULES``."""
+    named = {"departments": c.departments, "job_roles": c.job_roles, "employees": c.employees, "employee_job_history": c.history,
+             "projects": c.projects, "project_assignments": c.assignments, "performance_reviews": c.reviews}
+    return {k: v for k, v in named.items() if v is not None}
+
+
 def core_gate(added: Core, previous: Core | None = None) -> DataFrame:
-    """Key constraints the load does not already guarantee, as one report.
-
-    Only the rows this load adds are checked: duplicates among them, and
-    collisions of their keys with the previous core (a semi join on one key
-    column).  Existing rows were checked when they were loaded, so the gate
-    never re-aggregates a whole table.  Keys unique by construction (cleaned
-    names + DISTINCT, latest row per employee, one review per employee-day,
-    and every key the loads anti-join on) are not re-checked."""
+    """Declared constraints of the rows this load adds, as one report: NOT
+    NULL and CHECK conditions in one scan a table, keys among the added rows
+    and against the previous core, and the references a load does not
+    guarantee itself.  Existing rows were checked when they were loaded."""
     a = added
-    reps = [check_unique(a.employees, "employees", ["email"])[0],
-            check_unique(a.history, "employee_job_history", ["employee_id", "effective_start"])[0],
-            check_unique(a.projects, "projects", ["project_id"])[0],
-            check_unique(a.projects, "projects", ["project_name"])[0],
-            check_unique(a.assignments, "project_assignments", ["employee_id", "project_id"])[0],
-            check_unique(a.reviews, "performance_reviews", ["review_id"])[0]]
     projects = a.projects if previous is None else previous.projects.unionByName(a.projects)
-    reps.append(check_fk(a.reviews, projects, "performance_reviews", ["project_id"])[0])
+    ids = {"projects": ["project_id"], "performance_reviews": ["review_id"]}
+    reps = [constraint_report(core_frames(a), CORE_RULES, {"projects": projects}, skip_keys=BY_CONSTRUCTION_KEYS, skip_fks=BY_CONSTRUCTION_FKS)]
+    reps += [check_unique(core_frames(a)[t], t, k)[0] for t, k in ids.items()]
     if previous is not None:
         reps += [_collisions(a.employees, previous.employees, "employees", ["email"]),
                  _collisions(a.projects, previous.projects, "projects", ["project_name"]),
@@ -164,6 +172,38 @@ def core_gate(added: Core, previous: Core | None = None) -> DataFrame:
     return stack_reports(reps)
 
 
+def assert_clean(report: DataFrame) -> None:
+    """Raise with every violated constraint of a (small) report."""
+    bad = report.filter(F.col("n_violations") > 0).collect()
+    if bad:
+        raise LoadRejected("; ".join(f"{r['constraint']} {r['table_name']}({r['columns']}): {r['n_violations']}" for r in bad))
+
+
+def staging_rejects(stg: "Staging") -> DataFrame:
+    """Staging rows that no load takes, with the reason: text the declared
+    types could not parse, and rows without the key of their table.  They are
+    reported here and kept out of the core."""
+    keys = {"snapshot": ["employee_id"], "history": ["employee_id", "effective_start"], "projects": ["project_id"],
+            "assignments": ["employee_id", "project_id"], "reviews": ["review_id", "employee_id", "review_date"]}
+    out = []
+    for name, cols in keys.items():
+        df = getattr(stg, name)
+        corrupt = F.col("_corrupt") if "_corrupt" in df.columns else F.lit(None).cast("string")
+        missing = [F.when(F.col(c).isNull(), F.lit(f"{c}:missing")) for c in cols]
+        reason = F.coalesce(F.when(corrupt.isNotNull(), F.lit("row:malformed")), *missing)
+        row = F.to_json(F.struct(*[c for c in df.columns if c != "_corrupt"]))
+        out.append(df.select(F.lit(name).alias("staging"), reason.alias("reason"), F.coalesce(corrupt, row).alias("row"))
+                   .filter(F.col("reason").isNotNull()))
+    return reduce(DataFrame.unionByName, out)
+
+
+def accepted_staging(stg: "Staging") -> "Staging":
+    """Staging without malformed rows (rows without a key fall out of the
+    loads themselves)."""
+    keep = lambda df: df.filter(F.col("_corrupt").isNull()).drop("_corrupt") if "_corrupt" in df.columns else df
+    return Staging(*[keep(getattr(stg, f)) for f in ("snapshot", "history", "projects", "assignments", "reviews")])
+
+
 def _collisions(new: DataFrame, old: DataFrame, table: str, keys) -> DataFrame:
     hit = new.join(old.select(*keys).distinct(), list(keys), "left_semi")
     return hit.agg(F.count(F.lit(1)).alias("n")).select(
@@ -181,42 +221,26 @@ def run_core_load(stg: Staging, core: Core | None = None, gate: bool = True,
     With ``gate`` the key report is evaluated (one small action) and any
     violation raises before anything is published."""
     from ..session import materialize
+    keep = materialize if materialize_tables else (lambda d: d)
+    stg = accepted_staging(stg)
+    old = core or Core(*[None] * 5)
     # small lookups joined by every later load: written once, then scanned
-    dep = materialize(load_departments(stg, core.departments if core else None))
-    rol = materialize(load_job_roles(stg, core.job_roles if core else None))
-    emp_new = load_employees(stg, dep, rol, core.employees if core else None)
-    emp = emp_new if core is None else core.employees.unionByName(emp_new)
-    his_new = load_job_history(stg, emp, dep, rol, core.history if core else None)
-    prj_new = load_projects(stg, dep, core.projects if core else None)
-    prj = prj_new if core is None else core.projects.unionByName(prj_new)
-    asg_new = load_assignments(stg, emp, prj, core.assignments if core else None)
-    rev_new = load_reviews(stg, emp, core.reviews if core else None)
-    nxt = Core(
-        departments=dep, job_roles=rol, employees=emp,
-        history=his_new if core is None else core.history.unionByName(his_new),
-        projects=prj,
-        assignments=asg_new if core is None else core.assignments.unionByName(asg_new),
-        reviews=rev_new if core is None else core.reviews.unionByName(rev_new))
+    dep = materialize(load_departments(stg, old.departments))
+    rol = materialize(load_job_roles(stg, old.job_roles))
+    both = lambda a, b: b if a is None else a.unionByName(b)
+    # employees and projects first: the other loads read what was written
+    emp_new = keep(load_employees(stg, dep, rol, old.employees))
+    prj_new = keep(load_projects(stg, dep, old.projects))
+    emp, prj = both(old.employees, emp_new), both(old.projects, prj_new)
+    his_new = keep(load_job_history(stg, emp, dep, rol, old.history))
+    asg_new = keep(load_assignments(stg, emp, prj, old.assignments))
+    rev_new = keep(load_reviews(stg, emp, old.reviews))
     added = Core(departments=dep, job_roles=rol, employees=emp_new, history=his_new, projects=prj_new,
                  assignments=asg_new, reviews=rev_new)
-    if materialize_tables:
-        added = added.with_(employees=materialize(emp_new), history=materialize(his_new),
-                            projects=materialize(prj_new), assignments=materialize(asg_new),
-                            reviews=materialize(rev_new))
-        nxt = Core(departments=dep, job_roles=rol,
-                   employees=added.employees if core is None else core.employees.unionByName(added.employees),
-                   history=added.history if core is None else core.history.unionByName(added.history),
-                   projects=added.projects if core is None else core.projects.unionByName(added.projects),
-                   assignments=added.assignments if core is None
-                   else core.assignments.unionByName(added.assignments),
-                   reviews=added.reviews if core is None else core.reviews.unionByName(added.reviews))
     if gate:
-        report = core_gate(added, core)
-        bad = report.filter(F.col("n_violations") > 0).collect()  # small report
-        if bad:
-            raise LoadRejected("; ".join(f"{r['constraint']} {r['table_name']}({r['columns']}): {r['n_violations']}"
-                                         for r in bad))
-    return nxt
+        assert_clean(core_gate(added, core))
+    return Core(departments=dep, job_roles=rol, employees=emp, history=both(old.history, his_new), projects=prj,
+                assignments=both(old.assignments, asg_new), reviews=both(old.reviews, rev_new))
 
 
 def core_for_warehouse(core: Core) -> Core:

@@ -14,8 +14,10 @@ def run_full(spark: SparkSession, core: Core, start=dims.DEFAULT_START, end=dims
     Every dimension is handed to ``keep(name, df) -> df`` as soon as it is
     built; the default writes it once to the shared checkpoint folder, a
     publisher passes a function that stages it as the next table version.
-    Later steps read the kept table, never its lineage.  The fact stays lazy
-    so the caller writes it straight to its table."""
+    Later steps read the kept table, never its lineage.  The fact stays lazy:
+    ``fact`` is its next state, and ``extra["fact_added"]`` the rows this run
+    adds, which a publisher appends (``store.stage("fact", added,
+    append=True)``) instead of rewriting the table."""
     from ..session import materialize
     keep = keep or (lambda name, d: materialize(d))
     dd = keep("dim_date", dims.dim_date(spark, start, end, dw.dim_date if dw else None))
@@ -26,7 +28,7 @@ def run_full(spark: SparkSession, core: Core, start=dims.DEFAULT_START, end=dims
                                                  dw.dim_employee if dw else None, core.job_roles))
     add = factmod.load_fact(core.reviews, emp, dep, dd, prj, dw.fact if dw else None, cal)
     fct = add if dw is None else dw.fact.unionByName(add)
-    return Warehouse(dd, dep, prj, emp, fct)
+    return Warehouse(dd, dep, prj, emp, fct, {"fact_added": add})
 
 
 def refresh_reviews(spark: SparkSession, core: Core, dw: Warehouse,
@@ -35,4 +37,4 @@ def refresh_reviews(spark: SparkSession, core: Core, dw: Warehouse,
     dd = dims.dim_date(spark, start, end, dw.dim_date)
     prj = dims.dim_project(core.projects, core.departments, dw.dim_project)
     add = factmod.load_fact(core.reviews, dw.dim_employee, dw.dim_department, dd, prj, dw.fact)
-    return dw.with_(dim_date=dd, dim_project=prj, fact=dw.fact.unionByName(add))
+    return dw.with_(dim_date=dd, dim_project=prj, fact=dw.fact.unionByName(add), extra={"fact_added": add})

@@ -23,16 +23,23 @@ FACT_COLS = ["review_id", "employee_key", "employee_id", "department_key", "proj
              *MEASURES, "review_year"]
 
 
-def new_reviews(reviews: DataFrame, fact: DataFrame | None) -> DataFrame:
+def batch_years(reviews: DataFrame) -> list[int]:
+    """Years of the raw batch (as many values as the calendar has years)."""
+    rows = reviews.select(F.year("review_date").alias("y")).filter("y is not null").distinct().collect()
+    return sorted(r["y"] for r in rows)
+
+
+def new_reviews(reviews: DataFrame, fact: DataFrame | None, years: list[int] | None = None) -> DataFrame:
+    """Reviews not in ``fact``, one per employee and day.  The fact is first
+    cut down to what the batch can meet: its review ids by a semi-join (one
+    column read), its employee-days by the batch's literal years, which are
+    partitions of the published fact."""
     r = reviews.withColumn("date_key", date_key("review_date"))
     if fact is not None:
-        r = r.join(fact.select("review_id"), "review_id", "left_anti")
-        # the employee-day guard can only hit fact rows of the batch's own
-        # years: restrict the fact by its partition column first (dynamic
-        # partition pruning on the year-partitioned fact table)
-        days = fact.select("employee_id", "date_key", "review_year")
-        years = r.select(F.year("review_date").cast("int").alias("review_year")).distinct()
-        days = days.join(years, "review_year", "left_semi").drop("review_year")
+        years = batch_years(reviews) if years is None else years
+        seen = fact.select("review_id").join(reviews.select("review_id").distinct(), "review_id", "left_semi")
+        r = r.join(seen.distinct(), "review_id", "left_anti")
+        days = fact.filter(F.col("review_year").isin(years)).select("employee_id", "date_key")
         r = r.join(days, ["employee_id", "date_key"], "left_anti")
     return first_per(r, ["employee_id", "review_date"], ["review_id"])
 
@@ -72,13 +79,12 @@ def unresolved(reviews: DataFrame, dim_employee: DataFrame, dim_department: Data
     """New reviews the inner lookups skip, with the first reason that applies."""
     nr = new_reviews(reviews, fact).select("review_id", "employee_id", "review_date", "date_key")
     ver = dim_employee.select("employee_id", "start_date", "end_date", "department_name")
-    hit = asof(nr, ver, "employee_id", "review_date", bounds_from=reviews.select("review_date"))
-    no_version = nr.join(hit.select("review_id"), "review_id", "left_anti") \
-        .select("review_id", F.lit("no employee version on the review date").alias("reason"))
-    dd = dim_department.select("department_name")
-    no_dept = hit.join(dd, "department_name", "left_anti") \
-        .select("review_id", F.lit("version department not in dim_department").alias("reason"))
-    ok = hit.join(dd, "department_name", "left_semi")
-    no_date = ok.join(dim_date.select("date_key"), "date_key", "left_anti") \
-        .select("review_id", F.lit("review date not in dim_date").alias("reason"))
-    return no_version.unionByName(no_dept).unionByName(no_date)
+    hit = asof(nr, ver, "employee_id", "review_date", bounds_from=reviews.select("review_date")) \
+        .select("review_id", "department_name", F.lit(True).alias("_version"))
+    dd = dim_department.select("department_name", F.lit(True).alias("_department"))
+    dt = bounded_broadcast(dim_date.select("date_key", F.lit(True).alias("_date")))
+    j = nr.select("review_id", "date_key").join(hit, "review_id", "left").join(dd, "department_name", "left").join(dt, "date_key", "left")
+    reason = F.when(F.col("_version").isNull(), "no employee version on the review date") \
+        .when(F.col("_department").isNull(), "version department not in dim_department") \
+        .when(F.col("_date").isNull(), "review date not in dim_date")
+    return j.select("review_id", reason.alias("reason")).filter(F.col("reason").isNotNull())

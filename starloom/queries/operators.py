@@ -307,15 +307,16 @@ def join_update(spark, sf):
 
 
 @query("join_point_in_time_first", """
-SELECT r.review_id, (SELECT a.project_id FROM fx_assignment a
-                     WHERE a.employee_id = r.employee_id AND a.start_date <= r.review_date
-                     ORDER BY a.seq, a.project_id LIMIT 1) project_id
-FROM fx_review r""")
+SELECT r.review_id, min_by(a.project_id, a.seq * 1000000 + a.project_id) project_id
+FROM fx_review r LEFT JOIN fx_stg_assignment a ON a.employee_id = r.employee_id AND a.start_date <= r.review_date
+     AND coalesce(a.end_date, DATE '9999-12-31') >= r.review_date
+GROUP BY r.review_id""")
 def join_point_in_time_first(spark, sf):
-    """First assignment (arrival order) already started on the review date."""
+    """First assignment (arrival order) that covers the review date; a
+    quarter of the assignments has an end."""
     f = fx(spark, sf)
     r = f.review().select("review_id", "employee_id", "review_date")
-    out = J.first_covering(r, f.assignment(), "employee_id", "review_date", "review_id", "seq", "project_id")
+    out = J.first_covering(r, f.stg_assignment(), "employee_id", "review_date", "review_id", "seq", "project_id")
     return out.select("review_id", "project_id")
 
 
@@ -436,7 +437,7 @@ SELECT CAST(rank() OVER (ORDER BY n DESC) AS INT) rk, department_id, n
 FROM (SELECT department_id, CAST(count(*) AS BIGINT) n FROM fx_history GROUP BY 1) x""")
 def win_rank_global(spark, sf):
     g = fx(spark, sf).history().groupBy("department_id").agg(F.count(F.lit(1)).alias("n"))
-    return W.with_rank(g, ["n"], True, "rk").select("rk", "department_id", "n")
+    return W.with_rank(g, ["n"], True, "rk").select(F.col("rk").cast("int").alias("rk"), "department_id", "n")
 
 
 # ------------------------------------------------------------ 2.H sort/limit/set/keys

@@ -156,7 +156,7 @@ class Fixture:
             (k % 4).cast("int").alias("stock_option_level"),
             (k % 40).cast("int").alias("total_working_years"),
             (k % 20).cast("int").alias("years_at_company"),
-            F.col("hire_date"),
+            F.coalesce("hire_date", F.lit("1995-01-01").cast("date")).alias("hire_date"),
         )
 
     def stg_employee_dirty(self) -> DataFrame:
@@ -178,11 +178,11 @@ class Fixture:
             F.when(k % 89 == 4, F.replace(F.col("email"), F.lit(".example"), F.lit("")))
              .when(k % 103 == 8, F.concat(F.lit(" "), F.upper("email"), F.lit(" ")))
              .otherwise(F.col("email")).alias("email"),
-            "gender", F.when(k % 83 == 2, F.lit(17)).otherwise(F.col("age")).cast("int").alias("age"),
+            "gender", F.when(k % 83 == 2, F.lit(17)).when(k % 59 != 9, F.col("age")).cast("int").alias("age"),
             "marital_status", F.col("education").alias("education_level"), "education_field", "hire_date",
             "department", "job_role",
             F.when(k % 73 == 3, F.lit(6)).otherwise(F.col("job_level")).cast("int").alias("job_level"),
-            F.when(k % 79 == 1, F.lit(0)).otherwise(F.col("monthly_income")).cast("int").alias("monthly_income"))
+            F.when(k % 79 == 1, F.lit(0)).when(k % 67 != 4, F.col("monthly_income")).cast("int").alias("monthly_income"))
 
     def entry_project(self) -> DataFrame:
         s = self._t("supplier")
@@ -196,8 +196,8 @@ class Fixture:
              .otherwise("On Hold").alias("status"),
             F.when(k % 23 == 5, "Urgent").when(k % 3 == 0, "Low").when(k % 3 == 1, "Medium")
              .otherwise("High").alias("priority"),
-            F.when(k % 13 == 7, F.lit(-500)).otherwise((k % 100) * 1000).cast("decimal(12,2)").alias("budget"),
-            start.alias("start_date"),
+            F.when(k % 13 == 7, F.lit(-500)).when(k % 29 != 6, (k % 100) * 1000).cast("decimal(12,2)").alias("budget"),
+            F.when(k % 31 != 2, start).alias("start_date"),
             F.when(k % 11 == 5, F.date_sub(start, 10)).when(k % 2 == 0, F.date_add(start, 200)).alias("end_date"))
 
     def entry_review(self) -> DataFrame:
@@ -205,8 +205,8 @@ class Fixture:
         ok, ck = F.col("o_orderkey"), F.col("o_custkey")
         return o.select(
             ok.alias("review_id"), (ck + 1).alias("employee_id"), _as_date(F.col("o_orderdate")).alias("review_date"),
-            F.substring("o_orderpriority", 1, 1).cast("int").alias("performance_rating"),
-            (F.lit(1) + ok % 4).cast("int").alias("job_satisfaction"),
+            F.when(ok % 53 != 1, F.substring("o_orderpriority", 1, 1).cast("int")).alias("performance_rating"),
+            F.when(ok % 71 != 3, F.lit(1) + ok % 4).cast("int").alias("job_satisfaction"),
             F.when(ok % 61 == 0, F.lit(0)).otherwise(F.lit(1) + (ok + ck) % 4).cast("int")
              .alias("environment_satisfaction"),
             (F.lit(1) + ck % 4).cast("int").alias("work_life_balance"),

@@ -33,10 +33,11 @@ def require_inputs(spark: SparkSession, base: str, tables: Sequence[str] = tuple
 
 def read_staging(spark: SparkSession, base: str, table: str) -> DataFrame:
     """CSV with header, declared schema (never inferred), ISO dates; malformed
-    rows are kept with their text in ``_corrupt`` (PERMISSIVE)."""
+    rows are kept with their text in ``_corrupt`` (PERMISSIVE; all columns are
+    parsed, so that a column the query does not need cannot hide one)."""
     schema = schemas.with_corrupt(schemas.STAGING[table])
     return (spark.read.schema(schema).option("header", True).option("dateFormat", "yyyy-MM-dd")
-            .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt")
+            .option("mode", "PERMISSIVE").option("columnPruning", False).option("columnNameOfCorruptRecord", "_corrupt")
             .csv(os.path.join(base, f"{table}.csv")))
 
 

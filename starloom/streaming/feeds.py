@@ -11,11 +11,12 @@
   (no employee version on their date) are kept in ``pending`` and retried by
   every later batch.
 * :func:`start_scd2_stream` applies a job-history change feed to the Type 2
-  dimension: each batch appends its history rows, recomputes the timeline of
-  the touched employees only and merges them into the latest dimension.
+  dimension: each batch appends its history rows and writes the versions of
+  the touched employees only.
 """
 from __future__ import annotations
 
+import hashlib
 from typing import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +26,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..plans import fact as factmod
 from ..plans import scd2
+from ..session import materialize
+from ..sources.staging import _exists
 
 
 def read_file_stream(spark: SparkSession, directory: str, schema, glob: str | None = None,
@@ -43,37 +46,32 @@ def dedup_stream(df: DataFrame, keys: Sequence[str], event_time: str, lateness:
     return df.withWatermark(event_time, lateness).dropDuplicatesWithinWatermark(list(keys))
 
 
-def _with_batch_id(schema: T.StructType) -> T.StructType:
-    fields = [f for f in schema.fields if f.name != "batch_id"]
-    return T.StructType(fields + [T.StructField("batch_id", T.LongType())])
+def _tagged(schema: T.StructType, *tags: T.StructField) -> T.StructType:
+    names = {t.name for t in tags}
+    return T.StructType([f for f in schema.fields if f.name not in names] + list(tags))
 
 
-def _batches_below(spark: SparkSession, path: str, batch_id: int, schema: T.StructType) -> DataFrame:
-    """Rows written by earlier batches (folders batch_id=<n> with n < batch_id)."""
-    from ..sources.staging import _exists
-    if not _exists(spark, path):
-        return spark.createDataFrame([], schema)
-    df = spark.read.schema(_with_batch_id(schema)).parquet(path)
-    return df.filter(F.col("batch_id") < batch_id).drop("batch_id")
+BATCH, SEQ = T.StructField("batch", T.StringType()), T.StructField("seq", T.LongType())
 
 
-def _latest_batch(spark: SparkSession, path: str, batch_id: int, schema: T.StructType) -> DataFrame | None:
-    """Rows of the newest earlier batch folder (None before the first)."""
-    from ..sources.staging import _exists
-    if not _exists(spark, path):
-        return None
-    df = spark.read.schema(_with_batch_id(schema)).parquet(path).filter(F.col("batch_id") < batch_id)
-    last = df.agg(F.max("batch_id")).scalar()
-    return df.filter(F.col("batch_id") == last).drop("batch_id")
+def _feed_tag(checkpoint: str, batch_id: int) -> str:
+    """Folder tag of a micro-batch: a retried batch meets its own folder, and
+    feeds with different checkpoints never meet each other's."""
+    return f"{hashlib.sha1(checkpoint.encode()).hexdigest()[:12]}-{batch_id:012d}"
 
 
-def _write_batch(df: DataFrame, path: str, batch_id: int) -> None:
-    df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+def _others(spark: SparkSession, path: str, tag: str, schema: T.StructType) -> DataFrame:
+    """Rows that every other batch, of this feed or another, wrote."""
+    if not _exists(spark, path):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(_tagged(schema, BATCH)).parquet(path).filter(F.col("batch") != tag).drop("batch")
 
 
-def _tagged(schema: T.StructType) -> T.StructType:
-    fields = [f for f in schema.fields if f.name != "batch"]
-    return T.StructType(fields + [T.StructField("batch", T.StringType())])
+def _folders(spark: SparkSession, path: str) -> list[str]:
+    if not _exists(spark, path):
+        return []
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return [f.getPath().getName() for f in p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(p)]
 
 
 def start_fact_stream(spark: SparkSession, reviews: DataFrame, dims: dict, out_dir: str,
@@ -81,36 +79,26 @@ def start_fact_stream(spark: SparkSession, reviews: DataFrame, dims: dict, out_d
     """``reviews`` is a streaming DataFrame; ``dims`` holds dim_employee,
     dim_department, dim_date, dim_project (batch frames).
 
-    Output folders are ``batch=<feed>-<n>`` where ``feed`` is derived from
-    the checkpoint path: a retried batch overwrites exactly its own folder,
-    and every batch anti-joins against all *other* folders -- so a retry
-    reproduces its rows and a re-delivery under a new checkpoint adds none."""
-    import hashlib
-
-    from ..sources.staging import _exists
+    Output folders are ``batch=<feed>-<n>`` where ``feed`` comes from the
+    checkpoint path: a retried batch overwrites exactly its own folder, and
+    every batch anti-joins against all other folders, so a retry reproduces
+    its rows and a re-delivery under a new checkpoint adds none.  A batch's
+    ``pending`` folder holds those of its own reviews that could not be
+    resolved; every later batch of any feed tries all pending reviews again."""
     fact_path, pending_path = f"{out_dir}/fact", f"{out_dir}/pending"
-    feed = hashlib.sha1(checkpoint.encode()).hexdigest()[:12]
     d = (dims["dim_employee"], dims["dim_department"], dims["dim_date"], dims["dim_project"])
 
-    def tag(n: int) -> str:
-        return f"{feed}-{n:012d}"
-
     def run(batch: DataFrame, batch_id: int) -> None:
-        fact_schema = factmod.load_fact(batch.limit(0), *d).schema
-        if _exists(spark, fact_path):
-            done = spark.read.schema(_tagged(fact_schema)).parquet(fact_path) \
-                .filter(F.col("batch") != tag(batch_id)).drop("batch")
-        else:
-            done = spark.createDataFrame([], fact_schema)
-        cand = batch
-        if batch_id > 0 and _exists(spark, f"{pending_path}/batch={tag(batch_id - 1)}"):
-            cand = batch.unionByName(spark.read.schema(batch.schema).parquet(f"{pending_path}/batch={tag(batch_id - 1)}"))
-        new = factmod.load_fact(cand, *d, fact=done)
-        new.write.mode("overwrite").parquet(f"{fact_path}/batch={tag(batch_id)}")
-        # still unresolved -> pending (minus what this batch loaded)
-        loaded = spark.read.parquet(f"{fact_path}/batch={tag(batch_id)}").select("review_id")
-        waiting = factmod.new_reviews(cand, done).join(loaded, "review_id", "left_anti")
-        waiting.select(*batch.columns).write.mode("overwrite").parquet(f"{pending_path}/batch={tag(batch_id)}")
+        tag = _feed_tag(checkpoint, batch_id)
+        done = _others(spark, fact_path, tag, factmod.load_fact(batch.limit(0), *d).schema)
+        waiting = _others(spark, pending_path, tag, batch.schema)
+        cand = materialize(batch.unionByName(waiting).dropDuplicates(["review_id"]))
+        factmod.load_fact(cand, *d, fact=done).write.mode("overwrite").partitionBy("review_year") \
+            .parquet(f"{fact_path}/batch={tag}")
+        loaded = spark.read.parquet(f"{fact_path}/batch={tag}").select("review_id")
+        late = factmod.new_reviews(cand, done).join(loaded, "review_id", "left_anti").select(*batch.columns)
+        late.join(waiting.select("review_id"), "review_id", "left_anti").select(*batch.columns) \
+            .write.mode("overwrite").parquet(f"{pending_path}/batch={tag}")
 
     w = reviews.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if trigger_available_now else w
@@ -123,24 +111,46 @@ def read_fact(spark: SparkSession, out_dir: str) -> DataFrame:
 
 def start_scd2_stream(spark: SparkSession, history: DataFrame, employees: DataFrame, departments: DataFrame,
                       out_dir: str, checkpoint: str, trigger_available_now: bool = True) -> StreamingQuery:
-    """``history`` is a streaming DataFrame of job-history rows."""
+    """``history`` is a streaming DataFrame of job-history rows.
+
+    A batch appends its history rows, recomputes the versions of the
+    employees it touches from all their history (of every feed) and writes
+    those employees' rows alone, as ``seq=<n>/batch=<tag>``.  The newest
+    ``seq`` that holds an employee is that employee's state, so nothing else
+    is read or rewritten.  A retried batch keeps its ``seq``."""
     hist_path, dim_path = f"{out_dir}/history", f"{out_dir}/dim_employee"
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        so_far = _batches_below(spark, hist_path, batch_id, batch.schema).unionByName(batch)
+        tag = _feed_tag(checkpoint, batch_id)
+        seqs = {int(f[4:]): _folders(spark, f"{dim_path}/{f}") for f in _folders(spark, dim_path) if f.startswith("seq=")}
+        seq = next((n for n, b in seqs.items() if f"batch={tag}" in b), max(seqs, default=0) + 1)
         keys = batch.select("employee_id").distinct()
-        versions = scd2.timeline(so_far, employees, departments, keys=keys)
-        dim_schema = scd2.refresh_dim_employee(versions.limit(0), None).schema
-        prev = _latest_batch(spark, dim_path, batch_id, dim_schema)
-        nxt = scd2.refresh_dim_employee(versions, prev)
-        _write_batch(batch, hist_path, batch_id)
-        _write_batch(nxt, dim_path, batch_id)
+        history_of = _others(spark, hist_path, tag, batch.schema).join(keys, "employee_id", "left_semi")
+        so_far = history_of.select(*batch.columns).unionByName(batch).dropDuplicates()
+        versions = materialize(scd2.timeline(so_far, employees, departments))
+        schema = scd2.refresh_dim_employee(versions.limit(0), None).schema
+        before = _state(spark, dim_path, schema, F.col("seq") < seq, keys)
+        nxt = scd2.refresh_dim_employee(versions, before)
+        batch.write.mode("overwrite").parquet(f"{hist_path}/batch={tag}")
+        nxt.write.mode("overwrite").parquet(f"{dim_path}/seq={seq}/batch={tag}")
 
     w = history.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if trigger_available_now else w
     return w.start()
 
 
+def _state(spark: SparkSession, path: str, schema: T.StructType, which=None, keys: DataFrame | None = None) -> DataFrame:
+    """Each employee's rows of the newest batch that wrote the employee."""
+    if not _exists(spark, path):
+        return spark.createDataFrame([], schema)
+    d = spark.read.schema(_tagged(schema, SEQ, BATCH)).parquet(path).drop("batch")
+    d = d if which is None else d.filter(which)
+    d = d if keys is None else d.join(keys, "employee_id", "left_semi")
+    last = d.groupBy("employee_id").agg(F.max("seq").alias("seq"))
+    return d.join(last, ["employee_id", "seq"], "left_semi").select(*schema.names)
+
+
 def read_latest_dim(spark: SparkSession, out_dir: str) -> DataFrame:
-    d = spark.read.parquet(f"{out_dir}/dim_employee")
-    return d.filter(F.col("batch_id") == d.agg(F.max("batch_id")).scalar()).drop("batch_id")
+    path = f"{out_dir}/dim_employee"
+    have = spark.read.parquet(path).drop("seq", "batch").schema
+    return _state(spark, path, have)

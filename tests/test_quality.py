@@ -33,5 +33,16 @@ def test_validate_splits_valid_and_rejects_with_all_reasons(spark):
     v = valid.first()
     assert valid.count() == 1 and v["email"] == "ann@x.org"
     reasons = rejects.first()["reject_reasons"]
-    assert reasons == ["first_name can't be empty", "email doesn't look right", "age must be between 18 and 70",
-                       "job_level must be between 1 and 5", "monthly_income must be more than zero"]
+    assert reasons == ["first_name:empty", "email:form", "age:range", "job_level:range", "monthly_income:range"]
+
+
+def test_null_fails_every_entry_rule(spark):
+    e = spark.createDataFrame([(None,) * 7], "first_name string, last_name string, email string, age int, job_level int, education_level int, monthly_income int")
+    assert Q.validate_employee(e)[1].first()["reject_reasons"] == [
+        "first_name:empty", "last_name:empty", "email:empty", "age:range", "job_level:range", "education_level:range", "monthly_income:range"]
+    p = spark.createDataFrame([(None,) * 6], "project_name string, status string, priority string, budget int, start_date date, end_date date")
+    assert Q.validate_project(p)[1].first()["reject_reasons"] == ["project_name:empty", "status:domain", "priority:domain", "start_date:missing", "budget:range"]
+    r = spark.createDataFrame([(None,) * 5, (4, 1, 2, 3, 0)], "performance_rating int, job_satisfaction int, environment_satisfaction int, "
+                                                              "work_life_balance int, percent_salary_hike int")
+    valid, rejects = Q.validate_review(r)
+    assert valid.count() == 1 and len(rejects.first()["reject_reasons"]) == 5
