@@ -33,6 +33,7 @@ SLACK = 1e-9
 STEPS = 256
 #: "No bound yet".
 NONE = -(1 << 63)
+MOST = (1 << 63) - 1
 
 
 class Bucket:
@@ -62,12 +63,17 @@ def _exact_products(rows: np.ndarray) -> np.ndarray:
     return rows.astype(np.float64) if big * big * max(1, rows.shape[1]) < 2.0 ** 52 else rows.astype(object)
 
 
+def _longs(products) -> np.ndarray:
+    """Python integers as 64-bit ones; what exceeds 64 bits takes the nearest bound."""
+    return np.array([max(-MOST, min(MOST, int(x))) for x in products], dtype=np.int64)
+
+
 def _score(block: np.ndarray, q: np.ndarray) -> np.ndarray:
     if block.dtype == object:
-        return np.array([int(x) for x in block @ q.astype(object)], dtype=np.int64)
+        return _longs(block @ q.astype(object))
     big = float(np.abs(q.astype(np.float64)).max(initial=0.0)) * float(np.abs(block).max(initial=0.0))
     if big * block.shape[1] >= 2.0 ** 52:
-        return np.array([int(x) for x in block.astype(np.int64).astype(object) @ q.astype(object)], dtype=np.int64)
+        return _longs(block.astype(np.int64).astype(object) @ q.astype(object))
     return (block @ q.astype(np.float64)).astype(np.int64)
 
 
@@ -184,7 +190,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, *, id_col: str = "
     that this bound does not rule out.  Vectors of another dimension than a
     query never meet it.  Fewer than ``k`` rows come back only where fewer
     candidates exist.  Vectors that are null, empty or hold a null or
-    non-finite component, and rows with a null id, take no part.  Rows that
+    non-finite component, and rows with a null id, take no part.  Products are
+    exact; one beyond 64 bits is reported as the nearest 64-bit bound.  Rows that
     share an id are separate candidates, and each such query row is answered.
     Empty tables give an empty result; other columns are never read.
     """

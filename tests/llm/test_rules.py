@@ -82,8 +82,8 @@ def test_top_k(spark):
     r = random.Random(1)
     rows = [(i, [r.gauss(0, r.choice([0.1, 1, 5])) for _ in range(6)]) for i in range(700)]
     rows += [(700 + i, list(rows[i][1])) for i in range(0, 200, 10)]                    # ties
-    rows += [(1000, None), (1050, []), (1100, [1.0, None, 2, 3, 4, 5]), (1150, [float("nan")] * 6), (1200, [float("inf")] * 6), (None, [1.0] * 6),
-             (1250, [0.0] * 6), (1300, [1.0, 2.0]), (1301, [2.0, 1.0]), (1350, [3e9] * 6), (1351, [-3e9] * 6)]
+    rows += [(1000, None), (1050, []), (1100, [1.0, None, 2.0, 3.0, 4.0, 5.0]), (1150, [float("nan")] * 6), (1200, [float("inf")] * 6), (None, [1.0] * 6),
+             (1250, [0.0] * 6), (1300, [1.0, 2.0]), (1301, [2.0, 1.0]), (1350, [3e6] * 6), (1351, [-3e6] * 6)]
     df = spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id long, embedding array<double>, rank int")
     got = mips.top_k(df, df.filter(F.col("vec_id") % 50 == 0), 5, bucket_rows=64, query_rows=8).collect()
     assert sorted((x.query_id, x.rank, x.vec_id, x.score) for x in got) == plain_top(rows, lambda q: q % 50 == 0, 5)
@@ -97,4 +97,4 @@ def test_pruning_is_used_and_exact():
     full = mips.search(b, -1, q, 5, mips.NONE)
     least = full[-1][1]
     kept = mips.candidates(b, q, float(np.linalg.norm(q)), least)
-    assert len(b.ids[kept]) < 500 and mips.search(b, -1, q, 5, least) == full
+    assert len(b.ids[kept]) < len(b.ids) // 2 and mips.search(b, -1, q, 5, least) == full
