@@ -93,9 +93,9 @@ def start_fact_stream(spark: SparkSession, reviews: DataFrame, dims: dict, out_d
         done = _others(spark, fact_path, tag, factmod.load_fact(batch.limit(0), *d).schema)
         waiting = _others(spark, pending_path, tag, batch.schema)
         cand = materialize(batch.unionByName(waiting).dropDuplicates(["review_id"]))
-        factmod.load_fact(cand, *d, fact=done).write.mode("overwrite").partitionBy("review_year") \
-            .parquet(f"{fact_path}/batch={tag}")
-        loaded = spark.read.parquet(f"{fact_path}/batch={tag}").select("review_id")
+        new = factmod.load_fact(cand, *d, fact=done)
+        new.write.mode("overwrite").partitionBy("review_year").parquet(f"{fact_path}/batch={tag}")
+        loaded = spark.read.schema(new.schema).parquet(f"{fact_path}/batch={tag}").select("review_id")
         late = factmod.new_reviews(cand, done).join(loaded, "review_id", "left_anti").select(*batch.columns)
         late.join(waiting.select("review_id"), "review_id", "left_anti").select(*batch.columns) \
             .write.mode("overwrite").parquet(f"{pending_path}/batch={tag}")

@@ -36,3 +36,14 @@ def test_gate_rejects_duplicate_history_keys(spark):
                      projects=stg.projects, assignments=stg.assignments, reviews=stg.reviews)
     with pytest.raises(CL.LoadRejected, match="employee_job_history"):
         CL.run_core_load(bad)
+
+
+def test_gate_rejects_values_outside_the_declared_rules(spark):
+    stg = Fixture(spark, SF_SMALL).staging()
+    for change, name in (({"snapshot": stg.snapshot.withColumn("age", F.lit(15))}, "age_18_70"),
+                         ({"snapshot": stg.snapshot.withColumn("gender", F.lit(None).cast("string"))}, "gender"),
+                         ({"assignments": stg.assignments.withColumn("allocation_pct", F.lit(500))}, "allocation_1_100"),
+                         ({"reviews": stg.reviews.withColumn("performance_rating", F.lit(9))}, "rating_1_4")):
+        parts = {f: getattr(stg, f) for f in ("snapshot", "history", "projects", "assignments", "reviews")} | change
+        with pytest.raises(CL.LoadRejected, match=name):
+            CL.run_core_load(CL.Staging(**parts))

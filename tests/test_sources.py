@@ -100,3 +100,34 @@ def test_append_writes_only_new_rows_and_compacts(spark):
     assert fresh.read("fact").count() == 12 and fresh.read("fact").filter("review_year = 1").count() == 4
     s.compact("fact")
     assert len(Store(spark, s.base).tables()["fact"]) == 1 and Store(spark, s.base).read("fact").count() == 12
+
+
+def test_a_crashed_load_does_not_block_the_next(spark, tmp_path):
+    base = str(tmp_path / "store")
+    Store(spark, base).publish({"t": spark.range(3)})
+    Store(spark, base).stage("t", spark.range(5))            # crash before the commit: the object is gone
+    s = Store(spark, base)
+    s.publish({"t": spark.range(7)})
+    assert Store(spark, base).read("t").count() == 7
+    broken = f"{base}/_manifest/v={s.current_version() + 1}"    # crash inside the commit: a folder without its mark
+    spark.range(0).write.json(broken)
+    (tmp_path / "store" / "_manifest" / f"v={s.current_version() + 1}" / "_SUCCESS").unlink()
+    s2 = Store(spark, base)
+    s2.append_table("t", spark.range(2))
+    assert Store(spark, base).read("t").count() == 9
+
+
+def test_malformed_rows_are_rejected_not_loaded(spark, tmp_path):
+    from starloom.plans import core_load as CL
+    from starloom.sources import staging as ST
+    (tmp_path / "stg_reviews.csv").write_text(
+        "review_id,employee_id,project_id,review_date,performance_rating,job_satisfaction,environment_satisfaction,"
+        "work_life_balance,percent_salary_hike,review_score\n1,1,,2020-01-01,3,3,3,3,12,90.0\n2,x,,2020-01-02,3,3,3,3,12,90.0\n"
+        "3,1,,2020-01-03,3,3,3,3,oops,90.0\n,1,,2020-01-04,3,3,3,3,12,90.0\n")
+    r = ST.read_staging(spark, str(tmp_path), "stg_reviews")
+    empty = lambda cols: spark.createDataFrame([], cols)
+    stg = CL.Staging(empty("employee_id int"), empty("employee_id int, effective_start date"), empty("project_id int"),
+                     empty("employee_id int, project_id int"), r)
+    rejects = {(x["staging"], x["reason"]) for x in CL.staging_rejects(stg).collect()}
+    assert rejects == {("reviews", "row:malformed"), ("reviews", "review_id:missing")}
+    assert [x["review_id"] for x in CL.accepted_staging(stg).reviews.filter("review_id is not null").collect()] == [1]
