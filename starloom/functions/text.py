@@ -41,10 +41,10 @@ def full_name(first: ColumnOrName, last: ColumnOrName) -> Column:
 
 def slug_email(first: ColumnOrName, last: ColumnOrName, emp_id: ColumnOrName,
                domain: str = "corp.example") -> Column:
-    """first.last<id>@domain with everything but [a-z0-9.] removed."""
+    """first.last.<id>@domain with everything but [a-z0-9.] removed."""
     def slug(x: Column) -> Column:
         return F.regexp_replace(F.lower(x), "[^a-z0-9.]", "")
-    return F.concat(slug(_c(first)), F.lit("."), slug(_c(last)), _c(emp_id).cast("string"),
+    return F.concat(slug(_c(first)), F.lit("."), slug(_c(last)), F.lit("."), _c(emp_id).cast("string"),
                     F.lit("@" + domain))
 
 

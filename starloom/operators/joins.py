@@ -3,8 +3,8 @@
 An explicit broadcast hint is only given through :func:`bounded_broadcast`
 when a row bound is known or proven; otherwise Spark's size-checked
 automatic broadcast and AQE decide (sort-merge beyond the threshold, skewed
-partitions split at run time).  Range joins are bucketed (:func:`asof`) or
-swept (:func:`first_covering`) so no key emits all its pairs.
+partitions split at run time).  Range joins are bucketed by time (:func:`asof`,
+:func:`first_covering`) so no key emits all its pairs.
 """
 from __future__ import annotations
 
@@ -13,30 +13,15 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-# Lookups above this many rows are joined by shuffle instead of broadcast.
-MAX_BROADCAST_ROWS = 1_000_000
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS,
-                      known_rows: int | None = None, check: bool = False) -> DataFrame:
+def bounded_broadcast(df: DataFrame, known_rows: int | None = None) -> DataFrame:
     """Broadcast only with a size bound.
 
-    * ``known_rows``: a bound known by construction (days in a calendar) --
-      hinted when it is within ``max_rows``.
-    * ``check=True``: the bound is proven with ``limit(max_rows + 1).count()``
-      (stops reading after ``max_rows + 1`` rows) and hinted if it holds.
-    * otherwise no hint: Spark's own size check decides -- the planner
-      broadcasts a side whose estimated size is under
-      ``spark.sql.autoBroadcastJoinThreshold`` and AQE re-checks the real
-      size after each shuffle -- and beyond it the join stays a sort-merge
-      join.  This costs no extra job.
+    ``known_rows`` is a bound by construction (days in a calendar).  Without
+    one there is no hint: the planner broadcasts a side whose estimated size
+    is under ``spark.sql.autoBroadcastJoinThreshold``, AQE re-checks the real
+    size after each shuffle, and beyond it the join stays a sort-merge join.
     """
-    if known_rows is not None:
-        return F.broadcast(df) if known_rows <= max_rows else df
-    if check:
-        n = df.limit(max_rows + 1).count()
-        return F.broadcast(df) if n <= max_rows else df
-    return df
+    return df if known_rows is None else F.broadcast(df)
 
 
 def _on(keys) -> list[str]:
@@ -44,9 +29,9 @@ def _on(keys) -> list[str]:
 
 
 def lookup(df: DataFrame, lkp: DataFrame, left_on: str | Column, right_on: str,
-           take: Sequence[str], max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+           take: Sequence[str]) -> DataFrame:
     """Resolve a text/business key to lookup columns; unmatched rows drop out."""
-    small = bounded_broadcast(lkp.select(F.col(right_on).alias("_lk_key"), *take), max_rows)
+    small = bounded_broadcast(lkp.select(F.col(right_on).alias("_lk_key"), *take))
     lc = F.col(left_on) if isinstance(left_on, str) else left_on
     return df.join(small, lc == F.col("_lk_key"), "inner").drop("_lk_key")
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_email, clean_text, yes_no
@@ -31,17 +31,41 @@ class Staging:
     projects: DataFrame      # stg_projects
     assignments: DataFrame   # stg_assignments
     reviews: DataFrame       # stg_reviews
+    collation: str = "binary"  # or "ci": names, titles and Yes/No compare without case
+
+    @property
+    def ci(self) -> bool:
+        if self.collation not in ("binary", "ci"):
+            raise ValueError(f"unknown collation {self.collation!r}")
+        return self.collation == "ci"
+
+    def fold(self, c) -> Column:
+        """The value under which two texts are the same."""
+        c = F.col(c) if isinstance(c, str) else c
+        return F.lower(c) if self.ci else c
 
 
 def _names(df: DataFrame, col: str, alias: str) -> DataFrame:
     return df.select(clean_text(col).alias(alias)).filter(F.col(alias).isNotNull())
 
 
+def _distinct_names(stg: Staging, names: DataFrame, col: str, existing: DataFrame | None) -> DataFrame:
+    """Under "ci", one spelling (the first) per folded name, and none that the
+    table already has in some spelling."""
+    if not stg.ci:
+        return names
+    one = names.groupBy(F.lower(col).alias("_k")).agg(F.min(col).alias(col))
+    if existing is not None:
+        one = one.join(existing.select(F.lower(col).alias("_k")).distinct(), "_k", "left_anti")
+    return one.select(col)
+
+
 def load_departments(stg: Staging, existing: DataFrame | None = None) -> DataFrame:
     """All departments: existing ones plus new cleaned names (ids continue)."""
     names = union_distinct(_names(stg.snapshot, "department", "department_name"),
                            _names(stg.history, "department", "department_name"),
                            _names(stg.projects, "department", "department_name"))
+    names = _distinct_names(stg, names, "department_name", existing)
     if existing is None:
         return assign_keys(names, None, ["department_name"], "department_id") \
             .select(F.col("department_id").cast("int"), "department_name")
@@ -53,6 +77,7 @@ def load_departments(stg: Staging, existing: DataFrame | None = None) -> DataFra
 def load_job_roles(stg: Staging, existing: DataFrame | None = None) -> DataFrame:
     names = union_distinct(_names(stg.snapshot, "job_role", "job_title"),
                            _names(stg.history, "job_role", "job_title"))
+    names = _distinct_names(stg, names, "job_title", existing)
     if existing is None:
         return assign_keys(names, None, ["job_title"], "job_role_id") \
             .select(F.col("job_role_id").cast("int"), "job_title")
@@ -77,14 +102,14 @@ def load_employees(stg: Staging, departments: DataFrame, job_roles: DataFrame,
         clean_email("email").alias("email"), clean_text("gender").alias("gender"), "age",
         clean_text("marital_status").alias("marital_status"), F.col("education").alias("education_level"),
         clean_text("education_field").alias("education_field"), "hire_date", "distance_from_home",
-        clean_text("business_travel").alias("business_travel"), yes_no("over_time").alias("over_time"),
-        "stock_option_level", "total_working_years", "num_companies_worked", yes_no("attrition").alias("attrition"),
-        clean_text("department").alias("_dept"), clean_text("job_role").alias("_role"), "job_level",
+        clean_text("business_travel").alias("business_travel"), yes_no("over_time", stg.ci).alias("over_time"),
+        "stock_option_level", "total_working_years", "num_companies_worked", yes_no("attrition", stg.ci).alias("attrition"),
+        stg.fold(clean_text("department")).alias("_dept"), stg.fold(clean_text("job_role")).alias("_role"), "job_level",
         "monthly_income")
     latest = first_per(clean, ["employee_id"], [F.col("hire_date").desc_nulls_last(), "email", "first_name",
                                                "last_name", "_dept", "_role"])
-    d = bounded_broadcast(departments.select(F.col("department_name").alias("_dept"), "department_id"))
-    r = bounded_broadcast(job_roles.select(F.col("job_title").alias("_role"), "job_role_id"))
+    d = bounded_broadcast(departments.select(stg.fold("department_name").alias("_dept"), "department_id"))
+    r = bounded_broadcast(job_roles.select(stg.fold("job_title").alias("_role"), "job_role_id"))
     out = latest.join(d, "_dept", "inner").join(r, "_role", "inner").select(*EMPLOYEE_COLS)
     return out if existing is None else not_in(out, existing, "employee_id")
 
@@ -96,9 +121,9 @@ HISTORY_COLS = ["employee_id", "department_id", "job_role_id", "job_level", "mon
 def load_job_history(stg: Staging, employees: DataFrame, departments: DataFrame, job_roles: DataFrame,
                      existing: DataFrame | None = None) -> DataFrame:
     h = drop_orphans(stg.history, employees, "employee_id")
-    d = bounded_broadcast(departments.select(F.col("department_name").alias("_dept"), "department_id"))
-    r = bounded_broadcast(job_roles.select(F.col("job_title").alias("_role"), "job_role_id"))
-    h = h.withColumn("_dept", clean_text("department")).withColumn("_role", clean_text("job_role"))
+    d = bounded_broadcast(departments.select(stg.fold("department_name").alias("_dept"), "department_id"))
+    r = bounded_broadcast(job_roles.select(stg.fold("job_title").alias("_role"), "job_role_id"))
+    h = h.withColumn("_dept", stg.fold(clean_text("department"))).withColumn("_role", stg.fold(clean_text("job_role")))
     out = h.join(d, "_dept", "inner").join(r, "_role", "inner").select(*HISTORY_COLS)
     return out if existing is None else not_in(out, existing, ["employee_id", "effective_start"])
 
@@ -108,9 +133,9 @@ PROJECT_COLS = ["project_id", "project_name", "department_id", "status", "priori
 
 
 def load_projects(stg: Staging, departments: DataFrame, existing: DataFrame | None = None) -> DataFrame:
-    d = bounded_broadcast(departments.select(F.col("department_name").alias("_dept"), "department_id"))
+    d = bounded_broadcast(departments.select(stg.fold("department_name").alias("_dept"), "department_id"))
     p = stg.projects.withColumn("project_name", clean_text("project_name")) \
-        .withColumn("_dept", clean_text("department"))
+        .withColumn("_dept", stg.fold(clean_text("department")))
     out = p.join(d, "_dept", "inner").select(*PROJECT_COLS)
     return out if existing is None else not_in(out, existing, "project_id")
 
@@ -155,12 +180,16 @@ def core_frames(c: Core) -> dict[str, DataFrame]:
     return {k: v for k, v in named.items() if v is not None}
 
 
-def core_gate(added: Core, previous: Core | None = None) -> DataFrame:
+def core_gate(added: Core, previous: Core | None = None, ci: bool = False) -> DataFrame:
     """Declared constraints of the rows this load adds, as one report: NOT
     NULL and CHECK conditions in one scan a table, keys among the added rows
     and against the previous core, and the references a load does not
     guarantee itself.  Existing rows were checked when they were loaded."""
     a = added
+    if ci:  # names are keys without regard to case
+        low = lambda d: None if d is None else d.withColumn("project_name", F.lower("project_name"))
+        a = a.with_(projects=low(a.projects))
+        previous = previous and previous.with_(projects=low(previous.projects))
     projects = a.projects if previous is None else previous.projects.unionByName(a.projects)
     ids = {"projects": ["project_id"], "performance_reviews": ["review_id"]}
     reps = [constraint_report(core_frames(a), CORE_RULES, {"projects": projects}, skip_keys=BY_CONSTRUCTION_KEYS, skip_fks=BY_CONSTRUCTION_FKS)]
@@ -201,7 +230,7 @@ def accepted_staging(stg: "Staging") -> "Staging":
     """Staging without malformed rows (rows without a key fall out of the
     loads themselves)."""
     keep = lambda df: df.filter(F.col("_corrupt").isNull()).drop("_corrupt") if "_corrupt" in df.columns else df
-    return Staging(*[keep(getattr(stg, f)) for f in ("snapshot", "history", "projects", "assignments", "reviews")])
+    return Staging(*[keep(getattr(stg, f)) for f in ("snapshot", "history", "projects", "assignments", "reviews")], stg.collation)
 
 
 def _collisions(new: DataFrame, old: DataFrame, table: str, keys) -> DataFrame:
@@ -238,7 +267,7 @@ def run_core_load(stg: Staging, core: Core | None = None, gate: bool = True,
     added = Core(departments=dep, job_roles=rol, employees=emp_new, history=his_new, projects=prj_new,
                  assignments=asg_new, reviews=rev_new)
     if gate:
-        assert_clean(core_gate(added, core))
+        assert_clean(core_gate(added, core, stg.ci))
     return Core(departments=dep, job_roles=rol, employees=emp, history=both(old.history, his_new), projects=prj,
                 assignments=both(old.assignments, asg_new), reviews=both(old.reviews, rev_new))
 

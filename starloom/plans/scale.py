@@ -23,8 +23,9 @@ def hash_int(*parts, salt: str) -> "F.Column":
 
 def sample_fraction(df: DataFrame, key: str, fraction: float, salt: str = "sample") -> DataFrame:
     """Deterministic Bernoulli sample: a row is kept when its key hashes below
-    the fraction (same rows on every run and on every engine)."""
-    return df.filter(hash_int(key, salt=salt) % 10000 < int(round(fraction * 10000)))
+    the fraction of the 32-bit range (same rows on every run and on every
+    engine; the fraction is exact to 2**-32)."""
+    return df.filter(hash_int(key, salt=salt) < int(round(fraction * 2 ** 32)))
 
 
 def scale_up(base: DataFrame, key: str, factor: int, salt: str = "scale", first_id: int = 1001) -> DataFrame:

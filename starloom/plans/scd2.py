@@ -20,11 +20,9 @@ from ..operators.joins import bounded_broadcast
 from ..operators.setops import hash_key
 from ..operators.windows import keyed_lead
 
-# Columns refreshed on every version (Type 1) and the columns
-# that are only written when a version is first inserted.
+# Columns refreshed on every version (Type 1); all others are
+# written when a version is first inserted.
 TYPE1 = ["end_date", "is_current", "full_name", "age", "marital_status", "attrition_flag", "over_time_flag"]
-INSERT_ONLY = ["gender", "education_level", "education_field", "hire_date", "department_name",
-               "job_role", "job_level", "monthly_income", "change_reason"]
 
 # Employee attributes carried into the dimension.
 EMPLOYEE_ATTRS = ["full_name", "gender", "age", "marital_status", "education_level", "education_field",
@@ -70,7 +68,6 @@ def refresh_dim_employee(versions: DataFrame, existing: DataFrame | None = None)
                         F.lit(True).alias("_v"))
     d = existing.withColumn("_d", F.lit(True))
     j = d.join(v, bk, "full_outer")
-    matched = F.col("_d").isNotNull() & F.col("_v").isNotNull()
     only_new = F.col("_d").isNull()
     cols = []
     for c in existing.columns:
@@ -85,7 +82,6 @@ def refresh_dim_employee(versions: DataFrame, existing: DataFrame | None = None)
             cols.append(F.when(F.col("_v").isNotNull(), F.col(f"_v_{c}")).otherwise(F.col(c)).alias(c))
         else:
             cols.append(F.when(only_new, F.col(f"_v_{c}")).otherwise(F.col(c)).alias(c))
-    del matched
     return j.select(*cols)
 
 
@@ -109,6 +105,16 @@ def scd2_refresh(history: DataFrame, employees: DataFrame, departments: DataFram
     return refresh_dim_employee(timeline(history, employees, departments, job_roles, keys), existing)
 
 
+def refresh_keys(history: DataFrame, employees: DataFrame, departments: DataFrame, existing: DataFrame, keys: DataFrame,
+                 job_roles: DataFrame | None = None) -> DataFrame:
+    """The next rows of the given employees alone (``keys``: employee_id).
+    Only their history and their stored rows are read past the semi-joins and
+    only they come back, so a caller writes those keys and no other."""
+    k = keys.select("employee_id").distinct()
+    own = existing.join(k, "employee_id", "left_semi").select(*existing.columns)
+    return scd2_refresh(history, employees, departments, own, job_roles, k)
+
+
 def type1_refresh_only(dim: DataFrame, versions: DataFrame, cols: Sequence[str] = TYPE1) -> DataFrame:
     """Expire/refresh step alone: update matched rows, add nothing."""
     from ..operators.joins import overwrite

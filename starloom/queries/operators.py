@@ -48,7 +48,7 @@ def proj_concat_name(spark, sf):
 
 @query("proj_slug", """
 SELECT employee_id, concat(regexp_replace(lower(first_name), '[^a-z0-9.]', '', 'g'), '.',
-       regexp_replace(lower(last_name), '[^a-z0-9.]', '', 'g'), CAST(employee_id AS VARCHAR), '@corp.example') email
+       regexp_replace(lower(last_name), '[^a-z0-9.]', '', 'g'), '.', CAST(employee_id AS VARCHAR), '@corp.example') email
 FROM fx_stg_employee""")
 def proj_slug(spark, sf):
     s = fx(spark, sf).stg_employee()

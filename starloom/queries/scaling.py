@@ -19,7 +19,7 @@ def close_intervals(spark, sf):
     return SC.close_intervals(h, "employee_id", "effective_start")
 
 
-@query("sample_fraction", f"SELECT review_id, employee_id FROM fx_review WHERE {_h('review_id', 'sample')} % 10000 < 1000")
+@query("sample_fraction", f"SELECT review_id, employee_id FROM fx_review WHERE {_h('review_id', 'sample')} < 429496730")
 def sample_fraction(spark, sf):
     r = Fixture(spark, sf).review().select("review_id", "employee_id")
     return SC.sample_fraction(r, "review_id", 0.10)

@@ -71,7 +71,3 @@ def run_sql(spark: SparkSession, sql: str, args: dict | None = None, **frames: D
     placeholders replaced by the given DataFrames."""
     return spark.sql(sql, args=args, **frames)
 
-
-def empty_like(spark: SparkSession, schema) -> DataFrame:
-    return spark.createDataFrame([], schema)
-
