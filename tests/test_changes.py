@@ -1,6 +1,8 @@
 """Reject reasons and in-batch ordering of the change batches."""
 import datetime as dt
 
+from pyspark.sql import functions as F
+
 from starloom.plans import changes as CH
 from starloom.plans.model import Core
 
@@ -81,3 +83,33 @@ def test_fold_state_carries_across_arrow_batches_for_a_hot_key(spark):
         else:
             expect[seq] = "rejected"
     assert got == expect
+
+
+def test_accepted_and_rejected_are_the_batch(spark):
+    """NULL ids, ids above 2**53, impossible shares and NULL dates: every
+    change comes back once."""
+    big = 2 ** 53 + 1
+    core = _core(spark, [(1, 10, 50, None)])
+    core = core.with_(projects=core.projects.unionByName(spark.createDataFrame([(big, "D", 1, "Active", "Low")], core.projects.schema)))
+    asg = spark.createDataFrame([(1, 1, None, 10), (2, 1, big, 10), (3, 1, big, 10), (4, None, 10, 10), (5, 2, 11, -100), (6, 2, 11, 0),
+                                 (7, 2, 11, None), (8, 2, 11, 100), (9, 2, 12, 1)],
+                                "seq long, employee_id long, project_id long, allocation_pct int")
+    nxt, acc, rej = CH.apply_assignments(core, asg)
+    assert sorted(r["seq"] for r in acc.collect()) == [2, 8]
+    assert {r["seq"]: r["reason"] for r in rej.collect()} == {
+        1: "no such project", 3: "already assigned to that project", 4: "no such employee", 5: "allocation_pct:range",
+        6: "allocation_pct:range", 7: "allocation_pct:range", 9: "allocation over 100%"}
+    assert {(r["employee_id"], r["project_id"]) for r in nxt.assignments.collect()} == {(1, 10), (1, big), (2, 11)}
+    hist = core.history.withColumn("job_level", F.lit(1)).withColumn("monthly_income", F.lit(5)) \
+        .withColumn("job_role_id", F.lit(1)).withColumn("change_reason", F.lit("x"))
+    moves = spark.createDataFrame([(1, 1, 2, D(2022, 1, 1)), (2, 1, None, D(2023, 1, 1)), (3, 1, 3, None), (4, None, 3, D(2023, 1, 1)),
+                                   (5, 1, 99, D(2023, 1, 1)), (6, 1, 3, D(2024, 1, 1))],
+                                  "seq long, employee_id long, new_department_id int, effective_date date")
+    emp = core.employees.withColumn("department_id", F.lit(1))
+    nxt, acc, rej = CH.apply_department_change(core.with_(history=hist, employees=emp), moves)
+    assert sorted(r["seq"] for r in acc.collect()) == [1, 6]
+    assert {r["seq"]: r["reason"] for r in rej.collect()} == {
+        2: "no such department", 3: "effective_date:missing", 4: "no active job record", 5: "no such department"}
+    rows = {(r["department_id"], r["effective_start"], r["effective_end"]) for r in nxt.history.collect()}
+    assert rows == {(2, D(2020, 1, 1), D(2020, 12, 31)), (1, D(2021, 1, 1), D(2021, 12, 31)), (2, D(2022, 1, 1), D(2023, 12, 31)), (3, D(2024, 1, 1), None)}
+    assert {r["employee_id"]: r["department_id"] for r in nxt.employees.collect()} == {1: 3, 2: 1}

@@ -1,5 +1,6 @@
 """Registered queries against their DuckDB oracle on the smallest fixture."""
 import math
+import re
 
 import pytest
 
@@ -10,7 +11,7 @@ SAMPLE = ["yearly_trend", "kpis", "top_performers", "attrition_risk_list", "proj
           "scd2_refresh", "fact_reviews_incremental", "dim_date", "dim_project_scd1", "join_asof_window",
           "win_rank_global", "key_surrogate", "validate_employee", "dq_foreign_key", "load_employees",
           "apply_assignments", "apply_department_change", "bootstrap_scale_up", "stream_scd2_apply",
-          "join_point_in_time_first", "agg_scalar_bundle", "proj_round"]
+          "join_point_in_time_first", "fact_rekey", "scd2_refresh_keys", "load_employees_ci", "dq_not_null", "agg_scalar_bundle", "proj_round"]
 
 
 def _norm(v):
@@ -29,8 +30,9 @@ def _rows(cols, rows):
     return sorted(out, key=lambda t: tuple((x is None, str(x)) for x in t))
 
 
-def test_every_query_has_an_oracle():
-    assert set(E.queries()) == set(E.oracle_sql())
+def test_every_warehouse_query_has_an_oracle():
+    corpus = {q for q in E.queries() if q == "pipeline" or re.match(r"op\d+_", q)}
+    assert set(E.queries()) - corpus == set(E.oracle_sql()) - corpus
 
 
 @pytest.mark.parametrize("name", SAMPLE)

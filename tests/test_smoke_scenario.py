@@ -68,7 +68,7 @@ def test_onboard_move_review(spark):
                                    "seq long, employee_id long, review_date date, performance_rating int, "
                                    "job_satisfaction int, environment_satisfaction int, work_life_balance int, "
                                    "percent_salary_hike int")
-    core, acc, rej = CH.apply_reviews(core, review.withColumn("review_id", F.col("seq")))
+    core, acc, rej = CH.apply_reviews(core, review)
     assert rej.count() == 0 and acc.first()["review_score"] == Decimal("93.33")
 
     dd = dims.dim_date(spark)
