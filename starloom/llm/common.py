@@ -59,6 +59,23 @@ def dropped(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_HELD: dict[str, list] = {}
+
+
+def holds(owner: str, *caches) -> None:
+    """Register a module's per-process caches (anything with ``clear``)."""
+    _HELD.setdefault(owner, []).extend(caches)
+
+
+def only(owner: str) -> None:
+    """Called when a task starts: a reused Python worker drops what the tasks
+    of other operators left in their caches."""
+    for name, caches in _HELD.items():
+        if name != owner:
+            for c in caches:
+                c.clear()
+
+
 def fold_of(col: Column, mod: int) -> Column:
     """crc32 of an id written as text, modulo ``mod`` (null for a null id)."""
     return F.crc32(col.cast("string")) % F.lit(mod)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, ship
+from .common import batches, only, ship
 
 WORD = re.compile(r"[^\W_]+")
 STEP_BYTES = 2 << 20
@@ -297,6 +297,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cfg: Settings = Settings
     out = None
     for index in _indexes(benchmark, cfg, item_col, item_text_col):
         def run(it, index=index):
+            only("decontamination")
             for b in batches(it, STEP_BYTES):
                 hits = search_texts(index.value, b.column(1).to_pylist(), cfg)
                 cols = [list(c) for c in zip(*hits)] or [[]] * 6
@@ -317,6 +318,7 @@ def without_items(docs: DataFrame, benchmark: DataFrame, cfg: Settings = Setting
     at = docs.columns.index(text_col)
     for index in _indexes(benchmark, cfg, item_col, item_text_col):
         def run(it, index=index):
+            only("decontamination")
             for b in batches(it, STEP_BYTES, text_col):
                 keep = np.ones(b.num_rows, bool)
                 keep[[h[0] for h in search_texts(index.value, b.column(at).to_pylist(), cfg)]] = False

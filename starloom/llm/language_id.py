@@ -16,13 +16,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batches, one_sample, ship
+from .common import batches, one_sample, only, ship
 
 #: Bytes read by one step, bytes of one window, hidden units of a direction.
 PATCH, WINDOW, HIDDEN = 4, 256, 16
 STEP_BYTES = 1 << 20
 #: Windows that run together.
-ROWS = 2048
+ROWS = 512
 LETTER = regex.compile(r"\p{L}")
 UNKNOWN = "und"
 
@@ -224,6 +224,7 @@ def predict(docs: DataFrame, net: Network, *, id_col: str = "doc_id", text_col:
     classes, weights = net.classes, net.w
 
     def run(it):
+        only("language_id")
         model = Network(classes, weights)
         for b in batches(it, STEP_BYTES, "__text"):
             texts = [t or "" for t in b.column(b.num_columns - 1).to_pylist()]

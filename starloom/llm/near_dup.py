@@ -12,8 +12,9 @@ Big buckets never expand into all their pairs.  They are cut into blocks of
 bounded size, whose signatures are compared in numpy; a first round proposes
 the most similar and the most central partners of each document (linear in
 the bucket), and a second round compares every document that is then still
-outside its bucket's main group with all of the bucket, block by block, so
-that no candidate pair between different groups is left out.
+outside its bucket's main group with all of the bucket, block by block, and
+verifies in place, so that no candidate pair between different groups is left
+out and only links leave the task.
 """
 from __future__ import annotations
 
@@ -27,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, ship, written
+from .common import batches, holds, only, ship, written
 
 WORD = re.compile(r"\w+")
 STEP_BYTES = 2 << 20
@@ -36,8 +37,11 @@ SAMPLES, ROWS = 64, 4
 BANDS = SAMPLES // ROWS
 #: Buckets of the document-frequency sketch, and entries of the random tables.
 SKETCH, TABLE = 1 << 19, 1 << 16
+#: Bits of the map that keeps texts out of the verification's shuffle.
+FILTER_BITS = 1 << 24
 #: Documents of a block; buckets up to SMALL propose all their pairs at once.
 BLOCK, SMALL = 512, 24
+BLOCK_CHARS = 4 << 20
 #: Partners that a document of a big bucket proposes in the first round: most similar, most central.
 NEAREST, CENTRAL = 3, 3
 U = np.uint64
@@ -65,13 +69,14 @@ class _Words(dict):
     """64-bit hash of each word met; bounded."""
 
     def __missing__(self, w: str) -> int:
-        if len(self) > 400_000:
+        if len(self) > 150_000:
             self.clear()
         self[w] = h = xxhash.xxh64_intdigest(w)
         return h
 
 
 _WORDS = _Words()
+holds("near_dup", _WORDS)
 
 
 def words_of(text: str | None) -> list[str]:
@@ -194,6 +199,7 @@ def _sketch(docs: DataFrame, cfg: Settings) -> tuple[np.ndarray, int]:
     """Documents per sketch bucket and number of documents with a shingle.
     Each task adds up its own; the result has SKETCH entries at any size."""
     def run(it):
+        only("near_dup")
         counts, n = np.zeros(SKETCH, np.int64), 0
         for b in batches(it, STEP_BYTES):
             d, h, _ = shingles([words_of(t) for t in b.column(1).to_pylist()], cfg.shingle)
@@ -213,6 +219,7 @@ def _signed(docs: DataFrame, weights, cfg: Settings) -> DataFrame:
     """id, key of the word sequence, signature and bands of documents that
     have a word."""
     def run(it):
+        only("near_dup")
         w = weights.value
         for b in batches(it, STEP_BYTES):
             docs_ = [words_of(t) for t in b.column(1).to_pylist()]
@@ -268,32 +275,71 @@ def _first_round(blocks: DataFrame, cfg: Settings) -> DataFrame:
     return blocks.select("n", "rows").mapInArrow(run, "a long, b long").filter("a <> b").distinct()
 
 
-def _second_round(pairs: DataFrame, cfg: Settings) -> DataFrame:
+def _second_round(pairs: DataFrame, weights, cfg: Settings) -> DataFrame:
+    """Links between different groups of a bucket, from pairs of blocks with
+    their texts.  Candidates are verified by estimate, best first; a pair
+    whose groups this task has already linked is not looked at again."""
     least = math.ceil(cfg.estimate * SAMPLES)
 
     def run(it):
+        w = weights.value
         for batch in it:
             for k in range(batch.num_rows):
-                band = batch.column(0)[k].as_py()
-                ids, sig, group = _unpack(batch.column(1)[k].as_py())
-                ids2, sig2, group2 = _unpack(batch.column(2)[k].as_py())
-                ok = (_agreement(sig, sig2) >= least) & (group[:, None] != group2[None])
-                i, j = np.nonzero(ok)
-                earlier = np.zeros(len(i), bool)  # a pair is proposed by the first band it shares only
+                band, left, right = (batch.column(c)[k].as_py() for c in range(3))
+                ids, sig, group = _unpack(left)
+                ids2, sig2, group2 = _unpack(right)
+                same = _agreement(sig, sig2)
+                i, j = np.nonzero((same >= least) & (group[:, None] != group2[None]))
+                earlier = np.zeros(len(i), bool)  # a pair belongs to the first band it shares
                 for p in range(band):
                     cols = slice(p * ROWS, (p + 1) * ROWS)
                     earlier |= (sig[i, cols] == sig2[j, cols]).all(1)
-                yield _pairs(ids[i[~earlier]], ids2[j[~earlier]])
+                i, j = i[~earlier], j[~earlier]
+                order = np.argsort(-same[i, j].astype(np.int16), kind="stable")
+                parent: dict[int, int] = {}
+
+                def find(g):
+                    while parent.get(g, g) != g:
+                        g = parent[g]
+                    return g
+
+                sets: dict[tuple[int, int], tuple] = {}
+
+                def vector(side, n, rows):
+                    got = sets.get((side, n))
+                    if got is None:
+                        _, h, tf = shingles([words_of(rows[n]["text"])], cfg.shingle)
+                        got = sets[side, n] = h, w(h, tf)
+                    return got
+
+                out = []
+                for x, y in zip(i[order].tolist(), j[order].tolist()):
+                    a, b = find(int(group[x])), find(int(group2[y]))
+                    if a != b and similarity(vector(0, x, left), vector(1, y, right)) >= cfg.threshold:
+                        parent[max(a, b)] = min(a, b)
+                        out.append((int(ids[x]), int(ids2[y])))
+                yield _pairs(np.array([o[0] for o in out], np.int64), np.array([o[1] for o in out], np.int64))
 
     return pairs.mapInArrow(run, "a long, b long").filter("a <> b").distinct()
 
 
+def _texts_of(docs: DataFrame, needed: DataFrame) -> DataFrame:
+    """id and text of the documents in ``needed`` (distinct ids).  A bit map
+    of the ids' hashes, FILTER_BITS at any size, is broadcast first, so that
+    mostly texts that are needed enter the exact join's shuffle."""
+    h = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
+    bit = F.expr("shiftleft(1L, cast(h % 64 as int))")
+    words = (needed.select(h.alias("h")).groupBy(F.floor(F.col("h") / 64).alias("word")).agg(F.bit_or(bit).alias("bits")))
+    near = docs.withColumn("h", h).withColumn("word", F.floor(F.col("h") / 64)).join(F.broadcast(words), "word")
+    return near.filter(F.col("bits").bitwiseAND(bit) != 0).select("id", "text").join(needed, "id", "left_semi")
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, weights, cfg: Settings, tag: str) -> DataFrame:
     """a, b and exact similarity of each candidate pair.  Texts travel once,
     for documents that are in some pair; the pair joins are plain equi-joins
     that Spark splits where a document is in many pairs."""
     needed = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    texts = written(docs.join(needed, "id", "left_semi"), tag + "-texts")
+    texts = written(_texts_of(docs, needed), tag + "-texts")
 
     def run(it):
         w = weights.value
@@ -364,12 +410,15 @@ def near_duplicates(docs: DataFrame, cfg: Settings = Settings(), *, id_col: str
     by_group = big.groupBy("band", "h", "group").agg(F.count("*").alias("m"))
     main = by_group.groupBy("band", "h").agg(F.max_by("group", F.struct("m", "group")).alias("main"), F.count("*").alias("parts")).filter("parts > 1").drop("parts")
     open_ = written(big.join(main, ["band", "h"]).withColumn("rest", F.col("group") != F.col("main")).drop("main"), "dup-o")
-    member = F.collect_list(F.struct("id", "sig", "group"))
-    spread = lambda d: d.withColumn("block", F.pmod(F.xxhash64("id", "band"), n_blocks))
-    rest = spread(open_.filter("rest")).groupBy("band", "h", "block").agg(member.alias("rest"))
-    whole = spread(open_).groupBy("band", "h", "block").agg(member.alias("whole")).drop("block")
-    second = written(_second_round(rest.join(whole, ["band", "h"]).select("band", "rest", "whole"), cfg).join(first, ["a", "b"], "left_anti"), "dup-q")
-    more = _verified(second, rows, weights, cfg, "dup-w").filter(F.col("similarity") >= cfg.threshold).select("a", "b")
+    with_text = written(open_.join(_texts_of(rows, open_.select("id").distinct()), "id"), "dup-t")
+    # blocks of about BLOCK documents or BLOCK_CHARS characters
+    sizes = with_text.groupBy("band", "h").agg(F.sum(F.length("text")).alias("chars"))
+    n_parts = F.greatest(F.ceil(F.col("n") / F.lit(BLOCK)), F.ceil(F.col("chars") / F.lit(BLOCK_CHARS)))
+    spread = with_text.join(sizes, ["band", "h"]).withColumn("block", F.pmod(F.xxhash64("id", "band"), n_parts))
+    member = F.collect_list(F.struct("id", "sig", "group", "text"))
+    rest = spread.filter("rest").groupBy("band", "h", "block").agg(member.alias("rest"))
+    whole = spread.groupBy("band", "h", "block").agg(member.alias("whole")).drop("block")
+    more = written(_second_round(rest.join(whole, ["band", "h"]).select("band", "rest", "whole"), weights, cfg), "dup-q")
     groups = written(components(written(edges.union(more), "dup-e")), "dup-g")
     by_text = texts.join(groups, "id", "left").select("key", F.col("id").alias("text_id"), F.coalesce("group", "id").alias("class_id"))
     placed = signed.select("id", "key").join(by_text, "key").select("id", "class_id", "text_id")

@@ -24,11 +24,11 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batches, ship, written
+from .common import batches, holds, only, ship, written
 from .token_counts import byte_letters
 
 #: Words kept with their ids by a task's tokenizer, and their longest length.
-CACHE_WORDS, CACHE_CHARS = 400_000, 48
+CACHE_WORDS, CACHE_CHARS = 150_000, 48
 STEP_BYTES = 4 << 20
 
 
@@ -82,10 +82,11 @@ class WordTokenizer:
             return np.asarray(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         chunks = text.split()
         known = self.known
-        for c in set(chunks).difference(known):
-            if len(known) >= CACHE_WORDS + 200_000:
-                known.clear()
-                return self.ids(text)
+        new = set(chunks).difference(known)
+        if len(known) + len(new) > CACHE_WORDS:
+            known.clear()
+            new = set(chunks)
+        for c in new:
             known[c] = self._chunk(c)
         out = b"".join(map(known.__getitem__, chunks))
         for c in [c for c in chunks if len(c) > CACHE_CHARS]:
@@ -94,6 +95,7 @@ class WordTokenizer:
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
+holds("packing", _TOKENIZERS)
 
 
 def tokenizer(path: str) -> WordTokenizer:
@@ -114,6 +116,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, *, max_tokens: int = 4096
     tail = np.array([end_id], "<u4").tobytes()
 
     def run(it):
+        only("packing")
         tok = tokenizer(tokenizer_path)
         for b in batches(it, STEP_BYTES):
             rows, piece, start, length, crc = [], [], [], [], []

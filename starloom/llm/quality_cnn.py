@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, one_sample, ship
+from .common import batches, one_sample, only, ship
 
 #: Embedding size, bytes per position, positions per filter, filters, hidden units, positions of a chunk.
 EMBED, STRIDE, SPAN, FILTERS, HIDDEN, POSITIONS = 8, 2, 4, 24, 16, 256
@@ -106,10 +106,10 @@ class Network:
         n = len(y)
         v, at = self.pooled(x, live)
         count = np.bincount(owner, minlength=n).astype(np.float32)
-        mean = np.zeros((n, FILTERS), np.float32)
+        mean = np.zeros((n, FILTERS), v.dtype)
         np.add.at(mean, owner, v)
         mean /= count[:, None]
-        top = np.zeros((n, FILTERS), np.float32)
+        top = np.zeros((n, FILTERS), v.dtype)
         np.maximum.at(top, owner, v)
         f, h, z = self.head(top, mean)
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
@@ -210,6 +210,7 @@ def score(docs: DataFrame, net: Network, *, id_col: str = "doc_id", text_col: st
     weights, slope, intercept = net.w, net.slope, net.intercept
 
     def run(it):
+        only("quality_cnn")
         model = Network(weights, slope, intercept)
         for b in batches(it, STEP_BYTES, "__text"):
             p = model.probabilities([(t or "").encode() for t in b.column(b.num_columns - 1).to_pylist()])

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, ship
+from .common import batches, holds, only, ship
 
 # Character classes (rows) and splitter states (columns).
 LETTER, NUMBER, OTHER, APOS2, APOS3, SPACE_LAST, WHITE_LAST, WHITE, END = range(9)
@@ -342,6 +342,7 @@ class TokenCounter:
 
 
 _COUNTERS: dict[str, TokenCounter] = {}
+holds("token_counts", _COUNTERS)
 
 
 def counter(path: str) -> TokenCounter:
@@ -361,6 +362,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, *, limit: int = 512, id_c
     ship(docs.sparkSession)
 
     def run(it):
+        only("token_counts")
         c = counter(tokenizer_path)
         for b in batches(it, STEP_BYTES):
             texts = [t or "" for t in b.column(1).to_pylist()]

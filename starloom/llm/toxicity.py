@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batches, one_sample, ship, written
+from .common import batches, one_sample, only, ship, written
 
 TOKEN = re.compile(r"[^\W\d_]+")
 STEP_BYTES = 4 << 20
@@ -88,7 +88,7 @@ class Scores(dict):
         self.rank = {u: i for i, u in enumerate(odds)}
 
     def __missing__(self, word: str):
-        if len(self) > 500_000:
+        if len(self) > 150_000:
             self.clear()
         found = [u for u in units(word) if u in self.rank]
         self[word] = got = self.odds[min(found, key=self.rank.__getitem__)] if found else None
@@ -276,6 +276,7 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
     passage = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64()), ("score", pa.float64())]))
 
     def run(it):
+        only("toxicity")
         scores = Scores(model.odds)
         for b in batches(it, STEP_BYTES, "__text"):
             p, found = [], []

@@ -222,7 +222,7 @@ def test_windows_cover_the_text():
 def test_gradients_through_pooling():
     net = Q.Network(seed=2)
     net.w = {k: v.astype(np.float64) for k, v in net.w.items()}
-    x, n, owner = Q.chunks([b"hello world and more" * 60, b"xyz", b""])
+    x, n, owner = Q.chunks([prose(160, random.Random(1)).encode(), b"xyz", b""])  # without repeats, so that each maximum is unique
     y, w = np.array([1.0, 0.0, 1.0]), np.full(3, 1 / 3)
     _, g = net.gradients(x, n, owner, y, w)
     for k, d in g.items():
@@ -233,7 +233,7 @@ def test_gradients_through_pooling():
         net.w[k][i] = keep - e
         down = net.gradients(x, n, owner, y, w)[0]
         net.w[k][i] = keep
-        assert abs((up - down) / (2 * e) - d[i]) < 0.1 * abs(d[i]) + 1e-4, k
+        assert abs((up - down) / (2 * e) - d[i]) < 0.01 * abs(d[i]) + 1e-5, k
 
 
 def test_chunks_cover_and_overlap():
