@@ -17,9 +17,19 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+#: Bytes of an Arrow batch on its way to a task's Python code.
+ARROW_BYTES = 4 << 20
+
+
 def ship(spark: SparkSession) -> None:
     """Give the executors this package's source, once per Spark context, so
-    that tasks can import it where it is not installed."""
+    that tasks can import it where it is not installed.  Also lowers Spark's
+    64 MB default for an Arrow batch, unless the session sets its own: the
+    batch is held several times, in the JVM's direct memory and in Python, by
+    every running task."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, "") in ("67108864b", "67108864", "64m", "64mb"):
+        spark.conf.set(key, str(ARROW_BYTES))
     sc = spark.sparkContext
     if getattr(sc, "_starloom_shipped", False):
         return
