@@ -28,7 +28,7 @@ def ship(spark: SparkSession) -> None:
     batch is held several times, in the JVM's direct memory and in Python, by
     every running task."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(key, "") in ("67108864b", "67108864", "64m", "64mb"):
+    if spark.conf.get(key) in ("67108864b", "67108864", "64m", "64mb"):
         spark.conf.set(key, str(ARROW_BYTES))
     sc = spark.sparkContext
     if getattr(sc, "_starloom_shipped", False):

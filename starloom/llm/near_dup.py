@@ -208,11 +208,11 @@ def _sketch(docs: DataFrame, cfg: Settings) -> tuple[np.ndarray, int]:
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int32()), pa.array(np.append(counts[at], n), pa.int64())], names=["k", "n"])
 
-    total = docs.mapInArrow(run, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).toPandas()
+    total = docs.mapInArrow(run, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
+    at, n = total.column("k").to_numpy(), total.column("n").to_numpy()
     counts = np.zeros(SKETCH)
-    real = total["k"].to_numpy() >= 0
-    counts[total["k"].to_numpy()[real]] = total["n"].to_numpy()[real]
-    return counts, int(total["n"].to_numpy()[~real].sum())
+    counts[at[at >= 0]] = n[at >= 0]
+    return counts, int(n[at < 0].sum())
 
 
 def _signed(docs: DataFrame, weights, cfg: Settings) -> DataFrame:
