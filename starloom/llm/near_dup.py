@@ -40,10 +40,10 @@ SKETCH, TABLE = 1 << 19, 1 << 16
 #: Bits of the map that keeps texts out of the verification's shuffle.
 FILTER_BITS = 1 << 24
 #: Documents of a block; buckets up to SMALL propose all their pairs at once.
-BLOCK, SMALL = 512, 24
+BLOCK, SMALL = 512, 8
 BLOCK_CHARS = 4 << 20
 #: Partners that a document of a big bucket proposes in the first round: most similar, most central.
-NEAREST, CENTRAL = 3, 3
+NEAREST, CENTRAL = 1, 2
 U = np.uint64
 MIX = U(0x9E3779B97F4A7C15)
 
