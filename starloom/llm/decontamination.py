@@ -6,7 +6,9 @@ that a passage's score says what part of the item's weighted terms it covers.
 Every document is cut into overlapping passages, such that any run of words
 as long as the longest item lies whole in one of them.  Every passage queries
 the index and retrieves all items that reach the threshold; a hit counts when
-the passage's word runs cover both the item's question and its answer.
+the passage covers both the item's question and its answer, or the whole of an
+item that marks no answer, by word runs or by words in their order, so that a
+few edited words do not hide an item.
 """
 from __future__ import annotations
 
@@ -25,6 +27,7 @@ from pyspark.sql import functions as F
 from .common import batches, only, ship
 
 WORD = re.compile(r"[^\W_]+")
+ANSWER, ASKED = re.compile(r"(?i)\banswer\s*:"), re.compile(r"\?(?=\s+\S)")
 STEP_BYTES = 2 << 20
 SLACK = 1e-9
 
@@ -35,7 +38,7 @@ class Settings:
     b: float = 0.75
     #: Part of an item's full BM25 score that a passage must reach.
     threshold: float = 0.5
-    #: Words of a run, and the part of the question's and of the answer's runs that must occur in the passage.
+    #: Words of a run, and the part of the question's and of the answer's runs, or words in order, that must occur in the passage.
     run: int = 3
     question: float = 0.6
     answer: float = 0.6
@@ -54,9 +57,9 @@ def split_item(text: str) -> tuple[list[str], list[str]]:
     """Words of the question and of the answer: cut at an answer mark, else
     after the last question mark, else before the last sentence, else at two
     thirds of the words."""
-    m = re.search(r"(?i)\banswer\s*:", text)
+    m = ANSWER.search(text)
     if m is None:
-        marks = list(re.finditer(r"\?(?=\s+\S)", text)) or list(re.finditer(r"[.!](?=\s+\S)", text))
+        marks = list(ASKED.finditer(text)) or list(re.finditer(r"[.!](?=\s+\S)", text))
         m = marks[-1] if marks else None
     q, a = (words_of(text[:m.start()]), words_of(text[m.end():])) if m else ([], [])
     if len(q) < 3 or len(a) < 3:
@@ -66,16 +69,53 @@ def split_item(text: str) -> tuple[list[str], list[str]]:
     return q, a
 
 
+def answer_size(text: str) -> int:
+    """Words after the answer mark or the last question mark; 0 in an item
+    with neither, which has no answer of its own."""
+    m = ANSWER.search(text) or next(reversed(list(ASKED.finditer(text))), None)
+    return len(words_of(text[m.end():])) if m and len(words_of(text[:m.start()])) >= 3 else 0
+
+
 def _runs(words: list[str], n: int) -> set[tuple[str, ...]]:
     n = min(n, len(words))
     return set(zip(*(words[i:] for i in range(n)))) if n else set()
 
 
+def _share(part: list[str], words: list[str], run: int) -> float:
+    want = _runs(part, run)
+    return len(want & _runs(words, min(run, len(part)))) / len(want) if want else 1.0
+
+
+def in_order(part: list[str], words: list[str], weight: dict[str, float], least: float) -> float:
+    """Largest share of ``part`` that stands in its order (longest common
+    subsequence) in a window of twice its length, over the windows with at
+    least ``least`` of its weight: common words alone do not make a match."""
+    n = len(part)
+    masks: dict[str, int] = {}
+    for i, w in enumerate(part):
+        masks[w] = masks.get(w, 0) | 1 << i
+    hits = [i for i, w in enumerate(words) if w in masks]
+    need = (least - SLACK) * sum(weight[w] for w in masks)
+    best, full, step = 0, (1 << n) - 1, max(1, n // 2)
+    for lo in range(0, max(1, len(words) - n), step):
+        here = [words[i] for i in hits[bisect_left(hits, lo):bisect_left(hits, lo + 2 * n)]]
+        if len(here) <= best or sum(weight[w] for w in set(here)) < need:
+            continue
+        free = full  # bit i is 0 where the length grows at word i
+        for w in here:
+            used = free & masks[w]
+            free = ((free + used) | (free - used)) & full
+        best = max(best, n - free.bit_count())
+    return best / n if n else 1.0
+
+
 @dataclass
 class Index:
     """Posting lists of (item, impact) per term, with block maxima."""
     ids: list[int]
     parts: list[tuple[list[str], list[str]]]
+    #: Words of each item's marked answer; 0 without a mark.
+    answer: list[int]
     term: dict[str, int]
     postings: list[list[int]]
     impacts: list[list[float]]
@@ -92,7 +132,7 @@ class Index:
     def build(items: list[tuple[int, str]], df: dict[str, int], n_items: int, mean_len: float, cfg: Settings) -> "Index":
         """``df``, ``n_items``, ``mean_len``: statistics of all items, also of
         those in other indexes."""
-        ids, parts, term, postings, impacts, longest = [], [], {}, [], [], 1
+        ids, parts, answer, term, postings, impacts, longest = [], [], [], {}, [], [], 1
         for item, text in sorted(items):
             q, a = split_item(text)
             tf = Counter(q + a)
@@ -112,8 +152,9 @@ class Index:
                 impacts[k].append(s / full)
             ids.append(item)
             parts.append((q, a))
+            answer.append(answer_size(text))
         blocks = [[max(x[i:i + cfg.block]) for i in range(0, len(x), cfg.block)] for x in impacts]
-        out = Index(ids, parts, term, postings, impacts, np.array([max(x) for x in impacts]), blocks, longest, cfg.span)
+        out = Index(ids, parts, answer, term, postings, impacts, np.array([max(x) for x in impacts]), blocks, longest, cfg.span)
         where = np.array([(t, i // cfg.span) for t, p in enumerate(postings) for i in p], np.int64).reshape(-1, 2)
         first = np.flatnonzero(np.diff(where, axis=0, prepend=-1).any(1))
         out.span_at = where[first, 1]
@@ -188,16 +229,21 @@ class Index:
                 for i in order[:pivot + 1]:
                     at[i] = bisect_left(lists[i][0], to, at[i])
 
-    def overlap(self, item: int, words: list[str], run: int) -> tuple[float, float]:
-        """Parts of the question's and the answer's runs found in ``words``."""
-        out, seen = [], {}
-        for part in self.parts[item]:
-            n = min(run, len(part))
-            if n not in seen:
-                seen[n] = _runs(words, n)
-            want = _runs(part, n)
-            out.append(len(want & seen[n]) / len(want) if want else 1.0)
-        return out[0], out[1]
+    def overlap(self, item: int, words: list[str], cfg: Settings) -> tuple[float, float]:
+        """Parts of the question and of the answer found in ``words``; of an
+        item without an answer mark twice the part of the whole item, unless
+        the runs of its first and last words suffice."""
+        q, a = (_share(part, words, cfg.run) for part in self.parts[item])
+        if q >= cfg.question and a >= cfg.answer:
+            return q, a
+        text, n = [w for part in self.parts[item] for w in part], self.answer[item]
+        weight = {}
+        for t in set(text):
+            post = self.postings[k := self.term[t]]
+            weight[t] = self.impacts[k][bisect_left(post, item)]
+        cover = [max(_share(part, words, cfg.run), in_order(part, words, weight, cfg.threshold))
+                 for part in ((text[:-n], text[-n:]) if n else (text,))]
+        return cover[0], cover[-1]
 
 
 def search_texts(index: Index, texts: list[str | None], cfg: Settings) -> list[tuple[int, int, int, float, float, float]]:
@@ -246,7 +292,7 @@ def search_texts(index: Index, texts: list[str | None], cfg: Settings) -> list[t
         words = None
         for item, score in index.search(terms.tolist(), cfg.threshold - SLACK, cfg.block):
             words = words or docs[d][first:first + 2 * m]
-            q, a = index.overlap(item, words, cfg.run)
+            q, a = index.overlap(item, words, cfg)
             if q >= cfg.question and a >= cfg.answer:
                 hit = (score, -first, q, a)
                 if hit > best.get((d, item), (-1.0,)):

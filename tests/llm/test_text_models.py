@@ -129,6 +129,32 @@ def test_leaks_are_found(spark):
     assert D.contaminated(df, bench.limit(0)).count() == 0 and D.contaminated(df.limit(0), bench).count() == 0
 
 
+def some_changed(text, k, r):
+    words = text.split()
+    for i in r.sample(range(len(words)), k):
+        words[i] = r.choice(VOCAB)
+    return " ".join(words)
+
+
+@pytest.mark.parametrize("mark", [". ", "? "])
+def test_lightly_edited_leaks_are_found(mark):
+    r = random.Random(12)
+    items = [(i, f"{prose(r.randint(14, 30), r)}{mark}{prose(r.randint(3, 5), r)}.") for i in range(60)]
+    df = Counter(t for _, x in items for t in set(D.words_of(x)))
+    index = D.Index.build(items, df, len(items), sum(len(D.words_of(x)) for _, x in items) / len(items), D.Settings())
+    hits = lambda texts: {h[:2] for h in D.search_texts(index, [f"{prose(90, r)} {t} {prose(90, r)}" for t in texts], D.Settings())}
+    for k in range(1, 5):
+        if mark == ". ":
+            leaks = [some_changed(x, k, r) for _, x in items]
+        else:  # one word of the answer, the others in the question
+            leaks = [some_changed(x.split(mark)[0], k - 1, r) + mark + some_changed(x.split(mark)[1], 1, r) for _, x in items]
+        found = hits(leaks)
+        assert all(i == j for i, j in found) and len(found) >= (60 if mark == ". " else 57)
+    first = hits([x.split(mark)[0] for _, x in items])  # without the last sentence, or the question alone
+    assert first == ({(i, i) for i in range(60)} if mark == ". " else set())
+    assert not hits([prose(40, r) for _ in range(60)])
+
+
 # toxicity
 
 def plain_segments(scores):
