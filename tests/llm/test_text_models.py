@@ -68,6 +68,30 @@ def test_near_duplicates_equal_all_pairs(spark, monkeypatch, small):
     assert [got[i] for i in range(len(rows))] == plain_classes(rows, N.Settings())
 
 
+@pytest.mark.parametrize("small", [8, 1])
+def test_pairs_just_over_the_threshold_with_a_low_estimate(spark, monkeypatch, small):
+    monkeypatch.setattr(N, "SMALL", small)
+    r = random.Random(21)
+    pairs = []
+    for k in range(1500):
+        words = prose(189 - k % 2, r).split()
+        other = list(words)
+        for at in (20, 60, 100, 140)[k % 4 == 0:]:  # similarities of 0.80 to 0.85
+            other[at] = "edited"
+        pairs.append((" ".join(words), " ".join(other)))
+    d, h, tf = N.shingles([N.words_of(t) for p in pairs for t in p], 5)
+    sig = N.signatures(d, h, tf.astype(float), 2 * len(pairs))  # rare shingles weigh 1 each
+    same = (sig[::2] == sig[1::2]).sum(1)
+    met = (N.bands(sig[::2]) == N.bands(sig[1::2])).any(1)
+    low = [pairs[i] for i in np.flatnonzero(met & (same < 44) & (same >= 36))]
+    assert len(low) >= 3
+    rows = [t for p in low for t in p] + [prose(150, r) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {x.doc_id: x.class_id for x in N.near_duplicates(df).collect()}
+    want = plain_classes(rows, N.Settings())
+    assert want[1] == 0 and [got[i] for i in range(len(rows))] == want
+
+
 def test_near_duplicates_of_an_empty_table(spark):
     assert N.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
