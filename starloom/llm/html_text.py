@@ -40,6 +40,12 @@ advertisement advertising adsense banner promo promotion sponsor sponsored cooki
 popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended widget
 toolbar pagination pager comment comments reply replies disqus respond copyright legal masthead skip form search alert
 paywall""".split())
+#: Elements that class and id words never condemn.
+WHOLE_TAGS = frozenset("html body main article h1 h2 h3 h4 h5 h6".split())
+#: First parts of a token that tells of a state ("has-sidebar"), and parts that beside a region word leave it one ("post-comments").
+STATES = frozenset("has have no not with without is hide show".split())
+BOXES = frozenset("""box boxes bar container wrapper wrap inner outer area section block list item items link links button
+buttons icon icons unit slot top bottom left right module panel group row post posts entry article page site inline js media""".split())
 HEADER_WORDS = frozenset("header masthead banner".split())
 MAIN_WORDS = frozenset("articlebody article-body article-content post-content post-body entry-content story-body main-content".split())
 
@@ -72,9 +78,22 @@ class Block:
     item: bool
 
 
-def _flags(tag: str, attrs: str, in_main: bool) -> tuple[bool, bool]:
-    """Is this element a boilerplate region; is it a main region?"""
-    bad, main = tag in BAD_TAGS, tag in MAIN_TAGS
+def _names_region(token: str, in_main: bool) -> bool:
+    """Does a class or id token name a boilerplate region?  Inside the main
+    region all its parts must say so, or be words of mere layout."""
+    parts = set(re.split(r"[-_]+", token))
+    if in_main:
+        words = BAD_WORDS - HEADER_WORDS
+        return token in words or not parts.isdisjoint(words) and parts - words <= BOXES
+    if re.split(r"[-_]+", token)[0] in STATES:
+        return False
+    return "header" in parts or not (parts | {token}).isdisjoint(BAD_WORDS)
+
+
+def _flags(tag: str, attrs: str, in_main: bool) -> tuple[bool, bool, bool]:
+    """Is this element a boilerplate region; do only its class or id say so;
+    is it a main region?"""
+    bad, named, main = tag in BAD_TAGS, False, tag in MAIN_TAGS
     if tag == "header":
         bad = not in_main
     if attrs and "=" in attrs or "hidden" in attrs:
@@ -83,12 +102,7 @@ def _flags(tag: str, attrs: str, in_main: bool) -> tuple[bool, bool]:
             if name in ("class", "id"):
                 for token in value.split():
                     main |= token in MAIN_WORDS
-                    words = set(re.split(r"[-_]+", token)) | {token}
-                    if in_main:
-                        words -= HEADER_WORDS
-                    else:
-                        bad |= "header" in words
-                    bad |= not words.isdisjoint(BAD_WORDS)
+                    named |= _names_region(token, in_main)
             elif name == "role":
                 bad |= value in BAD_ROLES and not (in_main and value == "banner")
                 main |= value == "main"
@@ -98,13 +112,29 @@ def _flags(tag: str, attrs: str, in_main: bool) -> tuple[bool, bool]:
                 bad = True
             elif name == "style":
                 bad |= "display:none" in value.replace(" ", "")
-    return bad, main and not bad
+    return bad, named, main and not bad
 
 
 def blocks(page: str) -> list[Block]:
-    """Text blocks of a page in order, with the region they sit in."""
+    """Text blocks of a page in order, with the region they sit in.  Where
+    class or id words condemned elements around the main region, the page is
+    read again without those words."""
+    out, around = _read(page, frozenset())
+    return _read(page, around)[0] if around else out
+
+
+def _read(page: str, spared: frozenset[int]) -> tuple[list[Block], frozenset[int]]:
+    """The blocks, and the elements (by position) around the main region that
+    only class or id words condemn; those in ``spared`` are not condemned.
+    The main region is every ``main``; on a page without one that has no
+    other main region outside boilerplate, what is declared main within."""
     out: list[Block] = []
     stack: list[tuple[str, bool, bool]] = []  # tag, inside a bad region, inside a main region
+    named: list[tuple[int, int]] = []  # depth and position of open elements condemned by words
+    hard: list[int] = []  # depth of open elements condemned otherwise
+    sure: set[int] = set()
+    maybe: set[int] = set()
+    free = False
     parts: list[str] = []
     links = 0
     link_depth = 0
@@ -136,6 +166,10 @@ def blocks(page: str) -> list[Block]:
         nonlocal link_depth
         link_depth -= sum(t == "a" for t, _, _ in stack[k:])
         del stack[k:]
+        while named and named[-1][0] >= k:
+            named.pop()
+        while hard and hard[-1] >= k:
+            hard.pop()
 
     pos = 0
     while pos < end:
@@ -179,12 +213,25 @@ def blocks(page: str) -> list[Block]:
                 if stack[k][0] in SCOPE:
                     break
         in_bad, in_main = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-        bad, main = _flags(tag, m[3], in_main)
+        bad, by_name, main = _flags(tag, m[3], in_main)
+        bad |= tag == "head"
+        if main and not in_main and not bad and not hard:
+            declared = tag == "main" or "main" in re.findall(r"role\s*=\s*[\"']?(\w+)", m[3].lower())
+            free |= not named or declared
+            if declared:
+                sure.update(at for _, at in named)
+            elif not by_name:
+                maybe.update(at for _, at in named)
+        if bad:
+            hard.append(len(stack))
+        elif by_name and not main and tag not in WHOLE_TAGS and m.start() not in spared:
+            named.append((len(stack), m.start()))
+            bad = True
         if tag == "a":
             link_depth += 1
-        stack.append((tag, in_bad or bad or tag == "head", in_main or main))
+        stack.append((tag, in_bad or bad, in_main or main))
     flush()
-    return out
+    return out, frozenset(sure if free else maybe)
 
 
 def first_pass(b: Block, r: Rules) -> str:

@@ -3,6 +3,7 @@ import itertools
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from starloom.llm import html_text, mips, url_rules
@@ -53,6 +54,33 @@ def test_regions():
     assert html_text.extract(page).split("\n\n") == ["Title & more", LONG.strip(), "Short one.", "2 < 3 and 4 > 3"]
 
 
+@pytest.mark.parametrize("page", [
+    "<html class='no-sidebar'><body class='has-sidebar page'><article>{}</article></body></html>",
+    "<body class='cookie'><main id='search'>{}</main></body>",
+    "<article class='related-story'>{}</article>",
+    "<div class='page no-sidebar'>{}</div>",
+    "<div class='sidebar-layout'><div id='widget'><main>{}</main></div></div>",
+    "<div class='form'><article>{}</article></div>",
+    "<div class='form'><div role=main>{}<section id=comments><article>No</article></section></div></div>",
+    "<article><section id='search-methods'>{}</section></article>",
+    "<div class='entry-content paywall'>{}</div>",
+])
+def test_class_and_id_words_spare_the_main_region(page):
+    text = f"<h2 id='legal'>Legal terms</h2><p>{LONG}</p>"
+    assert html_text.extract(page.format(text)).split("\n\n") == ["Legal terms", LONG.strip()]
+
+
+@pytest.mark.parametrize("part", [
+    "<div class='share-buttons'>{}</div>", "<div class='post-comments'>{}</div>", "<div id='newsletter'>{}</div>", "<aside class='x'>{}</aside>",
+    "<div class='related'><article>{}</article></div>", "<section id='comments'><article class='comment'>{}</article></section>",
+])
+def test_regions_named_by_class_are_still_dropped(part):
+    part = part.format(f"<p>{LONG} x</p>")
+    assert html_text.extract(f"<body><article><p>{LONG}</p></article>{part}</body>") == LONG.strip()
+    assert html_text.extract(f"<body><article><p>{LONG}</p>{part}</article></body>") == LONG.strip()
+    assert html_text.extract(f"<p>{LONG}</p><section id='comments'><article class='comment'><p>{LONG}</p></article></section>") == LONG.strip()
+
+
 def test_pages_without_regions():
     assert html_text.extract(f"<div>Home | About</div><p>{LONG}</p><p>Short tail.</p><p>{LONG}</p>").split("\n\n")[-3:] == [LONG.strip(), "Short tail.", LONG.strip()]
     assert html_text.extract("<p>only this</p>") == "only this"
