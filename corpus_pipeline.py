@@ -47,9 +47,12 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group of near copies,
-    once; documents without an id belong to no group and stay."""
+    once, of several texts under that id the first in their order; documents
+    without an id belong to no group and stay."""
     kept = near_dup.near_duplicates(docs).filter("class_id = doc_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns).union(docs.filter("doc_id is null"))
+    row = F.struct(F.col("text").isNull().alias("none"), "text", F.struct(*docs.columns).alias("row"))
+    once = docs.join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(row).alias("least"))
+    return once.select("least.row.*").union(docs.filter("doc_id is null"))
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

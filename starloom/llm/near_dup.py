@@ -364,6 +364,14 @@ def _verified(pairs: DataFrame, docs: DataFrame, weights, cfg: Settings, tag: st
     return written(joined.mapInArrow(run, "a long, b long, similarity double"), tag)
 
 
+def _same_id(signed: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links between the texts of an id that has several."""
+    several = signed.groupBy("id").agg(F.min("key").alias("low"), F.max("key").alias("high")).filter("low <> high").select("id")
+    held = signed.select("id", "key").join(several, "id").join(texts.select("key", F.col("id").alias("text_id")), "key")
+    least = held.groupBy("id").agg(F.min("text_id").alias("a"))
+    return written(held.join(least, "id").select("a", F.col("text_id").alias("b")).filter("a <> b").distinct(), "dup-i")
+
+
 def components(edges: DataFrame, tag: str = "cc") -> DataFrame:
     """id, group (the smallest id reached): neighbours' minima and pointer
     jumping, each round written to the shared folder."""
@@ -407,7 +415,7 @@ def near_duplicates(docs: DataFrame, cfg: Settings = Settings(), *, id_col: str
     packed = F.collect_list(F.struct("id", "sig")).alias("rows")  # about BLOCK rows by the salt
     first = written(_first_round(salted.groupBy("band", "h", "block").agg(F.first("n").alias("n"), packed), cfg), "dup-p")
     links = _verified(first, rows, weights, cfg, "dup-v")
-    edges = links.filter(F.col("similarity") >= cfg.threshold).select("a", "b")
+    edges = links.filter(F.col("similarity") >= cfg.threshold).select("a", "b").union(_same_id(signed, texts))
     groups = components(edges)
 
     big = met.filter(F.col("n") > SMALL).join(groups, "id", "left").withColumn("group", F.coalesce("group", "id"))

@@ -92,6 +92,22 @@ def test_pairs_just_over_the_threshold_with_a_low_estimate(spark, monkeypatch, s
     assert want[1] == 0 and [got[i] for i in range(len(rows))] == want
 
 
+def test_texts_under_one_id_are_linked(spark):
+    import corpus_pipeline
+
+    r = random.Random(31)
+    one, two, three = (prose(50, r) for _ in range(3))
+    rows = [(5, one), (7, one), (7, two), (9, two), (11, three), (13, two + " " + three), (15, "b " + one), (15, "a " + three + three)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {(x.doc_id, x.class_id) for x in N.near_duplicates(df).collect()}
+    assert got >= {(5, 5), (7, 5), (9, 5), (13, 13)}
+    assert all(sum(a == b == c for a, b in got) == 1 for c in {b for _, b in got})
+    two_texts = spark.createDataFrame([(3, None), (3, two), (3, one), (4, three), (None, one)], "doc_id long, text string").repartition(3)
+    kept = corpus_pipeline.near_duplicates(spark, two_texts, "")
+    assert kept.columns == ["doc_id", "text"]
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([(3, min(one, two)), (4, three), (None, one)], key=str)
+
+
 def test_near_duplicates_of_an_empty_table(spark):
     assert N.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
