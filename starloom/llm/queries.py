@@ -168,3 +168,85 @@ def op13_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decode(encode(read_table(spark, sf_dir, "documents"), path), path)
     ids = F.array_join(F.col("ids").cast("array<string>"), " ")
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@_query
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources of each language compared by their words, over all documents."""
+    from .divergence import source_divergence
+
+    return source_divergence(read_table(spark, sf_dir, "documents"))
+
+
+SQL["op11_source_divergence"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS id, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+w AS (
+  SELECT id, lang, source,
+         translate(unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term
+  FROM d),
+k AS (SELECT lang, term, count(*) AS times FROM w GROUP BY 1, 2 HAVING count(DISTINCT id) >= 10),
+l AS (SELECT lang, count(*) AS v, sum(times) AS n FROM k GROUP BY 1),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS times FROM w SEMI JOIN k USING (lang, term) GROUP BY 1, 2, 3),
+n AS (SELECT lang, source, sum(times) AS n FROM c GROUP BY 1, 2),
+p AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.times, 0) AS times,
+         CAST(1 + 1000000000::HUGEINT * (coalesce(c.times, 0) + 2) // (coalesce(n.n, 0) + 2 * l.v) AS BIGINT) AS p,
+         CAST(1 + 1000000000::HUGEINT * (k.times + 2) // (l.n + 2 * l.v) AS BIGINT) AS q
+  FROM g JOIN k ON g.lang = k.lang JOIN l ON l.lang = k.lang
+  LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term LEFT JOIN n ON n.lang = g.lang AND n.source = g.source),
+f AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+r AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(f.value, 0) AS BIGINT) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, CAST((p - q) * (p - q) // (p + q) AS BIGINT) FROM p WHERE times > 0 AND p > q),
+o AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS INTEGER) AS rank FROM r)
+SELECT * FROM o WHERE part = 'pair' OR rank <= 10"""
+
+
+@_query
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prefix trie of all conversations, rebuilt with their group's first turns."""
+    from . import prefix_trie as trie
+    from .common import written
+
+    own = written(trie.turns(read_table(spark, sf_dir, "conversations")), "trie-turns")
+    return trie.prefix_trie(trie.sequences(trie.with_shared_heads(own), own.select("conv_id").distinct()))
+
+
+SQL["op12_prefix_trie"] = """
+WITH o AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS at
+  FROM conversations WHERE conv_id IS NOT NULL),
+tab AS (
+  SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) ORDER BY i) AS t
+  FROM range(256) r(i)),
+h AS (
+  SELECT conv_id, conv_id - conv_id % 100 AS base,
+         xor(list_reduce([4294967295] || [CAST(ord(x) AS BIGINT) FOR x IN string_split(CAST(conv_id AS VARCHAR), '')],
+                         lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) % 6 AS h
+  FROM (SELECT DISTINCT conv_id FROM o), tab),
+r AS (
+  SELECT h.conv_id, o.at, o.role, o.text FROM h JOIN o ON o.conv_id = h.base AND o.at <= h.h
+  UNION ALL SELECT h.conv_id, o.at, o.role, o.text FROM h JOIN o ON o.conv_id = h.conv_id AND o.at > h.h),
+s AS (SELECT h.conv_id, coalesce(list({'r': role, 't': text} ORDER BY at) FILTER (at IS NOT NULL), []) AS seq FROM h LEFT JOIN r USING (conv_id) GROUP BY 1),
+p AS (SELECT conv_id, seq, unnest(range(0, len(seq) + 1)) AS depth FROM s),
+node AS (
+  SELECT seq[1:depth] AS prefix, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+         coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (depth = len(seq)), '') AS ids,
+         CASE WHEN depth = 0 THEN 0 ELSE length(any_value(seq[depth].t)) END AS size
+  FROM p GROUP BY 1, 2),
+child AS (SELECT prefix[1:depth - 1] AS prefix, count(*) AS n FROM node WHERE depth > 0 GROUP BY 1),
+full_node AS (SELECT node.*, coalesce(child.n, 0) AS n_children FROM node LEFT JOIN child USING (prefix)),
+up AS (SELECT *, unnest(range(0, depth + 1)) AS top FROM full_node),
+sub AS (
+  SELECT prefix[1:top] AS prefix, sum((n_convs - 1) * size) AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves FROM up GROUP BY 1)
+SELECT a.conv_id, CAST(a.depth AS BIGINT) AS depth, b.conv_id AS parent_conv_id, a.n_convs, a.n_children, sub.n_leaves,
+       CAST(sub.saved_tokens AS BIGINT) AS saved_tokens, sha256(a.ids) AS ends_sha256
+FROM full_node a JOIN sub ON sub.prefix = a.prefix LEFT JOIN full_node b ON a.depth > 0 AND b.prefix = a.prefix[1:a.depth - 1]"""
