@@ -222,7 +222,7 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL["op12_prefix_trie"] = """
 WITH o AS (
   SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
-         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS at
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS place
   FROM conversations WHERE conv_id IS NOT NULL),
 tab AS (
   SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) ORDER BY i) AS t
@@ -233,9 +233,9 @@ h AS (
                          lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) % 6 AS h
   FROM (SELECT DISTINCT conv_id FROM o), tab),
 r AS (
-  SELECT h.conv_id, o.at, o.role, o.text FROM h JOIN o ON o.conv_id = h.base AND o.at <= h.h
-  UNION ALL SELECT h.conv_id, o.at, o.role, o.text FROM h JOIN o ON o.conv_id = h.conv_id AND o.at > h.h),
-s AS (SELECT h.conv_id, coalesce(list({'r': role, 't': text} ORDER BY at) FILTER (at IS NOT NULL), []) AS seq FROM h LEFT JOIN r USING (conv_id) GROUP BY 1),
+  SELECT h.conv_id, o.place, o.role, o.text FROM h JOIN o ON o.conv_id = h.base AND o.place <= h.h
+  UNION ALL SELECT h.conv_id, o.place, o.role, o.text FROM h JOIN o ON o.conv_id = h.conv_id AND o.place > h.h),
+s AS (SELECT h.conv_id, coalesce(list({'r': role, 't': text} ORDER BY place) FILTER (place IS NOT NULL), []) AS seq FROM h LEFT JOIN r USING (conv_id) GROUP BY 1),
 p AS (SELECT conv_id, seq, unnest(range(0, len(seq) + 1)) AS depth FROM s),
 node AS (
   SELECT seq[1:depth] AS prefix, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
