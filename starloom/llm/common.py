@@ -114,6 +114,22 @@ def batches(it, max_bytes: int, col: str = "text"):
         yield b.slice(lo, n - lo)
 
 
+#: Bits of the map behind ``maybe_in``: 2 MB at any size.
+MAP_BITS = 1 << 24
+
+
+def maybe_in(df: DataFrame, ids: DataFrame, col: str) -> DataFrame:
+    """``df`` with ``__maybe``: false only where ``col`` is surely not among
+    the values of ``ids``.  A bit map of their hashes, of fixed size, is
+    broadcast; where it fills up, more rows are true and an exact join after
+    it has more to do."""
+    h = F.pmod(F.xxhash64(F.col(col).cast("long")), F.lit(MAP_BITS))
+    bit = F.expr("shiftleft(1L, cast(__h % 64 as int))")
+    words = ids.select(h.alias("__h")).groupBy(F.floor(F.col("__h") / 64).alias("__word")).agg(F.bit_or(bit).alias("__bits"))
+    out = df.withColumn("__h", h).withColumn("__word", F.floor(F.col("__h") / 64)).join(F.broadcast(words), "__word", "left")
+    return out.withColumn("__maybe", F.coalesce(F.col("__bits").bitwiseAND(bit) != 0, F.lit(False))).drop("__h", "__word", "__bits")
+
+
 def one_sample(df: DataFrame, strata: Column, seed_col: Column, per_stratum: int) -> DataFrame:
     """At most about ``per_stratum`` rows of each stratum, picked by a hash of
     ``seed_col``: one counting pass, then a filter per stratum (no shuffle of

@@ -4,18 +4,19 @@ A document is the weighted set of its five-word shingles, weighted by term
 frequency times inverse document frequency.  Improved consistent weighted
 sampling draws ``SAMPLES`` (shingle, level) samples from it; two documents
 agree on a sample with the probability of their weighted Jaccard similarity.
-Four samples make a band; documents that share a band are candidates, and a
-candidate pair becomes a link if its exact weighted Jaccard similarity reaches
-the threshold.  Linked documents form a group.
-
-Big buckets never expand into all their pairs.  They are cut into blocks of
-bounded size, whose signatures are compared in numpy; a first round proposes
-the most similar and the most central partners of each document (linear in
-the bucket), and a second round compares every document that is then still
-outside its bucket's main group with all of the bucket, block by block, and
-verifies in place; of the candidate pairs between different groups it leaves
-out only those whose signatures agree too little (``Settings.second``), and
-only links leave the task.  Buckets up to SMALL verify every pair.
+Four samples make a band; documents that share a band are candidates, and two
+candidates are linked if their exact weighted Jaccard similarity reaches the
+threshold.  Linked documents form a group.
+
+No pair of candidates is ever written down.  Each text of a bucket points to
+the bucket's first text; what hangs together that way is a family.  A family
+that fits a block goes to one task with its texts, where a matrix product of
+shared shingles gives the exact similarity of all its pairs, and one row per
+text comes out: its group.  A larger family is cut into blocks, then one
+member of each group goes into new blocks, again and again while that joins
+groups.  What is then still apart is compared exactly: every text outside the
+largest group of a unit with all of the unit, block by block.  A unit is the
+family or, where that ships less text, each of its buckets.
 """
 from __future__ import annotations
 
@@ -29,22 +30,19 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, holds, only, ship, written
+from .common import batches, holds, maybe_in, only, ship, written
 
 WORD = re.compile(r"\w+")
 STEP_BYTES = 2 << 20
 #: Samples of a signature, samples of a band.
 SAMPLES, ROWS = 64, 4
 BANDS = SAMPLES // ROWS
-#: Buckets of the document-frequency sketch, and entries of the random tables.
-SKETCH, TABLE = 1 << 19, 1 << 16
-#: Bits of the map that keeps texts out of the verification's shuffle.
-FILTER_BITS = 1 << 24
-#: Documents of a block; buckets up to SMALL propose all their pairs at once.
-BLOCK, SMALL = 512, 8
-BLOCK_CHARS = 4 << 20
-#: Partners that a document of a big bucket proposes in the first round: most similar, most central.
-NEAREST, CENTRAL = 1, 2
+#: Rows and columns of the document-frequency sketch, and entries of the random tables.
+SKETCH_ROWS, SKETCH, TABLE = 4, 1 << 17, 1 << 16
+#: Texts and characters of a block, and shingles of a step of the matrix product.
+BLOCK, BLOCK_CHARS, COLUMNS = 512, 4 << 20, 2048
+#: Similarities are sums of doubles in any order.
+ROUNDING = 1e-9
 U = np.uint64
 MIX = U(0x9E3779B97F4A7C15)
 
@@ -53,11 +51,6 @@ MIX = U(0x9E3779B97F4A7C15)
 class Settings:
     shingle: int = 5
     threshold: float = 0.8
-    #: Estimated similarity from which the first round of a big bucket proposes a pair; the second round meets what that leaves apart.
-    estimate: float = 0.68
-    #: Estimated similarity from which the second round verifies (36 of 64 samples: a pair of similarity 0.8 falls below
-    #: with a chance of 4e-6, and at any similarity from 0.8 far less often than banding misses it, 2e-4 at 0.8).
-    second: float = 0.5625
     #: Share of documents up to which a shingle has full weight, and the least weight.
     common: float = 0.05
     floor: float = 0.5
@@ -120,25 +113,39 @@ def shingles(docs: list[list[str]], k: int) -> tuple[np.ndarray, np.ndarray, np.
     return d[first], h[first], np.diff(first, append=len(h))
 
 
+def _cells(h: np.ndarray) -> list[np.ndarray]:
+    """Column of each shingle in every row of the sketch."""
+    return [(h >> U(3 + 15 * row)).astype(np.int64) & (SKETCH - 1) for row in range(SKETCH_ROWS)]
+
+
 class Weights:
     """Weight of a shingle: its count times its inverse document frequency,
-    from a sketch of the document frequencies of the whole corpus."""
+    from a count-min sketch of the document frequencies of the whole corpus."""
 
     def __init__(self, idf: np.ndarray):
         self.idf = idf
 
     @staticmethod
     def of(counts: np.ndarray, n_docs: int, cfg: Settings) -> "Weights":
-        """``counts``: documents per sketch bucket, each distinct shingle of a
-        document counted once.  The mean load of the other buckets is taken
-        off, so that a rare shingle in a loaded bucket stays rare."""
-        noise = (counts.sum() - counts) / max(1, len(counts) - 1)
+        """``counts``: documents per cell (SKETCH_ROWS x SKETCH), each distinct
+        shingle of a document counted once.  A shingle's frequency is its least
+        cell, less the mean load of the other cells.  That load is the shingles
+        of a mean document over SKETCH, as a share of the documents, at any
+        corpus size: 0.4 % at 500 shingles, far below ``common``, up to which
+        the weight is full."""
+        counts = counts.reshape(SKETCH_ROWS, SKETCH)
+        noise = (counts.sum(1, keepdims=True) - counts) / max(1, SKETCH - 1)
         df = np.maximum(1.0, counts - noise)
         full = math.log1p(1 / cfg.common)
-        return Weights(np.clip(np.log1p(max(1, n_docs) / df) / full, cfg.floor, 1.0).astype(np.float32))
+        return Weights(np.clip(np.log1p(max(1, n_docs) / df) / full, cfg.floor, 1.0))
 
     def __call__(self, h: np.ndarray, tf: np.ndarray) -> np.ndarray:
-        return tf * self.idf[(h >> U(20)).astype(np.int64) & (SKETCH - 1)]
+        cells = _cells(h)
+        out = self.idf[0][cells[0]]
+        low = np.flatnonzero(out < 1)  # the least cell has the largest weight
+        for row in range(1, SKETCH_ROWS):
+            out[low] = np.maximum(out[low], self.idf[row][cells[row][low]])
+        return tf * out
 
 
 def _tables() -> tuple[np.ndarray, ...]:
@@ -200,176 +207,220 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def _sketch(docs: DataFrame, cfg: Settings) -> tuple[np.ndarray, int]:
-    """Documents per sketch bucket and number of documents with a shingle.
-    Each task adds up its own; the result has SKETCH entries at any size."""
+    """Documents per cell and number of documents with a shingle.  Each task
+    adds up its own; the result has SKETCH_ROWS x SKETCH entries at any size."""
+    size = SKETCH_ROWS * SKETCH
+
     def run(it):
         only("near_dup")
-        counts, n = np.zeros(SKETCH, np.int64), 0
+        counts, n = np.zeros(size, np.int64), 0
         for b in batches(it, STEP_BYTES):
             d, h, _ = shingles([words_of(t) for t in b.column(1).to_pylist()], cfg.shingle)
-            counts += np.bincount((h >> U(20)).astype(np.int64) & (SKETCH - 1), minlength=SKETCH)
+            for row, cell in enumerate(_cells(h)):
+                counts[row * SKETCH:(row + 1) * SKETCH] += np.bincount(cell, minlength=SKETCH)
             n += len(np.unique(d))
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int32()), pa.array(np.append(counts[at], n), pa.int64())], names=["k", "n"])
 
-    total = docs.mapInArrow(run, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
+    total = docs.select("id", "text").mapInArrow(run, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
     at, n = total.column("k").to_numpy(), total.column("n").to_numpy()
-    counts = np.zeros(SKETCH)
+    counts = np.zeros(size)
     counts[at[at >= 0]] = n[at >= 0]
     return counts, int(n[at < 0].sum())
 
 
 def _signed(docs: DataFrame, weights, cfg: Settings) -> DataFrame:
-    """id, key of the word sequence, signature and bands of documents that
-    have a word."""
+    """id, hash of the text, key of the word sequence, characters and bands of
+    documents that have a word."""
     def run(it):
         only("near_dup")
         w = weights.value
         for b in batches(it, STEP_BYTES):
-            docs_ = [words_of(t) for t in b.column(1).to_pylist()]
+            texts = b.column(1).to_pylist()
+            docs_ = [words_of(t) for t in texts]
             d, h, tf = shingles(docs_, cfg.shingle)
             sig = signatures(d, h, w(h, tf), len(docs_))
             use = np.flatnonzero([bool(x) for x in docs_])
             keys = [xxhash.xxh3_128_digest(" ".join(docs_[i])) for i in use]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(pa.array(use)), pa.array(keys, pa.binary()), pa.array([x.tobytes() for x in sig[use]], pa.binary()),
-                 pa.array(list(bands(sig[use])), pa.list_(pa.int64()))], names=["id", "key", "sig", "bands"])
-
-    return docs.mapInArrow(run, "id long, key binary, sig binary, bands array<long>")
-
-
-def _agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(a), len(b)), np.uint8)
-    for k in range(SAMPLES):
-        out += a[:, k, None] == b[None, :, k]
-    return out
-
-
-def _unpack(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return (np.array([r["id"] for r in rows], np.int64), np.frombuffer(b"".join(r["sig"] for r in rows), np.uint32).reshape(-1, SAMPLES),
-            np.array([r.get("group", 0) for r in rows], np.int64))
-
-
-def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], names=["a", "b"])
-
-
-def _first_round(blocks: DataFrame, cfg: Settings) -> DataFrame:
-    least = math.ceil(cfg.estimate * SAMPLES)
-
-    def run(it):
-        for batch in it:
-            for k in range(batch.num_rows):
-                ids, sig, _ = _unpack(batch.column(1)[k].as_py())
-                if len(ids) < 2:
-                    continue
-                if batch.column(0)[k].as_py() <= SMALL:
-                    i, j = np.triu_indices(len(ids), 1)
-                else:
-                    same = _agreement(sig, sig)
-                    np.fill_diagonal(same, 0)
-                    near = np.argsort(-same.astype(np.int16), axis=1, kind="stable")[:, :NEAREST]
-                    central = np.argsort(-same.sum(1, dtype=np.int64), kind="stable")[:CENTRAL]
-                    i = np.repeat(np.arange(len(ids)), NEAREST + len(central))
-                    j = np.concatenate([near, np.tile(central, (len(ids), 1))], 1).ravel()
-                    ok = same[i, j] >= least
-                    i, j = i[ok], j[ok]
-                yield _pairs(ids[i], ids[j])
-
-    return blocks.select("n", "rows").mapInArrow(run, "a long, b long").filter("a <> b").distinct()
-
-
-def _second_round(pairs: DataFrame, weights, cfg: Settings) -> DataFrame:
-    """Links between different groups of a bucket, from pairs of blocks with
-    their texts.  Candidates are verified by estimate, best first; a pair
-    whose groups this task has already linked is not looked at again."""
-    least = math.ceil(cfg.second * SAMPLES)
-
+                [b.column(0).take(pa.array(use)), b.column(2).take(pa.array(use)), pa.array(keys, pa.binary()),
+                 pa.array([len(texts[i]) for i in use], pa.int64()), pa.array(list(bands(sig[use])), pa.list_(pa.int64()))],
+                names=["id", "hash", "key", "chars", "bands"])
+
+    return docs.select("id", "text", "hash").mapInArrow(run, "id long, hash long, key binary, chars long, bands array<long>")
+
+
+class Vectors:
+    """Weighted shingles of some texts, as features: a shingle that a text
+    holds k times is k features of its weight, so that the weight two texts share is
+    that of the features they share."""
+
+    def __init__(self, texts: list[str], weights: Weights, k: int):
+        doc, h, tf = shingles([words_of(t) for t in texts], k)
+        weight = weights(h, np.ones(len(h)))
+        self.total = np.bincount(doc, tf * weight, minlength=len(texts))
+        at = np.repeat(np.arange(len(h)), tf)
+        level = (np.arange(len(at)) - np.repeat(np.cumsum(tf) - tf, tf)).astype(U)
+        with np.errstate(over="ignore"):
+            self.key = np.where(level == 0, h[at], _mix(h[at] + level * MIX))
+        self.doc, self.weight = doc[at], weight[at]
+        self.first = np.searchsorted(self.doc, np.arange(len(texts) + 1))
+
+    def of(self, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Document (from 0), key and weight of the features of texts lo to hi."""
+        s = slice(self.first[lo], self.first[hi])
+        return self.doc[s] - lo, self.key[s], self.weight[s]
+
+    def similar(self, a: tuple[int, int], b: tuple[int, int]) -> np.ndarray:
+        """Exact weighted Jaccard similarity of texts a[0] to a[1] with b[0] to b[1]."""
+        na, nb = a[1] - a[0], b[1] - b[0]
+        (da, ka, wa), (db, kb, _) = self.of(*a), self.of(*b)
+        names, of_a = np.unique(ka, return_inverse=True)
+        at = np.minimum(np.searchsorted(names, kb), max(0, len(names) - 1))
+        ok = names[at] == kb if len(names) else np.zeros(len(kb), bool)
+        db, of_b = db[ok], at[ok]
+        # features of both sides, numbered
+        both = np.zeros(len(names), bool)
+        both[of_b] = True
+        if a == b:  # a feature of one text alone joins no pair
+            both &= np.bincount(of_a, minlength=len(names)) > 1
+        number = np.cumsum(both) - 1
+        ok = both[of_a]
+        da, of_a, wa = da[ok], number[of_a[ok]], wa[ok]
+        ok = both[of_b]
+        db, of_b = db[ok], number[of_b[ok]]
+        order_a, order_b = np.argsort(of_a, kind="stable"), np.argsort(of_b, kind="stable")
+        da, of_a, wa, db, of_b = da[order_a], of_a[order_a], wa[order_a], db[order_b], of_b[order_b]
+        shared = np.zeros((na, nb))
+        for lo in range(0, int(both.sum()), COLUMNS):
+            sa, sb = (slice(*np.searchsorted(x, [lo, lo + COLUMNS])) for x in (of_a, of_b))
+            x, y = np.zeros((na, COLUMNS)), np.zeros((nb, COLUMNS))
+            x[da[sa], of_a[sa] - lo] = wa[sa]
+            y[db[sb], of_b[sb] - lo] = 1
+            shared += x @ y.T
+        rest = self.total[a[0]:a[1], None] + self.total[None, b[0]:b[1]] - shared
+        return np.divide(shared, rest, out=np.zeros_like(shared), where=rest > 0)
+
+
+def _labels(link: np.ndarray) -> np.ndarray:
+    """Smallest index that each row reaches over a symmetric matrix of links."""
+    label = np.arange(len(link))
+    while True:
+        low = np.minimum(label, np.where(link, label[None], len(link)).min(1, initial=len(link)))
+        low = low[low]
+        if (low == label).all():
+            return label
+        label = low
+
+
+def _runs(it, n_keys: int, text: int):
+    """Rows of sorted batches in lists that end with a key, of STEP_BYTES of
+    texts or one key; each list with the places where its keys begin."""
+    rows, starts, held, last = [], [], 0, None
+    for b in it:
+        cols = [c.to_pylist() for c in b.columns]
+        for row in zip(*cols):
+            if row[:n_keys] != last:
+                if held > STEP_BYTES:
+                    yield rows, [*starts, len(rows)]
+                    rows, starts, held = [], [], 0
+                last = row[:n_keys]
+                starts.append(len(rows))
+            rows.append(row)
+            held += len(row[text])
+    if rows:
+        yield rows, [*starts, len(rows)]
+
+
+def _grouped(blocks: DataFrame, weights, cfg: Settings) -> DataFrame:
+    """tid, rep (the smallest tid of its group in the block), family and parts
+    of texts in blocks (family, part): every pair of a block is compared."""
     def run(it):
+        only("near_dup")
         w = weights.value
-        for batch in it:
-            for k in range(batch.num_rows):
-                band, left, right = (batch.column(c)[k].as_py() for c in range(3))
-                ids, sig, group = _unpack(left)
-                ids2, sig2, group2 = _unpack(right)
-                same = _agreement(sig, sig2)
-                i, j = np.nonzero((same >= least) & (group[:, None] != group2[None]))
-                earlier = np.zeros(len(i), bool)  # a pair belongs to the first band it shares
-                for p in range(band):
-                    cols = slice(p * ROWS, (p + 1) * ROWS)
-                    earlier |= (sig[i, cols] == sig2[j, cols]).all(1)
-                i, j = i[~earlier], j[~earlier]
-                order = np.argsort(-same[i, j].astype(np.int16), kind="stable")
-                parent: dict[int, int] = {}
-
-                def find(g):
-                    while parent.get(g, g) != g:
-                        g = parent[g]
-                    return g
-
-                sets: dict[tuple[int, int], tuple] = {}
-
-                def vector(side, n, rows):
-                    got = sets.get((side, n))
-                    if got is None:
-                        _, h, tf = shingles([words_of(rows[n]["text"])], cfg.shingle)
-                        got = sets[side, n] = h, w(h, tf)
-                    return got
-
-                out = []
-                for x, y in zip(i[order].tolist(), j[order].tolist()):
-                    a, b = find(int(group[x])), find(int(group2[y]))
-                    if a != b and similarity(vector(0, x, left), vector(1, y, right)) >= cfg.threshold:
-                        parent[max(a, b)] = min(a, b)
-                        out.append((int(ids[x]), int(ids2[y])))
-                yield _pairs(np.array([o[0] for o in out], np.int64), np.array([o[1] for o in out], np.int64))
-
-    return pairs.mapInArrow(run, "a long, b long").filter("a <> b").distinct()
-
-
-def _texts_of(docs: DataFrame, needed: DataFrame) -> DataFrame:
-    """id and text of the documents in ``needed`` (distinct ids).  A bit map
-    of the ids' hashes, FILTER_BITS at any size, is broadcast first, so that
-    mostly texts that are needed enter the exact join's shuffle."""
-    h = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
-    bit = F.expr("shiftleft(1L, cast(h % 64 as int))")
-    words = (needed.select(h.alias("h")).groupBy(F.floor(F.col("h") / 64).alias("word")).agg(F.bit_or(bit).alias("bits")))
-    near = docs.withColumn("h", h).withColumn("word", F.floor(F.col("h") / 64)).join(F.broadcast(words), "word")
-    return near.filter(F.col("bits").bitwiseAND(bit) != 0).select("id", "text").join(needed, "id", "left_semi")
-
-
-def _verified(pairs: DataFrame, docs: DataFrame, weights, cfg: Settings, tag: str) -> DataFrame:
-    """a, b and exact similarity of each candidate pair.  Texts travel once,
-    for documents that are in some pair; the pair joins are plain equi-joins
-    that Spark splits where a document is in many pairs."""
-    needed = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    texts = written(_texts_of(docs, needed), tag + "-texts")
-
+        for rows, starts in _runs(it, 2, 4):
+            vec = Vectors([r[4] for r in rows], w, cfg.shingle)
+            tid = np.array([r[2] for r in rows], np.int64)
+            rep = tid.copy()
+            for lo, hi in zip(starts, starts[1:]):
+                if hi - lo > 1:
+                    link = vec.similar((lo, hi), (lo, hi)) >= cfg.threshold - ROUNDING
+                    link |= tid[lo:hi, None] == tid[None, lo:hi]
+                    label = _labels(link)
+                    least = np.full(hi - lo, np.iinfo(np.int64).max)
+                    np.minimum.at(least, label, tid[lo:hi])
+                    rep[lo:hi] = least[label]
+            yield pa.RecordBatch.from_arrays([pa.array(tid), pa.array(rep), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.int64())],
+                                             names=["tid", "rep", "family", "parts"])
+
+    cols = ["family", "part"]
+    dealt = blocks.select(*cols, "tid", "parts", "text").repartition(*cols).sortWithinPartitions(*cols)
+    return dealt.mapInArrow(run, "tid long, rep long, family long, parts long")
+
+
+def _crossed(tasks: DataFrame, weights, cfg: Settings) -> DataFrame:
+    """Links (a, b) between different groups, from tasks (task, side, tid,
+    group, text): every text of side 0 is compared with all of side 1."""
     def run(it):
+        only("near_dup")
         w = weights.value
-        last: tuple[int, tuple] | None = None
-        for b in batches(it, STEP_BYTES, "tb"):
-            ia, ib = b.column(0).to_pylist(), b.column(1).to_pylist()
-            out = []
-            for k in range(b.num_rows):
-                if last is None or last[0] != ia[k]:
-                    _, h, tf = shingles([words_of(b.column(2)[k].as_py())], cfg.shingle)
-                    last = ia[k], (h, w(h, tf))
-                _, h, tf = shingles([words_of(b.column(3)[k].as_py())], cfg.shingle)
-                out.append(similarity(last[1], (h, w(h, tf))))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.float64())], names=["a", "b", "similarity"])
-
-    side = lambda c, t: texts.select(F.col("id").alias(c), F.col("text").alias(t))
-    joined = pairs.join(side("b", "tb"), "b").join(side("a", "ta"), "a").select("a", "b", "ta", "tb")
-    return written(joined.mapInArrow(run, "a long, b long, similarity double"), tag)
+        for rows, starts in _runs(it, 1, 4):
+            vec = Vectors([r[4] for r in rows], w, cfg.shingle)
+            tid, group = (np.array([r[c] for r in rows], np.int64) for c in (2, 3))
+            side = np.array([r[1] for r in rows])
+            out: list[tuple[int, int]] = []
+            for lo, hi in zip(starts, starts[1:]):
+                mid = lo + int(np.searchsorted(side[lo:hi], 1))
+                if lo < mid < hi:
+                    ok = (vec.similar((lo, mid), (mid, hi)) >= cfg.threshold - ROUNDING) & (group[lo:mid, None] != group[None, mid:hi])
+                    found = {(group[lo + i], group[mid + j]): (int(tid[lo + i]), int(tid[mid + j])) for i, j in zip(*np.nonzero(ok))}
+                    out += found.values()  # one link for two groups
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    dealt = tasks.select("task", "side", "tid", "group", "text").repartition("task").sortWithinPartitions("task", "side")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def _parts(n, chars):
+    """Blocks that so many texts and characters need."""
+    return F.greatest(F.ceil(n / F.lit(BLOCK)), F.ceil(chars / F.lit(BLOCK_CHARS)))
+
+
+def _apart(state: DataFrame, buckets: DataFrame, sizes: DataFrame, texts: DataFrame, weights, cfg: Settings) -> DataFrame:
+    """Links that the blocks of large families left open.  ``state``: tid,
+    family, group; ``buckets``: tid, band, h; ``sizes``: tid, chars.
+
+    A unit is a family or one of its buckets.  In each unit with several
+    groups the texts outside the largest one meet all texts, block by block;
+    of a family's two kinds of units the one is taken that ships less text."""
+    one = state.join(sizes, "tid")
+    unit = ["family", "band", "h"]
+    rows = one.withColumn("band", F.lit(-1)).withColumn("h", F.lit(0).cast("long")).unionByName(one.join(buckets, "tid"))
+    by_group = rows.groupBy(*unit, "group").agg(F.count("*").alias("m"), F.sum("chars").alias("c"))
+    main = by_group.groupBy(*unit).agg(F.max_by("group", F.struct("m", "group")).alias("main"), F.count("*").alias("groups"), F.sum("m").alias("n"),
+                                       F.sum("c").alias("all_chars"), F.max(F.struct("m", "group", "c")).alias("top")).filter("groups > 1")
+    main = main.withColumn("rest_n", F.col("n") - F.col("top.m")).withColumn("rest_chars", F.col("all_chars") - F.col("top.c")).drop("top", "groups")
+    main = main.withColumn("whole_parts", _parts(F.col("n"), F.col("all_chars"))).withColumn("rest_parts", _parts(F.col("rest_n"), F.col("rest_chars")))
+    main = main.withColumn("ships", F.col("rest_parts") * F.col("all_chars") + F.col("whole_parts") * F.col("rest_chars"))
+    cost = main.groupBy("family").agg(*(F.sum(F.when(c, F.col("ships")).otherwise(0)).alias(n) for c, n in ((F.col("band") < 0, "by_family"), (F.col("band") >= 0, "by_bucket"))))
+    chosen = written(main.join(cost, "family").filter(F.when(F.col("by_family") <= F.col("by_bucket"), F.col("band") < 0).otherwise(F.col("band") >= 0))
+                     .select(*unit, "main", "whole_parts", "rest_parts"), "dup-units")
+    open_ = rows.join(chosen, unit)
+    place = lambda parts: F.pmod(F.xxhash64("tid"), F.col(parts))
+    every = lambda parts: F.explode(F.sequence(F.lit(0).cast("long"), F.col(parts) - 1))
+    rest = open_.filter(F.col("group") != F.col("main")).withColumn("r", place("rest_parts")).withColumn("w", every("whole_parts")).withColumn("side", F.lit(0))
+    whole = open_.withColumn("w", place("whole_parts")).withColumn("r", every("rest_parts")).withColumn("side", F.lit(1))
+    task = F.concat_ws("/", *unit, "r", "w").alias("task")
+    both = rest.select(task, "side", "tid", "group").unionByName(whole.select(task, "side", "tid", "group"))
+    return _crossed(both.join(texts.select("tid", "text"), "tid"), weights, cfg)
 
 
 def _same_id(signed: DataFrame, texts: DataFrame) -> DataFrame:
     """Links between the texts of an id that has several."""
     several = signed.groupBy("id").agg(F.min("key").alias("low"), F.max("key").alias("high")).filter("low <> high").select("id")
-    held = signed.select("id", "key").join(several, "id").join(texts.select("key", F.col("id").alias("text_id")), "key")
-    least = held.groupBy("id").agg(F.min("text_id").alias("a"))
-    return written(held.join(least, "id").select("a", F.col("text_id").alias("b")).filter("a <> b").distinct(), "dup-i")
+    held = signed.select("id", "key").join(several, "id").join(texts.select("key", "tid"), "key")
+    least = held.groupBy("id").agg(F.min("tid").alias("a"))
+    return written(held.join(least, "id").select("a", F.col("tid").alias("b")).filter("a <> b").distinct(), "dup-i")
 
 
 def components(edges: DataFrame, tag: str = "cc") -> DataFrame:
@@ -396,43 +447,55 @@ def near_duplicates(docs: DataFrame, cfg: Settings = Settings(), *, id_col: str
     over the copies.  A null or empty text, or one without a word, is a class
     of its own.  Rows that repeat an id belong to one document if their texts
     are alike and are otherwise linked through that id.  An empty table gives
-    an empty result; other columns stay unread.
+    an empty result; other columns stay unread (a column class_id or text_id
+    of the input too).  Groups are sets named by their smallest id, so there are
+    no ties.  A very long text is compared whole, in a block of its own if it fills one.
     """
     spark: SparkSession = docs.sparkSession
     ship(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).filter("id is not null")
+    rows = rows.withColumn("hash", F.xxhash64("text"))
     counts, n_docs = _sketch(rows, cfg)
-    weights = spark.sparkContext.broadcast(Weights.of(counts, n_docs, cfg))  # SKETCH entries at any size
+    weights = spark.sparkContext.broadcast(Weights.of(counts, n_docs, cfg))  # SKETCH_ROWS x SKETCH entries at any size
     signed = written(_signed(rows, weights, cfg), "dup-s")
-    texts = written(signed.groupBy("key").agg(F.min("id").alias("id")), "dup-k")
-    alone = signed.join(texts, ["id", "key"]).select("id", "sig", "bands")
-
-    in_band = alone.select("id", F.posexplode("bands").alias("band", "h"))
-    sizes = in_band.groupBy("band", "h").agg(F.count("*").alias("n")).filter("n > 1")
-    met = written(in_band.join(sizes, ["band", "h"]).join(alone.select("id", "sig"), "id"), "dup-b")
-    n_blocks = F.ceil(F.col("n") / F.lit(BLOCK))
-    salted = met.withColumn("block", F.pmod(F.xxhash64("id", "band"), n_blocks))
-    packed = F.collect_list(F.struct("id", "sig")).alias("rows")  # about BLOCK rows by the salt
-    first = written(_first_round(salted.groupBy("band", "h", "block").agg(F.first("n").alias("n"), packed), cfg), "dup-p")
-    links = _verified(first, rows, weights, cfg, "dup-v")
-    edges = links.filter(F.col("similarity") >= cfg.threshold).select("a", "b").union(_same_id(signed, texts))
-    groups = components(edges)
-
-    big = met.filter(F.col("n") > SMALL).join(groups, "id", "left").withColumn("group", F.coalesce("group", "id"))
-    by_group = big.groupBy("band", "h", "group").agg(F.count("*").alias("m"))
-    main = by_group.groupBy("band", "h").agg(F.max_by("group", F.struct("m", "group")).alias("main"), F.count("*").alias("parts")).filter("parts > 1").drop("parts")
-    open_ = written(big.join(main, ["band", "h"]).withColumn("rest", F.col("group") != F.col("main")).drop("main"), "dup-o")
-    with_text = written(open_.join(_texts_of(rows, open_.select("id").distinct()), "id"), "dup-t")
-    # blocks of about BLOCK documents or BLOCK_CHARS characters
-    sizes = with_text.groupBy("band", "h").agg(F.sum(F.length("text")).alias("chars"))
-    n_parts = F.greatest(F.ceil(F.col("n") / F.lit(BLOCK)), F.ceil(F.col("chars") / F.lit(BLOCK_CHARS)))
-    spread = with_text.join(sizes, ["band", "h"]).withColumn("block", F.pmod(F.xxhash64("id", "band"), n_parts))
-    member = F.collect_list(F.struct("id", "sig", "group", "text"))
-    rest = spread.filter("rest").groupBy("band", "h", "block").agg(member.alias("rest"))
-    whole = spread.groupBy("band", "h", "block").agg(member.alias("whole")).drop("block")
-    more = written(_second_round(rest.join(whole, ["band", "h"]).select("band", "rest", "whole"), weights, cfg), "dup-q")
-    groups = written(components(written(edges.union(more), "dup-e")), "dup-g")
-    by_text = texts.join(groups, "id", "left").select("key", F.col("id").alias("text_id"), F.coalesce("group", "id").alias("class_id"))
-    placed = signed.select("id", "key").join(by_text, "key").select("id", "class_id", "text_id")
-    out = rows.select("id").join(placed.groupBy("id").agg(F.min("class_id").alias("class_id"), F.min("text_id").alias("text_id")), "id", "left")
+    one = signed.groupBy("key").agg(F.min(F.struct("id", "hash", "chars", "bands")).alias("one"))
+    texts = written(one.select("key", "one.*").withColumn("tid", F.monotonically_increasing_id()), "dup-k")  # numbers hold once written
+
+    # families: what hangs together through the first text of each bucket
+    in_band = texts.select("tid", F.posexplode("bands").alias("band", "h"))
+    hubs = in_band.groupBy("band", "h").agg(F.min("tid").alias("hub"), F.count("*").alias("n")).filter("n > 1")
+    met = written(in_band.join(hubs.drop("n"), ["band", "h"]), "dup-b")
+    family = components(met.filter("tid <> hub").select(F.col("tid").alias("a"), F.col("hub").alias("b")).distinct(), "dup-f")
+    known = family.select(F.col("id").alias("tid"), F.col("group").alias("family")).join(texts.select("tid", "id", "hash", "chars"), "tid")
+    parts = known.groupBy("family").agg(_parts(F.count("*"), F.sum("chars")).alias("parts"))
+    needed = written(known.join(parts, "family").withColumn("part", F.pmod(F.xxhash64("tid"), F.col("parts"))), "dup-n")
+    near = maybe_in(rows, needed.select("id"), "id").filter("__maybe").select("id", "text", "hash")
+    held = written(near.join(needed, ["id", "hash"]).select("tid", "family", "part", "parts", "text"), "dup-t")
+
+    state = written(_grouped(held, weights, cfg), "dup-g")
+    edges = state.select(F.col("tid").alias("a"), F.col("rep").alias("b"))
+    state = state.filter("parts > 1").select("tid", "family", F.col("rep").alias("group")).distinct()
+    if state.head(1):
+        large = held.filter("parts > 1")
+        sizes = needed.filter("parts > 1").select("tid", "chars")
+        least = state.select("family", "group").distinct().count()
+        while True:  # one member of each group, in new blocks
+            reps = state.select("family", F.col("group").alias("tid")).distinct().join(sizes, "tid")
+            cut = reps.groupBy("family").agg(_parts(F.count("*"), F.sum("chars")).alias("parts"))
+            dealt = reps.join(cut, "family").withColumn("part", F.pmod(F.xxhash64("tid", F.lit(least)), F.col("parts")))
+            joined = written(_grouped(dealt.join(large.select("tid", "text"), "tid"), weights, cfg), "dup-r")
+            state = written(state.join(joined.select(F.col("tid").alias("group"), "rep").distinct(), "group").select("tid", "family", F.col("rep").alias("group")), "dup-g")
+            now, many = state.select("family", "group").distinct().count(), bool(joined.filter("parts > 1").head(1))
+            if not many or now > 0.8 * least:  # the rest is compared in full
+                break
+            least = now
+        more = _apart(state, met.select("tid", "band", "h"), sizes, large, weights, cfg)
+        edges = edges.unionByName(state.select(F.col("tid").alias("a"), F.col("group").alias("b"))).unionByName(more)
+    edges = written(edges.filter("a <> b").unionByName(_same_id(signed, texts)).distinct(), "dup-e")
+    groups = texts.select("tid", "id", "key").join(components(edges, "dup-c").withColumnRenamed("id", "tid"), "tid", "left")
+    groups = groups.withColumn("group", F.coalesce("group", "tid"))
+    classes = groups.groupBy("group").agg(F.min("id").alias("class_id"))
+    by_text = groups.join(classes, "group").select("key", F.col("id").alias("text_id"), "class_id")
+    placed = signed.select("id", "key").join(by_text, "key").groupBy("id").agg(F.min("class_id").alias("class_id"), F.min("text_id").alias("text_id"))
+    out = rows.select("id").join(placed, "id", "left")
     return out.select(F.col("id").alias(id_col), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("text_id", "id").alias("text_id"))
