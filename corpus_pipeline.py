@@ -10,13 +10,13 @@ import os
 import sys
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from starloom.llm import decontamination, language_id, near_dup, packing, toxicity  # noqa: E402
-from starloom.llm.common import fold_of, read_table, written  # noqa: E402
+from starloom.llm.common import fold_of, maybe_in, read_table, written  # noqa: E402
 
 #: Least pooled probability of the predicted language; below it no language stands out.
 MIN_LANGUAGE = 0.3
@@ -47,12 +47,23 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group of near copies,
-    once, of several texts under that id the first in their order; documents
-    without an id belong to no group and stay."""
-    kept = near_dup.near_duplicates(docs).filter("class_id = doc_id").select("doc_id").distinct()
-    row = F.struct(F.col("text").isNull().alias("none"), "text", F.struct(*docs.columns).alias("row"))
-    once = docs.join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(row).alias("least"))
-    return once.select("least.row.*").union(docs.filter("doc_id is null"))
+    once, of several texts under that id the first in their order (equal ones:
+    by their other columns, as JSON); documents without an id belong to no
+    group and stay.  Only documents that may have to go, or whose id repeats,
+    are shuffled with their text; the others pass by a bit map of fixed size."""
+    ids = docs.select("doc_id").filter("doc_id is not null")
+    classes = near_dup.near_duplicates(docs)
+    gone = classes.filter("class_id <> doc_id").select("doc_id", F.lit(True).alias("__gone"))
+    twice = ids.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id", F.lit(False).alias("__gone"))
+    special = written(gone.unionByName(twice).groupBy("doc_id").agg(F.max("__gone").alias("__gone")), "dup-special")
+    row = F.struct(*docs.columns).alias("row")
+    marked = maybe_in(docs.select(row, "doc_id"), special, "doc_id")
+    sure = marked.filter(~F.col("__maybe")).select("row.*")
+    found = marked.filter("__maybe").join(special, "doc_id", "left")
+    kept = found.filter("__gone is null").select("row.*")
+    first = Window.partitionBy("doc_id").orderBy(F.col("row.text").isNull(), "row.text", F.to_json("row"))
+    once = found.filter("not __gone").withColumn("__at", F.row_number().over(first)).filter("__at = 1").select("row.*")
+    return sure.union(kept).union(once)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
