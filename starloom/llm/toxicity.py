@@ -41,8 +41,6 @@ class Settings:
     min_odds: float = 2.5
     min_groups: int = 4
     drift: float = 0.05
-    #: Units kept, the most significant first (a parameter of the fit, not of the search).
-    max_units: int = 50_000
 
 
 @dataclass(frozen=True)
@@ -96,18 +94,26 @@ class Scores(dict):
 
 
 def segments(tokens: list[str], scores: Scores, drift: float) -> list[tuple[float, int, int]]:
-    """All maximal scoring segments as (score, first, last + 1), in order.
+    """All maximal scoring segments as (score, first, last + 1), in order."""
+    return scan([scores[w] for w in tokens], drift)[0]
+
+
+def scan(score_of: list[float | None], drift: float) -> tuple[list[tuple[float, int, int]], int]:
+    """The segments, and the number of candidates looked at.
 
     Only tokens with a score of their own are visited; the gap between two
     costs ``drift`` a token, so one step of the scan is a gap and a token.
     Candidates are kept with the running total before and after them; a new
-    one swallows those from the last candidate that started lower."""
-    total, at = 0.0, 0
+    one swallows those from the last candidate that started lower.  Each
+    candidate knows that one (``near``), and the search hops along it:
+    whatever is hopped over is behind the new candidate and never looked at
+    again, so the scan is linear."""
+    total, at, steps = 0.0, 0, 0
     left: list[float] = []    # running total before each candidate
     right: list[float] = []   # and after it
+    near: list[int] = []      # the last candidate before it with a smaller left total
     spans: list[tuple[int, int]] = []
-    for i, w in enumerate(tokens):
-        s = scores[w]
+    for i, s in enumerate(score_of):
         if s is None:
             continue
         total -= drift * (i - at)
@@ -115,19 +121,22 @@ def segments(tokens: list[str], scores: Scores, drift: float) -> list[tuple[floa
         before, total = total, total + s
         if s <= 0:
             continue
-        lo, first = before, i
-        while True:
-            j = len(left) - 1
-            while j >= 0 and left[j] >= lo:
-                j -= 1
-            if j < 0 or right[j] >= total:
+        lo, first, j = before, i, len(left) - 1
+        while j >= 0:
+            steps += 1
+            if left[j] >= lo:
+                j = near[j]
+            elif right[j] >= total:
                 break
-            lo, first = left[j], spans[j][0]
-            del left[j:], right[j:], spans[j:]
+            else:
+                lo, first, k = left[j], spans[j][0], near[j]
+                del left[j:], right[j:], near[j:], spans[j:]
+                j = k
         left.append(lo)
         right.append(total)
+        near.append(j)
         spans.append((first, i + 1))
-    return [(b - a, s, e) for a, b, (s, e) in zip(left, right, spans, strict=True)]
+    return [(b - a, s, e) for a, b, (s, e) in zip(left, right, spans, strict=True)], steps
 
 
 def tokenise(text: str) -> list[str]:
@@ -145,8 +154,8 @@ def fit(labelled: DataFrame, cfg: Settings = Settings(), *, id_col: str = "doc_i
     """Learn from rows of text and label (0, 1; null labels are left out).
 
     Unit counts are Spark aggregates over documents' groups of copies; only
-    significant units (at most ``max_units``) and one statistic per sampled
-    row reach the driver.  With no toxic or no clean row, every text gets the
+    significant units, which the bounded sample bounds, and one statistic per
+    sampled row reach the driver.  With no toxic or no clean row, every text gets the
     base rate (0 with no rows at all)."""
     ship(labelled.sparkSession)
     rows = labelled.filter(F.col(label_col).isin(0, 1)).select(
@@ -179,7 +188,7 @@ def fit(labelled: DataFrame, cfg: Settings = Settings(), *, id_col: str = "doc_i
     sig = (per_unit.filter("u <> ''").filter((F.lit(n1 + a) > p1) & (F.lit(n0 + a) > p0))
            .withColumn("odds", odds).withColumn("z", F.abs(F.col("odds")) / F.sqrt(1 / p1 + 1 / p0))
            .filter((F.col("z") >= cfg.min_z) & (F.abs("odds") >= cfg.min_odds))
-           .orderBy(F.desc("z"), "u").limit(cfg.max_units).collect())
+           .orderBy(F.desc("z"), "u").collect())
     table = {r["u"]: float(r["odds"]) for r in sig}
 
     # how often each score comes up in clean text gives the extreme-value law

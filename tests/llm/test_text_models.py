@@ -254,6 +254,20 @@ def test_segments_equal_their_definition():
         assert [(round(s, 6), a, b) for s, a, b in got] == [(round(s, 6), a, b) for s, a, b in want]
 
 
+def test_the_scan_is_linear():
+    r = random.Random(2)
+    shapes = {"alternating": lambda n: [2.0, -1.9] * (n // 2), "falling": lambda n: [1.0, -1.1] * (n // 2), "rising": lambda n: [1.0, -0.9] * (n // 2),
+              "sparse": lambda n: ([3.0] + [None] * 80) * (n // 81), "random": lambda n: [r.gauss(0, 1) for _ in range(n)],
+              "saw": lambda n: ([1.0, -1.5] * 50 + [40.0, -60.0]) * (n // 102)}
+    for name, make in shapes.items():
+        for n in (8_000, 16_000, 64_000):
+            assert T.scan(make(n), 0.05)[1] <= 2 * n, name
+    for _ in range(200):  # and still right
+        scores = [r.choice([2.1, 3.3, -1.7, -0.45, -0.45, -0.45]) for _ in range(r.randint(0, 25))]
+        got = T.scan([None if s == -0.45 else s for s in scores], 0.45)[0]
+        assert [(round(s, 6), a, b) for s, a, b in got] == [(round(s, 6), a, b) for s, a, b in plain_segments(scores)]
+
+
 def test_toxicity(spark):
     r = random.Random(6)
     rows = []
