@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import Pool, gathered, text_ids
+from .chunks import Pool, by_chunk, gathered, split_chunks, text_ids
 from .common import batches, holds, only, ship
 from .token_counts import byte_letters
 
@@ -141,15 +141,6 @@ class Merges:
 class Vocabulary:
     """A ``tokenizers`` BPE file: its rules, lookahead, splitting and decoder."""
 
-    #: A file of this kind drops white space and splits by this pattern; both fixed values, compared when a file is opened.
-    WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-    DROPS_SPACE = {"type": "Split", "pattern": {"Regex": WORDS}, "behavior": "Removed", "invert": True}
-    BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
-    NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
-    #: Characters for which lower-casing and composition act on each alone.
-    PLAIN = regex.compile(r"[\n\x21-\x7e¡-¬®-įı-ſ‐-‧€]*")
-    SPLIT = regex.compile(WORDS + r"|\n")
-
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
@@ -174,9 +165,7 @@ class Vocabulary:
         self.last = np.array([self.vocab[letter[b] + self.suffix] for b in range(256)], np.int64)
         self.to_bytes = {ord(c): b for c, b in byte_letters().items()}
         added = spec.get("added_tokens") or []
-        self.by_chunk = (spec.get("normalizer") or {}).get("normalizers") == self.NORMAL and \
-            (spec.get("pre_tokenizer") or {}).get("pretokenizers") == [self.DROPS_SPACE, self.BYTES] and \
-            not any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] or any(c.isspace() for c in t["content"]) for t in added)
+        self.by_chunk = by_chunk(spec)
         if any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in added):
             raise ValueError("added tokens that reach beyond their own characters are not supported")
         self.added = {t["content"]: t["id"] for t in added}
@@ -240,33 +229,7 @@ class Vocabulary:
         return gathered(np.concatenate([np.zeros(0, np.int64), *parts]), start, number), number
 
     def _encode_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of white-space chunks.  Plain ones are split all at once, with
-        a line feed after each; the library's own steps split the others."""
-        whole = "\n".join(chunks) + "\n"
-        if self.PLAIN.fullmatch(whole) and not (self.special and self.special.search(whole)):
-            cut = self.SPLIT.findall(whole.lower())
-        else:
-            odd = [not self.PLAIN.fullmatch(c) or bool(self.special and self.special.search(c)) for c in chunks]
-            cut = self.SPLIT.findall("".join([c + "\n" for c, o in zip(chunks, odd) if not o]).lower())
-            plain, cut = iter(cut), []
-            for c, o in zip(chunks, odd):
-                if o:
-                    cut += [*self._pieces(c), "\n"]
-                else:
-                    for w in plain:
-                        cut.append(w)
-                        if w == "\n":
-                            break
-        return self._joined(cut)
-
-    def _joined(self, cut: list[int | str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of words in a row, and their number per stretch of words that a line feed ends."""
-        end = np.fromiter((w == "\n" for w in cut), bool, len(cut))
-        ids, size = self.words.gather(self.words.places([w for w in cut if w != "\n"]))
-        whole = np.zeros(len(cut), np.int64)
-        whole[~end] = size
-        done = np.cumsum(whole)[end]
-        return ids, np.diff(done, prepend=0)
+        return self.words.gather_cut(split_chunks(chunks, self.special, self._pieces))
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and where each text's begin."""

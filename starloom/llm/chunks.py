@@ -12,6 +12,43 @@ from collections.abc import Callable, Hashable, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
+
+#: A file that drops white space and splits by this pattern; both fixed values, compared when a file is opened.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+STEPS = [{"type": "Split", "pattern": {"Regex": WORDS}, "behavior": "Removed", "invert": True},
+         {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]
+NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+#: Characters (and the line feed) for which lower-casing and composition act on each alone; words of chunks with a line feed after each.
+PLAIN = regex.compile(r"[\n\x21-\x7e¡-¬®-įı-ſ‐-‧€]*")
+SPLIT = regex.compile(WORDS + r"|\n")
+
+
+def by_chunk(spec: dict) -> bool:
+    """Does a tokenizer file (as JSON) give a text's ids chunk by chunk?"""
+    added = spec.get("added_tokens") or []
+    return (spec.get("normalizer") or {}).get("normalizers") == NORMAL and (spec.get("pre_tokenizer") or {}).get("pretokenizers") == STEPS and \
+        not any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] or any(c.isspace() for c in t["content"]) for t in added)
+
+
+def split_chunks(chunks: list[str], special: regex.Pattern | None, other: Callable[[str], list]) -> list:
+    """Words of white-space chunks, with a line feed after each chunk's.
+    Plain chunks are split all at once; ``other`` splits those with other
+    characters or an added token."""
+    whole = "\n".join(chunks) + "\n"
+    if PLAIN.fullmatch(whole) and not (special and special.search(whole)):
+        return SPLIT.findall(whole.lower())
+    odd = [not PLAIN.fullmatch(c) or bool(special and special.search(c)) for c in chunks]
+    plain, cut = iter(SPLIT.findall("".join([c + "\n" for c, o in zip(chunks, odd) if not o]).lower())), []
+    for c, o in zip(chunks, odd):
+        if o:
+            cut += [*other(c), "\n"]
+        else:
+            for w in plain:
+                cut.append(w)
+                if w == "\n":
+                    break
+    return cut
 
 
 def gathered(pool: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -54,6 +91,15 @@ class Pool:
         return gathered(self.ids, self.start[places], size), size
 
 
+    def gather_cut(self, cut: list) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of ``split_chunks`` in a row, and their number per chunk."""
+        end = np.fromiter((w == "\n" for w in cut), bool, len(cut))
+        ids, size = self.gather(self.places([w for w in cut if w != "\n"]))
+        whole = np.zeros(len(cut), np.int64)
+        whole[~end] = size
+        return ids, np.diff(np.cumsum(whole)[end], prepend=0)
+
+
 def text_ids(texts: pa.Array, pool: Pool) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts in a row, and where each text's begin (one entry more
     than texts); a null text counts as empty."""

@@ -24,74 +24,54 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .chunks import Pool, by_chunk, split_chunks, text_ids
 from .common import batches, holds, only, ship, written
 from .token_counts import byte_letters
 
-#: Words kept with their ids by a task's tokenizer, and their longest length.
-CACHE_WORDS, CACHE_CHARS = 150_000, 48
+#: Words, and chunks between white space, that a task's tokenizer keeps with their ids.
+CACHE_WORDS = 300_000
 STEP_BYTES = 4 << 20
 
 
 class WordTokenizer:
-    """Token ids of a ``tokenizers`` file, as little-endian 32-bit bytes.
+    """Token ids of a ``tokenizers`` file.
 
-    Plain Latin text is cut at white space and each distinct chunk is split
-    and encoded by the file's own pre-tokenizer and model once; all other
-    text goes through the library whole."""
+    For a file whose own steps drop white space and never join what it
+    separates (compared on opening), each distinct chunk of a batch is split
+    and each distinct word encoded by the file's model once; for any other
+    file the library encodes whole texts."""
 
-    #: Characters for which lower-casing and composition act on each alone, and white space means the same everywhere.
-    PLAIN = regex.compile(r"[\t\n\r\x20-\x7e¡-¬®-įı-ſ‐-‧€]*")
-
-    #: The file's split pattern, and its printable stand-ins for bytes; both fixed values, checked when a file is opened.
-    SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+    #: Printable stand-ins for bytes.
     STAND_IN = {b: c for c, b in byte_letters().items() if ord(c) != b}
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.model = self.tok.model
-        self.known: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
         with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        steps = [p["type"] for p in spec["pre_tokenizer"].get("pretokenizers", [])]
-        own = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
-        if steps != ["Split", "ByteLevel"] or own != ["NFC", "Replace", "Lowercase"]:
-            self.PLAIN = regex.compile(r"(?!)")  # another kind of file: the library does it all
-        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-
-    def _word(self, mapped: str) -> bytes:
-        got = self.words.get(mapped)
-        if got is None:
-            got = np.fromiter((t.id for t in self.model.tokenize(mapped)), "<u4").tobytes()
-            if len(mapped) <= CACHE_CHARS:
-                if len(self.words) >= CACHE_WORDS:
-                    self.words.clear()
-                self.words[mapped] = got
-        return got
-
-    def _chunk(self, chunk: str) -> bytes:
-        words = self.SPLIT.findall(chunk.lower())
-        if not chunk.isascii():
-            words = [w if w.isascii() else w.encode().decode("latin-1").translate(self.STAND_IN) for w in words]
-        return b"".join(map(self._word, words))
-
-    def ids(self, text: str) -> bytes:
-        if not self.PLAIN.fullmatch(text) or any(s in text for s in self.special):
-            return np.asarray(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        chunks = text.split()
-        known = self.known
-        new = set(chunks).difference(known)
-        if len(known) + len(new) > CACHE_WORDS:
-            known.clear()
-            new = set(chunks)
-        for c in new:
-            known[c] = self._chunk(c)
-        out = b"".join(map(known.__getitem__, chunks))
-        for c in [c for c in chunks if len(c) > CACHE_CHARS]:
-            known.pop(c, None)
-        return out
+            self.by_chunk = by_chunk(json.load(f))
+        added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.special = regex.compile("|".join(map(regex.escape, added))) if added else None
+        self.words = Pool(self._encode_words, CACHE_WORDS)
+        self.chunks = Pool(lambda new: self.words.gather_cut(split_chunks(new, self.special, lambda c: [(c,)])), CACHE_WORDS)
+
+    def _encode_words(self, words: list) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words; a chunk that is not plain comes whole, as a tuple."""
+        model, out = self.tok.model, []
+        for w in words:
+            if isinstance(w, tuple):
+                out.append(self.tok.encode(w[0], add_special_tokens=False).ids)
+            else:
+                out.append([t.id for t in model.tokenize(w if w.isascii() else w.encode().decode("latin-1").translate(self.STAND_IN))])
+        size = np.fromiter(map(len, out), np.int64, len(out))
+        return np.fromiter((i for ids in out for i in ids), np.uint32, int(size.sum())), size
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and where each text's begin."""
+        if self.by_chunk:
+            return text_ids(texts, self.chunks)
+        got = [np.asarray(self.tok.encode(t or "", add_special_tokens=False).ids, np.uint32) for t in texts.to_pylist()]
+        return np.concatenate([np.zeros(0, np.uint32), *got]), np.concatenate([[0], np.cumsum([len(x) for x in got])]).astype(np.int64)
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
@@ -120,8 +100,9 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, *, max_tokens: int = 4096
         tok = tokenizer(tokenizer_path)
         for b in batches(it, STEP_BYTES):
             rows, piece, start, length, crc = [], [], [], [], []
-            for i, t in enumerate(b.column(1).to_pylist()):
-                ids = memoryview(tok.ids(t or "") + tail)
+            flat, at = tok.ids(b.column(1))
+            for i, (a, z) in enumerate(zip(at[:-1].tolist(), at[1:].tolist())):
+                ids = memoryview(flat[a:z].astype("<u4", copy=False).tobytes() + tail)
                 for k, lo in enumerate(range(0, len(ids), 4 * max_tokens)):
                     part = ids[lo:lo + 4 * max_tokens]
                     rows.append(i)
@@ -259,7 +240,7 @@ def best_fit(items: DataFrame, cap: Capacity = Capacity(), *, size_col: str = "l
     Only the histogram of lengths (at most ``cap.tokens`` rows) reaches the
     driver, and the plan made of it the tasks.
 
-    Every size must be from 1 to ``cap.tokens``.  An empty table gives an
+    Every size must be from 1 to ``cap.tokens``; a null one is an error.  An empty table gives an
     empty result; repeated rows are packed each on its own.
     """
     spark = items.sparkSession
@@ -277,6 +258,8 @@ def best_fit(items: DataFrame, cap: Capacity = Capacity(), *, size_col: str = "l
         part = TaskContext.get().partitionId()
         seen = np.zeros(cap.tokens + 1, np.int64)
         for b in it:
+            if b.column(at_size).null_count:
+                raise ValueError(f"column {size_col!r} holds nulls")
             size = b.column(at_size).to_numpy(zero_copy_only=False).astype(np.int64)
             order = np.argsort(size, kind="stable")
             s = size[order]

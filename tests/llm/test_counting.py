@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -62,7 +63,8 @@ def test_counts_of_an_empty_table(spark):
 def test_ids_equal_the_library():
     tok, texts = packing.tokenizer(WORD), odd_texts() + ["Hello wörld, it's 12 o'clock!"]
     want = [x.ids for x in tok.tok.encode_batch(texts, add_special_tokens=False)]
-    assert [np.frombuffer(tok.ids(t), "<u4").tolist() for t in texts] == want
+    ids, at = tok.ids(pa.array(texts))
+    assert [ids[a:z].tolist() for a, z in zip(at, at[1:])] == want
 
 
 def test_pieces_and_sequences(spark):
@@ -132,3 +134,29 @@ def test_numbering_spans_partitions(spark):
     out = packing.best_fit(items, packing.Capacity(tokens=10, documents=10, attention=100)).toPandas()
     assert len(out) == 500 and out.groupby("sequence_id").length.sum().max() <= 10
     assert out.sequence_id.nunique() == 150  # 1500 tokens, no slack
+
+
+def test_a_file_with_other_steps_is_left_to_the_library(tmp_path):
+    import json
+
+    with open(WORD, encoding="utf-8") as f:
+        spec = json.load(f)
+    spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] = r"[a-m]+|[^a-m\s]+"
+    (tmp_path / "other.json").write_text(json.dumps(spec), encoding="utf-8")
+    tok, texts = packing.WordTokenizer(str(tmp_path / "other.json")), odd_texts(50) + ["lemon lime, banana"]
+    ids, at = tok.ids(pa.array(texts))
+    assert not tok.by_chunk and [ids[a:z].tolist() for a, z in zip(at, at[1:])] == [x.ids for x in tok.tok.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_best_fit_refuses_clashing_columns_and_null_sizes(spark):
+    with pytest.raises(ValueError):
+        packing.best_fit(spark.createDataFrame([(1, 2)], "length long, sequence_id long"))
+    with pytest.raises(Exception, match="holds nulls"):
+        packing.best_fit(spark.createDataFrame([(1,), (None,)], "length long")).collect()
+
+
+def test_ids_equal_the_library_on_all_given_texts(spark):
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    tok = packing.tokenizer(WORD)
+    ids, at = tok.ids(pa.array(texts))
+    assert all(ids[a:z].tolist() == x.ids for a, z, x in zip(at, at[1:], tok.tok.encode_batch(texts, add_special_tokens=False)))
