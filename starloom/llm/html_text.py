@@ -54,16 +54,20 @@ ATTR = re.compile(r"([^\s=\"'/>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))
 WORD = re.compile(r"[^\W\d_]+")
 SPACE = re.compile(r"\s+")
 IMPLIED = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th")}
+LISTS = frozenset("ul ol".split())
 SCOPE = frozenset("div article section main aside nav header footer form ul ol dl table tr td th blockquote body li figure".split())
 
 
 @dataclass(frozen=True)
 class Rules:
-    """Thresholds of the two passes."""
+    """Thresholds of the two passes.  ``stop_known`` is the least share of
+    stop words in a page's own text for which their density says anything:
+    below it the page is in a language of which the list has no words."""
     length_low: int = 70
     length_high: int = 200
     stop_low: float = 0.30
     stop_high: float = 0.32
+    stop_known: float = 0.15
     max_link: float = 0.2
     max_link_main: float = 0.9
 
@@ -76,6 +80,7 @@ class Block:
     main: bool
     heading: bool
     item: bool
+    place: int  # of the outermost open list (-1: none)
 
 
 def _names_region(token: str, in_main: bool) -> bool:
@@ -138,7 +143,13 @@ def _read(page: str, spared: frozenset[int]) -> tuple[list[Block], frozenset[int
     parts: list[str] = []
     links = 0
     link_depth = 0
-    where = (False, False, False, False)
+    where = (False, False, False, False, -1)
+    # what the stack holds, kept up to date so that no step looks through it
+    opened: dict[str, list[int]] = {}  # depths of the open elements of each tag
+    scopes: list[int] = []
+    outer: list[int] = []              # depths of elements that are not inline
+    lists: list[tuple[int, int]] = []  # depth and position of open lists
+    headings = 0
     end = len(page)
 
     def flush():
@@ -156,20 +167,43 @@ def _read(page: str, spared: frozenset[int]) -> tuple[list[Block], frozenset[int
         if not parts or where[0] is not bool(stack and stack[-1][1]):
             if parts and text.strip():
                 flush()
-            tags = {t for t, _, _ in stack}
-            where = (bool(stack and stack[-1][1]), bool(stack and stack[-1][2]), not tags.isdisjoint(HEADINGS), "li" in tags)
+            where = (bool(stack and stack[-1][1]), bool(stack and stack[-1][2]), headings > 0, bool(opened.get("li")), lists[0][1] if lists else -1)
         parts.append(text)
         if link_depth:
             links += len(text.strip())
 
+    def push(tag: str, in_bad: bool, in_main: bool, at: int):
+        nonlocal link_depth, headings
+        k = len(stack)
+        opened.setdefault(tag, []).append(k)
+        if tag in SCOPE:
+            scopes.append(k)
+        if tag not in INLINE:
+            outer.append(k)
+        if tag in LISTS:
+            lists.append((k, at))
+        headings += tag in HEADINGS
+        link_depth += tag == "a"
+        stack.append((tag, in_bad, in_main))
+
     def close(k: int):
-        nonlocal link_depth
-        link_depth -= sum(t == "a" for t, _, _ in stack[k:])
+        nonlocal link_depth, headings
+        for tag, _, _ in stack[k:]:
+            opened[tag].pop()
+            headings -= tag in HEADINGS
+            link_depth -= tag == "a"
         del stack[k:]
-        while named and named[-1][0] >= k:
-            named.pop()
-        while hard and hard[-1] >= k:
-            hard.pop()
+        for kept in (scopes, outer, hard):
+            while kept and kept[-1] >= k:
+                kept.pop()
+        for kept in (named, lists):
+            while kept and kept[-1][0] >= k:
+                kept.pop()
+
+    def last(tag: str, below: list[int]) -> int:
+        """Depth of the innermost open element of this tag, unless one of ``below`` lies in it; else -1."""
+        k = opened[tag][-1] if opened.get(tag) else -1
+        return k if not below or k >= below[-1] else -1
 
     pos = 0
     while pos < end:
@@ -186,12 +220,9 @@ def _read(page: str, spared: frozenset[int]) -> tuple[list[Block], frozenset[int
         if m[1]:
             if tag not in INLINE:
                 flush()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    close(k)
-                    break
-                if tag in INLINE and stack[k][0] not in INLINE:
-                    break
+            k = last(tag, outer if tag in INLINE else [])
+            if k >= 0:
+                close(k)
             continue
         if tag in RAW:
             if not m[3].endswith("/"):
@@ -206,12 +237,9 @@ def _read(page: str, spared: frozenset[int]) -> tuple[list[Block], frozenset[int
         if tag in VOID:
             continue
         for old in IMPLIED.get(tag, ("p",) if tag not in INLINE else ()):
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == old:
-                    close(k)
-                    break
-                if stack[k][0] in SCOPE:
-                    break
+            k = last(old, scopes)
+            if k >= 0:
+                close(k)
         in_bad, in_main = (stack[-1][1], stack[-1][2]) if stack else (False, False)
         bad, by_name, main = _flags(tag, m[3], in_main)
         bad |= tag == "head"
@@ -227,23 +255,53 @@ def _read(page: str, spared: frozenset[int]) -> tuple[list[Block], frozenset[int
         elif by_name and not main and tag not in WHOLE_TAGS and m.start() not in spared:
             named.append((len(stack), m.start()))
             bad = True
-        if tag == "a":
-            link_depth += 1
-        stack.append((tag, in_bad or bad, in_main or main))
+        push(tag, in_bad or bad, in_main or main, m.start())
     flush()
     return out, frozenset(sure if free else maybe)
 
 
-def first_pass(b: Block, r: Rules) -> str:
-    """good, bad, neargood or short."""
+def link_lists(found: list[Block], r: Rules) -> set[int]:
+    """Lists (by position) of nothing but links at an edge of the declared
+    main region: they lead elsewhere.  Lists with text of their own, or
+    between other text, belong to the article."""
+    main = [(i, b) for i, b in enumerate(found) if b.main and not b.bad]
+    other: dict[int, bool] = {}
+    for _, b in main:
+        if b.item and b.place >= 0:
+            other[b.place] = other.get(b.place, True) and b.links / len(b.text) > r.max_link_main
+    text = [i for i, b in main if not (b.item and other.get(b.place, False))]
+    spans: dict[int, list[int]] = {}
+    for i, b in main:
+        if b.item and other.get(b.place, False):
+            spans.setdefault(b.place, []).append(i)
+    return {at for at, inside in spans.items() if not text or inside[0] < text[0] or inside[-1] > text[-1]}
+
+
+def stop_words_known(found: list[Block], r: Rules) -> bool:
+    """Is the page's own text in a language of the stop words?"""
+    stop = n = 0
+    for b in found:
+        if not b.bad and b.links / len(b.text) <= r.max_link:
+            words = WORD.findall(b.text.lower())
+            n += len(words)
+            stop += sum(w in STOP_WORDS for w in words)
+    return stop >= r.stop_known * n
+
+
+def first_pass(b: Block, r: Rules, edge: set[int] = frozenset(), known: bool = True) -> str:
+    """good, bad, neargood or short.  ``edge``: lists that ``link_lists``
+    found; ``known``: does stop-word density say anything on this page?  If it
+    does not, long blocks without a link are good, others near-good."""
     n = len(b.text)
     share = b.links / n
-    if b.bad or share > (r.max_link_main if b.main else r.max_link) and (not b.main or b.item):
+    if b.bad or (b.item and b.place in edge if b.main else share > r.max_link):
         return "bad"
     if n < r.length_low:
         return "bad" if b.links and not b.main else "short"
     if b.main:
         return "good"
+    if not known:
+        return "neargood" if b.links else "good"
     words = WORD.findall(b.text.lower())
     stop = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
     if stop >= r.stop_high:
@@ -283,7 +341,8 @@ def second_pass(found: list[Block], labels: list[str]) -> list[bool]:
 def extract(page: str | None, rules: Rules = Rules()) -> str:
     """Kept blocks joined by an empty line; empty for a null or empty page."""
     found = blocks(page or "")
-    kept = second_pass(found, [first_pass(b, rules) for b in found])
+    edge, known = link_lists(found, rules), stop_words_known(found, rules)
+    kept = second_pass(found, [first_pass(b, rules, edge, known) for b in found])
     return "\n\n".join(b.text for b, k in zip(found, kept, strict=True) if k)
 
 
