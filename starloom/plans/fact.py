@@ -10,6 +10,8 @@ project or the unknown member -1.
 """
 from __future__ import annotations
 
+from typing import Callable, Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,18 +31,28 @@ def batch_years(reviews: DataFrame) -> list[int]:
     return sorted(r["y"] for r in rows)
 
 
-def new_reviews(reviews: DataFrame, fact: DataFrame | None, years: list[int] | None = None) -> DataFrame:
+#: From keys and their columns to the fact rows that may hold them.
+Known = Callable[[DataFrame, Sequence[str]], DataFrame]
+
+
+def new_reviews(reviews: DataFrame, fact: DataFrame | None, years: list[int] | None = None, known: Known | None = None) -> DataFrame:
     """Reviews not in ``fact``, one per employee and day.  The fact is first
     cut down to what the batch can meet: its review ids by a semi-join (one
     column read), its employee-days by the batch's literal years, which are
-    partitions of the published fact."""
+    partitions of the published fact.  ``known`` (of an indexed store table:
+    ``partial(store.rows_that_may_hold, "fact")``) takes the fact's place and
+    gives only units that may hold the batch's ids or employee-days."""
     r = reviews.withColumn("date_key", date_key("review_date"))
-    if fact is not None:
+    days_of = ["employee_id", "date_key"]
+    if known is not None:
+        r = r.join(known(reviews.select("review_id"), ["review_id"]).select("review_id"), "review_id", "left_anti")
+        r = r.join(known(reviews.select("employee_id", date_key("review_date").alias("date_key")), days_of).select(*days_of), days_of, "left_anti")
+    elif fact is not None:
         years = batch_years(reviews) if years is None else years
         seen = fact.select("review_id").join(reviews.select("review_id").distinct(), "review_id", "left_semi")
         r = r.join(seen.distinct(), "review_id", "left_anti")
-        days = fact.filter(F.col("review_year").isin(years)).select("employee_id", "date_key")
-        r = r.join(days, ["employee_id", "date_key"], "left_anti")
+        days = fact.filter(F.col("review_year").isin(years)).select(*days_of)
+        r = r.join(days, days_of, "left_anti")
     return first_per(r, ["employee_id", "review_date"], ["review_id"])
 
 
@@ -67,9 +79,9 @@ def resolve(reviews: DataFrame, dim_employee: DataFrame, dim_department: DataFra
 
 def load_fact(reviews: DataFrame, dim_employee: DataFrame, dim_department: DataFrame,
               dim_date: DataFrame, dim_project: DataFrame, fact: DataFrame | None = None,
-              calendar_rows: int | None = None) -> DataFrame:
+              calendar_rows: int | None = None, known: Known | None = None) -> DataFrame:
     """Rows to append to the fact (the caller appends / publishes them)."""
-    nr = new_reviews(reviews, fact)
+    nr = new_reviews(reviews, fact, known=known)
     return resolve(nr, dim_employee, dim_department, dim_date, dim_project, calendar_rows,
                    raw=reviews.select("review_date"))
 
