@@ -4,30 +4,31 @@
   bound (``withWatermark`` + ``dropDuplicatesWithinWatermark``).
 * :func:`start_fact_stream` appends reviews to the fact table.  Window and
   anti-join logic is not allowed on a stream directly, so every micro-batch
-  runs the batch fact load in ``foreachBatch`` against the fact written so
-  far.  Each batch writes only its own folder ``batch=<feed>-<n>`` (overwrite),
-  and anti-joins against every other folder, so a retried batch reproduces
-  the same rows and re-delivery adds nothing.  Reviews that cannot be resolved yet
-  (no employee version on their date) are kept in ``pending`` and retried by
-  every later batch.
+  runs the batch fact load in ``foreachBatch``.
 * :func:`start_scd2_stream` applies a job-history change feed to the Type 2
   dimension: each batch appends its history rows and writes the versions of
   the touched employees only.
+
+Any number of feeds, each with its own checkpoint, may run at the same time
+into one output folder.  The folder is a :class:`~starloom.sources.store.Store`:
+a batch becomes visible in one commit, which also notes how far its feed has
+come, so a retried batch that was committed does nothing.
 """
 from __future__ import annotations
 
 import hashlib
+from functools import partial
 from typing import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
+from ..operators.windows import first_per
 from ..plans import fact as factmod
 from ..plans import scd2
 from ..session import materialize
-from ..sources.staging import _exists
+from ..sources.store import Conflict, Store
 
 
 def read_file_stream(spark: SparkSession, directory: str, schema, glob: str | None = None,
@@ -46,32 +47,18 @@ def dedup_stream(df: DataFrame, keys: Sequence[str], event_time: str, lateness:
     return df.withWatermark(event_time, lateness).dropDuplicatesWithinWatermark(list(keys))
 
 
-def _tagged(schema: T.StructType, *tags: T.StructField) -> T.StructType:
-    names = {t.name for t in tags}
-    return T.StructType([f for f in schema.fields if f.name not in names] + list(tags))
-
-
-BATCH, SEQ = T.StructField("batch", T.StringType()), T.StructField("seq", T.LongType())
+def _feed(checkpoint: str) -> str:
+    """Name of a feed in the notes of its output."""
+    return "feed-" + hashlib.sha1(checkpoint.encode()).hexdigest()[:16]
 
 
-def _feed_tag(checkpoint: str, batch_id: int) -> str:
-    """Folder tag of a micro-batch: a retried batch meets its own folder, and
-    feeds with different checkpoints never meet each other's."""
-    return f"{hashlib.sha1(checkpoint.encode()).hexdigest()[:12]}-{batch_id:012d}"
+def _started(query: DataStreamWriter, checkpoint: str, available_now: bool) -> StreamingQuery:
+    w = query.option("checkpointLocation", checkpoint)
+    return (w.trigger(availableNow=True) if available_now else w).start()
 
 
-def _others(spark: SparkSession, path: str, tag: str, schema: T.StructType) -> DataFrame:
-    """Rows that every other batch, of this feed or another, wrote."""
-    if not _exists(spark, path):
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(_tagged(schema, BATCH)).parquet(path).filter(F.col("batch") != tag).drop("batch")
-
-
-def _folders(spark: SparkSession, path: str) -> list[str]:
-    if not _exists(spark, path):
-        return []
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return [f.getPath().getName() for f in p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(p)]
+def _fact_store(spark: SparkSession, out_dir: str) -> Store:
+    return Store(spark, out_dir)
 
 
 def start_fact_stream(spark: SparkSession, reviews: DataFrame, dims: dict, out_dir: str,
@@ -79,78 +66,103 @@ def start_fact_stream(spark: SparkSession, reviews: DataFrame, dims: dict, out_d
     """``reviews`` is a streaming DataFrame; ``dims`` holds dim_employee,
     dim_department, dim_date, dim_project (batch frames).
 
-    Output folders are ``batch=<feed>-<n>`` where ``feed`` comes from the
-    checkpoint path: a retried batch overwrites exactly its own folder, and
-    every batch anti-joins against all other folders, so a retry reproduces
-    its rows and a re-delivery under a new checkpoint adds none.  A batch's
-    ``pending`` folder holds those of its own reviews that could not be
-    resolved; every later batch of any feed tries all pending reviews again."""
-    fact_path, pending_path = f"{out_dir}/fact", f"{out_dir}/pending"
+    A batch loads its own reviews and those that still wait, and leaves what
+    it cannot resolve (no employee version on the date) as the new set of
+    waiting reviews, so that set never holds a loaded one.  Of one review id
+    with several texts the first in the order of all columns counts.  Facts
+    and waiting reviews change in one commit; it fails if another feed has
+    committed since this batch read them, and the batch then starts over, so
+    feeds act one after the other, whatever their order in time.  The guard
+    reads only fact units whose zone map and Bloom filter may hold a key of
+    the batch."""
     d = (dims["dim_employee"], dims["dim_department"], dims["dim_date"], dims["dim_project"])
+    feed = _feed(checkpoint)
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        tag = _feed_tag(checkpoint, batch_id)
-        done = _others(spark, fact_path, tag, factmod.load_fact(batch.limit(0), *d).schema)
-        waiting = _others(spark, pending_path, tag, batch.schema)
-        cand = materialize(batch.unionByName(waiting).dropDuplicates(["review_id"]))
-        new = factmod.load_fact(cand, *d, fact=done)
-        new.write.mode("overwrite").partitionBy("review_year").parquet(f"{fact_path}/batch={tag}")
-        loaded = spark.read.schema(new.schema).parquet(f"{fact_path}/batch={tag}").select("review_id")
-        late = factmod.new_reviews(cand, done).join(loaded, "review_id", "left_anti").select(*batch.columns)
-        late.join(waiting.select("review_id"), "review_id", "left_anti").select(*batch.columns) \
-            .write.mode("overwrite").parquet(f"{pending_path}/batch={tag}")
-
-    w = reviews.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
-    w = w.trigger(availableNow=True) if trigger_available_now else w
-    return w.start()
+        while True:
+            store = _fact_store(spark, out_dir)
+            if store.notes().get(feed, -1) >= batch_id:
+                return
+            there = store.tables()
+            waiting = batch.unionByName(store.read("waiting")) if "waiting" in there else batch
+            cand = materialize(first_per(waiting, ["review_id"], [F.struct(*batch.columns)]))
+            known = partial(store.rows_that_may_hold, "fact") if "fact" in there else None
+            loaded = store.stage("fact", factmod.load_fact(cand, *d, known=known), append=True)
+            late = factmod.new_reviews(cand, None, known=known).join(loaded.select("review_id"), "review_id", "left_anti")
+            store.stage("waiting", late.select(*batch.columns))
+            try:
+                store.commit(lambda notes: notes | {feed: batch_id})
+                return
+            except Conflict:
+                continue
+
+    return _started(reviews.writeStream.foreachBatch(run), checkpoint, trigger_available_now)
 
 
 def read_fact(spark: SparkSession, out_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{out_dir}/fact").drop("batch")
+    return _fact_store(spark, out_dir).read("fact")
+
+
+def read_waiting(spark: SparkSession, out_dir: str) -> DataFrame:
+    """Reviews that no batch could resolve yet."""
+    return _fact_store(spark, out_dir).read("waiting")
+
+
+#: Parts of a level of the dimension and of the history that become one of the next.
+FANOUT = 4
+
+
+def _dim_store(spark: SparkSession, out_dir: str) -> Store:
+    key = [("employee_id",)]
+    return Store(spark, out_dir, bucketed={}, indexed={"history": key, "dim_employee": key})
 
 
 def start_scd2_stream(spark: SparkSession, history: DataFrame, employees: DataFrame, departments: DataFrame,
                       out_dir: str, checkpoint: str, trigger_available_now: bool = True) -> StreamingQuery:
     """``history`` is a streaming DataFrame of job-history rows.
 
-    A batch appends its history rows, recomputes the versions of the
-    employees it touches from all their history (of every feed) and writes
-    those employees' rows alone, as ``seq=<n>/batch=<tag>``.  The newest
-    ``seq`` that holds an employee is that employee's state, so nothing else
-    is read or rewritten.  A retried batch keeps its ``seq``."""
-    hist_path, dim_path = f"{out_dir}/history", f"{out_dir}/dim_employee"
+    A batch first commits its history rows and takes the next number of the
+    sequence in the same commit.  It then recomputes the versions of the
+    employees it touches from all history of that version or a later one, and
+    commits those employees' rows with its number.  The highest number that
+    holds an employee is that employee's state: its batch saw the history of
+    every lower number.  Parts of the history and of the dimension are merged
+    level by level, the latter without rows of a number that a higher one shadows.  A
+    retried batch keeps its number."""
+    feed = _feed(checkpoint)
+
+    def claim(batch_id: int):
+        return lambda notes: notes | {"seq": notes.get("seq", 0) + 1, feed: {"batch": batch_id, "seq": notes.get("seq", 0) + 1, "done": False}}
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        tag = _feed_tag(checkpoint, batch_id)
-        seqs = {int(f[4:]): _folders(spark, f"{dim_path}/{f}") for f in _folders(spark, dim_path) if f.startswith("seq=")}
-        seq = next((n for n, b in seqs.items() if f"batch={tag}" in b), max(seqs, default=0) + 1)
-        keys = batch.select("employee_id").distinct()
-        history_of = _others(spark, hist_path, tag, batch.schema).join(keys, "employee_id", "left_semi")
-        so_far = history_of.select(*batch.columns).unionByName(batch).dropDuplicates()
-        versions = materialize(scd2.timeline(so_far, employees, departments))
-        schema = scd2.refresh_dim_employee(versions.limit(0), None).schema
-        before = _state(spark, dim_path, schema, F.col("seq") < seq, keys)
-        nxt = scd2.refresh_dim_employee(versions, before)
-        batch.write.mode("overwrite").parquet(f"{hist_path}/batch={tag}")
-        nxt.write.mode("overwrite").parquet(f"{dim_path}/seq={seq}/batch={tag}")
-
-    w = history.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
-    w = w.trigger(availableNow=True) if trigger_available_now else w
-    return w.start()
-
-
-def _state(spark: SparkSession, path: str, schema: T.StructType, which=None, keys: DataFrame | None = None) -> DataFrame:
-    """Each employee's rows of the newest batch that wrote the employee."""
-    if not _exists(spark, path):
-        return spark.createDataFrame([], schema)
-    d = spark.read.schema(_tagged(schema, SEQ, BATCH)).parquet(path).drop("batch")
-    d = d if which is None else d.filter(which)
-    d = d if keys is None else d.join(keys, "employee_id", "left_semi")
-    last = d.groupBy("employee_id").agg(F.max("seq").alias("seq"))
-    return d.join(last, ["employee_id", "seq"], "left_semi").select(*schema.names)
+        store = _dim_store(spark, out_dir)
+        mine = store.notes().get(feed, {"batch": -1})
+        if mine["batch"] > batch_id or mine["batch"] == batch_id and mine["done"]:
+            return
+        if mine["batch"] < batch_id:
+            store.stage("history", batch, append=True)
+            store.commit(claim(batch_id))
+            mine = store.notes()[feed]
+        keys = materialize(batch.select("employee_id").distinct())
+        so_far = store.rows_that_may_hold("history", keys, ["employee_id"]).join(keys, "employee_id", "left_semi")
+        versions = materialize(scd2.timeline(so_far.select(*batch.columns).dropDuplicates(), employees, departments))
+        before = None
+        if "dim_employee" in store.tables():
+            rows = store.rows_that_may_hold("dim_employee", keys, ["employee_id"]).join(keys, "employee_id", "left_semi")
+            before = _newest(rows.filter(F.col("seq") < mine["seq"])).drop("seq")
+        store.stage("dim_employee", scd2.refresh_dim_employee(versions, before).withColumn("seq", F.lit(mine["seq"]).cast("long")), append=True)
+        store.commit(lambda notes: notes | {feed: mine | {"done": True}})
+        store.compact_levels("dim_employee", _newest, FANOUT)
+        store.compact_levels("history", lambda df: df.dropDuplicates(), FANOUT)
+
+    return _started(history.writeStream.foreachBatch(run), checkpoint, trigger_available_now)
+
+
+def _newest(rows: DataFrame) -> DataFrame:
+    """Each employee's rows of the highest number that holds the employee."""
+    last = rows.groupBy("employee_id").agg(F.max("seq").alias("seq"))
+    return rows.join(last, ["employee_id", "seq"], "left_semi").select(*rows.columns)
 
 
 def read_latest_dim(spark: SparkSession, out_dir: str) -> DataFrame:
-    path = f"{out_dir}/dim_employee"
-    have = spark.read.parquet(path).drop("seq", "batch").schema
-    return _state(spark, path, have)
+    return _newest(_dim_store(spark, out_dir).read("dim_employee")).drop("seq")

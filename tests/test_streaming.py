@@ -64,3 +64,90 @@ def test_two_history_feeds_build_one_dimension(spark):
     got = feeds.read_latest_dim(spark, f"{base}/out").select(*want.columns)
     assert got.count() == hist.count()
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def _same(got, want):
+    assert got.count() == want.count() and got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_history_feeds_that_run_together(spark):
+    """Two feeds started before either is awaited, over two halves of every
+    employee's history, equal the batch build."""
+    from starloom.plans import scd2
+    from starloom.sources.fixtures import Fixture
+    base, f = _scratch(spark), Fixture(spark, SF_SMALL)
+    hist, emp, dep = materialize(f.history()), materialize(f.employee()), materialize(f.department())
+    for k in range(2):
+        hist.filter(F.year("effective_start") % 2 == k).repartition(4, "employee_id").write.parquet(f"{base}/feed{k}")
+    running = [feeds.start_scd2_stream(spark, feeds.read_file_stream(spark, f"{base}/feed{k}", hist.schema, max_files=1), emp, dep, f"{base}/out", f"{base}/ckpt{k}")
+               for k in range(2)]
+    for q in running:
+        q.awaitTermination()
+    want = scd2.scd2_refresh(hist, emp, dep)
+    _same(feeds.read_latest_dim(spark, f"{base}/out").select(*want.columns), want)
+
+
+def test_fact_feeds_that_run_together(spark):
+    """Two feeds that share half of the reviews, with reviews that wait: each
+    review is loaded once, and none that is loaded still waits."""
+    base = _scratch(spark)
+    core, dw = fixture_core(spark, SF_SMALL), fixture_warehouse(spark, SF_SMALL)
+    dims = {k: materialize(getattr(dw, k)) for k in ("dim_employee", "dim_department", "dim_date", "dim_project")}
+    reviews = materialize(core.reviews)
+    few = dims | {"dim_employee": dims["dim_employee"].filter("employee_id % 5 <> 1")}
+    for k in range(2):
+        reviews.filter(F.col("review_id") % 4 != k).repartition(2).write.parquet(f"{base}/feed{k}")
+
+    def run(have, tags):
+        running = [feeds.start_fact_stream(spark, feeds.read_file_stream(spark, f"{base}/feed{k}", reviews.schema, max_files=1), have, f"{base}/out", f"{base}/{t}")
+                   for k, t in enumerate(tags)]
+        for q in running:
+            q.awaitTermination()
+    run(few, ["a0", "a1"])
+    got = feeds.read_fact(spark, f"{base}/out").select("review_id")
+    _same(got, dw.fact.filter("employee_id % 5 <> 1").select("review_id"))
+    assert feeds.read_waiting(spark, f"{base}/out").join(got, "review_id").count() == 0
+    run(dims, ["b0", "b1"])     # the missing versions are there, and all is delivered again
+    _same(feeds.read_fact(spark, f"{base}/out").select("review_id"), dw.fact.select("review_id"))
+
+
+def test_many_batches_leave_few_parts(spark):
+    """After 18 batches the dimension and the history have at most FANOUT - 1
+    parts a level, and shadowed rows are gone from merged ones."""
+    from starloom.plans import scd2
+    from starloom.sources.fixtures import Fixture
+    base, f = _scratch(spark), Fixture(spark, SF_SMALL)
+    emp, dep = materialize(f.employee()), materialize(f.department())
+    hist = materialize(f.history().filter("employee_id < 40"))
+    hist.repartition(18, "employee_id", "effective_start").write.option("maxRecordsPerFile", 0).parquet(f"{base}/feed")
+    src = feeds.read_file_stream(spark, f"{base}/feed", hist.schema, max_files=1)
+    feeds.start_scd2_stream(spark, src, emp, dep, f"{base}/out", f"{base}/ckpt").awaitTermination()
+    store = feeds._dim_store(spark, f"{base}/out")
+    for table in ("dim_employee", "history"):
+        levels = [u["level"] for u in store.units(table)]
+        assert all(levels.count(x) < feeds.FANOUT for x in levels) and len(levels) <= 6, levels
+        assert len(store.read(table).inputFiles()) <= 4 * len(levels)
+    assert store.notes()["seq"] >= 15
+    want = scd2.scd2_refresh(hist, emp, dep)
+    _same(feeds.read_latest_dim(spark, f"{base}/out").select(*want.columns), want)
+
+
+def test_a_retried_batch_changes_nothing(spark):
+    """The function of a committed batch, called again, and a crash between a
+    batch's two commits."""
+    from starloom.plans import scd2
+    from starloom.sources.fixtures import Fixture
+    base, f = _scratch(spark), Fixture(spark, SF_SMALL)
+    hist, emp, dep = materialize(f.history()), materialize(f.employee()), materialize(f.department())
+    hist.write.parquet(f"{base}/feed")
+    store = feeds._dim_store(spark, f"{base}/out")     # what a batch leaves that died after its first commit
+    store.stage("history", hist, append=True)
+    name = feeds._feed(f"{base}/ckpt")
+    store.commit(lambda notes: {"seq": 1, name: {"batch": 0, "seq": 1, "done": False}})
+    for _ in range(2):
+        src = feeds.read_file_stream(spark, f"{base}/feed", hist.schema)
+        feeds.start_scd2_stream(spark, src, emp, dep, f"{base}/out", f"{base}/ckpt").awaitTermination()
+    store.refresh()
+    assert store.notes() == {"seq": 1, name: {"batch": 0, "seq": 1, "done": True}} and len(store.units("dim_employee")) == 1
+    want = scd2.scd2_refresh(hist, emp, dep)
+    _same(feeds.read_latest_dim(spark, f"{base}/out").select(*want.columns), want)
