@@ -43,8 +43,27 @@ def pct_where(df: DataFrame, keys: Sequence[str], pred: Column, dp: int, alias:
 
 def count_distinct(df: DataFrame, keys: Sequence[str], col: str, alias: str,
                    approx: bool = False) -> DataFrame:
-    f = F.approx_count_distinct(col) if approx else F.count_distinct(col)
-    return df.groupBy(*keys).agg(f.cast("bigint").alias(alias))
+    """Distinct values per group; ``approx`` estimates them from a sketch of
+    fixed size per group (standard error ``SKETCH_ERROR``)."""
+    if approx:
+        return distinct_estimate(distinct_sketches(df, keys, col, "_sketch"), keys, "_sketch", alias)
+    return df.groupBy(*keys).agg(F.count_distinct(col).cast("bigint").alias(alias))
+
+
+#: Sketches hold 2^SKETCH_LG registers.
+SKETCH_LG = 12
+SKETCH_ERROR = 1.04 / 2 ** (SKETCH_LG / 2)
+
+
+def distinct_sketches(df: DataFrame, keys: Sequence[str], col: str, alias: str) -> DataFrame:
+    """A HyperLogLog sketch of the values of each group, to be stored: sketches
+    of any split of the rows unite to that of all rows."""
+    return df.groupBy(*keys).agg(F.hll_sketch_agg(F.col(col), SKETCH_LG).alias(alias))
+
+
+def distinct_estimate(sketches: DataFrame, keys: Sequence[str], col: str, alias: str) -> DataFrame:
+    """Estimated distinct values per group of stored sketches, united here."""
+    return sketches.groupBy(*keys).agg(F.hll_sketch_estimate(F.hll_union_agg(col)).cast("bigint").alias(alias))
 
 
 def group_agg(df: DataFrame, keys: Sequence[str], aggs: Sequence[Column]) -> DataFrame:

@@ -97,28 +97,45 @@ def asof(events: DataFrame, versions: DataFrame, key: str, at: str,
     return e.join(v, cond, "inner").drop("_v_key", "_v_year", "_e_year")
 
 
+def asof_parts(events: DataFrame, versions: DataFrame, key: str, at: str, start: str = "start_date",
+               version_cols: Sequence[str] | None = None) -> DataFrame:
+    """Versions (kind 0) and events (kind 1) in one table, range-partitioned
+    and sorted on (key, date, kind); ``_pid`` numbers the partitions in that
+    order.  Events of one key and day are told apart by a number, so that
+    even a hot day is split.  Written once: partitions are then fixed."""
+    from ..session import materialize
+    vcols = list(version_cols or [c for c in versions.columns if c != key])
+    version = versions.select(F.struct(*vcols).alias("_v")).schema["_v"].dataType
+    event = events.select(F.struct(*events.columns).alias("_e")).schema["_e"].dataType
+    ver = versions.select(F.col(key).alias("_k"), F.col(start).alias("_d"), F.lit(0).alias("_kind"), F.struct(*vcols).alias("_v"), F.lit(None).cast(event).alias("_e"))
+    evt = events.select(F.col(key).alias("_k"), F.col(at).alias("_d"), F.lit(1).alias("_kind"), F.lit(None).cast(version).alias("_v"), F.struct(*events.columns).alias("_e"))
+    both = ver.unionByName(evt).filter("_k is not null and _d is not null").withColumn("_n", F.monotonically_increasing_id())
+    order = ["_k", "_d", "_kind", "_n"]
+    return materialize(both.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_pid", F.spark_partition_id()))
+
+
 def asof_window(events: DataFrame, versions: DataFrame, key: str, at: str,
                 start: str = "start_date", end: str = "end_date",
                 version_cols: Sequence[str] | None = None) -> DataFrame:
-    """Same result as :func:`asof` without a range join: versions and events are
-    sorted together per key and each event takes the last version started on or
-    before its date, kept only if the version has not ended.  Cost is linear in
-    events + versions per key, whatever the history length."""
+    """Same result as :func:`asof` without a range join: a segmented prefix
+    scan.  Versions and events are range-partitioned together on (key, date),
+    so a hot key spans as many partitions as its rows need; inside a partition
+    each event takes the key's last version started on or before its date.  One row
+    per partition, its last version, is scanned along the partitions, and
+    gives events ahead of their key's first version in a partition the one
+    from before it.  A version counts only while it has not ended."""
     vcols = list(version_cols or [c for c in versions.columns if c != key])
-    ev_cols = [c for c in events.columns]
-    ver = versions.select(
-        F.col(key).alias("_k"), F.col(start).alias("_d"), F.lit(0).alias("_kind"),
-        F.struct(*[F.col(c) for c in vcols]).alias("_v"),
-        F.lit(None).cast(events.select(F.struct(*ev_cols)).schema[0].dataType).alias("_e"))
-    evt = events.select(
-        F.col(key).alias("_k"), F.col(at).alias("_d"), F.lit(1).alias("_kind"),
-        F.lit(None).cast(versions.select(F.struct(*vcols)).schema[0].dataType).alias("_v"),
-        F.struct(*[F.col(c) for c in ev_cols]).alias("_e"))
-    w = (Window.partitionBy("_k").orderBy("_d", "_kind")
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    u = ver.unionByName(evt).withColumn("_cur", F.last("_v", ignorenulls=True).over(w))
-    hit = u.filter((F.col("_kind") == 1) & F.col("_cur").isNotNull()
-                   & (F.col("_d") <= F.col(f"_cur.{end}")))
+    ev_cols = list(events.columns)
+    t = asof_parts(events, versions, key, at, start, vcols)
+    inside = Window.partitionBy("_pid", "_k").orderBy("_d", "_kind", "_n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    tail = F.max_by(F.struct("_k", "_v"), F.when(F.col("_kind") == 0, F.struct("_k", "_d", "_n")))
+    tails = t.groupBy("_pid").agg(tail.alias("_tail"), F.count(F.when(F.col("_kind") == 0, 1)).alias("_has"))
+    along = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    carried = tails.select("_pid", F.last(F.when(F.col("_has") > 0, F.col("_tail")), ignorenulls=True).over(along).alias("_before"))
+    scanned = t.withColumn("_in", F.last("_v", ignorenulls=True).over(inside)).filter(F.col("_kind") == 1)
+    hit = scanned.join(F.broadcast(carried), "_pid")  # one row per partition
+    hit = hit.withColumn("_cur", F.coalesce("_in", F.when(F.col("_before._k") == F.col("_k"), F.col("_before._v"))))
+    hit = hit.filter(F.col("_cur").isNotNull() & (F.col("_d") <= F.col(f"_cur.{end}")))
     return hit.select(*[F.col(f"_e.{c}").alias(c) for c in ev_cols],
                       *[F.col(f"_cur.{c}").alias(c) for c in vcols if c not in ev_cols])
 

@@ -1,7 +1,6 @@
 """Window operators.
 
-``first_per``/``latest_per``/``top_ranks`` filter a ranking function, which
-Catalyst turns into a partial WindowGroupLimit before the shuffle (each map
+``first_per``/``latest_per`` filter a ranking function, which Catalyst turns into a partial WindowGroupLimit before the shuffle (each map
 task keeps only its own top rows per key) and a final one after it.
 """
 from __future__ import annotations
@@ -40,11 +39,21 @@ def with_delta(df: DataFrame, key: str, order: str, col: str, dp: int,
     return prev.withColumn(alias, F.round(F.col(col) - F.col("_prev"), dp)).drop("_prev")
 
 
-def top_ranks(df: DataFrame, key: str, order: Sequence[str | Column], n: int,
-              alias: str = "rank") -> DataFrame:
-    """Dense rank per key; ties share a rank, so more than n rows may pass."""
-    w = Window.partitionBy(key).orderBy(*_cols(order))
-    return df.withColumn(alias, F.dense_rank().over(w)).filter(F.col(alias) <= n)
+def top_ranks(df: DataFrame, key: str, order: Sequence[str], n: int, alias: str = "rank", descending=False, salts: int = 16) -> DataFrame:
+    """Dense rank per key, up to ``n``; ties share a rank, so more than n rows
+    may pass.
+
+    The n first distinct values of each key are selected apart from the rows:
+    distinct by partial aggregates, cut to n per (key, salt), merged to n per
+    key.  The rows then meet that short list by an equi-join on key and
+    values, so no task ever sorts, or even holds, a key's rows."""
+    o = _sort_cols(order, descending)
+    values = df.select(key, *order).distinct().withColumn("_s", F.pmod(F.xxhash64(*order), F.lit(salts)))
+    part = values.withColumn("_r", F.row_number().over(Window.partitionBy(key, "_s").orderBy(*o))).filter(F.col("_r") <= n)
+    best = part.withColumn(alias, F.row_number().over(Window.partitionBy(key).orderBy(*o))).filter(F.col(alias) <= n)
+    best = best.select(*[F.col(c).alias(f"_o_{c}") for c in (key, *order)], alias)
+    same = reduce(lambda x, y: x & y, [df[c].eqNullSafe(best[f"_o_{c}"]) for c in (key, *order)])
+    return df.join(best, same).select(*[df[c] for c in df.columns], alias)
 
 
 def _sort_cols(order: Sequence[str], descending) -> list[Column]:

@@ -41,7 +41,11 @@ def yearly_trend(dw: Warehouse) -> DataFrame:
         F.avg("review_score").alias("_avg_score"),
         F.avg(F.col("performance_rating").cast("decimal(10,0)")).alias("_avg_rating"),
         F.count(F.lit(1)).alias("reviews"))
-    y = _fact_depts(y, dw)
+    return trend_of(_fact_depts(y, dw))
+
+
+def trend_of(y: DataFrame) -> DataFrame:
+    """The trend from one row per year and department (unrounded averages)."""
     w = Window.partitionBy("department_name").orderBy("review_year")
     return y.select(
         "review_year", "department_name",
@@ -66,8 +70,8 @@ def top_performers(dw: Warehouse, year: int | None = None, n: int = 5,
         avg_exact_col("review_score", 2).alias("avg_score"),
         avg_int_col("performance_rating", 2).alias("avg_rating"),
         F.max("employee_key").alias("employee_key"))
-    order = [F.col("avg_score").desc()] + ([F.col("avg_rating").desc()] if by_rating else [])
-    ranked = _fact_depts(top_ranks(per, "department_key", order, n, "dept_rank"), dw)
+    order = ["avg_score"] + (["avg_rating"] if by_rating else [])
+    ranked = _fact_depts(top_ranks(per, "department_key", order, n, "dept_rank", descending=True), dw)
     ranked = ranked.join(dw.dim_employee.select("employee_key", "full_name"), "employee_key", "inner")
     cols = ["department_name", F.col("dept_rank").cast("int").alias("dept_rank"), "employee_id", "full_name",
             "avg_score"] + (["avg_rating"] if by_rating else [])

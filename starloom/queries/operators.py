@@ -357,6 +357,19 @@ def agg_count_distinct(spark, sf):
     return AG.count_distinct(r, ["project_id"], "employee_id", "people")
 
 
+@query("agg_count_distinct_approx", """
+SELECT project_id, CAST(count(DISTINCT employee_id) AS BIGINT) people, TRUE AS within FROM fx_review WHERE project_id IS NOT NULL GROUP BY 1""")
+def agg_count_distinct_approx(spark, sf):
+    """Distinct people per project from sketches of each (year, project),
+    united at read, beside the exact number: within five standard errors."""
+    r = fx(spark, sf).review().filter(F.col("project_id").isNotNull())
+    stored = AG.distinct_sketches(r.withColumn("y", F.year("review_date")), ["y", "project_id"], "employee_id", "people")
+    guess = AG.distinct_estimate(stored, ["project_id"], "people", "guess")
+    both = AG.count_distinct(r, ["project_id"], "employee_id", "people").join(guess, "project_id")
+    near = F.abs(F.col("guess") - F.col("people")) <= F.ceil(5 * AG.SKETCH_ERROR * F.col("people"))
+    return both.select("project_id", "people", near.alias("within"))
+
+
 @query("agg_group_multi", """
 SELECT performance_rating, job_satisfaction, work_life_balance, CAST(count(*) AS BIGINT) n,
        CAST(sum(percent_salary_hike) AS BIGINT) hike_sum FROM fx_review GROUP BY 1, 2, 3""")
@@ -428,7 +441,7 @@ SELECT employee_id, review_id, review_score, CAST(rk AS INT) rk FROM (SELECT r.*
   (PARTITION BY employee_id ORDER BY review_score DESC) rk FROM fx_review r) x WHERE rk <= 3""")
 def win_dense_rank_topk(spark, sf):
     r = fx(spark, sf).review()
-    return W.top_ranks(r, "employee_id", [F.col("review_score").desc()], 3, "rk") \
+    return W.top_ranks(r, "employee_id", ["review_score"], 3, "rk", descending=True) \
         .select("employee_id", "review_id", "review_score", F.col("rk").cast("int").alias("rk"))
 
 
