@@ -1,8 +1,9 @@
 """Language identification by a bidirectional gated recurrent network.
 
-The network reads bytes, ``PATCH`` of them a step, in windows that cover the
-whole text; forward and backward states label every position, and the
-positions' probabilities are pooled into the document's.  It is trained here
+The network reads bytes in windows that cover the whole text.  A position is
+a patch of ``PATCH`` bytes, read by one step; forward and backward states
+label every position, the positions' probabilities are pooled into the
+document's, and on request runs of equal labels come back as spans of bytes.  It is trained here
 in numpy by backpropagation through time.
 """
 from __future__ import annotations
@@ -181,12 +182,14 @@ def train(texts: list[bytes], labels: list[str], cfg: Settings = Settings()) ->
     return net
 
 
-def classify(net: Network, texts: list[bytes]) -> np.ndarray:
-    """Pooled class probabilities of whole texts: (texts, classes)."""
+def classify(net: Network, texts: list[bytes], labels: list[np.ndarray] | None = None) -> np.ndarray:
+    """Pooled class probabilities of whole texts: (texts, classes).  A list
+    given as ``labels`` gets each text's best class per position."""
     x, length, owner = windows(texts)
     total = np.zeros((len(texts), len(net.classes)))
     weight = np.zeros(len(texts))
     order = np.argsort(-length, kind="stable")
+    best: list[np.ndarray | None] = [None] * len(length)
     for lo in range(0, len(order), ROWS):
         pick = order[lo:lo + ROWS]
         wide = -(-int(length[pick[0]]) // PATCH) * PATCH
@@ -194,9 +197,24 @@ def classify(net: Network, texts: list[bytes]) -> np.ndarray:
         p = net.positions(steps, live)
         np.add.at(total, owner[pick], np.einsum("tnc,nt->nc", p, live))
         np.add.at(weight, owner[pick], live.sum(1))
+        if labels is not None:
+            top = p.argmax(-1).T.astype(np.uint16)
+            for row, i in enumerate(pick):
+                best[i] = top[row, :-(-int(length[i]) // PATCH)]
+    if labels is not None:
+        first = np.searchsorted(owner, np.arange(len(texts) + 1))
+        labels += [np.concatenate([np.zeros(0, np.uint16), *best[a:z]]) for a, z in zip(first[:-1], first[1:])]
     return total / np.maximum(weight, 1)[:, None]
 
 
+def spans(label: np.ndarray, n_bytes: int, classes: list[str]) -> list[dict]:
+    """Runs of equal labels of positions as spans of bytes; they cover the text."""
+    if not len(label):
+        return []
+    at = np.concatenate([[0], np.flatnonzero(np.diff(label)) + 1, [len(label)]])
+    return [{"first": int(a) * PATCH, "last": min(int(z) * PATCH, n_bytes), "lang": classes[int(label[a])]} for a, z in zip(at[:-1], at[1:])]
+
+
 def fit(docs: DataFrame, cfg: Settings = Settings(), *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Network:
     """Learn from rows with a language (null languages and empty texts are
     left out).  The driver gets at most about ``per_language`` stretches of
@@ -211,9 +229,11 @@ def fit(docs: DataFrame, cfg: Settings = Settings(), *, id_col: str = "doc_id",
     return train([r["t"].encode() for r in got], [r["lang"] for r in got], cfg)
 
 
-def predict(docs: DataFrame, net: Network, *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+def predict(docs: DataFrame, net: Network, *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (),
+            with_spans: bool = False) -> DataFrame:
     """``id_col``, ``keep`` columns, lang_pred and score (the pooled
-    probability of the predicted language).
+    probability of the predicted language), and on request the labelled spans
+    (first byte, last byte + 1, language), which cover each text in order.
 
     A text that is null, empty or without a letter is ``und`` with score 0,
     as is every text if no language was learned.  Whole texts are read, in
@@ -229,13 +249,22 @@ def predict(docs: DataFrame, net: Network, *, id_col: str = "doc_id", text_col:
         for b in batches(it, STEP_BYTES, "__text"):
             texts = [t or "" for t in b.column(b.num_columns - 1).to_pylist()]
             use = [i for i, t in enumerate(texts) if classes and LETTER.search(t)]
-            lang, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
+            lang, score, found = [UNKNOWN] * len(texts), [0.0] * len(texts), [[] for _ in texts]
             if use:
-                p = classify(model, [texts[i].encode() for i in use])
-                for i, q in zip(use, p, strict=True):
+                raw, labels = [texts[i].encode() for i in use], [] if with_spans else None
+                p = classify(model, raw, labels)
+                for k, (i, q) in enumerate(zip(use, p, strict=True)):
                     lang[i], score[i] = classes[int(q.argmax())], float(min(1.0, q.max()))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(lang, pa.string()), pa.array(score, pa.float64())],
-                                             names=[id_col, *keep, "lang_pred", "score"])
+                    if with_spans:
+                        found[i] = spans(labels[k], len(raw[k]), classes)
+            cols, names = [*b.columns[:-1], pa.array(lang, pa.string()), pa.array(score, pa.float64())], [id_col, *keep, "lang_pred", "score"]
+            if with_spans:
+                cols.append(pa.array(found, pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64()), ("lang", pa.string())]))))
+                names.append("spans")
+            yield pa.RecordBatch.from_arrays(cols, names=names)
 
     rows = docs.select(id_col, *keep, F.col(text_col).cast("string").alias("__text"))
-    return rows.mapInArrow(run, T.StructType([*kept, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    out = [*kept, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
+    if with_spans:
+        out.append(T.StructField("spans", T.ArrayType(T.StructType().add("first", "long").add("last", "long").add("lang", "string"))))
+    return rows.mapInArrow(run, T.StructType(out))

@@ -110,7 +110,8 @@ def _labelled(spark: SparkSession, sf_dir: str, docs: DataFrame, label: str) ->
 
 @_query
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Toxicity of all documents, learned from the labelled rows outside fold 2 of 4."""
+    """Toxicity of all documents, learned from the labelled rows outside fold 2
+    of 4.  A row without an id has no fold: it is scored, not learned from, and its held_out is null."""
     from . import toxicity
 
     docs = read_table(spark, sf_dir, "documents")
@@ -121,7 +122,8 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Language of all documents, learned outside fold 0 of 5."""
+    """Language of all documents, learned outside fold 0 of 5.  A row without
+    an id has no fold: it is predicted, not learned from, and its held_out is null."""
     from . import language_id
 
     docs = read_table(spark, sf_dir, "documents")
@@ -132,7 +134,8 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quality of all documents, learned from the labelled rows outside fold 0 of 5."""
+    """Quality of all documents, learned from the labelled rows outside fold 0
+    of 5.  A row without an id has no fold: it is scored, not learned from, and its held_out is null."""
     from . import quality_cnn
 
     docs = read_table(spark, sf_dir, "documents")
