@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .windows import global_positions
@@ -46,14 +46,19 @@ def hash_key(*cols: str | Column) -> Column:
 
 
 def assign_keys(new: DataFrame, existing: DataFrame | None, business_key: Sequence[str],
-                key_col: str) -> DataFrame:
+                key_col: str, few: bool = False) -> DataFrame:
     """AUTO_INCREMENT-style keys: rows whose business key is not yet in
     ``existing`` get ``max(existing key) + position`` in business-key order.
     Existing keys are never changed; numbering is distributed (no
-    single-partition window)."""
+    single-partition window).  ``few`` says that the business key has a small
+    domain whatever the size of the source (department names, job titles), so
+    that a plain window may number the new ones, without sampling or a write."""
     bk = list(business_key)
     fresh = new if existing is None else new.join(existing.select(*bk), bk, "left_anti")
-    pos = global_positions(fresh, bk, False, "_pos")
+    if few:
+        pos = fresh.withColumn("_pos", F.row_number().over(Window.orderBy(*bk)))
+    else:
+        pos = global_positions(fresh, bk, False, "_pos")
     if existing is None:
         base = F.lit(0).cast("long")
     else:

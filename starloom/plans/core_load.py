@@ -9,6 +9,7 @@ then returns the new core, so a failing batch changes nothing.
 """
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
@@ -67,10 +68,10 @@ def load_departments(stg: Staging, existing: DataFrame | None = None) -> DataFra
                            _names(stg.projects, "department", "department_name"))
     names = _distinct_names(stg, names, "department_name", existing)
     if existing is None:
-        return assign_keys(names, None, ["department_name"], "department_id") \
+        return assign_keys(names, None, ["department_name"], "department_id", few=True) \
             .select(F.col("department_id").cast("int"), "department_name")
     new = assign_keys(names, existing.withColumn("department_id", F.col("department_id").cast("long")),
-                      ["department_name"], "department_id")
+                      ["department_name"], "department_id", few=True)
     return existing.unionByName(new.select(F.col("department_id").cast("int"), "department_name"))
 
 
@@ -79,10 +80,10 @@ def load_job_roles(stg: Staging, existing: DataFrame | None = None) -> DataFrame
                            _names(stg.history, "job_role", "job_title"))
     names = _distinct_names(stg, names, "job_title", existing)
     if existing is None:
-        return assign_keys(names, None, ["job_title"], "job_role_id") \
+        return assign_keys(names, None, ["job_title"], "job_role_id", few=True) \
             .select(F.col("job_role_id").cast("int"), "job_title")
     new = assign_keys(names, existing.withColumn("job_role_id", F.col("job_role_id").cast("long")),
-                      ["job_title"], "job_role_id")
+                      ["job_title"], "job_role_id", few=True)
     return existing.unionByName(new.select(F.col("job_role_id").cast("int"), "job_title"))
 
 
@@ -240,6 +241,13 @@ def _collisions(new: DataFrame, old: DataFrame, table: str, keys) -> DataFrame:
         F.col("n").cast("bigint").alias("n_violations"))
 
 
+def _together(*loads):
+    """Results of loads that do not depend on each other, submitted at once:
+    the tasks of one fill the cores that the end of another leaves idle."""
+    with ThreadPoolExecutor(len(loads)) as pool:
+        return [f.result() for f in [pool.submit(load) for load in loads]]
+
+
 def run_core_load(stg: Staging, core: Core | None = None, gate: bool = True,
                   materialize_tables: bool = True) -> Core:
     """All seven loads; returns the next core (existing rows + new rows).
@@ -254,16 +262,14 @@ def run_core_load(stg: Staging, core: Core | None = None, gate: bool = True,
     stg = accepted_staging(stg)
     old = core or Core(*[None] * 5)
     # small lookups joined by every later load: written once, then scanned
-    dep = materialize(load_departments(stg, old.departments))
-    rol = materialize(load_job_roles(stg, old.job_roles))
+    dep, rol = _together(lambda: materialize(load_departments(stg, old.departments)), lambda: materialize(load_job_roles(stg, old.job_roles)))
     both = lambda a, b: b if a is None else a.unionByName(b)
     # employees and projects first: the other loads read what was written
-    emp_new = keep(load_employees(stg, dep, rol, old.employees))
-    prj_new = keep(load_projects(stg, dep, old.projects))
+    emp_new, prj_new = _together(lambda: keep(load_employees(stg, dep, rol, old.employees)), lambda: keep(load_projects(stg, dep, old.projects)))
     emp, prj = both(old.employees, emp_new), both(old.projects, prj_new)
-    his_new = keep(load_job_history(stg, emp, dep, rol, old.history))
-    asg_new = keep(load_assignments(stg, emp, prj, old.assignments))
-    rev_new = keep(load_reviews(stg, emp, old.reviews))
+    his_new, asg_new, rev_new = _together(lambda: keep(load_job_history(stg, emp, dep, rol, old.history)),
+                                          lambda: keep(load_assignments(stg, emp, prj, old.assignments)),
+                                          lambda: keep(load_reviews(stg, emp, old.reviews)))
     added = Core(departments=dep, job_roles=rol, employees=emp_new, history=his_new, projects=prj_new,
                  assignments=asg_new, reviews=rev_new)
     if gate:
