@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import hashlib
 from functools import partial
-from typing import Sequence
+from typing import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,10 +61,38 @@ def _fact_store(spark: SparkSession, out_dir: str) -> Store:
     return Store(spark, out_dir)
 
 
-def start_fact_stream(spark: SparkSession, reviews: DataFrame, dims: dict, out_dir: str,
+#: dim_employee, dim_department, dim_date and dim_project, or what gives them as they are now.
+Dims = dict | Callable[[], dict]
+
+
+def _load_batch(spark: SparkSession, dims: Dims, out_dir: str, batch: DataFrame, mark: Callable[[dict], dict], done: Callable[[dict], bool]) -> None:
+    """One load of ``batch`` and of the waiting reviews, in one commit, again
+    and again until no other feed has committed in between."""
+    while True:
+        store = _fact_store(spark, out_dir)
+        if done(store.notes()):
+            return
+        now = dims() if callable(dims) else dims
+        d = (now["dim_employee"], now["dim_department"], now["dim_date"], now["dim_project"])
+        there = store.tables()
+        waiting = batch.unionByName(store.read("waiting").select(*batch.columns)) if "waiting" in there else batch
+        cand = materialize(first_per(waiting, ["review_id"], [F.struct(*batch.columns)]))
+        known = partial(store.rows_that_may_hold, "fact") if "fact" in there else None
+        loaded = store.stage("fact", factmod.load_fact(cand, *d, known=known), append=True)
+        late = factmod.new_reviews(cand, None, known=known).join(loaded.select("review_id"), "review_id", "left_anti")
+        store.stage("waiting", late.select(*batch.columns))
+        try:
+            store.commit(mark)
+            return
+        except Conflict:
+            continue
+
+
+def start_fact_stream(spark: SparkSession, reviews: DataFrame, dims: Dims, out_dir: str,
                       checkpoint: str, trigger_available_now: bool = True) -> StreamingQuery:
     """``reviews`` is a streaming DataFrame; ``dims`` holds dim_employee,
-    dim_department, dim_date, dim_project (batch frames).
+    dim_department, dim_date, dim_project (batch frames), or is a function
+    that gives them anew for each batch, for dimensions that grow meanwhile.
 
     A batch loads its own reviews and those that still wait, and leaves what
     it cannot resolve (no employee version on the date) as the new set of
@@ -75,30 +103,32 @@ def start_fact_stream(spark: SparkSession, reviews: DataFrame, dims: dict, out_d
     feeds act one after the other, whatever their order in time.  The guard
     reads only fact units whose zone map and Bloom filter may hold a key of
     the batch."""
-    d = (dims["dim_employee"], dims["dim_department"], dims["dim_date"], dims["dim_project"])
     feed = _feed(checkpoint)
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        while True:
-            store = _fact_store(spark, out_dir)
-            if store.notes().get(feed, -1) >= batch_id:
-                return
-            there = store.tables()
-            waiting = batch.unionByName(store.read("waiting")) if "waiting" in there else batch
-            cand = materialize(first_per(waiting, ["review_id"], [F.struct(*batch.columns)]))
-            known = partial(store.rows_that_may_hold, "fact") if "fact" in there else None
-            loaded = store.stage("fact", factmod.load_fact(cand, *d, known=known), append=True)
-            late = factmod.new_reviews(cand, None, known=known).join(loaded.select("review_id"), "review_id", "left_anti")
-            store.stage("waiting", late.select(*batch.columns))
-            try:
-                store.commit(lambda notes: notes | {feed: batch_id})
-                return
-            except Conflict:
-                continue
+        _load_batch(spark, dims, out_dir, batch, lambda notes: notes | {feed: batch_id}, lambda notes: notes.get(feed, -1) >= batch_id)
 
     return _started(reviews.writeStream.foreachBatch(run), checkpoint, trigger_available_now)
 
 
+def load_waiting(spark: SparkSession, dims: Dims, out_dir: str) -> int:
+    """Try the waiting reviews again (their versions may have come since the
+    last batch); the number that still waits."""
+    store = _fact_store(spark, out_dir)
+    if "waiting" not in store.tables():
+        return 0
+    _load_batch(spark, dims, out_dir, store.read("waiting").limit(0), lambda notes: notes, lambda notes: False)
+    return read_waiting(spark, out_dir).count()
+
+
+def unresolved_by(spark: SparkSession, dims: Dims, out_dir: str, watermark: str) -> DataFrame:
+    """Waiting reviews dated up to the history's watermark (no version for
+    them is expected any more), with the reason that ``fact.unresolved`` gives."""
+    now = dims() if callable(dims) else dims
+    old = read_waiting(spark, out_dir).filter(F.col("review_date") <= F.to_date(F.lit(watermark)))
+    return factmod.unresolved(old, now["dim_employee"], now["dim_department"], now["dim_date"])
+
+
 def read_fact(spark: SparkSession, out_dir: str) -> DataFrame:
     return _fact_store(spark, out_dir).read("fact")
 

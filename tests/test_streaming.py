@@ -151,3 +151,36 @@ def test_a_retried_batch_changes_nothing(spark):
     assert store.notes() == {"seq": 1, name: {"batch": 0, "seq": 1, "done": True}} and len(store.units("dim_employee")) == 1
     want = scd2.scd2_refresh(hist, emp, dep)
     _same(feeds.read_latest_dim(spark, f"{base}/out").select(*want.columns), want)
+
+
+def test_reviews_wait_for_history_that_arrives_after_them(spark):
+    """The review feed and the history feed run together; the fact is loaded
+    against the dimension that the history feed has built so far.  In the end all is as
+    in the batch, and nothing waits but what the batch does not resolve."""
+    from starloom.plans import fact as factmod, scd2
+    from starloom.sources.fixtures import Fixture
+    base, f = _scratch(spark), Fixture(spark, SF_SMALL)
+    core, dw = fixture_core(spark, SF_SMALL), fixture_warehouse(spark, SF_SMALL)
+    hist, emp, dep = materialize(f.history()), materialize(f.employee()), materialize(f.department())
+    others = {k: materialize(getattr(dw, k)) for k in ("dim_department", "dim_date", "dim_project")}
+    late = materialize(hist.filter("employee_id % 7 <> 1"))       # some employees' history never comes
+    late.repartitionByRange(3, F.col("effective_start").desc()).write.parquet(f"{base}/history")
+    reviews = materialize(core.reviews)
+    reviews.repartition(2).write.parquet(f"{base}/reviews")
+    none = scd2.scd2_refresh(late.limit(0), emp, dep)
+
+    def dims():
+        store = feeds._dim_store(spark, f"{base}/dim")
+        return others | {"dim_employee": feeds.read_latest_dim(spark, f"{base}/dim") if "dim_employee" in store.tables() else none}
+    running = [feeds.start_fact_stream(spark, feeds.read_file_stream(spark, f"{base}/reviews", reviews.schema, max_files=1), dims, f"{base}/out", f"{base}/c0"),
+               feeds.start_scd2_stream(spark, feeds.read_file_stream(spark, f"{base}/history", hist.schema, max_files=1), emp, dep, f"{base}/dim", f"{base}/c1")]
+    for q in running:
+        q.awaitTermination()
+    waits = feeds.load_waiting(spark, dims, f"{base}/out")
+    full = scd2.scd2_refresh(late, emp, dep)
+    want = factmod.load_fact(reviews, full, dw.dim_department, dw.dim_date, dw.dim_project)
+    got = feeds.read_fact(spark, f"{base}/out")
+    _same(got.select("review_id", "employee_key", "review_year"), want.select("review_id", "employee_key", "review_year"))
+    reasons = feeds.unresolved_by(spark, dims, f"{base}/out", "2100-01-01")
+    assert 0 < waits == reasons.count() and reasons.select("reason").distinct().count() == 1
+    assert feeds.unresolved_by(spark, dims, f"{base}/out", "1900-01-01").count() == 0
