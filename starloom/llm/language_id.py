@@ -30,10 +30,11 @@ UNKNOWN = "und"
 
 @dataclass(frozen=True)
 class Settings:
-    """``per_language`` bounds the documents of each language that are learned
-    from, ``sample_bytes`` the stretch read of each of them."""
-    per_language: int = 500
-    sample_bytes: int = 1024
+    """``per_language`` bounds the stretches of ``stretch`` characters of each
+    language that are learned from; they are drawn from all of its texts, each
+    text being cut into such stretches from end to end."""
+    per_language: int = 2000
+    stretch: int = 256
     steps: int = 360
     batch: int = 96
     train_window: int = 128
@@ -218,13 +219,13 @@ def spans(label: np.ndarray, n_bytes: int, classes: list[str]) -> list[dict]:
 def fit(docs: DataFrame, cfg: Settings = Settings(), *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Network:
     """Learn from rows with a language (null languages and empty texts are
     left out).  The driver gets at most about ``per_language`` stretches of
-    ``sample_bytes`` characters a language, from a place in the text that
-    its id's hash picks.  With no rows the network knows no language."""
+    ``stretch`` characters a language, drawn evenly from whole texts by a hash of
+    id and place.  With no rows the network knows no language."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    rows = one_sample(rows.filter("lang is not null and length(text) > 0"), F.col("lang"), F.col("id"), cfg.per_language)
-    room = F.greatest(F.length("text") - F.lit(cfg.sample_bytes), F.lit(0)) + 1
-    at = (F.pmod(F.xxhash64("id"), room) + 1).cast("int")
-    got = rows.select("id", "lang", F.substring("text", at, F.lit(cfg.sample_bytes)).alias("t")).collect()
+    rows = rows.filter("lang is not null and length(text) > 0")
+    places = rows.select("id", "lang", "text", F.explode(F.expr(f"sequence(1, length(text), {cfg.stretch})")).alias("at"))
+    some = one_sample(places, F.col("lang"), F.struct("id", "at"), cfg.per_language)
+    got = some.select("lang", F.col("text").substr(F.col("at"), F.lit(cfg.stretch)).alias("t")).collect()
     got.sort(key=lambda r: (r["lang"], r["t"]))
     return train([r["t"].encode() for r in got], [r["lang"] for r in got], cfg)
 

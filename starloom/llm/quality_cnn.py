@@ -28,9 +28,11 @@ ROWS = 256
 @dataclass(frozen=True)
 class Settings:
     """``per_label`` bounds the labelled rows of each label that are learned
-    from, ``sample_chars`` the stretch read of each of them."""
+    from, and ``pieces`` the pieces of STEP characters of each of them: a text of
+    more is represented by that many, drawn from all of it.  A step of the
+    descent looks at ``chunks`` chunks of a text, others each time."""
     per_label: int = 1500
-    sample_chars: int = 8192
+    pieces: int = 16
     rounds: int = 300
     batch: int = 48
     chunks: int = 8
@@ -184,15 +186,15 @@ def _calibrate(z: np.ndarray, y: np.ndarray, rate: dict[int, float]) -> tuple[fl
 
 def fit(labelled: DataFrame, cfg: Settings = Settings(), *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Network:
     """Learn from rows of text and label (0, 1; null labels are left out).
-    The driver gets at most about ``per_label`` stretches of ``sample_chars``
-    characters a label, from a place that the id's hash picks.  With one
-    label or none, the score is that label (0 for none)."""
+    The driver gets at most about ``per_label`` texts a label, of each at most
+    ``pieces`` pieces that a hash of id and place picks from the whole text.
+    With one label or none, the score is that label (0 for none)."""
     rows = labelled.filter(F.col(label_col).isin(0, 1)).select(
         F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.col(label_col).cast("int").alias("y"))
     rate = {0: 0.0, 1: 0.0} | {r["y"]: float(r["count"]) for r in rows.groupBy("y").count().collect()}
-    room = F.greatest(F.length("text") - F.lit(cfg.sample_chars), F.lit(0)) + 1
-    at = (F.pmod(F.xxhash64("id"), room) + 1).cast("int")
-    got = one_sample(rows, F.col("y"), F.col("id"), cfg.per_label).select("y", F.substring("text", at, F.lit(cfg.sample_chars)).alias("t")).collect()
+    places = f"slice(array_sort(transform(sequence(0, (length(text) - 1) div {STEP}), i -> struct(xxhash64(id, i) as h, i as i))), 1, {cfg.pieces})"
+    drawn = F.expr(f"concat_ws('', transform(array_sort(transform({places}, p -> p.i)), i -> substring(text, cast(i * {STEP} + 1 as int), {STEP})))")
+    got = one_sample(rows, F.col("y"), F.col("id"), cfg.per_label).select("y", F.when(F.length("text") > 0, drawn).otherwise("").alias("t")).collect()
     got.sort(key=lambda r: (r["y"], r["t"]))
     return train([r["t"].encode() for r in got], np.array([r["y"] for r in got], np.int64), rate, cfg)
 
