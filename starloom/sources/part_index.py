@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BITS_A_KEY, HASHES, MIN_BITS, MAX_BITS = 24, 8, 1 << 10, 1 << 23
+#: Rows of a part that is indexed in one job, and units whose bounds are tested before their filters are read.
+SMALL, MANY = 20_000, 64
 
 
 def _hashes(key: Sequence[str]) -> list[Column]:
@@ -25,68 +27,99 @@ def _hashes(key: Sequence[str]) -> list[Column]:
     return [F.xxhash64(*wide, F.lit(seed)).bitwiseAND(F.lit((1 << 60) - 1)) for seed in (1, 2)]
 
 
+def _bits(rows: int) -> int:
+    return min(MAX_BITS, max(MIN_BITS, 1 << (BITS_A_KEY * rows - 1).bit_length()))
+
+
+def _places(a: np.ndarray, b: np.ndarray, bits: int) -> np.ndarray:
+    return np.concatenate([(a + k * b) & (bits - 1) for k in range(HASHES)])
+
+
 def build(df: DataFrame, unit: Column, keys: Sequence[Sequence[str]]) -> dict[str, dict]:
-    """unit (as text) -> rows and index of each key, of the rows of ``df``.
-    The driver gets one row of bounds per unit and the set words of the filters."""
-    d = df.withColumn("__unit", unit)
+    """unit (as text) -> rows, zones and filter of each key, of the rows of
+    ``df``.  Of a part up to SMALL rows the driver gets the keys' hashes in one
+    job; of a larger one a row of bounds per unit and the set words of the filters."""
     cols = sorted({c for k in keys for c in k})
-    bounds = [f(c).cast("string").alias(f"{n}_{c}") for c in cols for n, f in (("lo", F.min), ("hi", F.max))]
+    hashes = [h.alias(f"__{i}{n}") for i, k in enumerate(keys) for n, h in zip("ab", _hashes(k))]
+    d = df.select(unit.alias("__unit"), *[F.col(c).cast("long").alias(c) for c in cols])
+    if keys:
+        few = d.select("__unit", *cols, *hashes).limit(SMALL + 1).toArrow()
+        if few.num_rows <= SMALL:
+            return _build_few(few, cols, keys)
+    bounds = [f(c).alias(f"{n}_{c}") for c in cols for n, f in (("lo", F.min), ("hi", F.max))]
     out = {}
     for r in d.groupBy("__unit").agg(F.count(F.lit(1)).alias("n"), *bounds).collect():
         out[r["__unit"]] = {"rows": r["n"], "zones": {c: [r[f"lo_{c}"], r[f"hi_{c}"]] for c in cols}, "filters": {}}
     if not out or not keys:
         return out
-    bits = {u: min(MAX_BITS, max(MIN_BITS, 1 << (BITS_A_KEY * x["rows"] - 1).bit_length())) for u, x in out.items()}
+    bits = {u: _bits(x["rows"]) for u, x in out.items()}
     size = F.create_map(*[F.lit(x) for pair in bits.items() for x in pair])[F.col("__unit")].cast("long")
-    for key in keys:
-        a, b = _hashes(key)
-        place = F.explode(F.array(*[(F.col("__a") + F.lit(i) * F.col("__b")).bitwiseAND(F.col("__m") - 1) for i in range(HASHES)]))
-        h = d.select("__unit", a.alias("__a"), b.alias("__b"), size.alias("__m"))
-        word = (h.select("__unit", place.alias("__p")).groupBy("__unit", F.shiftright("__p", 6).alias("w"))
-                .agg(F.bit_or(F.expr("shiftleft(1L, cast(__p & 63 as int))")).alias("b")))
-        words = {u: np.zeros(n // 64, np.int64) for u, n in bits.items()}
-        t = word.toArrow()
-        units, w, v = t.column("__unit").to_pylist(), t.column("w").to_numpy(), t.column("b").to_numpy()
-        for u, i, x in zip(units, w.tolist(), v.tolist()):
-            words[u][i] = x
-        for u in out:
-            out[u]["filters"][",".join(key)] = words[u].tobytes()
+    place = [F.struct(F.lit(i).alias("k"), ((h[0] + F.lit(n) * h[1]).bitwiseAND(F.col("__m") - 1)).alias("p"))
+             for i, k in enumerate(keys) for h in [_hashes(k)] for n in range(HASHES)]
+    word = (d.withColumn("__m", size).select("__unit", F.explode(F.array(*place)).alias("x"))
+            .groupBy("__unit", F.col("x.k").alias("k"), F.shiftright("x.p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(x.p & 63 as int))")).alias("b")))
+    words = {(u, i): np.zeros(n // 64, np.int64) for u, n in bits.items() for i in range(len(keys))}
+    t = word.toArrow()
+    for u, k, w, x in zip(t.column("__unit").to_pylist(), t.column("k").to_pylist(), t.column("w").to_numpy().tolist(), t.column("b").to_numpy().tolist()):
+        words[u, k][w] = x
+    for u in out:
+        out[u]["filters"] = {",".join(k): words[u, i].tobytes() for i, k in enumerate(keys)}
     return out
 
 
-def units_that_may_hold(keys: DataFrame, key: Sequence[str], units: Sequence[tuple[dict, Callable[[], bytes]]]) -> list[int]:
-    """Positions in ``units`` (zones, and what reads the filter) that may hold any row of
-    ``keys``.  Keys with a null are in none.  First the bounds of the whole batch against
-    the zones, then every key against the filters of what is left, in tasks."""
-    have = keys.select(*key).dropna()
-    bounds = have.agg(*[f(c).alias(f"{n}_{c}") for c in key for n, f in (("lo", F.min), ("hi", F.max))]).first()
-    if bounds[0] is None:
-        return []
+def _build_few(t: pa.Table, cols: Sequence[str], keys: Sequence[Sequence[str]]) -> dict[str, dict]:
+    out = {}
+    names = np.array(t.column("__unit").to_pylist(), object)
+    for u in sorted(set(names.tolist())):
+        own = t.filter(pa.array(names == u))
+        zones = {}
+        for c in cols:
+            have = own.column(c).drop_null().to_numpy()
+            zones[c] = [int(have.min()), int(have.max())] if len(have) else [None, None]
+        filters = {}
+        for i, k in enumerate(keys):
+            words = np.zeros(_bits(own.num_rows) // 64, np.int64)
+            p = _places(own.column(f"__{i}a").to_numpy(), own.column(f"__{i}b").to_numpy(), len(words) * 64)
+            np.bitwise_or.at(words, p >> 6, np.int64(1) << (p & 63))
+            filters[",".join(k)] = words.tobytes()
+        out[u] = {"rows": own.num_rows, "zones": zones, "filters": filters}
+    return out
 
-    def overlaps(zones: dict) -> bool:
-        return all(c not in zones or zones[c][0] is not None and int(zones[c][0]) <= bounds[f"hi_{c}"] and int(zones[c][1]) >= bounds[f"lo_{c}"] for c in key)
-    left = [(i, f) for i, (zones, f) in enumerate(units) if overlaps(zones)]
+
+def units_that_may_hold(keys: DataFrame, key: Sequence[str], units: Sequence[tuple[dict, Callable[[], bytes]]]) -> list[int]:
+    """Positions in ``units`` (zones, and what reads the filter) that may hold
+    any row of ``keys``.  Keys with a null are in none.  Every key is tested in
+    tasks against the zones and filters; of more than MANY units those out of
+    the whole batch's bounds are left out first."""
+    have = keys.select(*[F.col(c).cast("long").alias(c) for c in key]).dropna()
+    left = list(enumerate(units))
+    if len(left) > MANY:
+        b = have.agg(*[f(c).alias(f"{n}_{c}") for c in key for n, f in (("lo", F.min), ("hi", F.max))]).first()
+        meets = lambda z, c: z[0] is not None and z[0] <= b[f"hi_{c}"] and z[1] >= b[f"lo_{c}"]
+        left = [] if b[0] is None else [(i, u) for i, u in left if all(meets(u[0][c], c) for c in key)]
     if not left:
         return []
     spark = keys.sparkSession
-    shared = spark.sparkContext.broadcast([(i, np.frombuffer(f(), np.int64)) for i, f in left])  # at most MAX_BITS a unit in range
+    shared = spark.sparkContext.broadcast([(i, [u[0][c] for c in key], np.frombuffer(u[1](), np.int64)) for i, u in left])  # at most MAX_BITS a unit
 
     def run(it):
-        filters = shared.value
         found: set[int] = set()
         for batch in it:
-            a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for i, words in filters:
-                if i in found:
+            a, b, *values = (batch.column(c).to_numpy() for c in range(batch.num_columns))
+            for i, zones, words in shared.value:
+                if i in found or any(z[0] is None for z in zones):
                     continue
-                hit = np.ones(len(a), bool)
-                for k in range(HASHES):
-                    p = (a + k * b) & (len(words) * 64 - 1)
+                in_zone = np.ones(len(a), bool)
+                for v, (lo, hi) in zip(values, zones):
+                    in_zone &= (v >= lo) & (v <= hi)
+                x, y = a[in_zone], b[in_zone]
+                hit = np.ones(len(x), bool)
+                for p in _places(x, y, len(words) * 64).reshape(HASHES, -1):
                     hit &= (words[p >> 6] >> (p & 63)) & 1 == 1
                 if hit.any():
                     found.add(i)
         yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.int64())], names=["unit"])
 
     one, two = _hashes(key)
-    rows = have.select(one.alias("a"), two.alias("b")).mapInArrow(run, "unit long").distinct().collect()
-    return sorted(r["unit"] for r in rows)
+    rows = have.select(one.alias("__a"), two.alias("__b"), *key).mapInArrow(run, "unit long").collect()  # at most the units, once a task
+    return sorted({r["unit"] for r in rows})
