@@ -1,11 +1,13 @@
 """Helpers shared by the operators of this subpackage."""
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
 import zipfile
 
+import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -79,11 +81,17 @@ def holds(owner: str, *caches) -> None:
 
 def only(owner: str) -> None:
     """Called when a task starts: a reused Python worker drops what the tasks
-    of other operators left in their caches."""
+    of other operators left in their caches, and gives memory that is free
+    back to the system: workers live on beside the JVM within one limit."""
     for name, caches in _HELD.items():
         if name != owner:
             for c in caches:
                 c.clear()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library
 
 
 def fold_of(col: Column, mod: int) -> Column:
