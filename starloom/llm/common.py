@@ -138,6 +138,11 @@ def maybe_in(df: DataFrame, ids: DataFrame, col: str) -> DataFrame:
     return out.withColumn("__maybe", F.coalesce(F.col("__bits").bitwiseAND(bit) != 0, F.lit(False))).drop("__h", "__word", "__bits")
 
 
+def unit_of(seed: Column) -> Column:
+    """A number from 0 to 1 by the hash of ``seed``."""
+    return F.xxhash64(seed, F.lit("sample")).bitwiseAND(F.lit((1 << 52) - 1)).cast("double") / F.lit(float(1 << 52))
+
+
 def one_sample(df: DataFrame, strata: Column, seed_col: Column, per_stratum: int) -> DataFrame:
     """At most about ``per_stratum`` rows of each stratum, picked by a hash of
     ``seed_col``: one counting pass, then a filter per stratum (no shuffle of
@@ -146,7 +151,7 @@ def one_sample(df: DataFrame, strata: Column, seed_col: Column, per_stratum: int
     counts = {r["__s"]: r["n"] for r in d.groupBy("__s").agg(F.count("*").alias("n")).collect()
               if r["__s"] is not None}
     keep = F.lit(False)
-    unit = (F.xxhash64(seed_col, F.lit("sample")).bitwiseAND(F.lit((1 << 52) - 1))).cast("double") / F.lit(float(1 << 52))
+    unit = unit_of(seed_col)
     for s, n in sorted(counts.items()):
         keep = keep | ((F.col("__s") == F.lit(s)) & (unit < F.lit(min(1.0, per_stratum / n))))
     return d.filter(keep).drop("__s")

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batches, one_sample, only, ship
+from .common import batches, only, ship, unit_of
 
 #: Bytes read by one step, bytes of one window, hidden units of a direction.
 PATCH, WINDOW, HIDDEN = 4, 256, 16
@@ -223,9 +223,15 @@ def fit(docs: DataFrame, cfg: Settings = Settings(), *, id_col: str = "doc_id",
     id and place.  With no rows the network knows no language."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     rows = rows.filter("lang is not null and length(text) > 0")
-    places = rows.select("id", "lang", "text", F.explode(F.expr(f"sequence(1, length(text), {cfg.stretch})")).alias("at"))
-    some = one_sample(places, F.col("lang"), F.struct("id", "at"), cfg.per_language)
-    got = some.select("lang", F.col("text").substr(F.col("at"), F.lit(cfg.stretch)).alias("t")).collect()
+    starts = F.expr(f"sequence(1, length(text), {cfg.stretch})")
+    number = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.sum(F.size(starts)).alias("n")).collect()}  # a row a language
+    if not number:
+        return train([], [], cfg)
+    share = F.create_map(*[F.lit(x) for lang, n in sorted(number.items()) for x in (lang, min(1.0, cfg.per_language / n))])
+    # places are drawn before the text is cut, so that a long text is not copied for each of its stretches
+    drawn = F.filter(starts, lambda at: unit_of(F.struct(F.col("id"), at.alias("at"))) < share[F.col("lang")])
+    cut = F.transform(drawn, lambda at: F.col("text").substr(at, F.lit(cfg.stretch)))
+    got = rows.select("lang", F.explode(cut).alias("t")).collect()
     got.sort(key=lambda r: (r["lang"], r["t"]))
     return train([r["t"].encode() for r in got], [r["lang"] for r in got], cfg)
 
