@@ -466,8 +466,9 @@ def near_duplicates(docs: DataFrame, cfg: Settings = Settings(), *, id_col: str
     hubs = in_band.groupBy("band", "h").agg(F.min("tid").alias("hub"), F.count("*").alias("n")).filter("n > 1")
     met = written(in_band.join(hubs.drop("n"), ["band", "h"]), "dup-b")
     # a text points to its lowest hub, and its other hubs do, each pair of hubs once: about one edge a text, not one a band
-    hub = met.groupBy("tid").agg(F.min("hub").alias("low"), F.collect_set("hub").alias("hubs"))
-    star = hub.select(F.col("tid").alias("a"), F.col("low").alias("b")).unionByName(hub.select(F.explode("hubs").alias("a"), F.col("low").alias("b")).distinct())
+    low = met.groupBy("tid").agg(F.min("hub").alias("low"))
+    others = met.select("tid", "hub").join(low, "tid").select(F.col("hub").alias("a"), F.col("low").alias("b"))
+    star = low.select(F.col("tid").alias("a"), F.col("low").alias("b")).unionByName(others.distinct())
     family = components(star.filter("a <> b").distinct(), "dup-f")
     known = family.select(F.col("id").alias("tid"), F.col("group").alias("family")).join(texts.select("tid", "id", "hash", "chars"), "tid")
     parts = known.groupBy("family").agg(_parts(F.count("*"), F.sum("chars")).alias("parts"))
