@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from ..functions.text import flag_label
 from ..operators.aggregates import one_row
 from ..operators.joins import bounded_broadcast
+from ..session import materialize
 from ..sources.store import BUCKETED, Store
 from . import fact as factmod
 from .analytics import trend_of
@@ -35,11 +36,12 @@ def stateful_store(spark, base: str) -> Store:
     return Store(spark, base, bucketed=BUCKET_STATES)
 
 
-def fact_state(fact: DataFrame, sign: int = 1) -> DataFrame:
-    """State of some fact rows; ``sign`` -1 takes them back."""
+def fact_state(fact: DataFrame, sign=1, *apart: str) -> DataFrame:
+    """State of some fact rows; ``sign`` -1 takes them back.  Rows that differ
+    in the columns ``apart`` get states of their own."""
     sums = {"reviews": F.count(F.lit(1)), "scored": F.count("review_score"), "score_cents": F.sum((F.col("review_score") * 100).cast("bigint")),
             "rating_sum": F.sum(F.col("performance_rating").cast("bigint"))}
-    return fact.groupBy("review_year", "department_key").agg(*[(F.coalesce(sums[c], F.lit(0)) * sign).cast("bigint").alias(c) for c in FACT_SUMS])
+    return fact.groupBy("review_year", "department_key", *apart).agg(*[(F.coalesce(sums[c], F.lit(0)) * sign).cast("bigint").alias(c) for c in FACT_SUMS])
 
 
 def dim_state(dim: DataFrame, bucket) -> DataFrame:
@@ -64,13 +66,22 @@ def stage_rekeyed(store: Store, rekeyed: DataFrame) -> DataFrame:
     """Replace the fact by ``rekeyed``; only rows that changed, went or came
     enter the states, the old ones with the sign turned."""
     old = store.read("fact")
-    cols = ["review_id", "review_year", "department_key", "review_score", "performance_rating"]
     written = store.stage("fact", rekeyed)
-    gone, came = old.select(*cols).exceptAll(written.select(*cols)), written.select(*cols).exceptAll(old.select(*cols))
-    store.stage("fact_state", fact_state(gone, -1).unionByName(fact_state(came)), append=True)
+    store.stage("fact_state", changed_state(old, written), append=True)
     return written
 
 
+def changed_state(old: DataFrame, new: DataFrame) -> DataFrame:
+    """States of the rows that ``old`` has more often than ``new``, with the
+    sign turned, and of those that ``new`` has more often: one pass counts
+    every row down and up."""
+    cols = ["review_id", "review_year", "department_key", "review_score", "performance_rating"]
+    both = old.select(*cols, F.lit(-1).alias("_n")).unionByName(new.select(*cols, F.lit(1).alias("_n")))
+    changed = both.groupBy(*cols).agg(F.sum("_n").alias("_n")).filter("_n <> 0")
+    rows = changed.withColumn("_sign", F.signum("_n").cast("int")).withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.abs("_n"))))
+    return fact_state(rows, F.col("_sign"), "_sign").drop("_sign")
+
+
 def stage_dim_employee(store: Store, dim: DataFrame) -> DataFrame:
     written = store.stage("dim_employee", dim)
     store.stage("dim_employee_state", dim_state(written, store._bucket("dim_employee")))
@@ -78,11 +89,14 @@ def stage_dim_employee(store: Store, dim: DataFrame) -> DataFrame:
 
 
 def update_dim_employee(store: Store, keys: DataFrame, rows: DataFrame) -> DataFrame:
-    """``Store.stage_update`` of the dimension, and of its states' buckets."""
+    """``Store.stage_update`` of the dimension, and of its states' buckets.
+    Both updates ask for the buckets of their rows before they write them, so
+    the rows are computed first."""
+    keys, rows = materialize(keys), materialize(rows)
     written = store.stage_update("dim_employee", keys, rows)
     bucket = store._bucket("dim_employee")
     touched = keys.select(bucket.alias("bucket")).unionByName(rows.select(bucket.alias("bucket"))).distinct()
-    store.stage_update("dim_employee_state", touched, dim_state(written, bucket))
+    store.stage_update("dim_employee_state", touched, materialize(dim_state(written, bucket)))
     return written
 
 

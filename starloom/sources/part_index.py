@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 BITS_A_KEY, HASHES, MIN_BITS, MAX_BITS = 24, 8, 1 << 10, 1 << 23
 #: Rows of a part that is indexed in one job, and units whose bounds are tested before their filters are read.
 SMALL, MANY = 20_000, 64
+#: Filters that a task fills at once.
+HELD = 32
 
 
 def _hashes(key: Sequence[str]) -> list[Column]:
@@ -53,15 +55,42 @@ def build(df: DataFrame, unit: Column, keys: Sequence[Sequence[str]]) -> dict[st
     if not out or not keys:
         return out
     bits = {u: _bits(x["rows"]) for u, x in out.items()}
-    size = F.create_map(*[F.lit(x) for pair in bits.items() for x in pair])[F.col("__unit")].cast("long")
-    place = [F.struct(F.lit(i).alias("k"), ((h[0] + F.lit(n) * h[1]).bitwiseAND(F.col("__m") - 1)).alias("p"))
-             for i, k in enumerate(keys) for h in [_hashes(k)] for n in range(HASHES)]
-    word = (d.withColumn("__m", size).select("__unit", F.explode(F.array(*place)).alias("x"))
-            .groupBy("__unit", F.col("x.k").alias("k"), F.shiftright("x.p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(x.p & 63 as int))")).alias("b")))
-    words = {(u, i): np.zeros(n // 64, np.int64) for u, n in bits.items() for i in range(len(keys))}
-    t = word.toArrow()
-    for u, k, w, x in zip(t.column("__unit").to_pylist(), t.column("k").to_pylist(), t.column("w").to_numpy().tolist(), t.column("b").to_numpy().tolist()):
-        words[u, k][w] = x
+    number = {u: i for i, u in enumerate(sorted(out))}
+    at = F.create_map(*[F.lit(x) for pair in number.items() for x in pair])[F.col("__unit")]
+    sizes, n_keys, n_hashes, held = [bits[u] // 64 for u in sorted(out)], len(keys), HASHES, HELD
+
+    def set_words(it):
+        """The words that a task's rows set; it holds the filters of the units that its rows are of, HELD at most."""
+        own = {}
+
+        def flush():
+            for (u, k), x in own.items():
+                w = np.flatnonzero(x)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(w), u * n_keys + k, np.int32)), pa.array(w.astype(np.int32)), pa.array(x[w])], names=["f", "w", "b"])
+            own.clear()
+
+        for b in it:
+            unit_at = b.column(0).to_numpy()
+            for u in np.unique(unit_at):
+                rows = unit_at == u
+                if len(own) >= held:
+                    yield from flush()
+                for k in range(n_keys):
+                    if (u, k) not in own:
+                        own[u, k] = np.zeros(sizes[u], np.int64)
+                    one, two = (b.column(1 + 2 * k + j).to_numpy()[rows] for j in (0, 1))
+                    for n in range(n_hashes):
+                        p = (one + n * two) & (sizes[u] * 64 - 1)
+                        np.bitwise_or.at(own[u, k], p >> 6, np.int64(1) << (p & 63))
+        yield from flush()
+
+    rows = d.select(at.alias("__at"), *hashes)
+    t = rows.mapInArrow(set_words, "f int, w int, b long").groupBy("f", "w").agg(F.bit_or("b").alias("b")).toArrow()
+    filters, places, values = (t.column(c).to_numpy() for c in ("f", "w", "b"))
+    words = {(u, i): np.zeros(n // 64, np.int64) for u, n in bits.items() for i in range(n_keys)}
+    for (u, i), x in words.items():
+        own = filters == number[u] * n_keys + i
+        x[places[own]] = values[own]
     for u in out:
         out[u]["filters"] = {",".join(k): words[u, i].tobytes() for i, k in enumerate(keys)}
     return out
