@@ -7,6 +7,7 @@ from ..plans import changes as CH
 from ..plans.model import Core
 from ..plans.scale import close_intervals
 from ..registry import query
+from ..session import materialize
 from ..sources.fixtures import Fixture
 from .quality import EMPLOYEE_REASONS_SQL, PROJECT_REASONS_SQL, REVIEW_REASONS_SQL
 
@@ -225,7 +226,7 @@ def _assign(spark, sf):
     """Assignments from 1996 on (with re-requests of older pairs, unknown
     projects and impossible shares) against the pre-1996 table."""
     f = fx(spark, sf)
-    a = f.stg_assignment()
+    a = materialize(f.stg_assignment())  # the table, its employees' shares and the batch all read it: written once
     cut = F.lit("1996-01-01").cast("date")
     tbl = a.filter(F.col("start_date") < cut)
     later = a.filter(F.col("start_date") >= cut)
