@@ -28,7 +28,7 @@ from .common import batches, only, ship
 
 WORD = re.compile(r"[^\W_]+")
 ANSWER, ASKED = re.compile(r"(?i)\banswer\s*:"), re.compile(r"\?(?=\s+\S)")
-STEP_BYTES = 2 << 20
+STEP_BYTES = 512 << 10
 SLACK = 1e-9
 
 
